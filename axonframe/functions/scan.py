@@ -54,7 +54,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's own size estimate; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def is_broadcastable(df: DataFrame) -> bool:
@@ -165,24 +165,24 @@ def running_total(
     parted = cut_lineage(
         rows.withColumn("_w", weight)
         .repartitionByRange(*[F.col(c) for c in keys + order])
-        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_range", F.spark_partition_id())
     )
-    inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     # One row per (key, partition): small however large the key is.
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        parted.groupBy(*keys, "_part")
+        parted.groupBy(*keys, "_range")
         .agg(F.sum("_w").alias("_s"))
         .withColumn("_offset", F.coalesce(F.sum("_s").over(earlier), F.lit(0)))
         .drop("_s")
     )
     return (
         parted.withColumn(out, F.sum("_w").over(inside))
-        .join(offsets, keys + ["_part"])
+        .join(offsets, keys + ["_range"])
         .withColumn(out, F.col(out) + F.col("_offset"))
-        .drop("_part", "_w", "_offset")
+        .drop("_range", "_w", "_offset")
     )
 
 

@@ -104,8 +104,10 @@ def available_bundles(paths: DataFrame, bundles: DataFrame, space: str) -> DataF
     prefixes = F.array_distinct(F.array(*[F.substring("tail", 1, n) for n in lengths]))
     heads = current.select(F.explode(prefixes).alias("desc")).distinct() if lengths else current.select(F.col("tail").alias("desc"))
     modern = known.join(heads, "desc", "left_semi").select("bundle")
-    legacy_key = F.regexp_extract("name", r"_desc-ROI-([^-]+)-", 1)
-    tokens = names.select(legacy_key.alias("legacy_key")).filter(F.col("legacy_key") != "").distinct()
+    words = F.split(F.substring_index("name", "_desc-ROI-", -1), "-")
+    heads = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda n: F.array_join(F.slice(words, F.lit(1), n), "-"))
+    legacy = names.filter(F.col("name").rlike("_desc-ROI-[^-]*-"))
+    tokens = legacy.select(F.explode(heads).alias("legacy_key")).distinct()
     old = known.select("bundle", F.explode("legacy_keys").alias("legacy_key")).join(tokens, "legacy_key", "left_semi").select("bundle")
     return modern.unionByName(old).distinct()
 
