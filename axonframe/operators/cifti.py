@@ -34,7 +34,7 @@ def densify(expanded: DataFrame, vertex_counts: dict[str, int]) -> DataFrame:
     maps = expanded.select(*subject(expanded), "map_id").distinct()
     # A handful of maps times the fixed vertex range of the surfaces.
     frame = maps.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(n).alias("n")) for s, n in vertex_counts.items()])))
-    frame = frame.withColumn("vertex", F.explode(F.sequence(F.lit(0), F.col("_s.n") - 1))).withColumn("structure", F.col("_s.s")).drop("_s")
+    frame = frame.withColumn("vertex", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_s.n").cast("long") - 1))).withColumn("structure", F.col("_s.s")).drop("_s")
     on = subject(expanded) + ["map_id", "structure", "vertex"]
     return frame.join(expanded.select(*on, "value"), on, "left").withColumn("value", F.coalesce("value", F.lit(float("nan"))))
 

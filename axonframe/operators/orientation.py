@@ -97,12 +97,12 @@ def otsu_threshold(fixels: DataFrame, metric: str | None = None, scope: str = "a
         {
             "_w": F.sum("n").over(upto),
             "_m": F.sum(moment).over(upto),
-            "_W": F.sum("n").over(whole),
-            "_M": F.sum(moment).over(whole),
+            "_n_all": F.sum("n").over(whole),
+            "_m_all": F.sum(moment).over(whole),
         }
     )
-    w0, w1 = F.col("_w"), F.col("_W") - F.col("_w")
-    gap = F.col("_m") / F.nullif(w0, F.lit(0)) - (F.col("_M") - F.col("_m")) / F.nullif(w1, F.lit(0))
+    w0, w1 = F.col("_w"), F.col("_n_all") - F.col("_w")
+    gap = F.col("_m") / F.nullif(w0, F.lit(0)) - (F.col("_m_all") - F.col("_m")) / F.nullif(w1, F.lit(0))
     variance = F.round(F.coalesce(w0 * w1 * gap * gap, F.lit(0.0)), 3)
     edge = F.col("lo") + (F.col("bin") + F.lit(1.0)) * width
     return hist.groupBy(*by).agg(

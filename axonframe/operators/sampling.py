@@ -83,18 +83,21 @@ def sample_masked_trilinear(
     """Array-valued interpolation over the corners that exist and pass the gate.
 
     ``coeffs``: i, j, k, coeffs ARRAY<DOUBLE> and optionally the gate column. Weights are
-    renormalised; a total weight under ``min_weight`` gives no row. Long form: key, term,
-    value, so a coefficient sum stays an ordinary aggregate.
+    renormalised; a total weight under ``min_weight`` gives no row. At most eight arrays
+    meet per point, so they are gathered and folded element by element.
     """
     on = voxel_keys(pts, coeffs)
     present = coeffs if gate is None else coeffs.filter(F.col(gate) >= threshold)
     corners = corner_weights(pts.select(*key, *XYZ), grid, clip=True)
-    taps = lookup(corners, present.select(*on, "coeffs"), on)
-    terms = taps.select(*key, "w", F.posexplode("coeffs").alias("term", "_c"))
-    sums = terms.groupBy(*key, "term").agg(
-        F.sum(F.col("w") * F.col("_c")).alias("_s"), F.sum("w").alias("_w")
+    taps = lookup(corners, present.select(*on, F.col("coeffs").cast("array<double>").alias("coeffs")), on)
+    tap = F.struct("i", "j", "k", "w", "coeffs")
+    met = taps.groupBy(*key).agg(F.sum("w").alias("_w"), F.sort_array(F.collect_list(tap)).alias("_taps"))
+    met = met.filter(F.col("_w") >= min_weight)
+    first = F.transform(F.get("_taps", F.lit(0))["coeffs"], lambda c: c * F.lit(0.0))
+    total = F.aggregate(
+        "_taps", first, lambda acc, t: F.zip_with(acc, t["coeffs"], lambda a, c: a + t["w"] * c)
     )
-    return sums.filter(F.col("_w") >= min_weight).select(*key, "term", (F.col("_s") / F.col("_w")).alias("value"))
+    return met.select(*key, F.transform(total, lambda v: v / F.col("_w")).alias("coeffs"))
 
 
 def sample_volume_along_streamline(

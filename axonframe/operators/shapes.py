@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from axonframe.functions.geometry import XYZ
 from axonframe.functions.scan import lookup, streamline_keys
@@ -16,7 +17,7 @@ TINY = 1e-12
 PAIRS = ("xx", "xy", "xz", "yy", "yz", "zz")
 
 
-@pandas_udf("x double, y double, z double")
+@pandas_udf(StructType([StructField(c, DoubleType()) for c in XYZ]))
 def _thin_axis(c: pd.DataFrame) -> pd.DataFrame:
     """Unit eigenvector of the smallest eigenvalue of each symmetric 3x3 matrix."""
     m = np.empty((len(c), 3, 3))

@@ -44,7 +44,8 @@ def sample_masked_trilinear(spark, sf):
     rows = rows.select("i", "j", "k", "fa", F.slice("amps", 1, 6).alias("coeffs"))
     grid = geo.scaling_grid(10, 10, 10_000, 5.0)
     out = sampling.sample_masked_trilinear(fx.points(spark, sf), rows, grid, POINT, "fa", 3.0)
-    return out.select(*POINT, "term", r(F.col("value")).alias("value"))
+    long = out.select(*POINT, F.posexplode("coeffs").alias("term", "value"))
+    return long.withColumn("value", r(F.col("value")))
 
 
 @query("sample_volume_along_streamline", sql("pts vox dps", f"""WITH {TAPS}, s AS (SELECT streamline_id, point_idx, SUM(w * value) AS v FROM t JOIN vox USING (i, j, k) GROUP BY 1, 2 HAVING COUNT(*) = 8)
