@@ -4,9 +4,8 @@ Three exact routes, chosen by checked sizes:
 
 * few targets: one fixed array shipped to the tasks, vectorised distances, no shuffle;
 * a radius and sparse cells: one equi join on a cell key;
-* otherwise: a descent over nested cells. Each level keeps, per point, only the cells
-  whose lower bound beats the best upper bound so far, so a dense cell is refined instead
-  of being paired point by point.
+* otherwise: a descent over nested cells of points and of targets, so a dense cell is
+  refined instead of being paired point by point.
 """
 
 from __future__ import annotations
@@ -20,12 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from axonframe.functions.geometry import XYZ
-from axonframe.functions.scan import lookup
+from axonframe.functions.scan import cut_lineage, lookup
 
-FEW_TARGETS = 4096
+FEW_TARGETS = 16_384
 DENSE_CELL = 64
-LEAF = 32
-SPLIT = 4
+LEAF = 8
 MAX_LEVELS = 24
 
 
@@ -51,8 +49,7 @@ def _distance2(a: Sequence[Column], b: Sequence[Column]) -> Column:
 
 
 def nearest_in_radius(
-    points: DataFrame, targets: DataFrame, label: str, radius: float, key: Sequence[str],
-    dense_cell: int = DENSE_CELL,
+    points: DataFrame, targets: DataFrame, label: str, radius: float, dense_cell: int = DENSE_CELL
 ) -> DataFrame:
     """``points`` rows with a target within ``radius``: adds ``nearest`` and ``d2``.
 
@@ -65,13 +62,13 @@ def nearest_in_radius(
     limit2 = F.lit(float(radius) * float(radius))
     p = [F.col(c) for c in XYZ]
     if _busiest(positions, size) > dense_cell:
-        return descend(points, positions, key, radius=float(radius))
+        return descend(points, positions, radius=float(radius))
     reach = [F.explode(F.sequence(F.floor(F.col(f"t{c}") / size) - 1, F.floor(F.col(f"t{c}") / size) + 1)).alias(f"_c{c}") for c in XYZ]
-    spread = positions
-    for expr, c in zip(reach, XYZ):
-        spread = spread.select("*", expr)
+    cells = positions
+    for expr in reach:
+        cells = cells.select("*", expr)
     seated = points.select("*", *_cell("_c", size, p))
-    pairs = lookup(seated, spread, [f"_c{c}" for c in XYZ])
+    pairs = lookup(seated, cells, [f"_c{c}" for c in XYZ], spread=True)
     d2 = _distance2([F.col(f"t{c}") for c in XYZ], p)
     best = (
         pairs.withColumn("_d2", d2)
@@ -82,83 +79,95 @@ def nearest_in_radius(
     return best.select(*points.columns, F.col("_b.nearest").alias("nearest"), F.col("_b.d2").alias("d2"))
 
 
-def descend(
-    points: DataFrame, positions: DataFrame, key: Sequence[str], radius: float | None = None
-) -> DataFrame:
-    """Nested-cell search. ``key`` identifies a point; its other columns ride along."""
+def descend(points: DataFrame, positions: DataFrame, radius: float | None = None) -> DataFrame:
+    """Nested-cell search on both sides: candidate lists per cell of points.
+
+    Points and targets are reduced to occupied cells with tight boxes. From the coarsest
+    level down, a point cell keeps the target cells whose smallest distance beats the best
+    worst-case distance found so far; both sides then split in two per axis. Only cells
+    meet until the finest level, where each point cell gets one short target list and each
+    point one pass over it. No point is ever paired with a whole neighbourhood.
+    """
     t = [F.col(f"t{c}") for c in XYZ]
     box = positions.agg(*[F.min(c).alias(f"lo{n}") for n, c in enumerate(t)], *[F.max(c).alias(f"hi{n}") for n, c in enumerate(t)]).first()
+    if box["lo0"] is None:
+        return points.withColumns({"nearest": F.lit(None).cast("long"), "d2": F.lit(None).cast("double")}).limit(0)
     extent = max(max(box[f"hi{n}"] - box[f"lo{n}"] for n in range(3)), 1e-6)
-    sizes = [extent]
-    while _busiest(positions, sizes[-1]) > LEAF and len(sizes) < MAX_LEVELS:
-        sizes.append(sizes[-1] / SPLIT)
-
-    def cells(size: float) -> DataFrame:
-        return positions.groupBy(*_cell("_c", size, t)).agg(
-            *[F.min(v).alias(f"_lo{c}") for v, c in zip(t, XYZ)],
-            *[F.max(v).alias(f"_hi{c}") for v, c in zip(t, XYZ)],
+    levels, size = 0, extent
+    while levels < MAX_LEVELS and _busiest(positions, size) > LEAF:
+        levels, size = levels + 1, size / 2
+    targets = _boxes(positions, [f"t{c}" for c in XYZ], size, levels, "t")
+    queries = _boxes(points, list(XYZ), size, levels, "q")
+    # The coarsest target level spans at most two cells per axis, so at most eight rows.
+    roots = targets[levels].collect()
+    fields = targets[levels].columns
+    literal = F.array(*[F.struct(*[F.lit(row[c]).alias(c) for c in fields]) for row in roots])
+    pairs = _beating(queries[levels].withColumn("_r", F.explode(literal)).select(*queries[levels].columns, "_r.*"), radius)
+    q_at, t_at = _index("q"), _index("t")
+    for level in range(levels - 1, -1, -1):
+        kept = pairs.select(*[F.col(c).alias(f"u{c}") for c in q_at + t_at])
+        up_q = queries[level].withColumns({f"u{c}": F.floor(F.col(c) / 2) for c in q_at})
+        up_t = targets[level].withColumns({f"u{c}": F.floor(F.col(c) / 2) for c in t_at})
+        split = kept.join(up_q, [f"u{c}" for c in q_at]).join(up_t, [f"u{c}" for c in t_at])
+        pairs = _beating(split.drop(*[f"u{c}" for c in q_at + t_at]), radius)
+    leaves = positions.select(*_cell("t_", size, t), F.struct(*[f"t{c}" for c in XYZ], "_label").alias("_t"))
+    lists = pairs.select(*q_at, *t_at).join(leaves, t_at).groupBy(*q_at).agg(F.collect_list("_t").alias("_list"))
+    here = [F.col(c) for c in XYZ]
+    seated = points.select("*", *_cell("q_", size, here))
+    met = lookup(seated, lists, q_at, spread=True)
+    best = F.array_min(
+        F.transform(
+            "_list",
+            lambda v: F.struct(_distance2([v[f"t{c}"] for c in XYZ], here).alias("d2"), v["_label"].alias("nearest")),
         )
+    )
+    found = met.select(*points.columns, best.alias("_b"))
+    found = found.select(*points.columns, F.col("_b.nearest").alias("nearest"), F.col("_b.d2").alias("d2"))
+    return found if radius is None else found.filter(F.col("d2") <= radius * radius)
 
-    def bounded(rows: DataFrame) -> DataFrame:
-        p = [F.col(c) for c in XYZ]
-        lo = [F.col(f"_lo{c}") for c in XYZ]
-        hi = [F.col(f"_hi{c}") for c in XYZ]
-        gap = [F.greatest(a - q, q - b, F.lit(0.0)) for a, b, q in zip(lo, hi, p)]
-        far = [F.greatest(F.abs(q - a), F.abs(b - q)) for a, b, q in zip(lo, hi, p)]
-        near2 = gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]
-        far2 = far[0] * far[0] + far[1] * far[1] + far[2] * far[2]
-        # One point has at most a handful of candidate cells, so this window stays small.
-        w = Window.partitionBy(*key)
-        reach = F.min("_far2").over(w)
-        if radius is not None:
-            reach = F.least(reach, F.lit(radius * radius))
-        # A whisker of slack so rounding never prunes an exact tie.
-        return (
-            rows.withColumn("_near2", near2)
-            .withColumn("_far2", far2)
-            .withColumn("_reach", reach)
-            .filter(F.col("_near2") <= F.col("_reach") * (1 + 1e-12) + 1e-12)
-            .drop("_near2", "_far2", "_reach")
-        )
 
-    at = [f"_c{c}" for c in XYZ]
-    # The root level has at most eight cells by construction of its size.
-    roots = cells(sizes[0]).collect()
-    literal = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in r.__fields__]) for r in roots])
-    frontier = bounded(points.withColumn("_r", F.explode(literal)).select(*points.columns, "_r.*"))
-    for coarse, fine in zip(sizes, sizes[1:]):
-        child = cells(fine)
-        centre = [(F.col(f"_lo{c}") + F.col(f"_hi{c}")) / 2 for c in XYZ]
-        child = child.select(
-            *[F.floor(m / coarse).alias(f"_p{c}") for m, c in zip(centre, XYZ)], *child.columns
-        )
-        # Cells of one level nest in the next only by position, so hand down by parent key
-        # of every parent the child's own box touches.
-        child = _touching(child, coarse)
-        parent = frontier.select(*points.columns, *[F.col(f"_c{c}").alias(f"_p{c}") for c in XYZ])
-        joined = lookup(parent, child, [f"_p{c}" for c in XYZ]).drop(*[f"_p{c}" for c in XYZ])
-        frontier = bounded(joined.dropDuplicates([*key, *at]))
-    leaves = positions.select(*_cell("_c", sizes[-1], t), *[f"t{c}" for c in XYZ], "_label")
-    reached = frontier.select(*points.columns, *at)
-    pairs = lookup(reached, leaves, at).withColumn("_d2", _distance2([F.col(f"t{c}") for c in XYZ], [F.col(c) for c in XYZ]))
-    if radius is not None:
-        pairs = pairs.filter(F.col("_d2") <= radius * radius)
-    best = pairs.groupBy(*points.columns).agg(
-        F.min(F.struct(F.col("_d2").alias("d2"), F.col("_label").alias("nearest"))).alias("_b")
+def _index(side: str) -> list[str]:
+    return [f"{side}_{c}" for c in XYZ]
+
+
+def _boxes(rows: DataFrame, names: Sequence[str], size: float, levels: int, side: str) -> list[DataFrame]:
+    """Occupied cells with tight boxes, finest first, each level rolled up from the one below."""
+    at = _index(side)
+    lo, hi = [f"{side}lo{c}" for c in XYZ], [f"{side}hi{c}" for c in XYZ]
+    fine = rows.groupBy(*_cell(f"{side}_", size, [F.col(n) for n in names])).agg(
+        *[F.min(n).alias(m) for n, m in zip(names, lo)], *[F.max(n).alias(m) for n, m in zip(names, hi)]
     )
-    return best.select(*points.columns, F.col("_b.nearest").alias("nearest"), F.col("_b.d2").alias("d2"))
+    out = [cut_lineage(fine)]
+    for _ in range(levels):
+        up = out[-1].groupBy(*[F.floor(F.col(c) / 2).alias(c) for c in at])
+        out.append(up.agg(*[F.min(m).alias(m) for m in lo], *[F.max(m).alias(m) for m in hi]))
+    return out
 
 
-def _touching(child: DataFrame, coarse: float) -> DataFrame:
-    out = child.drop(*[f"_p{c}" for c in XYZ])
+def _beating(pairs: DataFrame, radius: float | None) -> DataFrame:
+    """Pairs of cells that may still hold the nearest target of some point of the cell."""
+    gap, far = [], []
     for c in XYZ:
-        span = F.sequence(F.floor(F.col(f"_lo{c}") / coarse), F.floor(F.col(f"_hi{c}") / coarse))
-        out = out.withColumn(f"_p{c}", F.explode(span))
-    return out
+        ql, qh, tl, th = (F.col(f"{s}{c}") for s in ("qlo", "qhi", "tlo", "thi"))
+        gap.append(F.greatest(tl - qh, ql - th, F.lit(0.0)))
+        far.append(F.greatest(th - ql, qh - tl))
+    near2 = gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]
+    far2 = far[0] * far[0] + far[1] * far[1] + far[2] * far[2]
+    # A point cell meets a bounded number of target cells per level.
+    reach = F.min("_far2").over(Window.partitionBy(*_index("q")))
+    if radius is not None:
+        reach = F.least(reach, F.lit(radius * radius))
+    # A whisker of slack so rounding never prunes an exact tie.
+    return (
+        pairs.withColumns({"_near2": near2, "_far2": far2})
+        .withColumn("_reach", reach)
+        .filter(F.col("_near2") <= F.col("_reach") * (1 + 1e-12) + 1e-12)
+        .drop("_near2", "_far2", "_reach")
+    )
 
 
 def distance_to_cloud(
-    points: DataFrame, cloud: DataFrame, key: Sequence[str], few: int = FEW_TARGETS
+    points: DataFrame, cloud: DataFrame, few: int = FEW_TARGETS
 ) -> DataFrame:
     """Adds ``distance`` from each point to the nearest position of ``cloud``.
 
@@ -169,19 +178,41 @@ def distance_to_cloud(
     if not head:
         return points.withColumn("distance", F.lit(None).cast("double"))
     if len(head) > few:
-        found = descend(points, positions, key)
+        found = descend(points, positions)
         return found.withColumn("distance", F.sqrt("d2")).drop("nearest", "d2")
     fixed = np.array([[r.tx, r.ty, r.tz] for r in head])
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            p = batch[list(XYZ)].to_numpy(dtype="float64")
-            out = np.empty(len(p))
-            step = max(1, 2_000_000 // len(fixed))
-            for lo in range(0, len(p), step):
-                d = p[lo : lo + step, None, :] - fixed[None, :, :]
-                out[lo : lo + step] = np.sqrt((d * d).sum(axis=2).min(axis=1))
-            yield batch.assign(distance=out)
+            yield batch.assign(distance=_distances(batch[list(XYZ)].to_numpy(dtype="float64"), fixed))
 
     schema = StructType([*points.schema.fields, StructField("distance", DoubleType())])
     return points.mapInPandas(measure, schema)
+
+
+def _distances(p: np.ndarray, targets: np.ndarray, group: int = 64) -> np.ndarray:
+    """Exact distance of each point to the nearest target.
+
+    Points are taken in small boxes; a target farther from the box than the best
+    worst case of any target cannot be the nearest to a point inside.
+    """
+    out = np.empty(len(p))
+    if len(p) == 0:
+        return out
+    low = p.min(axis=0)
+    size = max(float((p.max(axis=0) - low).max()), 1e-9) / max(1.0, (len(p) / group) ** (1 / 3))
+    cell = np.floor((p - low) / size).astype("int64")
+    key = (cell[:, 0] * 2_000_003 + cell[:, 1]) * 2_000_003 + cell[:, 2]
+    order = np.argsort(key, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+        q = p[rows]
+        lo, hi = q.min(axis=0), q.max(axis=0)
+        gap = np.maximum(np.maximum(lo - targets, targets - hi), 0.0)
+        far = np.maximum(np.abs(targets - lo), np.abs(hi - targets))
+        reach = (far * far).sum(axis=1).min()
+        near = targets[(gap * gap).sum(axis=1) <= reach * (1 + 1e-12) + 1e-12]
+        step = max(1, 1_000_000 // len(near))
+        for at in range(0, len(q), step):
+            d = q[at : at + step, None, :] - near[None, :, :]
+            out[rows[at : at + step]] = np.sqrt((d * d).sum(axis=2).min(axis=1))
+    return out

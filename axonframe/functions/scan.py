@@ -63,27 +63,25 @@ def is_broadcastable(df: DataFrame) -> bool:
 
 
 def lookup(
-    rows: DataFrame,
-    table: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
+    rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner", spread: bool = False,
     salts: int | None = None,
 ) -> DataFrame:
-    """Equi join of a large row set to a table keyed by ``on``, with hot keys spread out.
+    """Equi join of a large row set to a table that is (nearly) unique on ``on``.
 
-    A table under the broadcast threshold needs no shuffle, so nothing is salted. A
-    larger one is copied ``salts`` times and the rows of each key spread over the copies
-    by a hash of the row (stable under task retries), so one hot voxel or group is never
-    one task.
+    Spark broadcasts a table under its threshold by itself, and AQE cuts a skewed shuffle
+    partition of the row side. With ``spread`` (voxel, cell and label keys, where one key
+    may hold a third of the rows and the table is far smaller than them) the table is also
+    copied ``salts`` times and the rows of a key dealt out over the copies by a hash of the
+    row, stable under task retries.
     """
     on = list(on)
     if salts is None:
-        salts = 1 if is_broadcastable(table) else DEFAULT_SALTS
+        salts = DEFAULT_SALTS if spread and not is_broadcastable(table) else 1
     if salts <= 1:
         return rows.join(table, on, how)
-    salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    return salted_rows.join(table.withColumn("_salt", copies), on + ["_salt"], how).drop("_salt")
+    return dealt.join(table.withColumn("_salt", copies), on + ["_salt"], how).drop("_salt")
 
 
 def with_neighbours(

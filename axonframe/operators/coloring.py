@@ -39,7 +39,7 @@ def group_colors(groups: DataFrame, colors: DataFrame | None = None) -> DataFram
     choice = [bundle_name_color(name), sheet_color(name), distinct_color(F.col("group_ord"))]
     if colors is not None:
         own = colors.select("group_name", F.struct(*[F.col(c).cast("double").alias(c) for c in "rgb"]).alias("_own"))
-        ranked = lookup(ranked, own, ["group_name"], "left")
+        ranked = lookup(ranked, own, ["group_name"], "left", spread=True)
         choice = [F.col("_own"), *choice]
     return ranked.select(*by, "group_name", "group_ord", F.coalesce(*choice).alias("color"))
 
@@ -48,7 +48,7 @@ def color_by_group(pts: DataFrame, groups: DataFrame, colors: DataFrame | None =
     """The colour of each streamline's last group; grey without one."""
     keys = streamline_keys(pts, groups)
     palette = group_colors(groups, colors)
-    members = lookup(groups.select(*keys, "group_name"), palette, subject(groups) + ["group_name"])
+    members = lookup(groups.select(*keys, "group_name"), palette, subject(groups) + ["group_name"], spread=True)
     last = members.groupBy(*keys).agg(F.max_by("color", "group_ord").alias("_c"))
     rows = lookup(pts.select(*keys, "point_idx"), last, keys, "left")
     return _spread(rows, F.coalesce("_c", rgb(*GREY)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from axonframe.functions.geometry import XYZ, attach_bounds, unit_or_zero
 from axonframe.functions.scan import lookup, subject
-from axonframe.functions.sphere import FULL_DETAIL, bin_count, nearest_bin, smoothing_kernel, sphere_neighbours
+from axonframe.functions.sphere import FULL_DETAIL, bin_count, nearest_bin, neighbour_pairs, smoothing_kernel
 from axonframe.operators.geometry import raster, segments, tangents
 
 MIN_VOXEL_MM = 0.5
@@ -100,32 +100,39 @@ def _oriented(pts: DataFrame, voxel_mm: float, mode: str, detail: int) -> DataFr
             {f"v{end}{c}": F.floor((F.col(f"{c}{end}") - o) / F.lit(size)).cast("int") for c, o in zip(XYZ, origin)}
         )
     boxed = boxed.filter((F.col("v0x") != F.col("v1x")) | (F.col("v0y") != F.col("v1y")) | (F.col("v0z") != F.col("v1z")))
+    for end, other in ("01", "10"):
+        boxed = _with_exit(boxed, origin, size, end, other)
     votes = F.array(
-        F.struct(F.lit("0").alias("end"), _leaves(origin, size, "0", "1").alias("ok"), *[F.col(f"v0{c}").alias(n) for c, n in zip(XYZ, "ijk")]),
-        F.struct(F.lit("1").alias("end"), _leaves(origin, size, "1", "0").alias("ok"), *[F.col(f"v1{c}").alias(n) for c, n in zip(XYZ, "ijk")]),
+        *[F.struct(F.col(f"_exit{e}").alias("ok"), *[F.col(f"v{e}{c}").alias(n) for c, n in zip(XYZ, "ijk")]) for e in "01"]
     )
     binned = boxed.withColumn("bin", nearest_bin(*[F.col(f"u{c}") for c in XYZ], detail))
     rows = binned.withColumn("_v", F.explode(votes)).filter("_v.ok")
     return rows.select(*by, "_v.i", "_v.j", "_v.k", *[f"u{c}" for c in XYZ], F.lit(1.0).alias("w"), "bin")
 
 
-def _leaves(origin: list[Column], size: float, start: str, stop: str) -> Column:
-    """Does the segment pass a face of its start voxel?"""
-    p = [F.col(f"{c}{start}") for c in XYZ]
-    d = [F.col(f"{c}{stop}") - F.col(f"{c}{start}") for c in XYZ]
-    low = [o + F.col(f"v{start}{c}") * F.lit(size) for o, c in zip(origin, XYZ)]
-    high = [v + F.lit(size) for v in low]
+def _with_exit(rows: DataFrame, origin: list[Column], size: float, start: str, stop: str) -> DataFrame:
+    """Add ``_exit<start>``: does the segment pass a face of its start voxel?
+
+    The crossing share of each axis is its own column, so the face tests stay short.
+    """
+    low = {c: o + F.col(f"v{start}{c}") * F.lit(size) for o, c in zip(origin, XYZ)}
+    step = {c: F.col(f"{c}{stop}") - F.col(f"{c}{start}") for c in XYZ}
+    rows = rows.withColumns({f"_l{c}": low[c] for c in XYZ} | {f"_d{c}": step[c] for c in XYZ})
+    wall = {c: F.col(f"_l{c}") + F.when(F.col(f"_d{c}") > 0, F.lit(size)).otherwise(F.lit(0.0)) for c in XYZ}
+    share = {
+        f"_t{c}": F.when(F.abs(f"_d{c}") > 1e-8, (wall[c] - F.col(f"{c}{start}")) / F.nullif(F.col(f"_d{c}"), F.lit(0.0)))
+        for c in XYZ
+    }
+    rows = rows.withColumns(share)
     found = F.lit(False)
-    for a in range(3):
-        wall = F.when(d[a] > 0, high[a]).otherwise(low[a])
-        t = (wall - p[a]) / F.nullif(d[a], F.lit(0.0))
-        ok = (F.abs(d[a]) > 1e-8) & (t >= 1e-5) & (t <= 1.0)
-        for b in range(3):
-            if b != a:
-                q = p[b] + d[b] * t
-                ok = ok & (q >= low[b] - 1e-4) & (q <= high[b] + 1e-4)
+    for c in XYZ:
+        ok = F.col(f"_t{c}").between(1e-5, 1.0)
+        for other in XYZ:
+            if other != c:
+                at = F.col(f"{other}{start}") + F.col(f"_d{other}") * F.col(f"_t{c}")
+                ok = ok & at.between(F.col(f"_l{other}") - 1e-4, F.col(f"_l{other}") + size + 1e-4)
         found = found | F.coalesce(ok, F.lit(False))
-    return found
+    return rows.withColumn(f"_exit{start}", found)
 
 
 def direction_field(pts: DataFrame, voxel_mm: float, mode: str = "tangent", detail: int = FULL_DETAIL) -> DataFrame:
@@ -165,21 +172,52 @@ def min_contacts_filter(summary: DataFrame, n: int) -> DataFrame:
 def direction_smooth(field: DataFrame, detail: int = FULL_DETAIL, rounds: int = 2) -> DataFrame:
     """Each round: 0.65 of a bin plus 0.35 of the mean of its sphere neighbours.
 
-    Scatter form over the fixed neighbour table (at most six rows per bin), so a voxel
-    never holds more rows than there are bins.
+    One shuffle by voxel: a voxel is a list of at most one weight per bin, and all rounds
+    are one fixed bin x bin matrix applied to a batch of voxels.
     """
-    spark = field.sparkSession
     keys = [c for c in field.columns if c not in ("bin", "weight")]
-    pairs = sphere_neighbours(spark, detail)
-    degree = pairs.groupBy("bin").agg(F.count("*").alias("_deg"))
-    # What bin b gives to its neighbour n is share / degree(n).
-    give = pairs.join(degree.withColumnRenamed("bin", "neighbour"), "neighbour")
-    give = F.broadcast(give.select("bin", "neighbour", (F.lit(SMOOTH_SHARE) / F.col("_deg")).alias("_g")))
-    for _ in range(rounds):
-        spread = field.join(give, "bin").select(*keys, F.col("neighbour").alias("bin"), (F.col("weight") * F.col("_g")).alias("weight"))
-        own = field.withColumn("weight", F.col("weight") * F.lit(1.0 - SMOOTH_SHARE)).select(*keys, "bin", "weight")
-        field = own.unionByName(spread).groupBy(*keys, "bin").agg(F.sum("weight").alias("weight"))
-    return field
+    n = bin_count(detail)
+    mix = np.linalg.matrix_power(_neighbour_mix(detail), rounds)
+    schema = ", ".join(f"`{k}` {field.schema[k].dataType.simpleString()}" for k in keys)
+
+    def smooth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _slices(batches):
+            out = _histograms(batch, n) @ mix.T
+            row, at = np.nonzero(out)
+            frame = batch[keys].iloc[row].reset_index(drop=True)
+            yield frame.assign(bin=at.astype("int32"), weight=out[row, at])
+
+    return _per_voxel(field, keys).mapInPandas(smooth, f"{schema}, bin int, weight double")
+
+
+def _neighbour_mix(detail: int) -> np.ndarray:
+    n = bin_count(detail)
+    mix = np.eye(n) * (1.0 - SMOOTH_SHARE)
+    pairs = np.array(neighbour_pairs(detail))
+    degree = np.bincount(pairs[:, 0], minlength=n)
+    mix[pairs[:, 0], pairs[:, 1]] = SMOOTH_SHARE / degree[pairs[:, 0]]
+    return mix
+
+
+def _per_voxel(field: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per voxel with its bins and weights (bounded by the number of bins)."""
+    rows = field.groupBy(*keys).agg(F.collect_list(F.struct("bin", "weight")).alias("_h"))
+    return rows.select(*keys, F.col("_h.bin").alias("_b"), F.col("_h.weight").alias("_w"))
+
+
+def _slices(batches: Iterator[pd.DataFrame], size: int = 512) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for lo in range(0, len(batch), size):
+            yield batch.iloc[lo : lo + size]
+
+
+def _histograms(batch: pd.DataFrame, n: int) -> np.ndarray:
+    """Dense voxel x bin matrix of a batch."""
+    out = np.zeros((len(batch), n))
+    counts = [len(b) for b in batch["_b"]]
+    row = np.repeat(np.arange(len(batch)), counts)
+    np.add.at(out, (row, np.concatenate(batch["_b"].to_numpy())), np.concatenate(batch["_w"].to_numpy()))
+    return out
 
 
 def direction_normalize(field: DataFrame, mode: str = "global_peak") -> DataFrame:
@@ -225,7 +263,7 @@ def direction_sample(rows: DataFrame, summary: DataFrame, pts: DataFrame, voxel_
     own = (F.col("_d.a") == 0) & (F.col("_d.b") == 0) & (F.col("_d.c") == 0)
     spread = spread.withColumn("_w", F.lit(1.0) / F.greatest(d2, F.lit(1e-4))).withColumn("_own", own).withColumns(index)
     vectors = summary.select(*on, *[f"v{c}" for c in XYZ])
-    found = lookup(spread.select(*key, *on, "_w", "_own"), vectors, on)
+    found = lookup(spread.select(*key, *on, "_w", "_own"), vectors, on, spread=True)
     v = [F.col(f"v{c}") for c in XYZ]
     counts = v[0] * v[0] + v[1] * v[1] + v[2] * v[2] > 1e-10
     weight = F.when(counts, F.col("_w"))
@@ -279,25 +317,16 @@ def smoothed_support(field: DataFrame, queried: DataFrame, smooth_deg: float, de
         return found.join(known, keys, "left_semi").select(*keys, "bin", F.coalesce("weight", F.lit(0.0)).alias("support"))
     kernel = smoothing_kernel(float(smooth_deg), detail)
     n = bin_count(detail)
-    voxels = field.groupBy(*keys).agg(F.collect_list(F.struct("bin", "weight")).alias("_h"))
     asked = queried.groupBy(*keys).agg(F.collect_set("bin").alias("_q"))
-    both = asked.join(voxels, keys).select(*keys, "_q", F.col("_h.bin").alias("_b"), F.col("_h.weight").alias("_w"))
+    both = asked.join(_per_voxel(field, keys), keys)
+    schema = ", ".join(f"`{k}` {field.schema[k].dataType.simpleString()}" for k in keys)
 
     def smooth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = []
-            for row in batch.itertuples(index=False):
-                head, (asked_bins, bins, weights) = row[: len(keys)], row[len(keys) :]
-                histogram = np.zeros(n)
-                histogram[np.asarray(bins)] = np.asarray(weights)
-                asked_bins = np.asarray(asked_bins)
-                support = kernel[asked_bins] @ histogram
-                frame = pd.DataFrame({"bin": asked_bins.astype("int32"), "support": support})
-                for name, value in zip(keys, head):
-                    frame[name] = value
-                parts.append(frame)
-            if parts:
-                yield pd.concat(parts)[[*keys, "bin", "support"]]
+        for batch in _slices(batches):
+            support = _histograms(batch, n) @ kernel.T
+            row = np.repeat(np.arange(len(batch)), [len(q) for q in batch["_q"]])
+            at = np.concatenate(batch["_q"].to_numpy())
+            frame = batch[keys].iloc[row].reset_index(drop=True)
+            yield frame.assign(bin=at.astype("int32"), support=support[row, at])
 
-    schema = ", ".join(f"`{k}` {field.schema[k].dataType.simpleString()}" for k in keys)
     return both.mapInPandas(smooth, f"{schema}, bin int, support double")

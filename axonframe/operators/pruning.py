@@ -52,7 +52,7 @@ def tip_prune(
             walked = lookup(walked, current, keys, "left_semi")
         thin = walked.groupBy(*voxel).agg(F.sum("visits").alias("_d")).filter(F.col("_d") <= min_support).select(*voxel)
         # A thin voxel has at most min_support visits, so the matched side cannot be hot.
-        weak = lookup(walked, thin, voxel, "left_semi").groupBy(*keys).agg(F.count("*").alias("_weak"))
+        weak = lookup(walked, thin, voxel, "left_semi", spread=True).groupBy(*keys).agg(F.count("*").alias("_weak"))
         touched = walked.groupBy(*keys).agg(F.count("*").alias("_all"))
         judged = touched.join(weak, keys, "left")
         fraction = F.coalesce("_weak", F.lit(0)) / F.col("_all")
@@ -91,7 +91,7 @@ def purifibre_score(
     # is the only one, so write its result rather than run it on both branches.
     distinct = cut_lineage(binned.distinct())
     support = smoothed_support(field, distinct.select(*cell).distinct(), smooth_deg, detail)
-    weakest = lookup(distinct, support, cell).groupBy(*keys).agg(F.min("support").alias("_m"))
+    weakest = lookup(distinct, support, cell, spread=True).groupBy(*keys).agg(F.min("support").alias("_m"))
     fico = F.coalesce(F.log1p("_m"), F.lit(float("nan")))
     return ids(pts).join(weakest, keys, "left").select(*keys, fico.alias("fico"))
 
@@ -172,7 +172,7 @@ def near_pairs(pts: DataFrame, tolerance: float, end_tolerance: float, fraction:
     voxels = pts.select(*keys, *[F.floor(F.col(c) / cell).cast("long").alias(f"v{c}") for c in XYZ]).distinct()
     voxels = voxels.select(*keys, F.struct("vx", "vy", "vz").alias("voxel"))
     rarity = voxels.groupBy(*by, "voxel").agg(F.count("*").alias("_f"))
-    ranked = lookup(voxels, rarity, by + ["voxel"])
+    ranked = lookup(voxels, rarity, by + ["voxel"], spread=True)
     sizes = voxels.groupBy(*keys).agg(F.count("*").alias("n_voxels"))
     # Voxels of one streamline, rarest first: an array per streamline, cut to its prefix.
     ordered = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_f", "voxel"))).alias("_v"))

@@ -26,7 +26,7 @@ def sample_nearest(
     on = voxel_keys(pts, voxels)
     seated = points_to_voxels(pts, grid, "round", keep_outside=True)
     values = voxels.select(*on, F.col("value").cast("double").alias(name))
-    found = lookup(seated, values, on, "left").drop("i", "j", "k")
+    found = lookup(seated, values, on, "left", spread=True).drop("i", "j", "k")
     return found if outside is None else found.withColumn(name, F.coalesce(name, F.lit(float(outside))))
 
 
@@ -65,7 +65,7 @@ def sample_trilinear(
     on = voxel_keys(pts, voxels)
     carried = pts.columns
     corners = corner_weights(pts.select(*key, *XYZ), grid, clip=False)
-    taps = lookup(corners, voxels.select(*on, F.col("value").cast("double").alias("_v")), on)
+    taps = lookup(corners, voxels.select(*on, F.col("value").cast("double").alias("_v")), on, spread=True)
     sums = taps.groupBy(*key).agg(F.sum(F.col("w") * F.col("_v")).alias(name), F.count("*").alias("_n"))
     whole = sums.filter(F.col("_n") == 8).drop("_n")
     return lookup(pts, whole, list(key), "left").select(*carried, name)
@@ -89,7 +89,7 @@ def sample_masked_trilinear(
     on = voxel_keys(pts, coeffs)
     present = coeffs if gate is None else coeffs.filter(F.col(gate) >= threshold)
     corners = corner_weights(pts.select(*key, *XYZ), grid, clip=True)
-    taps = lookup(corners, present.select(*on, F.col("coeffs").cast("array<double>").alias("coeffs")), on)
+    taps = lookup(corners, present.select(*on, F.col("coeffs").cast("array<double>").alias("coeffs")), on, spread=True)
     tap = F.struct("i", "j", "k", "w", "coeffs")
     met = taps.groupBy(*key).agg(F.sum("w").alias("_w"), F.sort_array(F.collect_list(tap)).alias("_taps"))
     met = met.filter(F.col("_w") >= min_weight)
@@ -146,7 +146,7 @@ def join_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
     from axonframe.functions.color import label_color
 
     names = labels.select("label", F.col("name").alias("label_name"), *[c for c in "rgb" if c in labels.columns])
-    out = lookup(rows, names, ["label"], "left")
+    out = lookup(rows, names, ["label"], "left", spread=True)
     generated = label_color(F.col("label"))
     out = out.withColumn("label_name", F.coalesce("label_name", F.concat(F.lit("Label "), F.col("label").cast("string"))))
     for c in "rgb":

@@ -103,7 +103,7 @@ def surface_depth_query(pts: DataFrame, vertices: DataFrame, depth_mm: float) ->
     """Streamlines with a vertex within ``depth_mm`` of a surface vertex."""
     keys = streamline_keys(pts)
     rows = pts.select(*keys, "point_idx", *XYZ)
-    return ids(nearest_in_radius(rows, vertices, "vertex_id", depth_mm, keys + ["point_idx"]))
+    return ids(nearest_in_radius(rows, vertices, "vertex_id", depth_mm))
 
 
 # --- parcels (nearest voxel) --------------------------------------------------------
@@ -122,7 +122,7 @@ def labelled(parcels: DataFrame, labels: Iterable[int]) -> DataFrame:
 def parcel_roi(pts: DataFrame, parcels: DataFrame, grid: Grid, labels: Iterable[int]) -> DataFrame:
     """Streamlines touching any of the labels; no labels, no streamlines."""
     chosen = labelled(parcels, labels)
-    hits = lookup(touched_voxels(pts, grid, "round"), chosen, voxel_keys(pts, parcels), "left_semi")
+    hits = lookup(touched_voxels(pts, grid, "round"), chosen, voxel_keys(pts, parcels), "left_semi", spread=True)
     return ids(hits)
 
 
@@ -139,7 +139,7 @@ def parcel_end(
         return ids(pts).limit(0)
     keys = streamline_keys(pts)
     ends = points_to_voxels(endpoint_rows(pts), grid, "round")
-    hits = lookup(ends, labelled(parcels, labels), voxel_keys(pts, parcels), "left_semi")
+    hits = lookup(ends, labelled(parcels, labels), voxel_keys(pts, parcels), "left_semi", spread=True)
     needed = 1 if endpoint_count == 1 else 2
     return hits.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= needed).select(*keys)
 
@@ -160,7 +160,7 @@ def parcel_crop(
         return rows.withColumn("run", F.lit(0).cast("long")).limit(0)
     where = points_to_voxels(rows, grid, "round", keep_outside=True)
     chosen = labelled(parcels, labels).withColumn("_in", F.lit(True))
-    where = lookup(where, chosen, voxel_keys(pts, parcels), "left").drop("i", "j", "k")
+    where = lookup(where, chosen, voxel_keys(pts, parcels), "left", spread=True).drop("i", "j", "k")
     where = where.withColumn("_in", F.coalesce("_in", F.lit(False)))
     near = with_neighbours(where, keys, before=[*XYZ, "_in"], after=["_in"])
     crossing = F.coalesce(F.col("prev__in") != F.col("_in"), F.lit(False))
@@ -193,7 +193,7 @@ def parcel_crop(
 def mask_contacts(pts: DataFrame, masks: DataFrame, grid: Grid) -> DataFrame:
     """Distinct (streamline, mask) pairs."""
     keys = streamline_keys(pts)
-    hits = lookup(touched_voxels(pts, grid, "floor"), masks, voxel_keys(pts, masks))
+    hits = lookup(touched_voxels(pts, grid, "floor"), masks, voxel_keys(pts, masks), spread=True)
     return hits.select(*keys, "mask_id").distinct()
 
 
@@ -201,7 +201,7 @@ def end_contacts(pts: DataFrame, masks: DataFrame, grid: Grid) -> DataFrame:
     """(streamline, mask) pairs touched by an endpoint; lone vertices have no endpoints."""
     keys = streamline_keys(pts)
     ends = points_to_voxels(endpoint_rows(pts).filter(F.col("n_points") >= 2), grid, "floor")
-    return lookup(ends, masks, voxel_keys(pts, masks)).select(*keys, "mask_id").distinct()
+    return lookup(ends, masks, voxel_keys(pts, masks), spread=True).select(*keys, "mask_id").distinct()
 
 
 def mask_hits_all(pts: DataFrame, masks: DataFrame, grid: Grid, mask_ids: Iterable[str]) -> DataFrame:
@@ -245,7 +245,7 @@ def mask_limit_truncate(
         if mask_id is None:
             return df.withColumn(name, F.lit(None).cast("boolean"))
         voxels = masks.filter(F.col("mask_id") == mask_id).select(*on).distinct().withColumn(name, F.lit(True))
-        df = lookup(df, voxels, on, "left")
+        df = lookup(df, voxels, on, "left", spread=True)
         return df.withColumn(name, F.coalesce(name, F.lit(False)))
 
     rows = flagged(flagged(rows, limiting, "_limit"), term, "_term").drop("i", "j", "k")
@@ -278,7 +278,7 @@ def mean_cloud_distance(pts: DataFrame, ref_pts: DataFrame) -> DataFrame:
     """Mean over vertices of the distance to the nearest reference point."""
     keys = streamline_keys(pts)
     rows = pts.select(*keys, "point_idx", *XYZ)
-    return distance_to_cloud(rows, ref_pts, keys + ["point_idx"]).groupBy(*keys).agg(
+    return distance_to_cloud(rows, ref_pts).groupBy(*keys).agg(
         F.avg("distance").alias("mean_distance_mm")
     )
 

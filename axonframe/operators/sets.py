@@ -101,7 +101,7 @@ def add_groups_from_parcellation(
     prefix = name.split(".", 1)[0].strip()
     on = subject(pts, parcels) + ["i", "j", "k"]
     nonzero = parcels.filter(F.col("label") != 0).select(*on, "label")
-    touched = lookup(touched_voxels(pts, grid, "round"), nonzero, on).select(*keys, "label").distinct()
+    touched = lookup(touched_voxels(pts, grid, "round"), nonzero, on, spread=True).select(*keys, "label").distinct()
     named = join_labels(touched, labels)
     channel = {f"color_{c}": F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(f"label_{c}"))) * 255.0).cast("int") for c in "rgb"}
     return named.withColumns(channel).select(

@@ -14,38 +14,78 @@ from axonframe.functions.scan import lookup, streamline_keys
 from axonframe.operators.selection import stride_sample
 
 TINY = 1e-12
+FLAT = 1e-6
 PAIRS = ("xx", "xy", "xz", "yy", "yz", "zz")
 
 
-@pandas_udf(StructType([StructField(c, DoubleType()) for c in XYZ]))
-def _thin_axis(c: pd.DataFrame) -> pd.DataFrame:
-    """Unit eigenvector of the smallest eigenvalue of each symmetric 3x3 matrix."""
-    m = np.empty((len(c), 3, 3))
-    for name in PAIRS:
-        a, b = "xyz".index(name[0]), "xyz".index(name[1])
-        m[:, a, b] = m[:, b, a] = c[name].to_numpy(dtype="float64")
-    _, vectors = np.linalg.eigh(m)
-    return pd.DataFrame(vectors[:, :, 0], columns=list(XYZ))
+def _doubles(*names: str) -> StructType:
+    return StructType([StructField(n, DoubleType()) for n in names])
 
 
-def _dot(u, v) -> Column:
-    return u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
+def _frame(**columns: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({f"{name}{c}": v[:, n] for name, v in columns.items() for n, c in enumerate(XYZ)})
 
 
-def _cross(u, v) -> list[Column]:
-    return [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+def _vectors(frame: pd.DataFrame, name: str) -> np.ndarray:
+    return frame[[f"{name}{c}" for c in XYZ]].to_numpy(dtype="float64")
 
 
-def _cols(prefix: str) -> list[Column]:
-    return [F.col(f"{prefix}{c}") for c in XYZ]
+def _unit(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and whether they are long enough to have a direction."""
+    square = (v * v).sum(axis=1)
+    fine = square >= TINY
+    return v / np.sqrt(np.where(fine, square, 1.0))[:, None], fine
+
+
+@pandas_udf(_doubles("ux", "uy", "uz", "vx", "vy", "vz", "ok"))
+def _plane_axes(c: pd.DataFrame) -> pd.DataFrame:
+    """In-plane axes of a batch of streamlines: along the chord (u) and across it (v)."""
+    m = np.empty((len(c), 3, 3))
+    for name in PAIRS:
+        a, b = "xyz".index(name[0]), "xyz".index(name[1])
+        m[:, a, b] = m[:, b, a] = c[name].to_numpy(dtype="float64")
+    normal = np.linalg.eigh(m)[1][:, :, 0]
+    chord = _vectors(c, "h")
+    u, fine = _unit(chord - normal * (chord * normal).sum(axis=1)[:, None])
+    return _frame(u=u, v=np.cross(normal, u)).assign(ok=fine.astype("float64"))
+
+
+TRIANGLE = [f"{n}_{c}" for n in ("apex", "e1", "e2", "plane_normal") for c in XYZ]
+
+
+@pandas_udf(_doubles(*TRIANGLE, "ok"))
+def _triangle(s: pd.DataFrame) -> pd.DataFrame:
+    """Least-squares parabola of a batch of streamlines from its sums, read as a triangle."""
+    col = {n: s[n].to_numpy(dtype="float64") for n in ("n", "s1", "s2", "s3", "s4", "r0", "r1", "r2", "u_min", "u_max", "v_mid")}
+    sign = np.where(col["v_mid"] < 0, -1.0, 1.0)
+    normal_matrix = np.array([[col["s4"], col["s3"], col["s2"]], [col["s3"], col["s2"], col["s1"]], [col["s2"], col["s1"], col["n"]]])
+    normal_matrix = np.moveaxis(normal_matrix, 2, 0)
+    sums = np.stack([col["r2"], col["r1"], col["r0"]], axis=1) * sign[:, None]
+    solvable = np.abs(np.linalg.det(normal_matrix)) >= TINY
+    normal_matrix[~solvable] = np.eye(3)
+    a, b, c = np.linalg.solve(normal_matrix, sums[:, :, None])[:, :, 0].T
+    curved = solvable & (np.abs(a) >= FLAT)
+    centre, u, v = _vectors(s, "c"), _vectors(s, "u"), _vectors(s, "v") * sign[:, None]
+
+    def on_curve(at: np.ndarray) -> np.ndarray:
+        at = np.clip(at, col["u_min"], col["u_max"])
+        return centre + u * at[:, None] + v * (a * at * at + b * at + c)[:, None]
+
+    apex = on_curve(-b / np.where(curved, 2.0 * a, 1.0))
+    e1, e2 = (on_curve(((_vectors(s, end) - centre) * u).sum(axis=1)) for end in ("first", "last"))
+    side = e2 - e1
+    normal, tilted = _unit(np.cross(side, apex - (e1 + e2) * 0.5))
+    ok = curved & tilted & ((side * side).sum(axis=1) >= TINY)
+    out = np.hstack([apex, e1, e2, normal])
+    return pd.DataFrame(out, columns=TRIANGLE).assign(ok=ok.astype("float64"))
 
 
 def fit_parabola_triangle(pts: DataFrame) -> DataFrame:
     """Apex, both feet and plane normal of the parabola through each streamline.
 
-    Two aggregation passes (moments, then plane coordinates), so no streamline is gathered
-    in one place; only the 3x3 eigenvectors leave the JVM, in Arrow batches. Streamlines
-    with fewer than four points or a degenerate or flat fit have no row.
+    Two aggregation passes (moments, then plane coordinates) stay in Spark, so no streamline
+    is gathered in one place; only the small 3x3 algebra per streamline runs in Arrow
+    batches. Streamlines with fewer than four points or a degenerate or flat fit have no row.
     """
     keys = streamline_keys(pts)
     vertex = F.struct(*XYZ)
@@ -56,21 +96,20 @@ def fit_parabola_triangle(pts: DataFrame) -> DataFrame:
         F.min_by(vertex, "point_idx").alias("first"),
         F.max_by(vertex, "point_idx").alias("last"),
     ).filter(F.col("n") >= 4)
-    spread = F.struct(*[(F.col(p) - F.col("n") * F.col(f"c{p[0]}") * F.col(f"c{p[1]}")).alias(p) for p in PAIRS])
-    stats = stats.withColumn("_n", _thin_axis(spread)).withColumns({f"n{c}": F.col(f"_n.{c}") for c in XYZ})
-    chord = [F.col("last")[c] - F.col("first")[c] for c in XYZ]
-    stats = stats.withColumns({f"h{c}": d for c, d in zip(XYZ, chord)}).withColumn("_along", _dot(_cols("h"), _cols("n")))
-    stats = stats.withColumns({f"u{c}": F.col(f"h{c}") - F.col(f"n{c}") * F.col("_along") for c in XYZ})
-    stats = stats.withColumn("_u2", _dot(_cols("u"), _cols("u"))).filter(F.col("_u2") >= TINY)
-    stats = stats.withColumns({f"u{c}": F.col(f"u{c}") / F.sqrt("_u2") for c in XYZ})
-    stats = stats.withColumns({f"v{c}": v for c, v in zip(XYZ, _cross(_cols("n"), _cols("u")))})
-    axes = stats.select(*keys, "n", "first", "last", *[f"{p}{c}" for p in "cuv" for c in XYZ])
+    spread = [(F.col(p) - F.col("n") * F.col(f"c{p[0]}") * F.col(f"c{p[1]}")).alias(p) for p in PAIRS]
+    chord = [(F.col("last")[c] - F.col("first")[c]).alias(f"h{c}") for c in XYZ]
+    ends = [F.col(e)[c].alias(f"{e}{c}") for e in ("first", "last") for c in XYZ]
+    centre = [f"c{c}" for c in XYZ]
+    axes = stats.select(*keys, "n", *centre, *ends, _plane_axes(F.struct(*spread, *chord)).alias("_a"))
+    axes = axes.select(*keys, "n", *centre, *[f"{e}{c}" for e in ("first", "last") for c in XYZ], "_a.*").filter("ok > 0").drop("ok")
     rows = lookup(pts.select(*keys, "point_idx", *XYZ), axes, keys)
     offset = [F.col(c) - F.col(f"c{c}") for c in XYZ]
-    rows = rows.withColumns({"_u": _dot(offset, _cols("u")), "_v": _dot(offset, _cols("v"))})
+    rows = rows.withColumns(
+        {f"_{a}": sum((o * F.col(f"{a}{c}") for o, c in zip(offset, XYZ)), F.lit(0.0)) for a in "uv"}
+    )
     u, v = F.col("_u"), F.col("_v")
     middle = F.col("point_idx") == F.floor(F.col("n") / 2)
-    carried = ["n", "first", "last", *[f"{p}{c}" for p in "cuv" for c in XYZ]]
+    carried = [c for c in axes.columns if c not in keys]
     sums = rows.groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in carried],
         F.min("_u").alias("u_min"), F.max("_u").alias("u_max"),
@@ -78,44 +117,11 @@ def fit_parabola_triangle(pts: DataFrame) -> DataFrame:
         F.sum(v).alias("r0"), F.sum(u * v).alias("r1"), F.sum(u * u * v).alias("r2"),
         F.max(F.when(middle, v)).alias("v_mid"),
     )
-    # The v axis points to the middle vertex; every v sum is linear in it.
-    sign = F.when(F.col("v_mid") < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    sums = sums.withColumns({n: F.col(n) * sign for n in ("r0", "r1", "r2", "vx", "vy", "vz")})
-    s0, s1, s2, s3, s4 = F.col("n").cast("double"), *[F.col(f"s{n}") for n in range(1, 5)]
-    r0, r1, r2 = (F.col(f"r{n}") for n in range(3))
-
-    def det(a, b, c) -> Column:
-        return _dot(a, _cross(b, c))
-
-    columns = ([s4, s3, s2], [s3, s2, s1], [s2, s1, s0])
-    rhs = [r2, r1, r0]
-    fit = sums.withColumn("_det", det(*columns)).filter(F.abs("_det") >= TINY)
-    fit = fit.withColumns(
-        {
-            "_a": det(rhs, columns[1], columns[2]) / F.col("_det"),
-            "_b": det(columns[0], rhs, columns[2]) / F.col("_det"),
-            "_c": det(columns[0], columns[1], rhs) / F.col("_det"),
-        }
-    ).filter(F.abs("_a") >= 1e-6)
-
-    def on_curve(at: Column) -> list[Column]:
-        at = F.greatest(F.col("u_min"), F.least(F.col("u_max"), at))
-        height = F.col("_a") * at * at + F.col("_b") * at + F.col("_c")
-        return [F.col(f"c{c}") + F.col(f"u{c}") * at + F.col(f"v{c}") * height for c in XYZ]
-
-    def foot(end: str) -> list[Column]:
-        return on_curve(_dot([F.col(end)[c] - F.col(f"c{c}") for c in XYZ], _cols("u")))
-
-    places = {"apex": on_curve(-F.col("_b") / (F.col("_a") * 2.0)), "e1": foot("first"), "e2": foot("last")}
-    fit = fit.select(*keys, *[v.alias(f"{n}_{c}") for n, p in places.items() for v, c in zip(p, XYZ)])
-    side = [F.col(f"e2_{c}") - F.col(f"e1_{c}") for c in XYZ]
-    arm = [F.col(f"apex_{c}") - (F.col(f"e1_{c}") + F.col(f"e2_{c}")) * 0.5 for c in XYZ]
-    fit = fit.withColumn("_side2", _dot(side, side)).withColumns({f"_n{c}": v for c, v in zip(XYZ, _cross(side, arm))})
-    fit = fit.withColumn("_n2", _dot(_cols("_n"), _cols("_n"))).filter((F.col("_side2") >= TINY) & (F.col("_n2") >= TINY))
+    fit = sums.select(*keys, _triangle(F.struct(*[c for c in sums.columns if c not in keys])).alias("_t"))
+    fit = fit.filter("_t.ok > 0")
     return fit.select(
         *keys,
-        *[F.struct(*[F.col(f"{n}_{c}").alias(c) for c in XYZ]).alias(n) for n in places],
-        F.struct(*[(F.col(f"_n{c}") / F.sqrt("_n2")).alias(c) for c in XYZ]).alias("plane_normal"),
+        *[F.struct(*[F.col(f"_t.{n}_{c}").alias(c) for c in XYZ]).alias(n) for n in ("apex", "e1", "e2", "plane_normal")],
     )
 
 

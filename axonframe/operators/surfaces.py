@@ -18,7 +18,7 @@ from axonframe.operators.selection import keep, select_field
 def nearest_vertex(pts: DataFrame, vertices: DataFrame, depth_mm: float) -> DataFrame:
     """Nearest surface vertex within ``depth_mm`` of each point; the smaller id wins a tie."""
     keys = streamline_keys(pts) + ["point_idx"]
-    found = nearest_in_radius(pts.select(*keys, *XYZ), vertices, "vertex_id", depth_mm, keys)
+    found = nearest_in_radius(pts.select(*keys, *XYZ), vertices, "vertex_id", depth_mm)
     return found.select(*keys, F.col("nearest").alias("vertex_id"), "d2")
 
 

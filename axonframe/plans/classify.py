@@ -39,11 +39,11 @@ def bundle_classify(
 
     used = masks.join(rules.select("mask_id").distinct(), "mask_id", "left_semi")
     on = voxel_keys(pts, masks)
-    body = lookup(touched_voxels(pts, grid, "floor"), used, on).select(*keys, "mask_id", F.lit(False).alias("at_end"))
+    body = lookup(touched_voxels(pts, grid, "floor"), used, on, spread=True).select(*keys, "mask_id", F.lit(False).alias("at_end"))
     ends = points_to_voxels(endpoint_rows(pts).filter(F.col("n_points") >= 2), grid, "floor")
-    tips = lookup(ends, used, on).select(*keys, "mask_id", F.lit(True).alias("at_end"))
+    tips = lookup(ends, used, on, spread=True).select(*keys, "mask_id", F.lit(True).alias("at_end"))
     contacts = body.unionByName(tips).groupBy(*keys, "mask_id").agg(F.max("at_end").alias("at_end"))
-    met = lookup(contacts, rules.distinct(), ["mask_id"])
+    met = lookup(contacts, rules.distinct(), ["mask_id"], spread=True)
     flags = met.groupBy(*keys, "bundle_id").agg(
         F.max(F.col("role") == "roa").alias("_roa"),
         F.count_if(F.col("role") == "roi").alias("_roi"),

@@ -16,7 +16,7 @@ from axonframe.queries.fixtures import R, query, r, sql
 def mean_length_by_label(spark, sf):
     """Streamlines per label with their mean arc length: voxel lookup, length, label join."""
     pts, parcels = fx.points(spark, sf), fx.parcels(spark, sf).filter("label <> 0")
-    touched = lookup(sel.touched_voxels(pts, fx.grid(spark, sf), "round"), parcels, ["i", "j", "k"])
+    touched = lookup(sel.touched_voxels(pts, fx.grid(spark, sf), "round"), parcels, ["i", "j", "k"], spread=True)
     pairs = touched.select("streamline_id", "label").distinct()
     lengths = lookup(pairs, og.streamline_length(pts), ["streamline_id"], "left")
     means = lengths.groupBy("label").agg(
