@@ -11,7 +11,8 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK = 4096
@@ -52,6 +53,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few driver-side rows as a local relation, whose exact size the planner knows."""
+    names = [part.split()[0] for part in schema.split(",")]
+    return spark.createDataFrame(pd.DataFrame(list(rows), columns=names, dtype=object), schema)
+
+
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's own size estimate; no job runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 FULL_DETAIL = 3  # 10 * 4**3 + 2 = 642 bins
-BATCH = 2048
+BATCH = 512
 
 
 @lru_cache(maxsize=None)
@@ -78,26 +79,35 @@ def sphere_neighbours(spark: SparkSession, detail: int = FULL_DETAIL) -> DataFra
     return spark.createDataFrame(pd.DataFrame(neighbour_pairs(detail), columns=["bin", "neighbour"], dtype="int32"))
 
 
-def nearest_bin(dx: Column, dy: Column, dz: Column, detail: int = FULL_DETAIL) -> Column:
-    """Index of the bin with the largest dot product; the first one wins a tie.
+def opposite_bins(dx: Column, dy: Column, dz: Column, detail: int = FULL_DETAIL) -> Column:
+    """Struct (bin, opposite): the bins with the largest dot product with the direction and
+    with its negative; the first one wins a tie.
 
     Arrow batches against a fixed matrix: no row is multiplied by the bin count.
     """
     directions, _ = icosphere(detail)
     bx, by, bz = (np.ascontiguousarray(directions[:, a]) for a in range(3))
+    result = StructType([StructField(n, IntegerType()) for n in ("bin", "opposite")])
 
-    @pandas_udf("int")
-    def pick(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+    @pandas_udf(result)
+    def pick(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.DataFrame:
         px, py, pz = (s.to_numpy(dtype="float64")[:, None] for s in (x, y, z))
-        out = np.empty(len(px), dtype="int32")
+        out = np.empty((len(px), 2), dtype="int32")
         for lo in range(0, len(px), BATCH):
             cut = slice(lo, lo + BATCH)
-            out[cut] = np.argmax(px[cut] * bx + py[cut] * by + pz[cut] * bz, axis=1)
-        return pd.Series(out)
+            dots = px[cut] * bx + py[cut] * by + pz[cut] * bz
+            out[cut, 0] = np.argmax(dots, axis=1)
+            out[cut, 1] = np.argmin(dots, axis=1)
+        return pd.DataFrame(out, columns=["bin", "opposite"])
 
     return pick(dx, dy, dz)
 
 
+def nearest_bin(dx: Column, dy: Column, dz: Column, detail: int = FULL_DETAIL) -> Column:
+    """Index of the bin with the largest dot product; the first one wins a tie."""
+    return opposite_bins(dx, dy, dz, detail)["bin"]
+
+
 @lru_cache(maxsize=None)
 def smoothing_kernel(fwhm_deg: float, detail: int = FULL_DETAIL) -> np.ndarray:
     """Row-normalised Gaussian weights over the angle between bins."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from axonframe.functions.geometry import XYZ, attach_bounds, unit_or_zero
 from axonframe.functions.scan import lookup, subject
-from axonframe.functions.sphere import FULL_DETAIL, bin_count, nearest_bin, neighbour_pairs, smoothing_kernel
+from axonframe.functions.sphere import FULL_DETAIL, bin_count, nearest_bin, neighbour_pairs, opposite_bins, smoothing_kernel
 from axonframe.operators.geometry import raster, segments, tangents
 
 MIN_VOXEL_MM = 0.5
@@ -80,8 +80,8 @@ def visits(pts: DataFrame, voxel_mm: float) -> DataFrame:
 # --- direction fields ---------------------------------------------------------------
 
 
-def _oriented(pts: DataFrame, voxel_mm: float, mode: str, detail: int) -> DataFrame:
-    """One row per (segment, voxel) contribution: direction, weight and bins."""
+def _oriented(pts: DataFrame, voxel_mm: float, mode: str, detail: int | None) -> DataFrame:
+    """One row per (segment, voxel) contribution: direction, weight and (given a detail) bins."""
     size = voxel_size(voxel_mm)
     by = subject(pts)
     segs = segments(pts)
@@ -89,8 +89,10 @@ def _oriented(pts: DataFrame, voxel_mm: float, mode: str, detail: int) -> DataFr
         segs = segs.filter(F.col("length") >= 1e-6)
         rows = place(segs, pts, size, 1, [f"m{c}" for c in XYZ])
         rows = rows.select(*by, "i", "j", "k", *[f"u{c}" for c in XYZ], F.col("length").alias("w"))
+        if detail is None:
+            return rows
         u = [F.col(f"u{c}") for c in XYZ]
-        return rows.withColumn("bin", nearest_bin(*u, detail)).withColumn("opposite", nearest_bin(*[-v for v in u], detail))
+        return rows.withColumn("_bins", opposite_bins(*u, detail)).select("*", "_bins.*").drop("_bins")
     if mode != "crossings":
         raise ValueError(f"unknown direction field mode {mode!r}")
     boxed = attach_bounds(segs.filter(F.col("length") > 0), pts)
@@ -105,9 +107,9 @@ def _oriented(pts: DataFrame, voxel_mm: float, mode: str, detail: int) -> DataFr
     votes = F.array(
         *[F.struct(F.col(f"_exit{e}").alias("ok"), *[F.col(f"v{e}{c}").alias(n) for c, n in zip(XYZ, "ijk")]) for e in "01"]
     )
-    binned = boxed.withColumn("bin", nearest_bin(*[F.col(f"u{c}") for c in XYZ], detail))
-    rows = binned.withColumn("_v", F.explode(votes)).filter("_v.ok")
-    return rows.select(*by, "_v.i", "_v.j", "_v.k", *[f"u{c}" for c in XYZ], F.lit(1.0).alias("w"), "bin")
+    u = [f"u{c}" for c in XYZ]
+    rows = boxed.withColumn("_v", F.explode(votes)).filter("_v.ok").select(*by, "_v.i", "_v.j", "_v.k", *u, F.lit(1.0).alias("w"))
+    return rows if detail is None else rows.withColumn("bin", nearest_bin(*[F.col(c) for c in u], detail))
 
 
 def _with_exit(rows: DataFrame, origin: list[Column], size: float, start: str, stop: str) -> DataFrame:
@@ -155,7 +157,7 @@ def direction_summary(pts: DataFrame, voxel_mm: float, mode: str = "tangent") ->
     In tangent mode vectors are flipped to the +z half-space and weighted by length.
     """
     by = subject(pts)
-    rows = _oriented(pts, voxel_mm, mode, 0)
+    rows = _oriented(pts, voxel_mm, mode, None)
     u = {c: F.col(f"u{c}") for c in XYZ}
     flip = F.when(u["z"] >= 0, F.lit(1.0)).otherwise(F.lit(-1.0)) if mode == "tangent" else F.lit(1.0)
     return rows.groupBy(*by, "i", "j", "k").agg(

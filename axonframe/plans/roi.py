@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axonframe.functions.geometry import Grid, min_voxel_size
+from axonframe.functions.scan import small_table
 from axonframe.operators.volumes import mask_dilate
 
 # Default distances in mm.
@@ -65,16 +66,17 @@ def prepare_roi_plan(
     spark = catalog.sparkSession
     masks = None
     for radius, pairs in sorted(by_radius.items()):
-        names = spark.createDataFrame(pairs, "path string, mask_id string")
+        names = small_table(spark, pairs, "path string, mask_id string")
         voxels = mask_voxels.join(names, "path").select("mask_id", "i", "j", "k").distinct()
         grown = mask_dilate(voxels, first, radius)
         masks = grown if masks is None else masks.unionByName(grown)
-    params = spark.createDataFrame(
+    params = small_table(
+        spark,
         [(bundle, min_len_mm, max_len_mm, None)],
         "bundle_id string, min_len_mm double, max_len_mm double, max_hausdorff_mm double",
     )
     return RoiPlan(
-        rules=spark.createDataFrame(sorted(set(rows)), "bundle_id string, role string, mask_id string"),
+        rules=small_table(spark, sorted(set(rows)), "bundle_id string, role string, mask_id string"),
         masks=masks.distinct(),
         params=params,
         prob_map=catalog.filter((F.col("bundle") == bundle) & (F.col("role") == "probmap")).select("path"),

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from axonframe.functions.scan import small_table
+
 RULES = "bundle_id string, role string, mask_id string"
 ROLES = ("roi", "roa", "end", "no_end", "limiting", "term", "seed")
 PARAMS = (
@@ -19,7 +21,7 @@ PARAMS = (
 
 def simple_plan(spark: SparkSession, bundle_id: str, seed: str | None = None) -> DataFrame:
     rows = [(bundle_id, "seed", seed)] if seed else []
-    return spark.createDataFrame(rows, RULES)
+    return small_table(spark, rows, RULES)
 
 
 def simple_params(spark: SparkSession, bundle_id: str, **overrides: float | None) -> DataFrame:
@@ -43,7 +45,7 @@ def add_rule(rules: DataFrame, bundle_id: str, role: str, mask_id: str | None) -
         return rules
     if role in ("limiting", "seed"):
         rules = rules.filter(~((F.col("bundle_id") == bundle_id) & (F.col("role") == role)))
-    added = rules.sparkSession.createDataFrame([(bundle_id, role, mask_id)], RULES)
+    added = small_table(rules.sparkSession, [(bundle_id, role, mask_id)], RULES)
     return rules.unionByName(added)
 
 

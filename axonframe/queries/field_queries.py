@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from axonframe.functions import geometry as geo
-from axonframe.functions.scan import cut_lineage
+from axonframe.functions.scan import cut_lineage, small_table
 from axonframe.functions.sphere import icosphere, nearest_bin, neighbour_pairs
 from axonframe.operators import coloring, fields, pruning, shapes, surfaces
 from axonframe.operators import geometry as og
@@ -108,7 +108,7 @@ def blend_surface_layers(spark, sf):
     rows = fx.table(spark, sf, "supplier")
     scalar = rows.select(F.col("s_suppkey").alias("vertex_id"), F.col("s_acctbal").alias("value"))
     label = rows.select(F.col("s_suppkey").alias("vertex_id"), F.pmod("s_nationkey", F.lit(4)).alias("value"))
-    colors = spark.createDataFrame([(1, 1.0, 0.0, 0.0, 0.5), (2, 0.0, 1.0, 0.0, 1.0)], "label int, r double, g double, b double, a double")
+    colors = small_table(spark, [(1, 1.0, 0.0, 0.0, 0.5), (2, 0.0, 1.0, 0.0, 1.0)], "label int, r double, g double, b double, a double")
     layers = [
         surfaces.SurfaceLayer(scalar, "viridis", 0.0, 8000.0, threshold_min=500.0, opacity=0.7),
         surfaces.SurfaceLayer(label, labels=colors),
@@ -480,7 +480,8 @@ CLASSIFY = """WITH c AS (SELECT DISTINCT streamline_id, mask_id FROM pvf JOIN ms
 
 def _classified(spark, sf):
     pts = fx.points(spark, sf)
-    params = spark.createDataFrame(
+    params = small_table(
+        spark,
         [("one", 30.0, 150.0, 3.0), ("two", 10.0, None, None)],
         "bundle_id string, min_len_mm double, max_len_mm double, max_hausdorff_mm double",
     )
