@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axonframe.functions.geometry import XYZ
-from axonframe.functions.scan import cut_lineage, lookup, streamline_keys, subject
+from axonframe.functions.scan import cut_lineage, lookup, order_statistics, row_rank, streamline_keys, subject
 from axonframe.functions.sphere import FULL_DETAIL, nearest_bin
 from axonframe.operators.fields import place, smoothed_support, visits, voxel_size
-from axonframe.operators.geometry import endpoints, segments, trim_segments
+from axonframe.operators.geometry import endpoints, segments, streamline_length, trim_segments
 from axonframe.operators.selection import ids, keep, mean_cloud_distance, puri_threshold
 
 # --- topology-informed pruning -----------------------------------------------------
@@ -97,10 +97,15 @@ def purifibre_score(
 
 
 def purifibre(
-    pts: DataFrame, field: DataFrame, voxel_mm: float, puri_fraction: float = 0.1, **options
+    pts: DataFrame, field: DataFrame, voxel_mm: float, puri_fraction: float = 0.1, digits: int = 9, **options
 ) -> tuple[DataFrame, DataFrame]:
-    """(scores of all streamlines, survivors at or above the cut)."""
-    scored = cut_lineage(purifibre_score(pts, field, voxel_mm, **options))
+    """(scores of all streamlines, survivors at or above the cut).
+
+    Scores are rounded to ``digits``, so supports that differ only by the order of a sum
+    tie and the survivors do not depend on the partitioning.
+    """
+    scored = purifibre_score(pts, field, voxel_mm, **options)
+    scored = cut_lineage(scored.withColumn("fico", F.round("fico", digits)))
     return scored, puri_threshold(scored, puri_fraction).select(*streamline_keys(pts), "fico")
 
 
@@ -174,11 +179,10 @@ def near_pairs(pts: DataFrame, tolerance: float, end_tolerance: float, fraction:
     rarity = voxels.groupBy(*by, "voxel").agg(F.count("*").alias("_f"))
     ranked = lookup(voxels, rarity, by + ["voxel"], spread=True)
     sizes = voxels.groupBy(*keys).agg(F.count("*").alias("n_voxels"))
-    # Voxels of one streamline, rarest first: an array per streamline, cut to its prefix.
-    ordered = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_f", "voxel"))).alias("_v"))
-    prefix = ordered.select(*keys, F.size("_v").alias("_n"), "_v")
-    length = F.least(F.col("_n"), F.col("_n") - F.ceil(F.col("_n") * F.lit(fraction)).cast("int") + 1)
-    prefix = prefix.select(*keys, F.explode(F.slice("_v", F.lit(1), length)).alias("_p")).select(*keys, "_p.voxel")
+    # Position of each voxel in its streamline, rarest first, however long the streamline is.
+    placed = lookup(row_rank(ranked, ["_f", "voxel"], "_pos", keys), sizes, keys)
+    length = F.col("n_voxels") - F.ceil(F.col("n_voxels") * F.lit(fraction)) + 1
+    prefix = placed.filter(F.col("_pos") < length).select(*keys, "voxel")
     ends = endpoints(pts).select(*keys, "first", "last").join(sizes, keys)
     rows = prefix.join(ends, keys)
     other = rows.select(*by, "voxel", *[F.col(c).alias(f"o_{c}") for c in ("streamline_id", "first", "last", "n_voxels")])
@@ -211,9 +215,6 @@ def near_pairs(pts: DataFrame, tolerance: float, end_tolerance: float, fraction:
 def bundle_coverage(candidates: DataFrame, reference: DataFrame, tolerance_mm: float) -> DataFrame:
     """One row: mean distance candidate to reference, share of reference streamlines within
     the tolerance of the candidates, and the median candidate length."""
-    from axonframe.functions.scan import order_statistics
-    from axonframe.operators.geometry import streamline_length
-
     forward = mean_cloud_distance(candidates, reference).agg(F.avg("mean_distance_mm").alias("forward_mean_mm"))
     back = mean_cloud_distance(reference, candidates).agg(
         F.avg((F.col("mean_distance_mm") <= tolerance_mm).cast("double")).alias("coverage")

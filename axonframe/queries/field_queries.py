@@ -350,12 +350,13 @@ def purifibre_score(spark, sf):
     return out.select("streamline_id", r(F.nanvl("fico", F.lit(None).cast("double"))).alias("fico"))
 
 
-@query("purifibre")
+@query("purifibre", sql("segu box", f"""WITH {_fico_sql()}, o AS (SELECT streamline_id, ROUND(fico, 6) + 0.0 AS fico FROM fico), n AS (SELECT fico, ROW_NUMBER() OVER (ORDER BY fico) - 1 AS n, COUNT(*) OVER () AS c FROM o)
+    SELECT streamline_id, fico FROM o WHERE fico >= (SELECT fico FROM n WHERE n = LEAST(FLOOR(c * 0.1e0), c - 1))"""))
 def purifibre(spark, sf):
-    """Survivors of the 10 % cut; ties at the cut hang on the last bits of the scores."""
+    """Survivors of the 10 % cut of the scores rounded to six digits."""
     pts, field = _scored(spark, sf)
-    _, kept = pruning.purifibre(pts, field, VOXEL_MM, 0.1, detail=DETAIL)
-    return kept.select("streamline_id", r(F.col("fico")).alias("fico"))
+    _, kept = pruning.purifibre(pts, field, VOXEL_MM, 0.1, digits=6, detail=DETAIL)
+    return kept
 
 
 COVER = """ref AS (SELECT * FROM pts WHERE streamline_id % 53 = 2), cand AS (SELECT * FROM pts WHERE streamline_id % 11 = 3),
