@@ -21,7 +21,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from axonframe.functions.geometry import XYZ
 from axonframe.functions.scan import cut_lineage, lookup
 
-FEW_TARGETS = 16_384
+FEW_TARGETS = 20_000
 DENSE_CELL = 64
 LEAF = 8
 MAX_LEVELS = 24

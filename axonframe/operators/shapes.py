@@ -129,7 +129,7 @@ def triangle_segments(
     pts: DataFrame,
     groups: DataFrame | None = None,
     stride: int = 1,
-    normal_len_mm: float = 5.0,
+    normal_len_mm: float = 3.0,
     show_triangles: bool = True,
     show_normals: bool = True,
 ) -> DataFrame:

@@ -42,9 +42,9 @@ def prepare_reference_plan(
     otsu: float,
     tolerance_mm: float = 12.0,
     seed_tolerance_mm: float = 2.0,
-    seed_factor: float = 0.6,
-    no_end_factor: float = 0.6,
-    max_reference_points: int = 4096,
+    seed_factor: float = 0.5,
+    no_end_factor: float = 0.9,
+    max_reference_points: int = 20_000,
 ) -> ReferencePlan:
     """Limiting = coverage dilated by the tolerance; seed = coverage dilated by the seed
     tolerance where the metric reaches its share of the Otsu threshold; no_end = limiting

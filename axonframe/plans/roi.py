@@ -13,7 +13,7 @@ from axonframe.operators.volumes import mask_dilate
 
 # Default distances in mm.
 DIST_TO_WAYPOINT_MM = 1.5
-DIST_TO_EXCLUSION_MM = 1.5
+DIST_TO_EXCLUSION_MM = 0.0
 DIST_TO_ENDPOINT_MM = 4.0
 
 

@@ -509,8 +509,8 @@ REFERENCE = """WITH rp AS (SELECT * FROM near WHERE streamline_id % 211 = 7), dm
       WHERE c.i + a.d BETWEEN 0 AND 9 AND c.j + b.d BETWEEN 0 AND 9 AND c.k + g.d BETWEEN 0 AND dm.nz - 1 GROUP BY 1, 2, 3),
     lim AS (SELECT i, j, k FROM dil WHERE d2 <= 2), env AS (SELECT i, j, k FROM dil WHERE d2 <= 1),
     pk AS (SELECT i, j, k, amplitude FROM odx JOIN fix USING (voxel_id) WHERE fixel_idx = 0)
-    SELECT 'ref_limiting' AS mask_id, i, j, k FROM lim UNION ALL SELECT 'ref_seed', i, j, k FROM env LEFT JOIN pk USING (i, j, k) WHERE COALESCE(amplitude, 0) >= 0.6e0 * 0.3e0
-    UNION ALL SELECT 'ref_no_end', i, j, k FROM lim LEFT JOIN pk USING (i, j, k) WHERE COALESCE(amplitude, 0) > 0.6e0 * 0.3e0"""
+    SELECT 'ref_limiting' AS mask_id, i, j, k FROM lim UNION ALL SELECT 'ref_seed', i, j, k FROM env LEFT JOIN pk USING (i, j, k) WHERE COALESCE(amplitude, 0) >= 0.5e0 * 0.3e0
+    UNION ALL SELECT 'ref_no_end', i, j, k FROM lim LEFT JOIN pk USING (i, j, k) WHERE COALESCE(amplitude, 0) > 0.9e0 * 0.3e0"""
 
 
 @query("prepare_reference_plan", sql("near odx fix", REFERENCE))
