@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axonframe.functions.geometry import Grid, min_voxel_size
-from axonframe.functions.scan import small_table
+from axonframe.functions.scan import lookup, small_table
 from axonframe.operators.volumes import mask_dilate
 
 # Default distances in mm.
@@ -28,7 +28,7 @@ class RoiPlan:
 def prepare_roi_plan(
     catalog: DataFrame,
     mask_voxels: DataFrame,
-    grids: dict[str, Grid],
+    grids: DataFrame,
     bundle: str,
     waypoint_mm: float = DIST_TO_WAYPOINT_MM,
     exclusion_mm: float = DIST_TO_EXCLUSION_MM,
@@ -39,36 +39,33 @@ def prepare_roi_plan(
     """Dilated include masks (each must be met), excludes joined into one, start and end.
 
     ``catalog`` is the output of ``catalog_derivatives``; ``mask_voxels`` is keyed by path;
-    ``grids`` maps a path to its grid. A bundle without an include, or files on different
-    grids, is an error. The probability map's path is passed on.
+    ``grids`` has path, nx, ny, nz, affine. A bundle without an include, or files on
+    different grids, is an error. The probability map's path is passed on.
     """
-    # The files of one bundle: a handful of rows.
-    files = catalog.filter(F.col("bundle") == bundle).orderBy("role", "idx", "path").collect()
-    includes = [r for r in files if r["role"] == "include"]
-    if not includes:
+    spark = catalog.sparkSession
+    role = F.col("role")
+    placed = catalog.filter(F.col("bundle") == bundle).join(grids, "path", "left")
+    head = placed.filter(role == "include").orderBy("idx", "path").first()
+    if head is None:
         raise ValueError(f"no include masks for bundle {bundle!r}")
-    first = grids[includes[0]["path"]]
+    first = Grid(head["nx"], head["ny"], head["nz"], tuple(float(v) for v in head["affine"]))
+    same = (F.col("nx") == first.nx) & (F.col("ny") == first.ny) & (F.col("nz") == first.nz)
+    other = placed.filter(~F.coalesce(same, F.lit(False))).select("path").first()
+    if other is not None:
+        raise ValueError(f"{other['path']} is on another grid")
     size = max(min_voxel_size(first.affine), 1e-6)
-    reach = {"include": waypoint_mm, "exclude": exclusion_mm, "start": endpoint_mm, "end": endpoint_mm}
-    role = {"include": "roi", "exclude": "roa", "start": "end", "end": "end"}
-    by_radius: dict[float, list] = {}
-    rows = []
-    for r in files:
-        if r["role"] not in reach:
-            if grids[r["path"]].dims != first.dims:
-                raise ValueError(f"{r['path']} is on another grid")
-            continue
-        if grids[r["path"]].dims != first.dims:
-            raise ValueError(f"{r['path']} is on another grid")
-        name = f"{bundle}_exclude" if r["role"] == "exclude" else f"{bundle}_{r['role']}{'' if r['idx'] is None else r['idx']}"
-        by_radius.setdefault(max(reach[r["role"]] / size, 0.0), []).append((r["path"], name))
-        rows.append((bundle, role[r["role"]], name))
-    spark = catalog.sparkSession
+    number = F.when(role != "exclude", F.coalesce(F.col("idx").cast("string"), F.lit(""))).otherwise(F.lit(""))
+    files = placed.filter(role != "probmap").select(
+        "path",
+        "role",
+        F.concat(F.lit(f"{bundle}_"), role, number).alias("mask_id"),
+        F.when(role == "include", "roi").when(role == "exclude", "roa").otherwise("end").alias("rule"),
+    )
     masks = None
-    for radius, pairs in sorted(by_radius.items()):
-        names = small_table(spark, pairs, "path string, mask_id string")
-        voxels = mask_voxels.join(names, "path").select("mask_id", "i", "j", "k").distinct()
-        grown = mask_dilate(voxels, first, radius)
+    for roles, reach in ((["include"], waypoint_mm), (["exclude"], exclusion_mm), (["start", "end"], endpoint_mm)):
+        chosen = files.filter(role.isin(roles)).select("path", "mask_id")
+        voxels = lookup(mask_voxels, chosen, ["path"]).select("mask_id", "i", "j", "k").distinct()
+        grown = mask_dilate(voxels, first, max(reach / size, 0.0))
         masks = grown if masks is None else masks.unionByName(grown)
     params = small_table(
         spark,
@@ -76,8 +73,8 @@ def prepare_roi_plan(
         "bundle_id string, min_len_mm double, max_len_mm double, max_hausdorff_mm double",
     )
     return RoiPlan(
-        rules=small_table(spark, sorted(set(rows)), "bundle_id string, role string, mask_id string"),
-        masks=masks.distinct(),
+        rules=files.select(F.lit(bundle).alias("bundle_id"), F.col("rule").alias("role"), "mask_id").distinct(),
+        masks=masks,
         params=params,
-        prob_map=catalog.filter((F.col("bundle") == bundle) & (F.col("role") == "probmap")).select("path"),
+        prob_map=catalog.filter((F.col("bundle") == bundle) & (role == "probmap")).select("path"),
     )

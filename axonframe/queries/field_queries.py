@@ -555,7 +555,8 @@ def prepare_roi_plan(spark, sf):
     found = cut_lineage(found)
     first = fx.table(spark, sf, "nation").filter("n_regionkey = 2").select(F.col("n_name").alias("b")).orderBy(F.translate("b", "_", "")).first()["b"]
     grid = fx.grid(spark, sf)
-    grids = {row["path"]: grid for row in found.filter(F.col("bundle") == first).select("path").limit(100_000).collect()}
+    header = [F.lit(v).alias(n) for n, v in zip(("nx", "ny", "nz"), grid.dims)]
+    grids = found.select("path").distinct().select("path", *header, F.array(*[F.lit(float(v)) for v in grid.affine]).alias("affine"))
     plan = roi.prepare_roi_plan(found, voxels, grids, first, waypoint_mm=5.0, exclusion_mm=5.0, endpoint_mm=8.0)
     counts = plan.masks.groupBy("mask_id").agg(F.count("*").alias("n_voxels"))
     out = plan.rules.join(counts, "mask_id")

@@ -407,3 +407,26 @@ def test_missing_map_is_an_error(spark):
     expanded = spark.createDataFrame([(0, cifti.LEFT, 1, 2.0)], "map_id int, structure string, vertex long, value double")
     with pytest.raises(ValueError):
         cifti.cifti_structure(expanded, cifti.LEFT, 3)
+
+
+def test_region_plan_refuses_missing_includes_and_mixed_grids(spark):
+    from axonframe.plans.roi import prepare_roi_plan
+
+    catalog_rows = [("b", "include", 1, "/a"), ("b", "exclude", 1, "/x"), ("b", "end", None, "/e"), ("only", "end", None, "/e")]
+    found = spark.createDataFrame(catalog_rows, "bundle string, role string, idx long, path string")
+    unit = [1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0]
+
+    def grids(last):
+        rows = [("/a", 9, 9, 9, unit), ("/x", 9, 9, 9, unit), ("/e", 9, 9, last, unit)]
+        return spark.createDataFrame([(p, i, j, k, [float(v) for v in m]) for p, i, j, k, m in rows], "path string, nx int, ny int, nz int, affine array<double>")
+
+    voxels = spark.createDataFrame([("/a", 4, 4, 4), ("/x", 0, 0, 0), ("/e", 8, 8, 8)], "path string, i int, j int, k int")
+    plan = prepare_roi_plan(found, voxels, grids(9), "b", waypoint_mm=1.0, exclusion_mm=0.0, endpoint_mm=1.0, min_len_mm=20.0)
+    sizes = {r["mask_id"]: r["count"] for r in plan.masks.groupBy("mask_id").count().collect()}
+    assert sizes == {"b_include1": 7, "b_exclude": 1, "b_end": 4}
+    assert {(r["role"], r["mask_id"]) for r in plan.rules.collect()} == {("roi", "b_include1"), ("roa", "b_exclude"), ("end", "b_end")}
+    assert plan.params.first()["min_len_mm"] == 20.0
+    with pytest.raises(ValueError):
+        prepare_roi_plan(found, voxels, grids(8), "b")
+    with pytest.raises(ValueError):
+        prepare_roi_plan(found, voxels, grids(9), "only")
