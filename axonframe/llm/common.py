@@ -82,7 +82,7 @@ def deal_in_order(df: DataFrame, key: str, n: int | None = None) -> Dealt:
     (bucket,) = fresh(df, "bucket")
     steps = [i / n for i in range(1, n)] or [0.5]
     limits = df.agg(F.percentile_approx(key, steps, 20_000).alias("q")).first()["q"] or []
-    splits = [float("-inf"), *sorted({float(x) + 0.5 for x in limits}), float("inf")]
+    splits = [float("-inf"), *sorted({float(x) + 0.5 for x in limits or [0]}), float("inf")]
     (value, place) = fresh(df.withColumn(bucket, F.lit(0)), "value", "place")
     cut = Bucketizer(splits=splits, inputCol=value, outputCol=place, handleInvalid="keep")
     rows = cut.transform(df.withColumn(value, F.col(key).cast("double")))
