@@ -14,46 +14,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axonframe.llm.common import arrow_batches, deal_in_order
+from axonframe.llm.shingles import shingles_of
 
 K, WORDS = 256, 5
 SPACE = 1 << 48
-MEMORY = 500_000
-ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, remembered within a task."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMORY:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    """A bijective finish for 64-bit hashes."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def shingle_hashes(words: Sequence[bytes], size: int, hashes: WordHashes) -> np.ndarray:
-    """Hashes of all shingles in order; a shorter text is one shingle, an empty one none."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    own = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    size = min(size, len(words))
-    total = np.full(len(words) - size + 1, size, np.uint64)
-    for i in range(size):
-        # Order counts: each place has its own odd factor, then the running sum is mixed.
-        total = mixed(total + own[i : len(own) - size + 1 + i] * np.uint64(ODD[i % len(ODD)]))
-    return total
 
 
 def sketch(values: np.ndarray, k: int = K) -> np.ndarray:
@@ -104,8 +72,12 @@ def from_text(text: str) -> np.ndarray:
     return np.pad(raw, ((0, 0), (2, 0))).ravel().view(">u8").astype(np.uint64)
 
 
-def fingerprint(text: str, k: int = K, words: int = WORDS, hashes: WordHashes | None = None) -> np.ndarray:
-    return sketch(shingle_hashes(text.encode().split(), words, WordHashes() if hashes is None else hashes), k)
+def fingerprints(texts: Sequence[str], k: int = K, words: int = WORDS) -> list[np.ndarray]:
+    return [sketch(values, k) for values in shingles_of([t.encode() for t in texts], words)]
+
+
+def fingerprint(text: str, k: int = K, words: int = WORDS) -> np.ndarray:
+    return fingerprints([text], k, words)[0]
 
 
 OUT = (
@@ -114,6 +86,24 @@ OUT = (
 )
 
 
+def compared(pairs: Sequence[tuple[tuple, tuple]], k: int, words: int) -> pa.RecordBatch:
+    """Results for (document, next document) pairs of (doc_id, text, sketch)."""
+    edits = []
+    for (_, text, _), (_, following, _) in pairs:
+        cut = len(text) // 3
+        edits.append(text[: len(text) - cut] + following[:cut])
+    out = [
+        (
+            doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), to_text(own), to_text(changed),
+            resemblance(own, changed, k), resemblance(own, following, k), distinct_count(own, k), containment(own, changed, k),
+        )
+        for ((doc_id, text, own), (_, _, following)), edited, changed in zip(pairs, edits, fingerprints(edits, k, words), strict=True)
+    ]
+    columns = list(zip(*out, strict=True)) or [[]] * 9
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], OUT.replace(",", "").split()[::2])
+
+
 def compare_with_edits(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
     """Each text beside its edited form, whose last third is the beginning of the next document.
 
@@ -147,33 +137,19 @@ def compare_with_edits(docs: DataFrame, k: int = K, words: int = WORDS) -> DataF
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-
-        def finished(doc: tuple, following: tuple) -> tuple:
-            doc_id, text, own = doc
-            cut = len(text) // 3
-            edited = text[: len(text) - cut] + following[1][:cut]
-            changed = fingerprint(edited, k, words, hashes) if edited != text else own
-            return (
-                doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), to_text(own), to_text(changed),
-                resemblance(own, changed, k), resemblance(own, following[2], k),
-                distinct_count(own, k), containment(own, changed, k),
-            )
-
         waiting, at, closed = None, None, False
         for batch in batches:
-            out = []
-            for doc_id, text, place, is_guest in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            pairs = []
+            columns = [c.to_pylist() for c in batch.columns]
+            for doc_id, text, place, is_guest, own in zip(*columns, fingerprints(columns[1], k, words), strict=True):
                 if place != at:
                     waiting, at, closed = None, place, False
                 if closed:
                     continue  # further rows of the guest's id
-                doc = (doc_id, text, fingerprint(text, k, words, hashes))
+                doc = (doc_id, text, own)
                 if waiting:
-                    out.append(finished(waiting, doc))
+                    pairs.append((waiting, doc))
                 waiting, closed = doc, is_guest
-            columns = list(zip(*out, strict=True)) or [[]] * 9
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], OUT.replace(",", "").split()[::2])
+            yield compared(pairs, k, words)
 
     return ordered.mapInArrow(compare, OUT)

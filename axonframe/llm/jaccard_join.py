@@ -14,8 +14,8 @@ class below, as linked sets are of the same class or of adjacent ones.
 pivot is found. Sets within r of a pivot are linked to it, so a pivot is done with. The others
 go to their nearest pivot's cell, and to each further cell whose distance is within 2 r of the
 nearest: by the triangle inequality both ends of a link then meet in one cell. Cells are joined
-recursively. Where windows would copy a region more than twice over it is not split, only its
-pivots leave. New pivots come from sets outside the region's largest component, and a region is
+recursively. Where windows would copy so much that the cells' pairs are over half of the region's
+it is not split, only its pivots leave. New pivots come from sets outside the region's largest component, and a region is
 finished when one component holds it: components, not pairs, are wanted. Regions of at most
 ``leaf`` sets end in one task; larger ones go through salted passes over Spark.
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from axonframe.llm.common import arrow_batches, fresh, written
 from axonframe.llm.components import components
-from axonframe.llm.fingerprints import WordHashes, mixed, shingle_hashes
+from axonframe.llm.shingles import ODD, mixed, shingles_of
 
 
 @dataclass(frozen=True)
@@ -45,8 +45,9 @@ class JoinParams:
     words: int = 5
     percent: int = 80
     leaf: int = 1024
+    leaf_pivots: int = 32
     leaf_bytes: int = 24 << 20
-    pivots: int = 32
+    pivots: int = 1024
     pivot_bytes: int = 8 << 20
     small: int = 24
     salts: int = 16
@@ -59,9 +60,9 @@ class JoinParams:
         return 100 * both >= self.percent * (a + b - both)
 
 
-def shingle_set(text: str | None, words: int, hashes: WordHashes) -> np.ndarray:
-    """Distinct shingles of the text with A-Z lowered, sorted; of fewer words the one sequence of all."""
-    return np.unique(shingle_hashes((text or "").encode().lower().split(), words, hashes))
+def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """Distinct shingles of each text with A-Z lowered, sorted; of fewer words the one sequence of all."""
+    return [np.unique(s) for s in shingles_of([(t or "").encode().lower() for t in texts], words)]
 
 
 def node_of(values: np.ndarray) -> int:
@@ -89,22 +90,18 @@ def parts_of(level: int, limits: np.ndarray, percent: int) -> tuple[int, int]:
 
 
 def part_signatures(values: np.ndarray, limits: np.ndarray, percent: int) -> np.ndarray:
-    """What a set meets others by."""
-    n = len(values)
-    own = int(np.searchsorted(limits, n, "right")) - 1
+    """What a set meets others by. ``values`` are sorted hashes, so parts are ranges of them."""
+    own = int(np.searchsorted(limits, len(values), "right")) - 1
     found = []
     for level in {own, max(own - 1, 0)}:
         k, slack = parts_of(level, limits, percent)
-        spread = mixed(values ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-        part = ((spread >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-        order = np.argsort(part, kind="stable")
-        number, first = np.unique(part[order], return_index=True)
-        sums = np.add.reduceat(spread[order], first)
-        tag = number + np.uint64(level << 32)
-        found.append(mixed(sums + mixed(tag + np.uint64(1))))
-        if k - len(number) > slack:
-            empty = np.setdiff1d(np.arange(k, dtype=np.uint64), number)
-            found.append(mixed(mixed(empty + np.uint64(level << 32)) ^ np.uint64(0x5A5A5A5A5A5A5A5A)))
+        part = ((values >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
+        first = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
+        number = part[first] + np.uint64(level << 32)
+        found.append(mixed(np.add.reduceat(values, first) + (number + np.uint64(1)) * np.uint64(ODD)))
+        if k - len(first) > slack:
+            empty = np.setdiff1d(np.arange(k, dtype=np.uint64) + np.uint64(level << 32), number)
+            found.append(mixed((empty + np.uint64(1)) * np.uint64(ODD) ^ np.uint64(0x5A5A5A5A5A5A5A5A)))
     return np.concatenate(found)
 
 
@@ -113,11 +110,10 @@ def meetings(docs: DataFrame, p: JoinParams) -> DataFrame:
     limits = np.array(class_limits(p.percent))
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        seen: set[int] = set()
         for batch in batches:
             found, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for text in batch["text"].to_pylist():
-                values = shingle_set(text, p.words, hashes)
+            for values in shingle_sets(batch["text"].to_pylist(), p.words):
                 # Below this size linked sets are equal.
                 if p.percent * (len(values) + 1) > 100 * len(values):
                     continue
@@ -153,6 +149,44 @@ def meetings(docs: DataFrame, p: JoinParams) -> DataFrame:
     return ordered.mapInArrow(stars, "a long, b long").distinct()
 
 
+def refined(members: DataFrame, p: JoinParams) -> DataFrame:
+    """Members with finer regions, without those that meet no other set.
+
+    Texts that share long passages meet in the parts that hold nothing else. Here the shingles of
+    a region are put in order, the rarest of the region first. Linked sets share one of their
+    first n - ceil(threshold n) + 1, so sets whose first ones are all their own have no links.
+    """
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                sets = [np.frombuffer(s, np.int64) for s in part["shingles"].to_pylist()]
+                many = [len(s) for s in sets]
+                yield pa.RecordBatch.from_pydict({
+                    "region": pa.array(np.repeat(part["region"].to_numpy(), many)),
+                    "node": pa.array(np.repeat(part["node"].to_numpy(), many)),
+                    "size": pa.array(np.repeat(many, many).astype(np.int64)),
+                    "shingle": pa.array(np.concatenate(sets)),
+                })
+
+    once = members.dropDuplicates(["region", "node"]).select("region", "node", "shingles")
+    rows = once.mapInArrow(exploded, "region long, node long, size long, shingle long")
+    often = rows.groupBy("region", "shingle").agg(F.count("*").alias("often")).filter("often > 1")
+    held = rows.join(often, ["region", "shingle"]).groupBy("region", "node", "size").agg(
+        F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("held")
+    )
+    # Shingles that only this set has come first of all.
+    need = F.ceil(F.lit(p.percent) * F.col("size") / 100).cast("long")
+    left = F.col("size") - need + 1 - (F.col("size") - F.size("held"))
+    first = held.filter(left > 0).select("region", "node", F.explode(F.slice("held", F.lit(1), left.cast("int"))).alias("h"))
+    prefix = first.select("region", "node", F.col("h.shingle").alias("shingle"))
+    centre = prefix.groupBy("region", "shingle").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").drop("b")
+    pairs = prefix.join(centre, ["region", "shingle"]).select("a", F.col("node").alias("b")).filter("a <> b").distinct()
+    finer = components(pairs).select("node", F.col("root").alias("finer"))
+    return members.join(finer, "node").select(F.col("finer").alias("region"), "node", "label", "shingles")
+
+
 # --- Voronoi regions in one task --------------------------------------------------------
 
 
@@ -170,10 +204,29 @@ class Joined:
                 self.label[self.label == self.label[j]] = self.label[i]
 
 
-def overlaps(pivot: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of one set with many, given end to end; none is empty."""
-    at = np.minimum(np.searchsorted(pivot, flat), len(pivot) - 1)
-    return np.add.reduceat((pivot[at] == flat).astype(np.int64), np.concatenate([[0], ends[:-1]]))
+class Postings:
+    """Sets by their shingles: the sizes of the intersections with one set, or of one of them with all."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(s) for s in sets])
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        self.values, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(self.flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.begin = np.searchsorted(self.flat[order], np.arange(len(self.values) + 1))
+
+    def with_own(self, i: int) -> np.ndarray:
+        """Intersections of set i with every set."""
+        mine = np.zeros(len(self.values), np.int64)
+        mine[self.flat[self.first[i] : self.first[i] + self.sizes[i]]] = 1
+        return np.add.reduceat(mine[self.flat], self.first)
+
+    def with_other(self, values: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.values, values), len(self.values) - 1)
+        at = at[self.values[at] == values]
+        lengths = self.begin[at + 1] - self.begin[at]
+        picked = np.repeat(self.begin[at] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+        return np.bincount(self.owner[picked], minlength=len(self.sizes))
 
 
 def cells_of(distances: np.ndarray, radius: float) -> np.ndarray:
@@ -193,20 +246,20 @@ def join_region(sets: list[np.ndarray], labels: list[int], p: JoinParams) -> lis
         outside = own[label != kinds[np.argmax(counts)]] if len(kinds) else own
         if not len(outside):
             continue
-        sizes = np.array([len(sets[i]) for i in own])
-        flat, ends = np.concatenate([sets[i] for i in own]), np.cumsum(sizes)
+        postings = Postings([sets[i] for i in own])
+        sizes, place = postings.sizes, {int(i): k for k, i in enumerate(own)}
         # Few sets: all of them are pivots, which is the plain join.
-        pivots = outside if len(own) <= p.small else outside[: p.pivots]
+        pivots = outside if len(own) <= p.small else outside[: p.leaf_pivots]
         distances = np.ones((len(own), len(pivots)))
         for k, i in enumerate(pivots):
-            both = overlaps(sets[i], flat, ends)
+            both = postings.with_own(place[int(i)])
             distances[:, k] = 1 - both / (sizes + len(sets[i]) - both)
             joined.link(int(i), own[p.linked(both, sizes, len(sets[i]))])
         rest = ~np.isin(own, pivots)
         if not rest.any() or len(pivots) == len(outside):
             continue
         cells = cells_of(distances, p.radius) & rest[:, None]
-        if cells.sum() > 2 * rest.sum():
+        if 2 * (cells.sum(0) ** 2).sum() > rest.sum() ** 2:
             todo.append(own[rest])
         else:
             todo += [own[cells[:, k]] for k in range(len(pivots)) if cells[:, k].sum() > 1]
@@ -252,22 +305,23 @@ def pivot_pass(members: DataFrame, pivots: DataFrame, p: JoinParams) -> DataFram
     """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, chosen = None, []
+        at, chosen, taken, postings = None, [], set(), None
         for batch in batches:
             out = []
             for region, salt, is_set, node, label, s in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if (region, salt) != at:
-                    at, chosen = (region, salt), []
+                    at, chosen, taken, postings = (region, salt), [], set(), None
                 values = np.frombuffer(s, np.uint64)
                 if not is_set:
                     chosen.append((node, values))
+                    taken.add(node)
                     continue
-                both = np.array([len(np.intersect1d(values, v, assume_unique=True)) for _, v in chosen], np.int64)
-                sizes = np.array([len(v) for _, v in chosen], np.int64)
+                postings = postings or Postings([v for _, v in chosen])
+                both, sizes = postings.with_other(values), postings.sizes
                 distances = 1 - both / (sizes + len(values) - both)
                 linked = np.flatnonzero(p.linked(both, sizes, len(values)))
                 cells = np.flatnonzero(cells_of(distances[None, :], p.radius)[0])
-                is_pivot = any(n == node for n, _ in chosen)
+                is_pivot = node in taken
                 out.append((region, node, label, s, [chosen[k][0] for k in linked], [chosen[k][0] for k in cells], is_pivot))
             columns = list(zip(*out, strict=True)) or [[]] * 7
             many = pa.list_(pa.int64())
@@ -317,8 +371,10 @@ def links_between(members: DataFrame, p: JoinParams) -> DataFrame:
         measured = written(pivot_pass(large.select("region", "node", "label", "shingles"), pivots, p), "pivots")
         leaves.append(measured.select(F.col("node").alias("a"), F.explode("linked").alias("b")).filter("a <> b"))
         rest = measured.filter("not is_pivot")
-        copies = rest.groupBy("region").agg((F.sum(F.size("cells")) <= 2 * F.count("*")).alias("split"))
-        rest = rest.join(copies, "region")
+        all_sets = rest.groupBy("region").agg(F.count("*").alias("n"))
+        in_cells = rest.select("region", F.explode("cells").alias("cell")).groupBy("region", "cell").agg(F.count("*").cast("double").alias("c"))
+        work = in_cells.groupBy("region").agg(F.sum(F.col("c") * F.col("c")).alias("work")).join(all_sets, "region")
+        rest = rest.join(work.select("region", (2 * F.col("work") <= F.col("n").cast("double") * F.col("n")).alias("split")), "region")
         cells = F.when(F.col("split"), F.col("cells")).otherwise(F.array(F.lit(0).cast("long")))
         cut = rest.select("region", "split", "node", "label", "shingles", F.explode(cells).alias("cell")).select(
             F.when(F.col("split"), F.xxhash64("region", "cell")).otherwise(F.col("region")).alias("region"), "node", "label", "shingles"
@@ -364,9 +420,8 @@ def versions_joined(docs: DataFrame, p: JoinParams) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_set(t, p.words, hashes) for t in batch["text"].to_pylist()]
+            sets = shingle_sets(batch["text"].to_pylist(), p.words)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch["doc_id"],
                 "version": batch["version"],
@@ -381,11 +436,10 @@ def versions_joined(docs: DataFrame, p: JoinParams) -> DataFrame:
     wanted = regions.join(classes, "node").select("node", "region", F.col("least").alias("doc_id"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             out = []
-            for region, node, text in zip(*[batch[c].to_pylist() for c in ("region", "node", "text")], strict=True):
-                values = shingle_set(text, p.words, hashes)
+            sets = shingle_sets(batch["text"].to_pylist(), p.words)
+            for region, node, values in zip(batch["region"].to_pylist(), batch["node"].to_pylist(), sets, strict=True):
                 if len(values) and node_of(values) == node:  # else another text of this id
                     out.append((region, node, node, values.tobytes()))
             columns = list(zip(*out, strict=True)) or [[]] * 4
@@ -394,6 +448,7 @@ def versions_joined(docs: DataFrame, p: JoinParams) -> DataFrame:
 
     texts = rows.join(wanted, "doc_id").select("region", "node", "text")
     members = written(texts.mapInArrow(sets_of, MEMBERS), "members")
+    members = written(refined(members, p), "refined")
     roots = components(links_between(members, p))
     named = roots.join(classes, "node").groupBy("root").agg(F.min("least").alias("component"))
     of_node = roots.join(named, "root").select("node", "component")

@@ -33,8 +33,7 @@ def test_estimates(prose):
 
 def test_merge_of_parts_is_the_sketch_of_the_whole(prose):
     words = prose(2000).encode().split()
-    hashes = fp.WordHashes()
-    whole = fp.shingle_hashes(words, 5, hashes)
+    (whole,) = fp.shingles_of([b" ".join(words)], 5)
     parts = [fp.sketch(p) for p in np.array_split(whole, 7)]
     assert (fp.merge(parts) == fp.sketch(whole)).all()
     repeated = np.concatenate([np.repeat(whole[:3], 5000), whole])
@@ -58,3 +57,15 @@ def test_one_row_and_none(docs):
     (row,) = fp.compare_with_edits(docs([(1, "abcdef")])).collect()
     assert row["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest() and row["near_next"] == 1.0
     assert fp.compare_with_edits(docs([])).collect() == []
+
+
+def test_shingles_of_many_are_those_of_each(prose):
+    texts = ["", " ", "a", "a b c d", "b a c d", "x" * 63, "x" * 64, "x" * 65, "x" * 700, "é " * 9, "abcdefgh abcdefghi", "abcdefg\x00 abcdefg", prose(50), "", "\x1c\x85 \u2028"]
+    raw = [t.encode() for t in texts]
+    for size in (1, 4, 5):
+        each = fp.shingles_of(raw, size)
+        assert all((a == fp.shingles_of([r], size)[0]).all() for a, r in zip(each, raw, strict=True))
+        want = [len(r.split()) for r in raw]
+        assert [len(a) for a in each] == [n - size + 1 if n >= size else min(n, 1) for n in want]
+    hashes, words = np.concatenate(fp.shingles_of(raw, 1)), [w for r in raw for w in r.split()]
+    assert len(set(hashes.tolist())) == len(set(words)) and len(hashes) == len(words)
