@@ -3,25 +3,30 @@
 All rolling word k-grams of all texts meet the k-grams of the templates in a Spark join. A match
 at word i of a text and word j of a template votes for the diagonal i - j; votes are summed per
 (document, template, diagonal), neighbouring diagonals that overlap (a word put in or left out)
-are merged, and a span counts where its matched words cover enough of the template. The join
+are merged, and a span counts where its votes are enough of the template's grams. The join
 compares the words of the grams themselves beside their hashes, so every counted word is
 verified. The three base phrases are templates of two- and three-word grams that must match
 whole, on one diagonal.
 
 Only DataFrame functions are used, and no text is shuffled: grams that match nothing end at the
-broadcast of the template grams, a table fixed in this file.
+broadcast of the template grams, a table fixed in this file. A text with neither a base phrase nor
+an anchor, one of a few words of which every voting gram has one, has no gram to match; its grams
+are not made.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from axonframe.llm.common import whole_text
 
 K = 4
-#: Word shift within which diagonals merge, and the share of a template that a span must cover.
-SHIFT, COVER = 3, 0.6
+#: Word shift within which diagonals merge, the share of a template's grams that a span must have, and the letters of
+#: a word that makes a gram distinct.
+SHIFT, COVER, DISTINCT = 3, 0.6, 7
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # The base phrases and their labels.
@@ -46,26 +51,44 @@ TEMPLATES = (
 )
 
 
+def has_phrase(gram: list[str]) -> bool:
+    return any(f" {p} " in f" {' '.join(gram)} " for p in PHRASES)
+
+
 def template_rows() -> list[tuple]:
-    """template, label, is_base, n_words, position, gram (K words, fewer for a base phrase)."""
+    """template, label, is_base, number of its grams, position, gram (K words, two for a base phrase).
+
+    A gram of a license text has a word of at least ``DISTINCT`` letters or a base phrase; the others are
+    common prose and do not vote.
+    """
     rows = []
     for is_base, texts in ((True, PHRASES.items()), (False, TEMPLATES)):
         for text, label in texts:
             words = text.split()
             k = 2 if is_base else K
-            rows += [
-                (f"{'base' if is_base else 'text'} {text}", label, is_base, len(words), i, " ".join(words[i : i + k]))
-                for i in range(len(words) - k + 1)
-            ]
+            grams = [(i, words[i : i + k]) for i in range(len(words) - k + 1)]
+            grams = [(i, g) for i, g in grams if is_base or any(len(w) >= DISTINCT for w in g) or has_phrase(g)]
+            rows += [(f"{'base' if is_base else 'text'} {text}", label, is_base, len(grams), i, " ".join(g)) for i, g in grams]
     return rows
 
 
 def template_grams(spark: SparkSession) -> DataFrame:
-    kinds = "template string, label string, is_base boolean, n_words int, place int, template_gram string"
+    kinds = "template string, label string, is_base boolean, n_grams int, place int, template_gram string"
     return spark.createDataFrame(template_rows(), kinds)
 
 
+def anchors() -> list[str]:
+    """A few long words of which every voting gram has at least one: the word in most grams first."""
+    left, found = [{w for w in row[-1].split() if len(w) >= DISTINCT} for row in template_rows() if not row[2] and not has_phrase(row[-1].split())], []
+    while left:
+        best = max(sorted({w for gram in left for w in gram}), key=lambda w: sum(w in g for g in left))
+        found.append(best)
+        left = [g for g in left if best not in g]
+    return found
+
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def words_of(text: Column) -> Column:
@@ -76,14 +99,19 @@ def words_of(text: Column) -> Column:
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score.
 
-    ``score`` is the largest share of a template's words that a span covers, 1 for a base phrase.
+    ``score`` is the largest share of a template's grams in one span, 1 for a base phrase.
     Null and empty texts have no words. Rows of one doc_id are told apart by their texts; equal
     ones get equal results, and null ids count as one id. Further columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(F.col("text").cast("string")).alias("text"))
     # The digest tells rows of one id apart.
-    rows = rows.select("doc_id", F.xxhash64("text").alias("version"), words_of(F.col("text")).alias("words"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("version"), "text")
+    small = F.lower("text")
+    phrases = [F.col("text").rlike("(?i)" + SEPARATORS.join(p.split())) for p in PHRASES]
+    possible = functools.reduce(Column.__or__, [*[F.contains(small, F.lit(a)) for a in anchors()], *phrases])
+    counted = rows.select("doc_id", "version", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
+    rows = rows.filter(possible).select("doc_id", "version", words_of(F.col("text")).alias("words"))
     word = lambda i: F.coalesce(F.get("words", i), F.lit(""))
     grams = F.transform("words", lambda w, i: F.struct(
         F.concat_ws(" ", w, word(i + 1)).alias("two"), F.concat_ws(" ", w, word(i + 1), word(i + 2), word(i + 3)).alias("four")
@@ -92,15 +120,15 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     placed = rows.select("doc_id", "version", F.posexplode(grams).alias("at", "gram"))
     either = placed.select("doc_id", "version", "at", F.explode(F.array("gram.two", "gram.four")).alias("gram"))
     votes = either.join(templates, (F.xxhash64("gram") == F.col("hash")) & (F.col("gram") == F.col("template_gram")))
-    key = ["doc_id", "version", "template", "label", "is_base", "n_words"]
+    key = ["doc_id", "version", "template", "label", "is_base", "n_grams"]
     diagonals = votes.groupBy(*key, (F.col("at") - F.col("place")).alias("diagonal")).agg(
         F.countDistinct("at").alias("votes"), F.min("at").alias("first"), F.max("at").alias("last")
     )
-    return finish(rows.select("doc_id", "version", F.size("words").cast("long").alias("n_words")), diagonals)
+    return finish(counted, diagonals)
 
 
 def finish(counted: DataFrame, diagonals: DataFrame) -> DataFrame:
-    base = diagonals.filter(F.col("is_base") & (F.col("votes") == F.col("n_words") - 1)).select(
+    base = diagonals.filter(F.col("is_base") & (F.col("votes") == F.col("n_grams"))).select(
         "doc_id", "version", "label", F.col("diagonal").cast("long").alias("start"), F.lit(1.0).alias("cover"), F.lit(True).alias("is_base")
     )
     # Neighbouring diagonals of one template whose matches follow or overlap make one span.
@@ -108,11 +136,10 @@ def finish(counted: DataFrame, diagonals: DataFrame) -> DataFrame:
     texts = diagonals.filter(~F.col("is_base"))
     apart = (F.abs(F.col("diagonal") - F.lag("diagonal").over(run)) > SHIFT) | (F.col("first") - F.lag("last").over(run) > K + SHIFT)
     islands = texts.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(run))
-    spans = islands.groupBy("doc_id", "version", "template", "label", "n_words", "island").agg(
-        # Words under the grams of each diagonal: its votes and the rest of the last gram.
-        F.sum(F.col("votes") + K - 1).alias("covered"), F.min("first").alias("start")
+    spans = islands.groupBy("doc_id", "version", "template", "label", "n_grams", "island").agg(
+        F.sum("votes").alias("votes"), F.min("first").alias("start")
     )
-    cover = F.least(F.lit(1.0), F.col("covered") / F.col("n_words"))
+    cover = F.least(F.lit(1.0), F.col("votes") / F.col("n_grams"))
     found = base.unionByName(spans.withColumn("cover", cover).filter(F.col("cover") >= COVER).select(
         "doc_id", "version", "label", F.col("start").cast("long").alias("start"), "cover", F.lit(False).alias("is_base")
     ))

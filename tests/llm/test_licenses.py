@@ -42,3 +42,9 @@ def test_labels(found):
 
 def test_no_documents(docs):
     assert licenses.scan_licenses(docs([])).collect() == []
+
+
+def test_every_gram_can_be_told_by_an_anchor():
+    anchors = licenses.anchors()
+    for *_, is_base, _, _, gram in licenses.template_rows():
+        assert is_base or licenses.has_phrase(gram.split()) or any(a in gram for a in anchors)
