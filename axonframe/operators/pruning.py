@@ -183,6 +183,8 @@ def near_pairs(pts: DataFrame, tolerance: float, end_tolerance: float, fraction:
     placed = lookup(row_rank(ranked, ["_f", "voxel"], "_pos", keys), sizes, keys)
     length = F.col("n_voxels") - F.ceil(F.col("n_voxels") * F.lit(fraction)) + 1
     prefix = placed.filter(F.col("_pos") < length).select(*keys, "voxel")
+    if fraction <= 0:
+        raise ValueError("near duplicates share a positive fraction of their voxels")
     ends = endpoints(pts).select(*keys, "first", "last").join(sizes, keys)
     rows = prefix.join(ends, keys)
     other = rows.select(*by, "voxel", *[F.col(c).alias(f"o_{c}") for c in ("streamline_id", "first", "last", "n_voxels")])

@@ -321,22 +321,20 @@ def stride_sample(sel: DataFrame, stride: int) -> DataFrame:
 
 
 def subsample_points(pts: DataFrame, max_points: int) -> DataFrame:
-    """Every ceil(n / max)-th point of the concatenated streamlines; all if n <= max.
+    """Every ceil(n / max)-th point of a subject's concatenated streamlines; all if n <= max.
 
     Positions are vertex offsets of each streamline plus the vertex number: the prefix
     sum runs over streamlines, not over points.
     """
-    sizes = pts.groupBy("streamline_id").agg(F.count("*").alias("_n"))
-    total = int(sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("t")).first()["t"])
-    limit = max(1, max_points)
-    if total <= limit:
-        return pts
-    stride = -(-total // limit)
-    starts = running_total(sizes, [], ["streamline_id"], F.col("_n"), "_upto").select(
-        "streamline_id", (F.col("_upto") - F.col("_n")).alias("_start")
-    )
-    placed = lookup(pts, starts, ["streamline_id"])
-    return placed.filter((F.col("_start") + F.col("point_idx")) % stride == 0).drop("_start")
+    by, keys = subject(pts), streamline_keys(pts)
+    sizes = pts.groupBy(*keys).agg(F.count("*").alias("_n"))
+    upto = running_total(sizes, by, ["streamline_id"], F.col("_n"), "_upto")
+    stride = F.greatest(F.lit(1), F.ceil(F.sum("_n") / F.lit(max(1, max_points)))).alias("_stride")
+    one = F.lit(1).alias("_one")
+    totals = sizes.groupBy(*by, one).agg(stride)
+    starts = upto.select(*keys, one, (F.col("_upto") - F.col("_n")).alias("_start")).join(totals, by + ["_one"])
+    placed = lookup(pts, starts.drop("_one"), keys)
+    return placed.filter((F.col("_start") + F.col("point_idx")) % F.col("_stride") == 0).drop("_start", "_stride")
 
 
 def puri_threshold(scores: DataFrame, fraction: float, score: str = "fico") -> DataFrame:

@@ -92,11 +92,12 @@ def fit_parabola_triangle(pts: DataFrame) -> DataFrame:
     stats = pts.groupBy(*keys).agg(
         F.count("*").alias("n"),
         *[F.avg(c).alias(f"c{c}") for c in XYZ],
-        *[F.sum(F.col(p[0]) * F.col(p[1])).alias(p) for p in PAIRS],
+        # Centred sums: far from the origin, sums of products lose the small axis.
+        *[(F.covar_pop(p[0], p[1]) * F.count("*")).alias(p) for p in PAIRS],
         F.min_by(vertex, "point_idx").alias("first"),
         F.max_by(vertex, "point_idx").alias("last"),
     ).filter(F.col("n") >= 4)
-    spread = [(F.col(p) - F.col("n") * F.col(f"c{p[0]}") * F.col(f"c{p[1]}")).alias(p) for p in PAIRS]
+    spread = [F.col(p) for p in PAIRS]
     chord = [(F.col("last")[c] - F.col("first")[c]).alias(f"h{c}") for c in XYZ]
     ends = [F.col(e)[c].alias(f"{e}{c}") for e in ("first", "last") for c in XYZ]
     centre = [f"c{c}" for c in XYZ]

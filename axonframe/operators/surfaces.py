@@ -96,7 +96,7 @@ def component_volume(corners: DataFrame, component: str = "component") -> DataFr
     return corners.groupBy(component).agg(F.abs(F.sum(signed)).alias("volume_mm3"), F.count("*").alias("n_triangles"))
 
 
-def connect(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connect(edges: DataFrame) -> DataFrame:
     """Connected components of (u, v) pairs: every node with its smallest reachable node.
 
     Alternates two star rewrites until every node hangs off its component's minimum. Each
@@ -111,7 +111,7 @@ def connect(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         return row["n"], row["h"]
 
     state = mark(links)
-    for _ in range(max_rounds):
+    while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -123,8 +123,6 @@ def connect(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         if after == state:
             break
         state = after
-    else:
-        raise RuntimeError("component search did not settle")
     roots = links.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.withColumnRenamed("u", "node").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn(
         "component", F.coalesce("component", "node")

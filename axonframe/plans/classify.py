@@ -10,8 +10,6 @@ from axonframe.functions.scan import lookup, streamline_keys, voxel_keys
 from axonframe.operators.geometry import endpoint_rows, streamline_length
 from axonframe.operators.selection import ids, mean_cloud_distance, touched_voxels
 
-MAX_BUNDLES = 10_000
-
 OUTCOMES = (
     "reject_roa", "reject_min_length", "reject_roi", "reject_no_end", "reject_end",
     "reject_hausdorff", "reject_max_length",
@@ -33,10 +31,6 @@ def bundle_classify(
     mask) and then one per (streamline, bundle).
     """
     keys = streamline_keys(pts)
-    bundles = [r["bundle_id"] for r in params.select("bundle_id").distinct().limit(MAX_BUNDLES + 1).collect()]
-    if len(bundles) > MAX_BUNDLES:
-        raise ValueError("classify at most 10000 bundles at a time")
-
     used = masks.join(rules.select("mask_id").distinct(), "mask_id", "left_semi")
     on = voxel_keys(pts, masks)
     body = lookup(touched_voxels(pts, grid, "floor"), used, on, spread=True).select(*keys, "mask_id", F.lit(False).alias("at_end"))
@@ -54,7 +48,10 @@ def bundle_classify(
         F.count_if(F.col("role") == "roi").alias("_want_roi"), F.count_if(F.col("role") == "end").alias("_want_end")
     )
     lengths = ids(pts).join(streamline_length(pts), keys, "left").withColumn("length_mm", F.coalesce("length_mm", F.lit(0.0)))
-    judged = lengths.withColumn("bundle_id", F.explode(F.array(*[F.lit(b) for b in bundles])))
+    # Every streamline is judged for every bundle: one row with all names beside each.
+    names = params.agg(F.collect_set("bundle_id").alias("_names")).withColumn("_one", F.lit(1))
+    judged = lengths.withColumn("_one", F.lit(1)).join(names, "_one").drop("_one")
+    judged = judged.withColumn("bundle_id", F.explode("_names")).drop("_names")
     judged = lookup(judged, params.select("bundle_id", "min_len_mm", "max_len_mm", "max_hausdorff_mm"), ["bundle_id"])
     judged = lookup(judged, wanted, ["bundle_id"], "left")
     judged = judged.join(flags, keys + ["bundle_id"], "left")

@@ -44,12 +44,12 @@ def prepare_reference_plan(
     seed_tolerance_mm: float = 2.0,
     seed_factor: float = 0.5,
     no_end_factor: float = 0.9,
-    max_reference_points: int = 20_000,
+    max_reference_points: int | None = None,
 ) -> ReferencePlan:
     """Limiting = coverage dilated by the tolerance; seed = coverage dilated by the seed
     tolerance where the metric reaches its share of the Otsu threshold; no_end = limiting
     where the metric exceeds its share; lengths from the reference widened by two
-    tolerances."""
+    tolerances. All reference points are kept unless ``max_reference_points`` asks for a sample."""
     coverage = voxelize_streamlines(ref_pts, grid)
     size = max(min_voxel_size(grid.affine), 1e-6)
     near = min(max(seed_tolerance_mm, 0.0), tolerance_mm)
@@ -71,7 +71,7 @@ def prepare_reference_plan(
         limiting=limiting.select(*on),
         seed=gated(envelope, seed_factor * otsu, True),
         no_end=gated(limiting, no_end_factor * otsu, False),
-        reference_points=subsample_points(ref_pts, max_reference_points),
+        reference_points=ref_pts if max_reference_points is None else subsample_points(ref_pts, max_reference_points),
         min_len_mm=max(tol, shortest - 2 * tol, 0.0) if shortest > 0 else None,
         max_len_mm=longest + 2 * tol if longest > 0 else None,
         max_hausdorff_mm=tolerance_mm,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from axonframe.functions.geometry import Grid, min_voxel_size
@@ -36,7 +36,7 @@ def prepare_roi_plan(
     min_len_mm: float | None = None,
     max_len_mm: float | None = None,
 ) -> RoiPlan:
-    """Dilated include masks (each must be met), excludes joined into one, start and end.
+    """Dilated include masks (each file must be met), excludes joined into one, start and end.
 
     ``catalog`` is the output of ``catalog_derivatives``; ``mask_voxels`` is keyed by path;
     ``grids`` has path, nx, ny, nz, affine. A bundle without an include, or files on
@@ -55,10 +55,14 @@ def prepare_roi_plan(
         raise ValueError(f"{other['path']} is on another grid")
     size = max(min_voxel_size(first.affine), 1e-6)
     number = F.when(role != "exclude", F.coalesce(F.col("idx").cast("string"), F.lit(""))).otherwise(F.lit(""))
+    # Further include files of one number are waypoints of their own.
+    turn = F.row_number().over(Window.partitionBy("role", "idx").orderBy("path"))
+    again = F.when((role == "include") & (F.col("_turn") > 1), F.concat(F.lit("_"), F.col("_turn").cast("string"))).otherwise(F.lit(""))
+    placed = placed.withColumn("_turn", turn)
     files = placed.filter(role != "probmap").select(
         "path",
         "role",
-        F.concat(F.lit(f"{bundle}_"), role, number).alias("mask_id"),
+        F.concat(F.lit(f"{bundle}_"), role, number, again).alias("mask_id"),
         F.when(role == "include", "roi").when(role == "exclude", "roa").otherwise("end").alias("rule"),
     )
     masks = None

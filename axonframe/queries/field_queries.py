@@ -544,13 +544,13 @@ def _roi_inputs(spark, sf):
       CAST(regexp_extract(path, '/sub-([0-9]+)_', 1) AS INT) % 50 + 1 AS p_size, regexp_extract(path, '(Include|Exclude|ROI-N[0-9]+-)([0-9]+)', 2) AS idx FROM pth
       WHERE path LIKE '%\\_space-ASIA\\_desc-' || (SELECT MIN(REPLACE(n_name, '_', '')) FROM nation WHERE n_regionkey = 2) || '%\\_mask.nii.gz' ESCAPE '\\'
         OR path LIKE '%\\_space-ASIA\\_%ROI-N' || (SELECT ARG_MIN(n_nationkey, REPLACE(n_name, '_', '')) FROM nation WHERE n_regionkey = 2) || '-%' ESCAPE '\\'),
-    g AS (SELECT role, idx, p_size FROM f WHERE role <> 'end' UNION ALL SELECT role, idx, ARG_MAX(p_size, regexp_extract(path, '[^/]*$')) FROM f WHERE role = 'end' GROUP BY 1, 2),
+    g AS (SELECT role, idx, p_size, CASE WHEN role = 'roi' THEN path END AS file FROM f),
     o AS (SELECT UNNEST(RANGE(-2, 3)) AS d),
-    dil AS (SELECT role, idx, CAST(i + a.d AS INT) AS i, CAST(j + b.d AS INT) AS j, CAST(k + c.d AS INT) AS k FROM g JOIN vox USING (p_size), o a, o b, o c, dims
+    dil AS (SELECT role, idx, file, CAST(i + a.d AS INT) AS i, CAST(j + b.d AS INT) AS j, CAST(k + c.d AS INT) AS k FROM g JOIN vox USING (p_size), o a, o b, o c, dims
       WHERE a.d*a.d + b.d*b.d + c.d*c.d <= (CASE role WHEN 'end' THEN 3 ELSE 1 END) AND i + a.d BETWEEN 0 AND 9 AND j + b.d BETWEEN 0 AND 9 AND k + c.d BETWEEN 0 AND dims.nz - 1)
-    SELECT role, CASE WHEN role = 'roi' THEN idx ELSE '' END AS idx, CAST(COUNT(DISTINCT i + 10 * j + 100 * k) AS BIGINT) AS n_voxels FROM dil GROUP BY 1, 2"""))
+    SELECT role, CASE WHEN role = 'roi' THEN idx ELSE '' END AS idx, CAST(COUNT(DISTINCT i + 10 * j + 100 * k) AS BIGINT) AS n_voxels FROM dil GROUP BY role, idx, file"""))
 def prepare_roi_plan(spark, sf):
-    """Voxels per rule of the first bundle of the region (5 mm waypoint, 8 mm end reach)."""
+    """Voxels per rule of the first bundle of the region (5 mm waypoint, 8 mm end reach), one rule an include file."""
     found, voxels = _roi_inputs(spark, sf)
     found = cut_lineage(found)
     first = fx.table(spark, sf, "nation").filter("n_regionkey = 2").select(F.col("n_name").alias("b")).orderBy(F.translate("b", "_", "")).first()["b"]
@@ -560,7 +560,7 @@ def prepare_roi_plan(spark, sf):
     plan = roi.prepare_roi_plan(found, voxels, grids, first, waypoint_mm=5.0, exclusion_mm=5.0, endpoint_mm=8.0)
     counts = plan.masks.groupBy("mask_id").agg(F.count("*").alias("n_voxels"))
     out = plan.rules.join(counts, "mask_id")
-    idx = F.when(F.col("role") == "roi", F.regexp_extract("mask_id", "([0-9]+)$", 1)).otherwise("")
+    idx = F.when(F.col("role") == "roi", F.regexp_extract("mask_id", "_include([0-9]+)", 1)).otherwise("")
     return out.select("role", idx.alias("idx"), "n_voxels")
 
 

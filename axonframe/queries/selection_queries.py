@@ -169,9 +169,10 @@ CATALOG = """
       FROM m WHERE regexp_matches(tail, '^((Include|Exclude)[0-9]+|Start|End)_mask.nii.gz$') OR tail = '_probseg.nii.gz'),
     leg AS (SELECT bundle, 'include' AS role, CAST(regexp_extract(name, '-([0-9]+)-include.nii.gz$', 1) AS BIGINT) AS idx, path
       FROM names JOIN b ON regexp_matches(name, '_desc-ROI-' || lk || '-[0-9]+-include.nii.gz$') WHERE name LIKE '%\\_space-ASIA\\_%' ESCAPE '\\'),
-    alls AS (SELECT * FROM cur UNION ALL SELECT * FROM leg)
-    SELECT bundle, role, idx, path FROM alls WHERE role IN ('include', 'exclude')
-    UNION ALL SELECT bundle, role, NULL, MAX(path) FROM alls WHERE role NOT IN ('include', 'exclude') GROUP BY 1, 2"""
+    alls AS (SELECT * FROM cur UNION ALL SELECT * FROM leg),
+    own AS (SELECT regexp_extract(path, '/sub-([A-Za-z0-9]+)', 1) AS subject_id, CAST(NULL AS VARCHAR) AS session_id, * FROM alls)
+    SELECT subject_id, session_id, bundle, role, idx, path FROM own WHERE role IN ('include', 'exclude')
+    UNION ALL SELECT subject_id, session_id, bundle, role, NULL, MAX(path) FROM own WHERE role NOT IN ('include', 'exclude') GROUP BY 1, 2, 3, 4"""
 
 
 @query("catalog_derivatives", sql("pth", CATALOG))

@@ -28,18 +28,25 @@ def images(paths: DataFrame) -> DataFrame:
     return paths.select("path", file_name(F.col("path")).alias("name")).filter(F.col("name").endswith(IMAGE))
 
 
+def entity(path: Column, key: str) -> Column:
+    """Value of a ``key-value`` part of a path, NULL without one."""
+    found = F.regexp_extract(path, f"(?:^|[/_]){key}-([A-Za-z0-9]+)", 1)
+    return F.when(found != "", found)
+
+
 def _bundles(bundles: DataFrame) -> DataFrame:
     keys = F.col("legacy_keys") if "legacy_keys" in bundles.columns else F.array().cast("array<string>")
     return bundles.select("bundle", bundle_desc(F.col("bundle")).alias("desc"), keys.alias("legacy_keys"))
 
 
 def catalog_derivatives(paths: DataFrame, bundles: DataFrame, space: str) -> DataFrame:
-    """(bundle, role, idx, path) of the mask and probability files of a space.
+    """(subject_id, session_id, bundle, role, idx, path) of the mask and probability files of a space.
 
     Current layout ``_space-S_desc-<Desc><Role><N>_mask`` / ``_desc-<Desc>_probseg``;
     legacy layout ``_desc-ROI-<key>-<N>-<role>``. A name that starts like the current
     layout of a bundle but ends in another suffix is skipped for that bundle. Roles:
-    include, exclude (numbered), start, end, probmap (the last path in name order wins).
+    include, exclude (numbered), start, end, probmap (of a subject and session the last path
+    in name order wins).
     The names are parsed once and matched by equality, never by substring per bundle.
     """
     names = images(paths)
@@ -81,10 +88,12 @@ def catalog_derivatives(paths: DataFrame, bundles: DataFrame, space: str) -> Dat
     old = old.filter(~F.contains("name", F.concat(F.lit(marker), F.col("desc"))))
     old = old.select("bundle", "role", F.when(F.col("role").isin("include", "exclude"), F.col("idx")).alias("idx"), "path", "name")
     found = modern.unionByName(old)
+    found = found.select(entity(F.col("path"), "sub").alias("subject_id"), entity(F.col("path"), "ses").alias("session_id"), *found.columns)
     numbered = F.col("role").isin("include", "exclude")
-    single = found.filter(~numbered).groupBy("bundle", "role").agg(F.max_by("path", F.struct("name", "path")).alias("path"))
-    return found.filter(numbered).select("bundle", "role", "idx", "path").unionByName(
-        single.select("bundle", "role", F.lit(None).cast("long").alias("idx"), "path")
+    owner = ["subject_id", "session_id", "bundle", "role"]
+    single = found.filter(~numbered).groupBy(*owner).agg(F.max_by("path", F.struct("name", "path")).alias("path"))
+    return found.filter(numbered).select(*owner, "idx", "path").unionByName(
+        single.select(*owner, F.lit(None).cast("long").alias("idx"), "path")
     )
 
 
@@ -98,11 +107,9 @@ def available_bundles(paths: DataFrame, bundles: DataFrame, space: str) -> DataF
         F.col("name").contains(marker) & (F.col("name").endswith("_mask.nii.gz") | F.col("name").contains("_probseg"))
     ).select(F.substring_index("name", marker, -1).alias("tail"))
     # A bundle matches when its short name is a prefix of the tail: turn the prefix test
-    # into an equi join by listing the tail's prefixes of the lengths in use.
-    sized = known.withColumn("size", F.length("desc"))
-    lengths = [r["size"] for r in sized.select("size").distinct().limit(1000).collect()]
-    prefixes = F.array_distinct(F.array(*[F.substring("tail", 1, n) for n in lengths]))
-    heads = current.select(F.explode(prefixes).alias("desc")).distinct() if lengths else current.select(F.col("tail").alias("desc"))
+    # into an equi join by listing the tail's prefixes, as many as a file name has letters.
+    prefixes = F.transform(F.sequence(F.lit(0), F.length("tail")), lambda n: F.substring(F.col("tail"), F.lit(1), n))
+    heads = current.select(F.explode(prefixes).alias("desc")).distinct()
     modern = known.join(heads, "desc", "left_semi").select("bundle")
     words = F.split(F.substring_index("name", "_desc-ROI-", -1), "-")
     heads = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda n: F.array_join(F.slice(words, F.lit(1), n), "-"))

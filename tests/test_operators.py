@@ -430,3 +430,36 @@ def test_region_plan_refuses_missing_includes_and_mixed_grids(spark):
         prepare_roi_plan(found, voxels, grids(8), "b")
     with pytest.raises(ValueError):
         prepare_roi_plan(found, voxels, grids(9), "only")
+
+
+# --- cohorts ------------------------------------------------------------------------
+
+
+def test_each_subject_has_its_own_single_files(spark):
+    names = [f"/d/sub-{s}{ses}/sub-{s}_space-MNI_desc-BStart_mask.nii.gz" for s in "abc" for ses in ("", "/ses-2")]
+    paths = spark.createDataFrame([(n,) for n in names], "path string")
+    bundles = spark.createDataFrame([("B",)], "bundle string")
+    got = catalog.catalog_derivatives(paths, bundles, "MNI").collect()
+    assert sorted((r["subject_id"], r["session_id"] or "") for r in got) == [(s, x) for s in "abc" for x in ("", "2")]
+
+
+def test_subsample_counts_each_subject(lines):
+    one = lines([run(7), run(8)]).withColumn("subject_id", F.lit("a"))
+    two = lines([run(3), run(2)]).withColumn("subject_id", F.lit("b"))
+    both = sel.subsample_points(one.unionByName(two), 5)
+    apart = sel.subsample_points(one, 5).unionByName(sel.subsample_points(two, 5))
+    key = ["subject_id", "streamline_id", "point_idx"]
+    assert sorted(map(tuple, both.select(*key).collect())) == sorted(map(tuple, apart.select(*key).collect()))
+    assert both.filter("subject_id = 'a'").count() == 5 and both.filter("subject_id = 'b'").count() == 5
+
+
+def test_files_of_one_number_are_waypoints_of_their_own(spark):
+    from axonframe.plans.roi import prepare_roi_plan
+
+    found = spark.createDataFrame([("b", "include", 1, "/a"), ("b", "include", 1, "/c")], "bundle string, role string, idx long, path string")
+    unit = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    grids = spark.createDataFrame([(p, 9, 9, 9, unit) for p in ("/a", "/c")], "path string, nx int, ny int, nz int, affine array<double>")
+    voxels = spark.createDataFrame([("/a", 1, 1, 1), ("/c", 7, 7, 7)], "path string, i int, j int, k int")
+    plan = prepare_roi_plan(found, voxels, grids, "b", waypoint_mm=0.0)
+    assert {r["mask_id"] for r in plan.rules.collect()} == {"b_include1", "b_include1_2"}
+    assert {r["mask_id"]: r["count"] for r in plan.masks.groupBy("mask_id").count().collect()} == {"b_include1": 1, "b_include1_2": 1}
