@@ -150,8 +150,8 @@ def cut(docs: DataFrame, vocabulary: str, room: int, end_id: int) -> DataFrame:
         stop = enc.one(end_id)
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = np.frombuffer(enc.encode(text) + stop, enc.dtype)
+            for doc_id, own in zip(batch["doc_id"].to_pylist(), enc.encode_all(batch["text"].to_pylist()), strict=True):
+                ids = np.frombuffer(own + stop, enc.dtype)
                 for k, at in enumerate(range(0, len(ids), room)):
                     part = ids[at : at + room]
                     out.append((doc_id, k, at, len(part), ids_crc32(part)))

@@ -11,7 +11,8 @@ by fertility: the shorter the text, the wilder its ratios.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axonframe.llm.common import arrow_batches, fresh, written
+from axonframe.llm.tokens import WordMemory
 
 WORDS_LEAST, REPEATS_MOST, WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
-MEMORY = 300_000
 
 
 @dataclass(frozen=True)
@@ -46,21 +47,13 @@ class Fertility:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        self.known: dict[bytes, bytes] = {}
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        known, parts = self.known, []
-        for at in range(0, len(words), MEMORY // 4):
-            part = words[at : at + MEMORY // 4]
-            new = list({w for w in part if w not in known})
-            if len(known) + len(new) > MEMORY:
-                known.clear()
-                new = list(set(part))
-            if new:
-                found = self.model.encode([w.decode() for w in new], num_threads=1)
-                known.update((w, np.array(i, "<u4").tobytes()) for w, i in zip(new, found, strict=True))
-            parts += [known[w] for w in part]
-        return np.frombuffer(b"".join(parts), "<u4")
+        self.memory = WordMemory(self.make)
+
+    def make(self, words: list[bytes]) -> list[bytes]:
+        return [array("I", i).tobytes() for i in self.model.encode([w.decode() for w in words], num_threads=1)]
+
+    def ids(self, texts: Sequence[list[bytes]]) -> list[np.ndarray]:
+        return [np.frombuffer(own, "<u4") for own in self.memory.texts(texts)]
 
 
 @functools.cache
@@ -96,17 +89,19 @@ def n_dup_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def measures(text: str | None, path: str) -> tuple:
-    text = text or ""
-    words = text.encode().split()
-    ids = fertility(path).ids(words)
+def measures(texts: list[str | None], path: str) -> list[tuple]:
+    words = [(t or "").encode().split() for t in texts]
+    return [measures_of(t or "", w, i, fertility(path).is_byte) for t, w, i in zip(texts, words, fertility(path).ids(words), strict=True)]
+
+
+def measures_of(text: str, words: list[bytes], ids: np.ndarray, is_byte: np.ndarray) -> tuple:
     word_chars = len(text) - sum(map(text.count, SPACES))
     n_symbols = sum(map(text.count, SYMBOLS))
     share = np.unique(ids, return_counts=True)[1] / max(1, len(ids))
     return (
         len(words), word_chars, n_symbols, n_dup_lines(text), n_repeat_words(words), len(ids),
         word_chars / len(ids) if len(ids) else 0.0,
-        float(fertility(path).is_byte[ids].mean()) if len(ids) else 0.0,
+        float(is_byte[ids].mean()) if len(ids) else 0.0,
         float(-(share * np.log2(share)).sum()) + 0.0,
     )
 
@@ -123,7 +118,7 @@ def measure(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [measures(t, vocabulary) for t in batch["text"].to_pylist()]
+            found = measures(batch["text"].to_pylist(), vocabulary)
             columns = list(zip(*found, strict=True)) or [[]] * len(FIELDS)
             arrays = [pa.array(c, k) for c, (_, k) in zip(columns, FIELDS, strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], *arrays], ["doc_id", "lang", *[n for n, _ in FIELDS]])

@@ -152,12 +152,12 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
 
         for batch in batches:
             table = batch.to_pydict()
-            for b, doc_id, text in zip(table[bucket], table["doc_id"], table["text"], strict=True):
+            for b, doc_id, own in zip(table[bucket], table["doc_id"], enc.encode_all(table["text"]), strict=True):
                 if ids and (b != place or held >= SHARD_IDS or len(ids) >= SHARD_DOCS):
                     yield flush()
                 if b != place:
                     place, number = b, 0
-                tokens = enc.encode(text) + stop
+                tokens = own + stop
                 doc_ids.append(doc_id)
                 ids.append(tokens)
                 held += len(tokens) // enc.width

@@ -40,7 +40,7 @@ def test_fertility_of_words():
     text = "plain words, ünïcode 漢字 \U0001f600"
     ids = [i for w in text.split() for i in model.encode(w)]
     n, share = len(ids), Counter(ids)
-    got = quality.measures(text, PATH)
+    (got,) = quality.measures([text], PATH)
     assert got[5] == n and math.isclose(got[6], sum(len(w) for w in text.split()) / n)
     assert math.isclose(got[7], sum(model.is_byte(i) for i in ids) / n) and got[7] > 0
     assert math.isclose(got[8], -sum(c / n * math.log2(c / n) for c in share.values()))

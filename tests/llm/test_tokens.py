@@ -25,9 +25,10 @@ def crc(ids):
 
 def test_word_by_word_equals_the_library(spark, sf):
     texts = [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
-    texts += ["don't STOP", "á eé", "<|endoftext|> x<|startoftext|>y", "Σας ΣΑΣ", "tab\tfeed\x0c\x0b\x85 x y", "\x00\x1c\x1d", "İstanbul ﬁ", "12 a1b2", "اًب 漢字"]
+    texts += ["don't STOP", "á eé", "<|endoftext|> x<|startoftext|>y", "Σας ΣΑΣ", "tab\tfeed\x0c\x0b\x85 x y", "\x00\x1c\x1d", "İstanbul ﬁ", "12 a1b2", "J\u030c H\u0331 T\u0308 I\u0307 A\u0301", "<|ENDOFTEXT|> X", "اًب 漢字"]
     for text in texts:
-        assert np.frombuffer(encoder(PATH).encode(text), "<u2").tolist() == ids_of(text, 0)[:-1], text
+        assert np.frombuffer(encoder(PATH).encode_all([text])[0], "<u2").tolist() == ids_of(text, 0)[:-1], text
+    assert encoder(PATH).encode_all(texts) == [encoder(PATH).encode_all([t])[0] for t in texts]
 
 
 def test_elias_fano_round_trip():
