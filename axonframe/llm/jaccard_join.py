@@ -150,7 +150,7 @@ def meetings(docs: DataFrame, p: JoinParams) -> DataFrame:
 
 
 def refined(members: DataFrame, p: JoinParams) -> DataFrame:
-    """Members with finer regions, without those that meet no other set.
+    """Regions larger than a leaf made finer, without sets that meet no other; the others as they are.
 
     Texts that share long passages meet in the parts that hold nothing else. Here the shingles of
     a region are put in order, the rarest of the region first. Linked sets share one of their
@@ -170,6 +170,9 @@ def refined(members: DataFrame, p: JoinParams) -> DataFrame:
                     "shingle": pa.array(np.concatenate(sets)),
                 })
 
+    sizes = members.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes"))
+    marked = members.join(sizes.select("region", ((F.col("n") > p.leaf) | (F.col("bytes") > p.leaf_bytes)).alias("large")), "region")
+    members, small = marked.filter("large"), marked.filter("not large").drop("large")
     once = members.dropDuplicates(["region", "node"]).select("region", "node", "shingles")
     rows = once.mapInArrow(exploded, "region long, node long, size long, shingle long")
     often = rows.groupBy("region", "shingle").agg(F.count("*").alias("often")).filter("often > 1")
@@ -184,7 +187,8 @@ def refined(members: DataFrame, p: JoinParams) -> DataFrame:
     centre = prefix.groupBy("region", "shingle").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").drop("b")
     pairs = prefix.join(centre, ["region", "shingle"]).select("a", F.col("node").alias("b")).filter("a <> b").distinct()
     finer = components(pairs).select("node", F.col("root").alias("finer"))
-    return members.join(finer, "node").select(F.col("finer").alias("region"), "node", "label", "shingles")
+    large = members.join(finer, "node").select(F.col("finer").alias("region"), "node", "label", "shingles")
+    return large.unionByName(small.select("region", "node", "label", "shingles"))
 
 
 # --- Voronoi regions in one task --------------------------------------------------------
