@@ -75,9 +75,12 @@ def fillings(space: int, left: Lengths, limit: int) -> list[tuple[int, ...]]:
     """Undominated multisets of the lengths left that fit into ``space``, fullest first."""
     counts, sizes = left.counts, left.sizes
     found: list[tuple[int, tuple[int, ...]]] = []
+    steps = 8 * limit
 
     def grow(below: int, rest: int, taken: dict[int, int]) -> bool:
-        """Fillings of lengths under ``below``; True once nothing better can come."""
+        """Fillings of lengths under ``below``; True once nothing better can come or the steps are used up."""
+        nonlocal steps
+        steps -= 1
         for k in range(bisect_right(sizes, min(rest, below - 1)) - 1, -1, -1):
             size = sizes[k]
             for m in range(min(counts[size], rest // size), 0, -1):
@@ -86,7 +89,7 @@ def fillings(space: int, left: Lengths, limit: int) -> list[tuple[int, ...]]:
         if undominated(taken, rest):
             found.append((rest, tuple(s for s, m in taken.items() for _ in range(m))))
         # A filling without waste dominates the others as far as space goes.
-        return len(found) >= limit or rest == 0
+        return len(found) >= limit or rest == 0 or steps <= 0
 
     def undominated(taken: dict[int, int], rest: int) -> bool:
         # No unused piece fits as well, neither added nor in place of a smaller one.
@@ -118,7 +121,7 @@ def complete(lengths: list[int], room: int, nodes: int = 3000, choices: int = 24
         left.take(largest)
         beside = fillings(room - largest[0], left, choices)
         left.put_back(largest)
-        return iter([largest + f for f in beside])
+        return iter([largest + f for f in beside or [()]])
 
     # Depth first without recursion: each level holds the fillings yet to try and the waste so far.
     levels, chosen = [(options(), 0)], []
