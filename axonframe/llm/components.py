@@ -80,8 +80,9 @@ def _joined(edges: DataFrame) -> DataFrame:
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
-    """a > b, distinct."""
-    return edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    """a > b, distinct. A member's edges lie in one partition, so a task that joins them keeps few."""
+    pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return pairs.repartition("a").distinct()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
