@@ -15,7 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axonframe.llm.common import fresh, whole_text
+from axonframe.llm.common import fresh, whole_text, written
 
 #: Largest count; Poisson(rate) passes it with a probability below 1e-12 for rates up to 16.
 MOST = 64
@@ -52,13 +52,13 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None, total_sha
         for name, value in weights.items():
             weight = F.when(F.col("source") == name, F.lit(float(value))).otherwise(weight)
     sizes = sizes.withColumn("weight", F.when(F.col("chars") > 0, weight).otherwise(F.lit(0.0)))
-    both = sizes.agg(F.sum("chars").alias("all_chars"), F.sum("weight").alias("all_weight"))
-    share = F.col("weight") / F.col("all_weight")
-    rate = F.when((F.col("chars") > 0) & (F.col("weight") > 0), share * F.col("all_chars") * F.lit(float(total_share)) / F.col("chars")).otherwise(F.lit(0.0))
-    # One row beside the sources: a key join on a constant, both sides a few rows.
-    one = F.lit(1).alias("one")
-    rates = sizes.select("*", one).join(both.select("*", one), "one").select("source", "chars", share.alias("share"), rate.alias("rate"))
-    return rates.withColumn("rate", F.least("rate", F.lit(RATE_MOST)))
+    # A row a source, written once; the two totals come to the driver.
+    sizes = written(sizes, "source-sizes")
+    total = sizes.agg(F.sum("chars").alias("chars"), F.sum("weight").alias("weight")).first()
+    share = F.col("weight") / F.lit(float(total["weight"] or 1.0))
+    wanted = share * F.lit(int(total["chars"] or 0)) * F.lit(float(total_share)) / F.col("chars")
+    rate = F.when((F.col("chars") > 0) & (F.col("weight") > 0), wanted).otherwise(F.lit(0.0))
+    return sizes.select("source", "chars", share.alias("share"), F.least(rate, F.lit(RATE_MOST)).alias("rate"))
 
 
 def poisson_mix(docs: DataFrame, seed: int = 1, weights: Mapping[str, float] | None = None, total_share: float = 1.0) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axonframe.llm.common import arrow_batches
+from axonframe.llm.common import arrow_batches, partitions
 from axonframe.llm.tokens import encoder, ids_crc32
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -214,4 +214,5 @@ def pack(docs: DataFrame, vocabulary: str, room: int = 2048, end_id: int = 0, bl
     pieces = cut(docs, vocabulary, room, end_id)
     # The order inside a partition follows a hash too: the same after a lost task, mixed lengths in a block.
     dealt = F.xxhash64("doc_id", "piece", "ids_crc32")
-    return pieces.repartition(dealt).sortWithinPartitions(dealt, "doc_id", "piece", "length").mapInArrow(packed, PACKED)
+    # Pieces are small rows and much work: as many partitions as asked for, whatever their bytes.
+    return pieces.repartition(partitions(docs.sparkSession), dealt).sortWithinPartitions(dealt, "doc_id", "piece", "length").mapInArrow(packed, PACKED)
