@@ -19,6 +19,9 @@ def rows_of(df):
 
 def test_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    text = "this note tells where the old house stands and password=abcdefgh12 opens its door for all"
+    extra = [(10**6 + i, f"{text} {i}", "en", "src1", len(text) + 2) for i in (0, 1)]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
     columns, inputs = docs.columns, {}
     for name, stage in corpus_pipeline.STAGES:
         inputs[name] = rows_of(docs.select("doc_id", "text", "source"))
