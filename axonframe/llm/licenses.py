@@ -48,6 +48,26 @@ TEMPLATES = (
     ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc-4.0"),
     ("this work is licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa-4.0"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    # Plain notices, whatever stands ahead of them (released, licensed, available).
+    ("under the mit license", "mit"),
+    ("apache license version 2 0", "apache-2.0"),
+    ("apache license 2 0", "apache-2.0"),
+    ("you may not use this file except in compliance with the license", "apache-2.0"),
+    ("under the gnu general public license", "gpl"),
+    ("under the bsd license", "bsd"),
+    ("under the isc license", "isc"),
+    ("mozilla public license version 2 0", "mpl-2.0"),
+    ("mozilla public license v 2 0", "mpl-2.0"),
+    ("mozilla public license 2 0", "mpl-2.0"),
+    ("cc by 4 0", "cc-by-4.0"),
+    ("cc by nc 4 0", "cc-by-nc-4.0"),
+    ("cc by sa 4 0", "cc-by-sa-4.0"),
+    ("creative commons attribution 4 0", "cc-by-4.0"),
+    ("creative commons attribution noncommercial 4 0", "cc-by-nc-4.0"),
+    ("creative commons attribution sharealike 4 0", "cc-by-sa-4.0"),
+    ("under the unlicense license", "unlicense"),
+    ("released under the unlicense", "unlicense"),
+    ("licensed under the unlicense", "unlicense"),
 )
 
 

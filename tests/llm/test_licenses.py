@@ -48,3 +48,15 @@ def test_every_gram_can_be_told_by_an_anchor():
     anchors = licenses.anchors()
     for *_, is_base, _, _, gram in licenses.template_rows():
         assert is_base or licenses.has_phrase(gram.split()) or any(a in gram for a in anchors)
+
+
+@pytest.mark.parametrize(("notice", "label"), [
+    ("Released under the MIT License.", "mit"), ("Licensed under the MIT license", "mit"), ("Licensed under the Apache License, Version 2.0.", "apache-2.0"),
+    ("Released under the Apache License 2.0", "apache-2.0"), ("This work is licensed under the GNU General Public License, version 3.", "gpl"),
+    ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc-4.0"), ("License: CC BY-NC 4.0", "cc-by,cc-by-nc-4.0"), ("All rights reserved.", "reserved"),
+    ("Released under the BSD license", "bsd"), ("Licensed under the ISC license", "isc"), ("Released under the Mozilla Public License 2.0", "mpl-2.0"),
+    ("CC BY-SA 4.0", "cc-by,cc-by-sa-4.0"), ("Released under the Unlicense", "unlicense"), ("Released under the old tree.", ""), ("MIT is a school", ""),
+])
+def test_plain_notices(docs, notice, label):
+    (got,) = licenses.scan_licenses(docs([(1, f"some prose ahead of it. {notice}\nand some after it")])).collect()
+    assert got["labels"] == label and got["score"] == (1.0 if label else 0.0)
