@@ -9,24 +9,20 @@ verified. The three base phrases are templates of two- and three-word grams that
 whole, on one diagonal.
 
 Only DataFrame functions are used, and no text is shuffled: grams that match nothing end at the
-broadcast of the template grams, a table fixed in this file. A text with neither a base phrase nor
-an anchor, one of a few words of which every voting gram has one, has no gram to match; its grams
-are not made.
+broadcast of the template grams, a table fixed in this file. A text in which one pattern of all
+template grams finds nothing has no gram to match; its grams are not made.
 """
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from axonframe.llm.common import whole_text
 
 K = 4
-#: Word shift within which diagonals merge, the share of a template's grams that a span must have, and the letters of
-#: a word that makes a gram distinct.
-SHIFT, COVER, DISTINCT = 3, 0.6, 7
+#: Word shift within which diagonals merge, and the share of a template's grams that a span must have.
+SHIFT, COVER = 3, 0.6
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # The base phrases and their labels.
@@ -76,18 +72,13 @@ def has_phrase(gram: list[str]) -> bool:
 
 
 def template_rows() -> list[tuple]:
-    """template, label, is_base, number of its grams, position, gram (K words, two for a base phrase).
-
-    A gram of a license text has a word of at least ``DISTINCT`` letters or a base phrase; the others are
-    common prose and do not vote.
-    """
+    """template, label, is_base, number of its grams, position, gram (K words, two for a base phrase)."""
     rows = []
     for is_base, texts in ((True, PHRASES.items()), (False, TEMPLATES)):
         for text, label in texts:
             words = text.split()
             k = 2 if is_base else K
             grams = [(i, words[i : i + k]) for i in range(len(words) - k + 1)]
-            grams = [(i, g) for i, g in grams if is_base or any(len(w) >= DISTINCT for w in g) or has_phrase(g)]
             rows += [(f"{'base' if is_base else 'text'} {text}", label, is_base, len(grams), i, " ".join(g)) for i, g in grams]
     return rows
 
@@ -98,13 +89,22 @@ def template_grams(spark: SparkSession) -> DataFrame:
 
 
 def anchors() -> list[str]:
-    """A few long words of which every voting gram has at least one: the word in most grams first."""
-    left, found = [{w for w in row[-1].split() if len(w) >= DISTINCT} for row in template_rows() if not row[2] and not has_phrase(row[-1].split())], []
-    while left:
-        best = max(sorted({w for gram in left for w in gram}), key=lambda w: sum(w in g for g in left))
-        found.append(best)
-        left = [g for g in left if best not in g]
-    return found
+    """The distinct grams that no base phrase tells."""
+    return sorted({row[-1] for row in template_rows() if not row[2] and not has_phrase(row[-1].split())})
+
+
+def either(grams: list[str]) -> str:
+    """A pattern for any of ``grams`` in lower-case text; common beginnings are written once."""
+    if "" in grams:
+        return ""
+    heads = sorted({g[0] for g in grams})
+    ways = [(SEPARATORS if h == " " else h) + either([g[1:] for g in grams if g[0] == h]) for h in heads]
+    return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+
+def possible() -> str:
+    """Found in every lower-case text with a template gram, and in few others: the ends of words are not looked at."""
+    return f"(?:^|{SEPARATORS}){either([*anchors(), *PHRASES])}"
 
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -127,11 +127,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(F.col("text").cast("string")).alias("text"))
     # The digest tells rows of one id apart.
     rows = rows.select("doc_id", F.xxhash64("text").alias("version"), "text")
-    small = F.lower("text")
-    phrases = [F.col("text").rlike("(?i)" + SEPARATORS.join(p.split())) for p in PHRASES]
-    possible = functools.reduce(Column.__or__, [*[F.contains(small, F.lit(a)) for a in anchors()], *phrases])
     counted = rows.select("doc_id", "version", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
-    rows = rows.filter(possible).select("doc_id", "version", words_of(F.col("text")).alias("words"))
+    rows = rows.filter(F.lower("text").rlike(possible())).select("doc_id", "version", words_of(F.col("text")).alias("words"))
     word = lambda i: F.coalesce(F.get("words", i), F.lit(""))
     grams = F.transform("words", lambda w, i: F.struct(
         F.concat_ws(" ", w, word(i + 1)).alias("two"), F.concat_ws(" ", w, word(i + 1), word(i + 2), word(i + 3)).alias("four")

@@ -60,3 +60,20 @@ def test_every_gram_can_be_told_by_an_anchor():
 def test_plain_notices(docs, notice, label):
     (got,) = licenses.scan_licenses(docs([(1, f"some prose ahead of it. {notice}\nand some after it")])).collect()
     assert got["labels"] == label and got["score"] == (1.0 if label else 0.0)
+
+
+def test_all_grams_vote(docs):
+    grams = {t: [r[-1] for r in licenses.template_rows() if r[0] == f"text {t}"] for t, _ in licenses.TEMPLATES}
+    for template, found in grams.items():
+        words = template.split()
+        assert found == [" ".join(words[i : i + 4]) for i in range(len(words) - 3)]
+    # 9 of the 14 grams; some have no long word.
+    (got,) = licenses.scan_licenses(docs([(1, "This Source Code Form is subject to the terms of the Mozilla")])).collect()
+    assert got["labels"] == "mpl-2.0" and got["score"] == 9 / 14
+
+
+def test_no_text_with_a_gram_is_passed_over():
+    for *_, gram in licenses.template_rows():
+        if len(gram.split()) == licenses.K or gram in licenses.PHRASES:
+            assert re.search(licenses.possible(), gram) and re.search(licenses.possible(), "a  (" + gram.replace(" ", ",\n- ") + "s)")
+    assert not re.search(licenses.possible(), "the license of a common text, in any case")
