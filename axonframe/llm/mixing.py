@@ -2,7 +2,8 @@
 
 A document of a source is repeated Poisson(rate) times, rate being the source's target size over
 its size; the count inverts the distribution at a uniform number hashed from seed and doc_id, so
-it is the same in every run and on every machine. Copies are dealt out by a hash of (seed,
+it is the same in every run and on every machine. A rate above 16 is the sum of equal slices of at
+most 16, each with a uniform number of its own: a sum of Poisson counts is one. Copies are dealt out by a hash of (seed,
 doc_id, copy) and sorted by it: a global shuffle. Only DataFrame functions are used; sources are
 one row each, so a source with most of the documents is no hot key: the join with them is a
 broadcast while they fit, else Spark deals out the large side's skewed partitions.
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from axonframe.llm.common import fresh, whole_text, written
 
-#: Largest count; Poisson(rate) passes it with a probability below 1e-12 for rates up to 16.
+#: Largest count of a slice of a rate; Poisson(rate) passes it with a probability below 1e-12 for rates up to 16.
 MOST = 64
 RATE_MOST = 16.0
 
@@ -38,7 +39,7 @@ def poisson_limits(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(MOST - 1)), start, step, lambda acc: acc["cdf"])
 
 
-def source_rates(docs: DataFrame, weights: Mapping[str, float] | None, total_share: float) -> DataFrame:
+def source_rates(docs: DataFrame, weights: Mapping[str, float] | None, total_share: float, rate_most: float | None) -> DataFrame:
     """Per source: chars, target share and rate. Without weights all sources weigh the same.
 
     Sources that ``weights`` does not name get weight 0. A source without characters gets rate 0.
@@ -58,23 +59,31 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None, total_sha
     share = F.col("weight") / F.lit(float(total["weight"] or 1.0))
     wanted = share * F.lit(int(total["chars"] or 0)) * F.lit(float(total_share)) / F.col("chars")
     rate = F.when((F.col("chars") > 0) & (F.col("weight") > 0), wanted).otherwise(F.lit(0.0))
-    return sizes.select("source", "chars", share.alias("share"), F.least(rate, F.lit(RATE_MOST)).alias("rate"))
+    if rate_most is not None:
+        rate = F.least(rate, F.lit(float(rate_most)))
+    return sizes.select("source", "chars", share.alias("share"), rate.alias("rate"))
 
 
-def poisson_mix(docs: DataFrame, seed: int = 1, weights: Mapping[str, float] | None = None, total_share: float = 1.0) -> DataFrame:
+def poisson_mix(docs: DataFrame, seed: int = 1, weights: Mapping[str, float] | None = None, total_share: float = 1.0, rate_most: float | None = RATE_MOST) -> DataFrame:
     """``docs`` with each row repeated by its count, plus copy, rate and shuffle_key.
 
     A null source is a source of its own, the empty name. Null texts have no characters. Rows of one doc_id get
     one count, null ids too; the copies of repeated rows have equal keys. Rates are cut at
-    ``RATE_MOST`` repetitions: a source too small for its weight is not repeated without end.
+    ``rate_most`` repetitions; with None every source gets its whole weight, however small it is.
     An empty table gives an empty result.
     """
-    source, rate, cdf, n, copy, key = fresh(docs, "mix_source", "mix_rate", "mix_cdf", "mix_n", "copy", "shuffle_key")
-    rates = source_rates(docs, weights, total_share).select(F.col("source").alias(source), F.col("rate").alias(rate), poisson_limits(F.col("rate")).alias(cdf))
+    source, rate, slices, cdf, n, copy, key = fresh(docs, "mix_source", "mix_rate", "mix_slices", "mix_cdf", "mix_n", "copy", "shuffle_key")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(RATE_MOST)).cast("int"))
+    rates = source_rates(docs, weights, total_share, rate_most).select(
+        F.col("source").alias(source), F.col("rate").alias(rate), parts.alias(slices), poisson_limits(F.col("rate") / parts).alias(cdf)
+    )
     rows = docs.withColumn(source, F.coalesce(F.col("source").cast("string"), F.lit(""))).join(rates, source)
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    u = uniform(F.lit(str(seed)), ident)
-    counted = rows.withColumn(n, F.size(F.filter(cdf, lambda p: p <= u)))
+    at = lambda *i: F.size(F.filter(cdf, lambda p: p <= uniform(F.lit(str(seed)), ident, *i)))
+    first = at()
+    more = F.transform(F.sequence(F.lit(1), F.col(slices) - 1), lambda i: at(i.cast("string")))
+    every = first + F.aggregate(more, F.lit(0), lambda a, b: a + b)
+    counted = rows.withColumn(n, F.when(F.col(slices) > 1, every).otherwise(first))
     copies = counted.filter(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
     keyed = copies.withColumn(key, uniform(F.lit(f"{seed} order"), ident, F.col(copy).cast("string")))
     return keyed.select(*docs.columns, F.col(copy).alias(copy), F.col(rate).alias("rate") if "rate" not in docs.columns else F.col(rate), key).repartition(F.col(key)).sortWithinPartitions(key)

@@ -61,3 +61,15 @@ def test_same_result_in_any_layout(docs):
     a = mixing.poisson_mix(docs(rows)).select("doc_id", "shuffle_key").collect()
     b = mixing.poisson_mix(docs(rows[::-1]).repartition(7)).select("doc_id", "shuffle_key").collect()
     assert sorted(a) == sorted(b)
+
+
+def test_a_small_source_gets_its_whole_weight(docs):
+    # 20 equal weights; the small source has 0.1 % of the characters, so its rate is about 50.
+    rows = [(i, "x", "en", "small") for i in range(100)] + [(1000 + i, "y" * 100, "en", f"s{i % 19}") for i in range(1000)]
+    total = sum(len(t) for _, t, *_ in rows)
+    got = Counter(r["doc_id"] for r in mixing.poisson_mix(docs(rows), rate_most=None).select("doc_id").collect())
+    counts = [got[i] for i in range(100)]
+    rate = total / 20 / 100
+    assert 50 <= rate < 51 and abs(sum(counts) - 100 * rate) < 4 * math.sqrt(100 * rate)
+    assert 0.5 * rate < sum((n - rate) ** 2 for n in counts) / 100 < 1.6 * rate
+    assert all(got[1000 + i] == plain_count(1, 1000 + i, total / 20 / 5300) for i in range(0, 1000, 19))
