@@ -1,8 +1,9 @@
 """Best-fit packing by bin completion: branch and bound over undominated fillings.
 
 Documents are cut only where they exceed a sequence. Full pieces are sequences by themselves;
-the others are dealt out by a hash, so that every partition sees the same mixture of lengths,
-and packed in blocks of ``block`` pieces:
+the others are dealt out by a hash, so that every group sees the same mixture of lengths, and
+packed in blocks of ``block`` pieces. There are as many groups as whole blocks, whatever the
+session's partitions: the packing depends on the documents alone.
 
 1. best-fit decreasing gives the incumbent;
 2. the waste bound: total space of one sequence fewer than the incumbent, less the tokens to
@@ -13,7 +14,7 @@ and packed in blocks of ``block`` pieces:
    a branch ends as soon as its waste exceeds what is left. ``nodes`` bounds the search, not the
    result: the incumbent is always a whole packing.
 
-A block's emptiest sequences are taken up again with the next block of the partition.
+A block's emptiest sequences are taken up again with the next block of the group.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axonframe.llm.common import arrow_batches, partitions
+from axonframe.llm.common import arrow_batches, written
 from axonframe.llm.tokens import encoder, ids_crc32
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -211,8 +212,10 @@ def pack(docs: DataFrame, vocabulary: str, room: int = 2048, end_id: int = 0, bl
         if held:
             yield placed(True)
 
-    pieces = cut(docs, vocabulary, room, end_id)
-    # The order inside a partition follows a hash too: the same after a lost task, mixed lengths in a block.
+    # Written once, small rows: their count gives the number of groups, a block's pieces or more in each.
+    pieces = written(cut(docs, vocabulary, room, end_id), "pieces")
+    groups = max(1, pieces.filter(F.col("length") < room).count() // block)
+    # The order inside a group follows a hash too: the same after a lost task, mixed lengths in a block.
     dealt = F.xxhash64("doc_id", "piece", "ids_crc32")
-    # Pieces are small rows and much work: as many partitions as asked for, whatever their bytes.
-    return pieces.repartition(partitions(docs.sparkSession), dealt).sortWithinPartitions(dealt, "doc_id", "piece", "length").mapInArrow(packed, PACKED)
+    place = F.pmod(F.xxhash64(dealt), F.lit(groups)).cast("int")
+    return pieces.repartitionById(groups, place).sortWithinPartitions(dealt, "doc_id", "piece", "length").mapInArrow(packed, PACKED)

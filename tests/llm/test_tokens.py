@@ -103,6 +103,22 @@ def test_packing_is_close_to_the_bound(spark, sf):
     assert n <= 1.02 * total / 2048 + 8
 
 
+def test_packing_does_not_depend_on_partitions(spark, docs, prose):
+    rows = [(i, prose(i % 37 + 1)) for i in range(400)]
+    asked = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    for n, block in (("3", 4096), ("200", 4096), ("200", 100)):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            got = packing.pack(docs(rows).repartition(int(n) // 2 + 1), PATH, room=256, block=block).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", asked)
+        n_sequences, total = check_packing(got, rows, 256)
+        assert n_sequences <= 1.01 * total / 256 + (400 // block + 1)
+        found.append(sorted(tuple(r) for r in got))
+    assert found[0] == found[1] and len({r[5] >> 40 for r in found[2]}) == 4
+
+
 def test_bin_completion_beats_best_fit():
     # Best fit decreasing needs three sequences, completion finds the two.
     lengths = [6, 5, 5, 4, 4, 3, 3]  # 15 each
