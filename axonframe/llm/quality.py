@@ -4,8 +4,9 @@ Fertility measures how public vocabularies cope with a text: characters per toke
 byte-fallback tokens, and the entropy of the tokens. A text is taken word by word, each word
 encoded once per task and remembered. The bands are set from all documents of a language: the
 median, and a distance from it in robust deviations, with a least width so that even texts of
-one kind never reject one another. Texts of fewer than ``judged_tokens`` tokens are not judged
-by fertility: the shorter the text, the wilder its ratios.
+one kind never reject one another. The shorter the text, the wilder its ratios: the bands of
+ratio and fallback widen by the sampling error of its tokens, that of entropy by the bits that a
+text shorter than most of its language cannot have. No text is left out.
 """
 
 from __future__ import annotations
@@ -30,13 +31,17 @@ SPACES = " \t\n\v\f\r"
 
 @dataclass(frozen=True)
 class Bands:
-    """How far from its language's median a text may be: robust deviations, and least widths."""
+    """How far from its language's median a text may be: robust deviations, least widths, and what a short text gets more.
 
-    deviations: float = 12.0
-    least_log_ratio: float = 0.9
-    least_fallback: float = 0.3
-    least_entropy: float = 3.5
-    judged_tokens: int = 64
+    ``sampling`` is divided by the root of the tokens; ``halving`` is entropy for each halving of the median's tokens.
+    """
+
+    deviations: float = 6.0
+    least_log_ratio: float = 0.3
+    least_fallback: float = 0.1
+    least_entropy: float = 1.5
+    sampling: float = 1.0
+    halving: float = 0.35
 
 
 class Fertility:
@@ -134,9 +139,9 @@ def bands_of(measured: DataFrame, bands: Bands) -> DataFrame:
 
     Values are rounded and counted first, so a language with most of the rows is a short list.
     """
-    judged = measured.filter((F.col("n_tokens") >= bands.judged_tokens) & (F.col("n_words") >= WORDS_LEAST))
+    judged = measured.filter(F.col("n_words") >= WORDS_LEAST)
     long = judged.select("lang", F.expr(
-        "stack(3, 'ratio', round(ln(chars_per_token), 3), 'fallback', round(fallback_share, 3), 'entropy', round(token_entropy, 2)) AS (what, value)"
+        "stack(4, 'ratio', round(ln(chars_per_token), 3), 'fallback', round(fallback_share, 3), 'entropy', round(token_entropy, 2), 'size', round(log2(n_tokens), 2)) AS (what, value)"
     ))
     counted = long.groupBy("lang", "what", "value").agg(F.count("*").alias("n"))
     middle = counted.groupBy("lang", "what").agg(F.percentile("value", 0.5, F.col("n")).alias("middle"))
@@ -146,7 +151,7 @@ def bands_of(measured: DataFrame, bands: Bands) -> DataFrame:
     width = F.greatest(F.lit(bands.deviations * 1.4826) * F.col("mad"), least.otherwise(bands.least_entropy))
     wide = spread.withColumn("width", width).groupBy("lang")
     return wide.agg(*[
-        F.max(F.when(F.col("what") == w, F.col(c))).alias(f"{w}_{c}") for w in ("ratio", "fallback", "entropy") for c in ("middle", "width")
+        F.max(F.when(F.col("what") == w, F.col(c))).alias(f"{w}_{c}") for w in ("ratio", "fallback", "entropy", "size") for c in ("middle", "width")
     ])
 
 
@@ -160,12 +165,15 @@ def quality_rules(docs: DataFrame, vocabulary: str, bands: Bands = Bands()) -> D
     limits = bands_of(measured, bands)
     (known,) = fresh(measured, "known")
     rows = measured.join(limits.withColumn(known, F.lit(True)), "lang", "left")
+    tokens = F.greatest("n_tokens", F.lit(1))
+    error = F.lit(bands.sampling) / F.sqrt(tokens)
+    short = F.lit(bands.halving) * F.greatest(F.lit(0.0), F.col("size_middle") - F.log2(tokens))
     outside = (
-        (F.abs(F.ln(F.greatest("chars_per_token", F.lit(1e-9))) - F.col("ratio_middle")) > F.col("ratio_width"))
-        | (F.col("fallback_share") - F.col("fallback_middle") > F.col("fallback_width"))
-        | (F.col("entropy_middle") - F.col("token_entropy") > F.col("entropy_width"))
+        (F.abs(F.ln(F.greatest("chars_per_token", F.lit(1e-9))) - F.col("ratio_middle")) > F.col("ratio_width") + error)
+        | (F.col("fallback_share") - F.col("fallback_middle") > F.col("fallback_width") + error)
+        | (F.col("entropy_middle") - F.col("token_entropy") > F.col("entropy_width") + short)
     )
-    judged = F.col(known).isNotNull() & (F.col("n_tokens") >= bands.judged_tokens)
+    judged = F.col(known).isNotNull()
     failed = (F.col("n_words") < WORDS_LEAST) | (100 * F.col("n_repeat_words") > REPEATS_MOST * F.col("n_words"))
     return rows.select(
         "doc_id", *[F.col(n) for n, _ in FIELDS], failed.alias("base_failed"),

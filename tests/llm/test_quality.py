@@ -1,4 +1,7 @@
+import base64
+import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -54,3 +57,22 @@ def test_bands_per_language(docs, prose):
     # A null language is one of its own.
     one = quality.quality_rules(docs([(1, prose(100), None, "s")]), PATH).collect()
     assert one[0]["kept"]
+
+
+def test_noise_is_rejected_and_the_given_texts_are_not(spark, sf):
+    rng = random.Random(1)
+    some = lambda letters, most: "".join(rng.choice(letters) for _ in range(rng.randint(3, most)))
+    noise = {
+        -1: [base64.b64encode(rng.randbytes(9)).decode() for _ in range(150)], -2: [hashlib.md5(bytes([i])).hexdigest() for i in range(150)],
+        -3: [some("abcdefghijklmnopqrstuvwxyz", 9) for _ in range(150)], -4: [some("#*$%&|<>@!^~", 6) for _ in range(150)],
+        -5: [rng.choice("buy cheap pills online now best price free shipping click here today".split()) for _ in range(150)],
+        # Short ones are judged too.
+        -6: [some("#*$%&|<>@!^~", 3) for _ in range(22)],
+    }
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    bad = spark.createDataFrame([(i, " ".join(w), "en") for i, w in noise.items()], table.schema)
+    got = {r["doc_id"]: r for r in quality.quality_rules(table.unionByName(bad), PATH).collect()}
+    for i in noise:
+        assert not got[i]["base_failed"] and not got[i]["kept"], (i, got[i])
+    fine = [r for i, r in got.items() if i >= 0 and not r["base_failed"]]
+    assert sum(not r["kept"] for r in fine) <= 0.01 * len(fine)
