@@ -38,8 +38,11 @@ BASE = (
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", 1, r"[0-9a-f]{32,}", 0, 32),
 )
+#: A line of a key's body: a header of an encrypted key, or base64 of 16 characters or more.
+PEM_LINE = r"(?:\s|\\[nr])+(?:(?:Proc-Type|DEK-Info):[^\n]*|" + "[A-Za-z0-9+/=]" * 16 + "[A-Za-z0-9+/=]*)"
 ADDED = (
-    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # To the END line, else over the lines of the body and a padded last one. Single hyphens stand in headers only.
+    Rule("pem", 2, r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,40}-----END [A-Z ]*PRIVATE KEY-----|(?:" + PEM_LINE + r"){0,500}(?:(?:\s|\\[nr])+[A-Za-z0-9+/]+={1,2})?)"),
     Rule("ghtoken", 1, r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
 RULES = BASE + ADDED
