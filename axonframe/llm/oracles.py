@@ -17,6 +17,53 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = r THEN 'respo
 """
 
 
+def crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit: a step per character and eight per shift."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {steps}), {step}), CAST(4294967295 AS BIGINT))"
+
+
+def _field(value: str) -> str:
+    return f"COALESCE(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _fold(name: str, leaves: str) -> str:
+    """All levels over ``leaves(g, pos, d)``: ``name(g, level, pos, d)``."""
+    return f"""{name} AS (SELECT g, 0 AS level, pos, d, COUNT(*) OVER (PARTITION BY g) AS n FROM {leaves}
+    UNION ALL SELECT g, level + 1, pos // 2, sha256(string_agg(d, '' ORDER BY pos)), (ANY_VALUE(n) + 1) // 2 FROM {name} WHERE n > 1 GROUP BY g, level, pos // 2)"""
+
+
+def merkle() -> str:
+    fields = "doc_id source lang n_chars text".split()
+    changed = [f"CASE WHEN bad THEN {c} + 1 ELSE {c} END" if c == "n_chars" else c for c in fields]
+    groups = "struct_pack(nul := lang IS NOT NULL, name := COALESCE(encode(lang), ''::BLOB))"
+    return f"""
+WITH RECURSIVE d AS (SELECT *, COALESCE({crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0, FALSE) AS bad FROM documents),
+l AS MATERIALIZED (SELECT doc_id, {groups} AS g, sha256({" || ".join(map(_field, fields))}) AS leaf, sha256({" || ".join(map(_field, changed))}) AS changed FROM d),
+r AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+la AS (SELECT g, pos, leaf AS d FROM r),
+{_fold("t", "la")},
+tm AS MATERIALIZED (SELECT g, level, pos, d FROM t),
+s AS MATERIALIZED (SELECT g, MAX_BY(d, level) AS subroot, ROW_NUMBER() OVER (ORDER BY g) - 1 AS place FROM tm GROUP BY g),
+sa AS (SELECT 0 AS g, place AS pos, subroot AS d FROM s),
+{_fold("u", "sa")},
+um AS MATERIALIZED (SELECT level, pos, d FROM u),
+heights AS (SELECT g, MAX(level) AS h FROM tm GROUP BY g),
+p AS (SELECT r.g, r.pos, x.lv, CAST(((r.pos >> x.lv) & 1) AS INT) AS odd, COALESCE(o.d, '') AS other FROM r JOIN heights USING (g)
+    CROSS JOIN LATERAL (SELECT UNNEST(range(0, h)) AS lv) x LEFT JOIN tm o ON o.g = r.g AND o.level = x.lv AND o.pos = xor(r.pos >> x.lv, 1)),
+pa AS (SELECT g, pos, list(struct_pack(a := CASE WHEN odd = 1 THEN other ELSE '' END, b := CASE WHEN odd = 1 THEN '' ELSE other END) ORDER BY lv) AS steps FROM p GROUP BY g, pos),
+q AS (SELECT s.g, x.lv, CAST(((place >> x.lv) & 1) AS INT) AS odd, COALESCE(o.d, '') AS other FROM s
+    CROSS JOIN LATERAL (SELECT UNNEST(range(0, (SELECT MAX(level) FROM um))) AS lv) x LEFT JOIN um o ON o.level = x.lv AND o.pos = xor(place >> x.lv, 1)),
+qa AS (SELECT g, list(struct_pack(a := CASE WHEN odd = 1 THEN other ELSE '' END, b := CASE WHEN odd = 1 THEN '' ELSE other END) ORDER BY lv) AS steps FROM q GROUP BY g),
+f AS (SELECT r.doc_id, r.leaf, s.subroot, (SELECT MAX_BY(d, level) FROM um) AS root, changed, list_concat(COALESCE(pa.steps, []), COALESCE(qa.steps, [])) AS steps
+    FROM r JOIN s USING (g) LEFT JOIN pa ON pa.g = r.g AND pa.pos = r.pos LEFT JOIN qa ON qa.g = r.g),
+z AS (SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda x: x.a || x.b), '')) AS proof_sha256,
+    list_reduce(list_prepend(struct_pack(a := changed, b := ''), steps), lambda x, y: struct_pack(a := sha256(y.a || x.a || y.b), b := '')).a AS folded_root FROM f)
+SELECT *, folded_root = root AS verified FROM z
+"""
+
+
 def secrets() -> str:
     parts = []
     for rank, rule in enumerate(RULES):

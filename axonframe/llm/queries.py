@@ -13,6 +13,7 @@ from axonframe.llm.common import shared_dir
 from axonframe.llm.fingerprints import compare_with_edits
 from axonframe.llm.jaccard_join import JoinParams, jaccard_components
 from axonframe.llm.licenses import scan_licenses
+from axonframe.llm.merkle import verify_documents
 from axonframe.llm.mixing import poisson_mix
 from axonframe.llm.packing import pack
 from axonframe.llm.quality import quality_rules
@@ -96,3 +97,8 @@ def op9_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_tokeniser_fertility")
 def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op11_merkle_descent", oracles.merkle())
+def op11_merkle_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify_documents(table(spark, sf_dir, "documents"))
