@@ -25,12 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from axonframe.llm.common import arrow_batches, written
+from axonframe.llm.common import arrow_batches, ranked, written
 
 #: The fields of a document that a leaf covers, in order.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -89,24 +89,6 @@ def folded(level: Sequence[str], arity: int) -> list[str]:
 # --- building --------------------------------------------------------------------------------
 
 
-def ranked(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
-    """Adds ``rank``, the place in ``order`` within the group from 0, and ``n``, the group's size.
-
-    Dealt by ranges of group and order, so a group that holds most rows spans many partitions. Each
-    partition is numbered as it is written; what precedes it is one row per group and partition that
-    the group touches.
-    """
-    keys = [F.col(c).asc_nulls_first() for c in (group, *order)]
-    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
-    parted = written(dealt, "ranked").withColumn("_range", F.shiftright("_id", 33))
-    counts = parted.groupBy(F.col(group).alias("_g"), F.col("_range").alias("_r")).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
-    of_group = Window.partitionBy("_g")
-    before = F.sum("_n").over(of_group.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("_g", "_r", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_n").over(of_group).alias("n"))
-    joined = parted.join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
-    return joined.withColumn("rank", F.col("_id") + F.col("_shift")).drop("_id", "_range", "_g", "_r", "_shift")
-
-
 def _records(nodes: DataFrame, shape: Shape, tier: int, height: int) -> DataFrame:
     """The records over ``nodes(grp, rank, n, digest)``, the n nodes of each group at this height.
 

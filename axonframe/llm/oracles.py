@@ -64,6 +64,34 @@ SELECT *, folded_root = root AS verified FROM z
 """
 
 
+TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v, ROW_NUMBER() OVER () AS r FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, a.r, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.r <> b.r AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+k AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 10
+"""
+
+
+def prefix_trie() -> str:
+    return rf"""
+WITH t AS (SELECT conv_id, turn, octet_length(encode(COALESCE(role, ''))) || ':' || COALESCE(role, '') || COALESCE(text, '') AS s,
+    len(regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(s ORDER BY turn NULLS FIRST, md5(s)) AS s, list(words ORDER BY turn NULLS FIRST, md5(s)) AS w, CAST({crc32("CAST(conv_id AS VARCHAR)")} % 4 AS INT) AS h FROM t GROUP BY conv_id),
+b AS (SELECT o.conv_id, list_concat(COALESCE(a.s[1 : o.h], []), o.s[o.h + 1 :]) AS s, list_concat(COALESCE(a.w[1 : o.h], []), o.w[o.h + 1 :]) AS w
+    FROM o LEFT JOIN o a ON a.conv_id = o.conv_id - o.conv_id % 20),
+e AS (SELECT *, UNNEST(range(0, len(s) + 1)) AS depth FROM b),
+n AS MATERIALIZED (SELECT s[1 : depth] AS k, depth, MIN(conv_id) AS conv_id, COUNT(*) AS n_convs, COALESCE(ANY_VALUE(w[depth]), 0) AS words,
+    sha256(COALESCE(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = len(s)), '')) AS ends_sha256 FROM e GROUP BY 1, 2),
+c AS (SELECT p.conv_id, p.depth, COUNT(*) AS n_children FROM n JOIN n p ON p.depth = n.depth - 1 AND p.k = n.k[1 : n.depth - 1] GROUP BY 1, 2),
+m AS (SELECT n.*, COALESCE(n_children, 0) AS n_children FROM n LEFT JOIN c USING (conv_id, depth)),
+u AS (SELECT *, UNNEST(range(0, depth + 1)) AS up FROM m),
+x AS (SELECT k[1 : up] AS k, up AS depth, COUNT(*) FILTER (n_children = 0) AS n_leaves, CAST(SUM((n_convs - 1) * words) AS BIGINT) AS saved_tokens FROM u GROUP BY 1, 2)
+SELECT m.conv_id, m.depth, p.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256
+FROM m JOIN x ON x.depth = m.depth AND x.k = m.k LEFT JOIN n p ON p.depth = m.depth - 1 AND p.k = m.k[1 : m.depth - 1]
+"""
+
+
 def secrets() -> str:
     parts = []
     for rank, rule in enumerate(RULES):

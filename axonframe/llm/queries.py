@@ -16,9 +16,11 @@ from axonframe.llm.licenses import scan_licenses
 from axonframe.llm.merkle import verify_documents
 from axonframe.llm.mixing import poisson_mix
 from axonframe.llm.packing import pack
+from axonframe.llm.prefix_trie import prefix_trie
 from axonframe.llm.quality import quality_rules
 from axonframe.llm.secret_scan import find_secrets, new_ledger
 from axonframe.llm.token_output import read_token_files, write_token_files
+from axonframe.llm.top_k import exact_top_k
 from axonframe.llm.toxicity import score_toxicity
 from axonframe.llm.warc import convert, read_warc, write_arc
 
@@ -102,3 +104,13 @@ def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_merkle_descent", oracles.merkle())
 def op11_merkle_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op12_prefix_trie", oracles.prefix_trie())
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_kd_tree_top_k", oracles.TOP_K)
+def op13_kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
