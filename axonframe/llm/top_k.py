@@ -12,7 +12,7 @@ left out, whole or in part, where their bound is below it. Nothing else is left
 exact, ties included, and the same for any sample.
 
 Vectors are integers: ``floor(scale * x)``. Sums that fit 53 bits are taken in doubles, others in
-64-bit or in Python's integers; scores are given as 64-bit numbers and end at their limits.
+64-bit or in Python's integers; scores beyond a long are cut to its limits before they are compared.
 
 Defined results: rows with a null id, and vectors that are null or hold null, NaN or infinite
 components, take no part. Vectors meet those of equal length only. Repeated rows are candidates of
@@ -141,7 +141,12 @@ def bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
     kind = safe(queries, np.maximum(np.abs(low), np.abs(high)))
     q, lo, hi = (x.astype(kind) for x in (queries, low, high))
     zero = np.zeros_like(q)
-    return np.maximum(q, zero) @ hi.T + np.minimum(q, zero) @ lo.T
+    return within_long(np.maximum(q, zero) @ hi.T + np.minimum(q, zero) @ lo.T)
+
+
+def within_long(scores: np.ndarray) -> np.ndarray:
+    """Python's integers cut at the limits of a long; the other types hold no larger ones."""
+    return np.minimum(np.maximum(scores, LONG.min), LONG.max) if scores.dtype == object else scores
 
 
 def best_first(tree: Tree, queries: np.ndarray, floor: list[int | None], ids: list[list[int]], most: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -162,7 +167,7 @@ def best_first(tree: Tree, queries: np.ndarray, floor: list[int | None], ids: li
                 heapq.heappush(open_nodes, (-of_node[right], right))
                 continue
             start, end = tree.span[node]
-            scores = points[start:end] @ q[row]
+            scores = within_long(points[start:end] @ q[row])
             for at in range(end - start) if kth is None else np.flatnonzero(scores >= kth):
                 score, point = int(scores[at]), int(start + at)
                 for vec_id in ids[tree.order[point]]:
@@ -369,11 +374,11 @@ def _search(routes: DataFrame, index: Index) -> DataFrame:
         dims, n = row["dims"], len(row["codes"])
         layout = np.frombuffer(row["tree"], "<i4")
         kids, span = np.split(layout[n:].reshape(-1, 2), 2)
-        tree = Tree(stacked(row["codes"], dims), layout[:n], kids, span, decode(row["low"]).reshape(-1, dims), decode(row["high"]).reshape(-1, dims))
+        tree = Tree(stacked(row["codes"], dims), layout[:n], kids, span, decode(row["low"]).reshape(len(kids), dims), decode(row["high"]).reshape(len(kids), dims))
         codes = asked["code"].to_pylist()
         out = []
         for code, best in zip(codes, best_first(tree, stacked(codes, dims), asked["kth"].to_pylist(), row["ids"], params.k + 1)):
-            out += [(code, min(max(score, LONG.min), LONG.max), -minus, row["codes"][point] == code) for score, minus, point in best]
+            out += [(code, score, -minus, row["codes"][point] == code) for score, minus, point in best]
         return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out) if out else ([],) * 4, schema)], schema=schema)
 
     loads = routes.groupBy(*SHARD).agg(F.ceil(F.count("*") / params.block).cast("int").alias("blocks"))
