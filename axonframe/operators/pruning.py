@@ -215,13 +215,13 @@ def near_pairs(pts: DataFrame, tolerance: float, end_tolerance: float, fraction:
 
 
 def bundle_coverage(candidates: DataFrame, reference: DataFrame, tolerance_mm: float) -> DataFrame:
-    """One row: mean distance candidate to reference, share of reference streamlines within
-    the tolerance of the candidates, and the median candidate length."""
-    forward = mean_cloud_distance(candidates, reference).agg(F.avg("mean_distance_mm").alias("forward_mean_mm"))
-    back = mean_cloud_distance(reference, candidates).agg(
+    """Mean distance candidate to reference, share of reference streamlines within the tolerance
+    of the candidates, and the median candidate length: one row, or one a subject."""
+    by = subject(candidates, reference)
+    one = F.lit(1).alias("_one")
+    forward = mean_cloud_distance(candidates, reference).groupBy(*by, one).agg(F.avg("mean_distance_mm").alias("forward_mean_mm"))
+    back = mean_cloud_distance(reference, candidates).groupBy(*by, one).agg(
         F.avg((F.col("mean_distance_mm") <= tolerance_mm).cast("double")).alias("coverage")
     )
-    lengths = order_statistics(streamline_length(candidates), "length_mm", {"median_length_mm": 0.5}).drop("n_finite")
-    one = F.lit(1).alias("_one")
-    parts = [df.select("*", one) for df in (forward, back, lengths)]
-    return parts[0].join(parts[1], "_one").join(parts[2], "_one").drop("_one")
+    lengths = order_statistics(streamline_length(candidates), "length_mm", {"median_length_mm": 0.5}, by).drop("n_finite").withColumn("_one", F.lit(1))
+    return forward.join(back, by + ["_one"]).join(lengths, by + ["_one"]).drop("_one")

@@ -274,11 +274,14 @@ def length_filter(pts: DataFrame, min_mm: float | None = None, max_mm: float | N
     return lengths.withColumn("length_mm", length).filter(test)
 
 
-def mean_cloud_distance(pts: DataFrame, ref_pts: DataFrame) -> DataFrame:
-    """Mean over vertices of the distance to the nearest reference point."""
-    keys = streamline_keys(pts)
-    rows = pts.select(*keys, "point_idx", *XYZ)
-    return distance_to_cloud(rows, ref_pts).groupBy(*keys).agg(
+def mean_cloud_distance(
+    pts: DataFrame, ref_pts: DataFrame, by: Iterable[str] | None = None, keys: Iterable[str] | None = None
+) -> DataFrame:
+    """Mean over the vertices of each ``keys`` (a streamline) of the distance to the nearest
+    reference point with the same ``by`` (its subject)."""
+    keys = list(keys or streamline_keys(pts))
+    rows = pts.select(*keys, *XYZ)
+    return distance_to_cloud(rows, ref_pts, by).groupBy(*keys).agg(
         F.avg("distance").alias("mean_distance_mm")
     )
 
@@ -355,9 +358,9 @@ def puri_threshold(scores: DataFrame, fraction: float, score: str = "fico") -> D
 
 
 def parcel_select(labels: DataFrame, chosen: Iterable[int] | None = None) -> DataFrame:
-    """The chosen labels; an empty or missing choice means every non-zero label."""
+    """The chosen labels of each subject; an empty or missing choice means every non-zero label."""
     chosen = [int(v) for v in chosen or []]
-    distinct = labels.select("label").distinct()
+    distinct = labels.select(*subject(labels), "label").distinct()
     return distinct.filter(F.col("label").isin(chosen)) if chosen else distinct.filter(F.col("label") != 0)
 
 

@@ -10,16 +10,28 @@ from pyspark.sql import functions as F
 
 from axonframe.functions.color import clamp01, map_colors
 from axonframe.functions.geometry import XYZ, norm
-from axonframe.functions.nearest import nearest_in_radius
-from axonframe.functions.scan import cut_lineage, is_finite, lookup, streamline_keys
+from axonframe.functions.nearest import nearest
+from axonframe.functions.scan import cut_lineage, is_finite, lookup, streamline_keys, subject
 from axonframe.operators.selection import keep, select_field
 
 
+def surface_keys(*frames: DataFrame) -> list[str]:
+    """The columns that tell surfaces apart, where every frame carries them."""
+    return [c for c in ("subject_id", "surface_id") if all(c in f.columns for f in frames)]
+
+
 def nearest_vertex(pts: DataFrame, vertices: DataFrame, depth_mm: float) -> DataFrame:
-    """Nearest surface vertex within ``depth_mm`` of each point; the smaller id wins a tie."""
+    """Nearest surface vertex within ``depth_mm`` of each point; the smaller id wins a tie.
+
+    Points meet the surfaces of their subject, each surface for itself.
+    """
     keys = streamline_keys(pts) + ["point_idx"]
-    found = nearest_in_radius(pts.select(*keys, *XYZ), vertices, "vertex_id", depth_mm)
-    return found.select(*keys, F.col("nearest").alias("vertex_id"), "d2")
+    rows, by = pts.select(*keys, *XYZ), subject(pts, vertices)
+    if "surface_id" in vertices.columns:
+        names = vertices.select(*by, "surface_id").distinct().withColumn("_one", F.lit(1))
+        rows, by = lookup(rows.withColumn("_one", F.lit(1)), names, [*by, "_one"]).drop("_one"), [*by, "surface_id"]
+    found = nearest(rows, vertices, "vertex_id", by, depth_mm).filter(F.col("d2").isNotNull())
+    return found.select(*keys, *[c for c in by if c not in keys], F.col("nearest").alias("vertex_id"), "d2")
 
 
 def surface_density(
@@ -28,12 +40,11 @@ def surface_density(
 ) -> DataFrame:
     """Streamline vertices assigned to each surface vertex, zeros included."""
     hits = nearest_vertex(keep(pts, sel), vertices, depth_mm)
+    on = [*surface_keys(hits, vertices), "vertex_id"]
     if distinct_streamlines:
-        hits = hits.select(*streamline_keys(pts), "vertex_id").distinct()
-    counts = hits.groupBy("vertex_id").agg(F.count("*").alias("density"))
-    return vertices.select("vertex_id").join(counts, "vertex_id", "left").withColumn(
-        "density", F.coalesce("density", F.lit(0))
-    )
+        hits = hits.select(*{*streamline_keys(pts), *on}).distinct()
+    counts = hits.groupBy(*on).agg(F.count("*").alias("density"))
+    return vertices.select(*on).join(counts, on, "left").withColumn("density", F.coalesce("density", F.lit(0)))
 
 
 def surface_mean_dps(
@@ -45,21 +56,18 @@ def surface_mean_dps(
     """
     keys = streamline_keys(pts, dps)
     hits = nearest_vertex(keep(pts, sel), vertices, depth_mm)
-    contacts = hits.groupBy("vertex_id", *keys).agg(F.count("*").alias("_n"))
+    on = [*surface_keys(hits, vertices), "vertex_id"]
+    contacts = hits.groupBy(*dict.fromkeys([*on, *keys])).agg(F.count("*").alias("_n"))
     values = select_field(dps, field).select(*keys, F.col("value").alias("_v"))
     weighted = lookup(contacts, values, keys, "left")
-    means = weighted.groupBy("vertex_id").agg(
-        F.count("*").alias("_rows"),
-        (F.sum(F.col("_n") * F.coalesce("_v", F.lit(0.0))) / F.sum("_n")).alias("mean_value"),
-    )
-    return vertices.select("vertex_id").join(means.drop("_rows"), "vertex_id", "left").withColumn(
-        "mean_value", F.coalesce("mean_value", F.lit(float("nan")))
-    )
+    mean = F.sum(F.col("_n") * F.coalesce("_v", F.lit(0.0))) / F.sum("_n")
+    means = weighted.groupBy(*on).agg(mean.alias("mean_value"))
+    return vertices.select(*on).join(means, on, "left").withColumn("mean_value", F.coalesce("mean_value", F.lit(float("nan"))))
 
 
 def triangle_corners(triangles: DataFrame, vertices: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Triangles with their three corner positions (a, b, c structs)."""
-    on = [c for c in ("subject_id", "surface_id") if c in triangles.columns and c in vertices.columns]
+    on = surface_keys(triangles, vertices)
     out = triangles
     for n, name in enumerate("abc"):
         corner = vertices.select(*on, F.col("vertex_id").alias(f"v{n}"), F.struct(*XYZ).alias(name))
@@ -77,7 +85,7 @@ def _cross(u: Sequence[Column], v: Sequence[Column]) -> list[Column]:
 
 def vertex_normals(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     """Unit sum of the cross products of each vertex's faces; zero without a face."""
-    on = [c for c in ("subject_id", "surface_id") if c in vertices.columns]
+    on = surface_keys(vertices)
     faces = triangle_corners(triangles, vertices)
     n = _cross(_minus(F.col("b"), F.col("a")), _minus(F.col("c"), F.col("a")))
     faces = faces.select(*on, F.explode(F.array("v0", "v1", "v2")).alias("vertex_id"), *[v.alias(f"_n{c}") for v, c in zip(n, XYZ)])
@@ -90,10 +98,10 @@ def vertex_normals(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
 
 
 def component_volume(corners: DataFrame, component: str = "component") -> DataFrame:
-    """Absolute signed volume per component of a table with corners a, b, c."""
+    """Absolute signed volume per surface and component of a table with corners a, b, c."""
     cross = _cross([F.col("b")[c] for c in XYZ], [F.col("c")[c] for c in XYZ])
     signed = (F.col("a")["x"] * cross[0] + F.col("a")["y"] * cross[1] + F.col("a")["z"] * cross[2]) / 6.0
-    return corners.groupBy(component).agg(F.abs(F.sum(signed)).alias("volume_mm3"), F.count("*").alias("n_triangles"))
+    return corners.groupBy(*surface_keys(corners), component).agg(F.abs(F.sum(signed)).alias("volume_mm3"), F.count("*").alias("n_triangles"))
 
 
 def connect(edges: DataFrame) -> DataFrame:
@@ -176,7 +184,7 @@ def mesh_plane_segments(triangles: DataFrame, vertices: DataFrame, axis: int, po
     found = F.array_distinct(F.filter(F.array(hit(a, b), hit(b, c), hit(c, a)), lambda p: p.isNotNull()))
     cut = corners.withColumn("_h", found).filter(F.size("_h") >= 2)
     start, stop = F.get("_h", F.lit(0)), F.get("_h", F.lit(1))
-    return cut.select("tri_id", *[start[n].alias(f"a{n}") for n in XYZ], *[stop[n].alias(f"b{n}") for n in XYZ])
+    return cut.select(*surface_keys(cut), "tri_id", *[start[n].alias(f"a{n}") for n in XYZ], *[stop[n].alias(f"b{n}") for n in XYZ])
 
 
 @dataclass(frozen=True)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axonframe.functions.geometry import Grid, points_to_voxels
-from axonframe.functions.scan import lookup, streamline_keys, voxel_keys
+from axonframe.functions.geometry import XYZ, Grid, points_to_voxels
+from axonframe.functions.scan import cut_lineage, lookup, streamline_keys, subject, voxel_keys
 from axonframe.operators.geometry import endpoint_rows, streamline_length
-from axonframe.operators.selection import ids, mean_cloud_distance, touched_voxels
+from axonframe.operators.selection import ids, keep, mean_cloud_distance, touched_voxels
 
 OUTCOMES = (
     "reject_roa", "reject_min_length", "reject_roi", "reject_no_end", "reject_end",
@@ -16,70 +18,190 @@ OUTCOMES = (
 )
 
 
+@dataclass
+class Classified:
+    """Outcomes of all (streamline, bundle) pairs, those without contact as counts.
+
+    ``touched``: streamline keys, bundle_id, outcome of the pairs that had to be looked at.
+    ``untouched``: bundle_id, outcome, attempts of the others; their outcome follows from the
+    length alone. ``classes``: bundle_id, length_class and that outcome. ``lengths``: streamline
+    keys, length_class.
+    """
+
+    touched: DataFrame
+    untouched: DataFrame
+    classes: DataFrame
+    lengths: DataFrame
+
+    def accepted(self, bundle_id: str | None = None) -> DataFrame:
+        """The accepted pairs, of one bundle or of all."""
+        wanted = F.lit(True) if bundle_id is None else F.col("bundle_id") == bundle_id
+        return self.pairs(wanted, "accept").drop("outcome")
+
+    def pairs(self, bundles: Column | None = None, outcome: str | None = None) -> DataFrame:
+        """All pairs with their outcome, one row each: as many as streamlines times bundles, so for
+        plans of a few bundles, or with ``outcome`` for what is wanted of many."""
+        keys = streamline_keys(self.lengths)
+        by = subject(self.lengths, self.classes)
+        bundles = F.lit(True) if bundles is None else bundles
+        of = F.lit(True) if outcome is None else F.col("outcome") == outcome
+        blank = lookup(self.lengths, self.classes.filter(bundles & of), [*by, "length_class"], spread=True)
+        rest = blank.select(*keys, "bundle_id", "outcome").join(self.touched, [*keys, "bundle_id"], "left_anti")
+        return self.touched.filter(bundles & of).unionByName(rest)
+
+
 def bundle_classify(
     pts: DataFrame,
     rules: DataFrame,
     params: DataFrame,
     masks: DataFrame,
     grid: Grid,
-    references: dict[str, DataFrame] | None = None,
-) -> DataFrame:
-    """(streamline, bundle_id, outcome): ``accept`` or the first rule that fails.
+    references: DataFrame | None = None,
+) -> Classified:
+    """``accept`` or the first rule that fails, for each streamline and each bundle of its plan.
 
     Order: roa, minimum length, roi, no_end, end, mean distance to the reference, maximum
-    length. All bundles are judged in one pass over the contacts: one row per (streamline,
-    mask) and then one per (streamline, bundle).
+    length. Only pairs with a contact are looked at: a vertex in one of the bundle's masks or, for
+    a bundle that asks for no mask, near its ``references`` (bundle_id, x, y, z). What happens to
+    the others depends on the length class only, an interval between the limits of all bundles,
+    so they are counted per class. Distances are found last, for pairs that passed the rules before,
+    in one search keyed by bundle. Plans, masks and references are per subject where they carry one.
     """
     keys = streamline_keys(pts)
-    used = masks.join(rules.select("mask_id").distinct(), "mask_id", "left_semi")
-    on = voxel_keys(pts, masks)
-    body = lookup(touched_voxels(pts, grid, "floor"), used, on, spread=True).select(*keys, "mask_id", F.lit(False).alias("at_end"))
-    ends = points_to_voxels(endpoint_rows(pts).filter(F.col("n_points") >= 2), grid, "floor")
-    tips = lookup(ends, used, on, spread=True).select(*keys, "mask_id", F.lit(True).alias("at_end"))
-    contacts = body.unionByName(tips).groupBy(*keys, "mask_id").agg(F.max("at_end").alias("at_end"))
-    met = lookup(contacts, rules.distinct(), ["mask_id"], spread=True)
-    flags = met.groupBy(*keys, "bundle_id").agg(
-        F.max(F.col("role") == "roa").alias("_roa"),
-        F.count_if(F.col("role") == "roi").alias("_roi"),
-        F.max((F.col("role") == "no_end") & F.col("at_end")).alias("_no_end"),
-        F.count_if((F.col("role") == "end") & F.col("at_end")).alias("_end"),
-    )
-    wanted = rules.distinct().groupBy("bundle_id").agg(
+    by = subject(pts, params)
+    on_plan = [*by, "bundle_id"]
+    rules = rules.select(*subject(pts, rules), "bundle_id", "role", "mask_id").distinct()
+    limits = params.select(*on_plan, *[F.col(c).cast("double").alias(c) for c in ("min_len_mm", "max_len_mm", "max_hausdorff_mm")])
+    wanted = rules.groupBy(*subject(rules), "bundle_id").agg(
         F.count_if(F.col("role") == "roi").alias("_want_roi"), F.count_if(F.col("role") == "end").alias("_want_end")
     )
+    plan = limits.join(wanted, [*subject(limits, rules), "bundle_id"], "left").fillna(0, ["_want_roi", "_want_end"])
+    has_ref = F.lit(False)
+    if references is not None:
+        named = references.select(*subject(limits, references), "bundle_id").distinct().withColumn("_ref", F.lit(True))
+        plan = plan.join(named, [*subject(limits, references), "bundle_id"], "left")
+        has_ref = F.coalesce(F.col("_ref"), F.lit(False)) & F.col("max_hausdorff_mm").isNotNull()
+    plan = cut_lineage(plan.withColumn("_measured", has_ref).drop("_ref"))
+
     lengths = ids(pts).join(streamline_length(pts), keys, "left").withColumn("length_mm", F.coalesce("length_mm", F.lit(0.0)))
-    # Every streamline is judged for every bundle: one row with all names beside each.
-    names = params.agg(F.collect_set("bundle_id").alias("_names")).withColumn("_one", F.lit(1))
-    judged = lengths.withColumn("_one", F.lit(1)).join(names, "_one").drop("_one")
-    judged = judged.withColumn("bundle_id", F.explode("_names")).drop("_names")
-    judged = lookup(judged, params.select("bundle_id", "min_len_mm", "max_len_mm", "max_hausdorff_mm"), ["bundle_id"])
-    judged = lookup(judged, wanted, ["bundle_id"], "left")
-    judged = judged.join(flags, keys + ["bundle_id"], "left")
+    lengths = cut_lineage(_length_classes(lengths, plan, by))
+    classes = cut_lineage(_blank_outcomes(lengths, plan, by))
 
-    far = F.lit(False)
-    for n, (bundle, cloud) in enumerate(sorted((references or {}).items())):
-        means = mean_cloud_distance(pts, cloud).withColumnRenamed("mean_distance_mm", f"_far{n}")
-        judged = judged.join(means, keys, "left")
-        far = far | ((F.col("bundle_id") == bundle) & (F.col(f"_far{n}") > F.col("max_hausdorff_mm")))
+    flags = _contacts(pts, rules, masks, grid)
+    near = None if references is None else _near_references(pts, plan, references, by)
+    met = flags if near is None else flags.join(near, [*keys, "bundle_id"], "full")
+    judged = lookup(met, lengths, keys)
+    judged = lookup(judged, plan, on_plan, spread=True)
 
-    def count(name: str):
+    def count(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(0))
 
-    tests = (
+    tests = [
         F.coalesce(F.col("_roa"), F.lit(False)),
         F.col("length_mm") < F.col("min_len_mm"),
-        count("_roi") < count("_want_roi"),
+        count("_roi") < F.col("_want_roi"),
         F.coalesce(F.col("_no_end"), F.lit(False)),
-        count("_end") < count("_want_end"),
-        far,
+        count("_end") < F.col("_want_end"),
+    ]
+    judged = judged.withColumn("_first", _first(tests, OUTCOMES))
+    judged = judged.select(*keys, "bundle_id", "_first", "_measured", "length_mm", "max_len_mm", "max_hausdorff_mm")
+    judged = cut_lineage(judged)
+    far = F.lit(False)
+    if references is not None:
+        open_pairs = judged.filter(F.col("_first").isNull() & F.col("_measured")).select(*keys, "bundle_id")
+        vertices = lookup(open_pairs, pts.select(*keys, "point_idx", *XYZ), keys)
+        far_by = [*subject(pts, references), "bundle_id"]
+        means = mean_cloud_distance(vertices, references, far_by, [*keys, "bundle_id"])
+        judged = judged.join(means, [*keys, "bundle_id"], "left")
+        far = F.col("_measured") & (F.col("mean_distance_mm") > F.col("max_hausdorff_mm"))
+    last = _first([far, F.col("length_mm") > F.col("max_len_mm")], OUTCOMES[5:])
+    touched = judged.select(*keys, "bundle_id", F.coalesce("_first", last, F.lit("accept")).alias("outcome"))
+    touched = cut_lineage(touched)
+
+    # Without the pairs that were looked at, by what they would have had without contact.
+    sizes = lengths.groupBy(*by, "length_class").agg(F.count("*").alias("n"))
+    total = sizes.join(classes, [*by, "length_class"]).groupBy(*on_plan, "outcome").agg(F.sum("n").alias("n"))
+    seen = lookup(touched.select(*keys, "bundle_id"), lengths.select(*keys, "length_class"), keys)
+    seen = lookup(seen, classes, [*by, "length_class", "bundle_id"], spread=True)
+    seen = seen.groupBy(*on_plan, "outcome").agg((-F.count("*")).alias("n"))
+    untouched = total.unionByName(seen).groupBy(*on_plan, "outcome").agg(F.sum("n").alias("attempts")).filter("attempts > 0")
+    return Classified(touched, untouched, classes, lengths.select(*keys, "length_class"))
+
+
+def _first(tests: list[Column], names: tuple[str, ...]) -> Column:
+    return F.coalesce(*[F.when(test, F.lit(name)) for test, name in zip(tests, names)])
+
+
+def _length_classes(lengths: DataFrame, plan: DataFrame, by: list[str]) -> DataFrame:
+    """Adds ``length_class``: which of the plan's length limits lie below, and which are met exactly."""
+    cuts = plan.select(*by, F.explode(F.array("min_len_mm", "max_len_mm")).alias("_cut"))
+    cuts = cuts.groupBy(*by, F.lit(1).alias("_one")).agg(F.sort_array(F.collect_set("_cut")).alias("_cuts"))
+    placed = lookup(lengths.withColumn("_one", F.lit(1)), cuts, [*by, "_one"], "left")
+    below = F.size(F.filter("_cuts", lambda c: c < F.col("length_mm"))) + F.size(F.filter("_cuts", lambda c: c <= F.col("length_mm")))
+    return placed.withColumn("length_class", F.coalesce(below, F.lit(0))).drop("_one", "_cuts")
+
+
+def _blank_outcomes(lengths: DataFrame, plan: DataFrame, by: list[str]) -> DataFrame:
+    """``bundle_id, length_class, outcome`` of pairs without contact: classes times bundles, whatever the data."""
+    sample = lengths.groupBy(*by, "length_class").agg(F.min("length_mm").alias("length_mm")).withColumn("_one", F.lit(1))
+    each = sample.join(plan.withColumn("_one", F.lit(1)), [*by, "_one"])
+    tests = [
+        F.col("length_mm") < F.col("min_len_mm"), F.col("_want_roi") > 0, F.col("_want_end") > 0, F.col("_measured"),
         F.col("length_mm") > F.col("max_len_mm"),
+    ]
+    found = _first(tests, (OUTCOMES[1], OUTCOMES[2], OUTCOMES[4], OUTCOMES[5], OUTCOMES[6]))
+    return each.select(*by, "bundle_id", "length_class", F.coalesce(found, F.lit("accept")).alias("outcome"))
+
+
+def _contacts(pts: DataFrame, rules: DataFrame, masks: DataFrame, grid: Grid) -> DataFrame:
+    """``_roa, _roi, _no_end, _end`` of each (streamline, bundle) with a vertex in one of its masks."""
+    keys = streamline_keys(pts)
+    judging = rules.filter(F.col("role").isin("roa", "roi", "no_end", "end"))
+    used = masks.join(judging.select(*subject(masks, rules), "mask_id").distinct(), [*subject(masks, rules), "mask_id"], "left_semi")
+    on = voxel_keys(pts, masks)
+    body = lookup(touched_voxels(pts, grid, "floor"), used, on, spread=True).select(*keys, "mask_id", F.lit(False).alias("at_end"))
+    ends = points_to_voxels(endpoint_rows(pts).filter(F.col("n_points") >= 2), grid, "floor")
+    tips = lookup(ends, used, on, spread=True).select(*keys, "mask_id", F.lit(True).alias("at_end"))
+    contacts = body.unionByName(tips).groupBy(*keys, "mask_id").agg(F.max("at_end").alias("at_end"))
+    met = lookup(contacts, judging, [*subject(pts, rules), "mask_id"], spread=True)
+    role = F.col("role")
+    return met.groupBy(*keys, "bundle_id").agg(
+        F.max(role == "roa").alias("_roa"),
+        F.count_if(role == "roi").alias("_roi"),
+        F.max((role == "no_end") & F.col("at_end")).alias("_no_end"),
+        F.count_if((role == "end") & F.col("at_end")).alias("_end"),
     )
-    outcome = F.lit("accept")
-    for test, name in reversed(list(zip(tests, OUTCOMES))):
-        outcome = F.when(test, F.lit(name)).otherwise(outcome)
-    return judged.select(*keys, "bundle_id", outcome.alias("outcome"))
 
 
-def rejection_summary(classified: DataFrame) -> DataFrame:
-    """Attempts per bundle and outcome, with bundle and grand totals (NULL keys)."""
-    return classified.rollup("bundle_id", "outcome").agg(F.count("*").alias("attempts"))
+def _near_references(pts: DataFrame, plan: DataFrame, references: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs that a mean distance within the limit is possible for, of bundles that ask for no mask.
+
+    A mean within the limit takes a vertex within it, so the two share a cell as wide as the
+    largest limit, or lie in adjacent ones.
+    """
+    keys = streamline_keys(pts)
+    free = plan.filter(F.col("_measured") & (F.col("_want_roi") == 0) & (F.col("_want_end") == 0))
+    wide = free.groupBy(*by, F.lit(1).alias("_one")).agg(F.greatest(F.max("max_hausdorff_mm"), F.lit(1e-3)).alias("_wide"))
+    cell = [F.floor(F.col(c) / F.col("_wide")).alias(f"_{c}") for c in XYZ]
+    clouds = lookup(references, free.select(*by, "bundle_id"), [*subject(references, free), "bundle_id"]).withColumn("_one", F.lit(1))
+    clouds = lookup(clouds, wide, [*subject(clouds, wide), "_one"]).select(*subject(clouds, wide), "bundle_id", *cell).distinct()
+    for c in XYZ:
+        clouds = clouds.withColumn(f"_{c}", F.explode(F.array(*[F.col(f"_{c}") + n for n in (-1, 0, 1)])))
+    seated = lookup(pts.withColumn("_one", F.lit(1)), wide, [*by, "_one"]).select(*keys, *cell).distinct()
+    return lookup(seated, clouds.distinct(), [*subject(seated, clouds), *[f"_{c}" for c in XYZ]], spread=True).select(*keys, "bundle_id").distinct()
+
+
+def keep_accepted(pts: DataFrame, found: Classified, bundle_id: str) -> DataFrame:
+    """The vertices of the streamlines that the bundle accepts."""
+    return keep(pts, found.accepted(bundle_id).select(*streamline_keys(pts)))
+
+
+def rejection_summary(found: Classified) -> DataFrame:
+    """Attempts per bundle and outcome, with bundle and grand totals (NULL keys), per subject if there are several."""
+    by = subject(found.touched, found.untouched)
+    looked_at = found.touched.groupBy(*by, "bundle_id", "outcome").agg(F.count("*").alias("attempts"))
+    counts = looked_at.unionByName(found.untouched.select(*by, "bundle_id", "outcome", "attempts"))
+    if not by:
+        return counts.rollup("bundle_id", "outcome").agg(F.sum("attempts").alias("attempts"))
+    levels = counts.groupingSets([[*by, "bundle_id", "outcome"], [*by, "bundle_id"], [*by]], *by, "bundle_id", "outcome")
+    return levels.agg(F.sum("attempts").alias("attempts"))

@@ -1,4 +1,4 @@
-"""A bundle plan from a reference bundle and an orientation field."""
+"""Bundle plans from reference bundles and an orientation field, for a whole cohort at once."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axonframe.functions.geometry import Grid, min_voxel_size
+from axonframe.functions.scan import subject
 from axonframe.operators.geometry import length_extents, voxelize_streamlines
 from axonframe.operators.orientation import primary_peak_volume
 from axonframe.operators.selection import subsample_points
@@ -16,21 +17,13 @@ from axonframe.operators.volumes import mask_dilate
 
 @dataclass(frozen=True)
 class ReferencePlan:
-    limiting: DataFrame
-    seed: DataFrame
-    no_end: DataFrame
-    reference_points: DataFrame
-    min_len_mm: float | None
-    max_len_mm: float | None
-    max_hausdorff_mm: float
+    """Plans keyed by bundle_id, and by subject_id where the reference carries one: ``rules`` and
+    ``masks`` (limiting, seed, no_end), ``params``, and the ``references`` of the distance rule."""
 
-    def masks(self, bundle_id: str) -> DataFrame:
-        """The three masks as one ``mask_voxels`` table."""
-        named = [
-            m.withColumn("mask_id", F.lit(f"{bundle_id}_{n}"))
-            for n, m in (("limiting", self.limiting), ("seed", self.seed), ("no_end", self.no_end))
-        ]
-        return named[0].unionByName(named[1]).unionByName(named[2])
+    rules: DataFrame
+    masks: DataFrame
+    params: DataFrame
+    references: DataFrame
 
 
 def prepare_reference_plan(
@@ -45,34 +38,53 @@ def prepare_reference_plan(
     seed_factor: float = 0.5,
     no_end_factor: float = 0.9,
     max_reference_points: int | None = None,
+    bundle: str = "reference",
 ) -> ReferencePlan:
     """Limiting = coverage dilated by the tolerance; seed = coverage dilated by the seed
     tolerance where the metric reaches its share of the Otsu threshold; no_end = limiting
     where the metric exceeds its share; lengths from the reference widened by two
-    tolerances. All reference points are kept unless ``max_reference_points`` asks for a sample."""
-    coverage = voxelize_streamlines(ref_pts, grid)
+    tolerances. All reference points are kept unless ``max_reference_points`` asks for a sample
+    of each bundle. ``ref_pts`` may carry ``bundle_id``; else all of it is ``bundle``."""
+    own = subject(ref_pts)
+    rows = ref_pts if "bundle_id" in ref_pts.columns else ref_pts.withColumn("bundle_id", F.lit(bundle))
+    on = [*own, "bundle_id"]
+    # The operators below keep subjects apart; here a subject's bundles are kept apart the same way.
+    owned = rows.withColumn("subject_id", F.struct(*on)).drop("bundle_id")
+    back = [F.col(f"subject_id.{c}").alias(c) for c in on]
+    coverage = voxelize_streamlines(owned, grid)
     size = max(min_voxel_size(grid.affine), 1e-6)
     near = min(max(seed_tolerance_mm, 0.0), tolerance_mm)
     limiting = mask_dilate(coverage, grid, max(tolerance_mm / size, 0.0))
     envelope = limiting if near >= tolerance_mm else mask_dilate(coverage, grid, near / size)
     peaks = primary_peak_volume(fixels, odx_voxels, metric)
-    on = ["i", "j", "k"]
 
     def gated(mask: DataFrame, cut: float, inclusive: bool) -> DataFrame:
         # A voxel without a fixel counts as 0.
         value = F.coalesce("value", F.lit(0.0))
         test = value >= cut if inclusive else value > cut
-        return mask.join(peaks.select(*on, "value"), on, "left").filter(test).select(*on)
+        at = [*subject(mask, peaks), "i", "j", "k"]
+        return mask.join(peaks.select(*at, "value"), at, "left").filter(test)
 
-    extents = length_extents(ref_pts).first()
-    shortest, longest = (float(extents["min_length_mm"]), float(extents["max_length_mm"])) if extents else (0.0, 0.0)
+    limiting, envelope = (m.select(*back, "i", "j", "k") for m in (limiting, envelope))
+    named = {"limiting": limiting, "seed": gated(envelope, seed_factor * otsu, True), "no_end": gated(limiting, no_end_factor * otsu, False)}
+    masks = None
+    for name, mask in named.items():
+        part = mask.select(*on, F.concat(F.col("bundle_id"), F.lit(f"_{name}")).alias("mask_id"), F.lit(name).alias("role"), "i", "j", "k")
+        masks = part if masks is None else masks.unionByName(part)
     tol = max(tolerance_mm, 0.0)
+    # The extents are of the positive lengths; a bundle without any has no limits.
+    bundles = owned.select("subject_id").distinct().join(length_extents(owned), "subject_id", "left")
+    shortest, longest = F.col("min_length_mm"), F.col("max_length_mm")
+    params = bundles.select(
+        *back,
+        F.when(shortest > 0, F.greatest(F.lit(float(tol)), shortest - 2 * tol)).alias("min_len_mm"),
+        F.when(longest > 0, longest + 2 * tol).alias("max_len_mm"),
+        F.lit(float(tolerance_mm)).alias("max_hausdorff_mm"),
+    )
+    kept = owned if max_reference_points is None else subsample_points(owned, max_reference_points)
     return ReferencePlan(
-        limiting=limiting.select(*on),
-        seed=gated(envelope, seed_factor * otsu, True),
-        no_end=gated(limiting, no_end_factor * otsu, False),
-        reference_points=ref_pts if max_reference_points is None else subsample_points(ref_pts, max_reference_points),
-        min_len_mm=max(tol, shortest - 2 * tol, 0.0) if shortest > 0 else None,
-        max_len_mm=longest + 2 * tol if longest > 0 else None,
-        max_hausdorff_mm=tolerance_mm,
+        rules=masks.select(*on, "role", "mask_id").distinct(),
+        masks=masks.select(*own, "mask_id", "i", "j", "k"),
+        params=params,
+        references=kept.select(*back, *[c for c in kept.columns if c not in on and c != "subject_id"]),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from axonframe.functions import geometry as geo
 from axonframe.functions.scan import cut_lineage, small_table
 from axonframe.functions.sphere import icosphere, nearest_bin, neighbour_pairs
-from axonframe.operators import coloring, fields, pruning, shapes, surfaces
+from axonframe.operators import coloring, fields, pruning, selection, shapes, surfaces
 from axonframe.operators import geometry as og
 from axonframe.operators.volumes import iso_level
 from axonframe.plans import classify, envelope, reference, roi, rules
@@ -49,6 +49,32 @@ def surface_mean_dps(spark, sf):
     return out.select("vertex_id", r(F.nanvl("mean_value", F.lit(None).cast("double")), 4).alias("mean_value"))
 
 
+CNV = """nv AS (SELECT subject_id, p.streamline_id, p.point_idx, s.vertex_id, (p.x-s.x)*(p.x-s.x) + (p.y-s.y)*(p.y-s.y) + (p.z-s.z)*(p.z-s.z) AS d2
+    FROM cpts p JOIN csrf s USING (subject_id) WHERE s.x BETWEEN p.x - 6 AND p.x + 6 AND (p.x-s.x)*(p.x-s.x) + (p.y-s.y)*(p.y-s.y) + (p.z-s.z)*(p.z-s.z) <= 36
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY subject_id, p.streamline_id, p.point_idx ORDER BY d2, s.vertex_id) = 1)"""
+
+
+def _cohort_surface(spark, sf):
+    return fx.by_subject(fx.points(spark, sf)), fx.by_subject(fx.surface(spark, sf), "vertex_id")
+
+
+@query("nearest_vertex_cohort", sql("cpts csrf", f"WITH {CNV} SELECT subject_id, streamline_id, point_idx, vertex_id, d2 FROM nv"))
+def nearest_vertex_cohort(spark, sf):
+    return surfaces.nearest_vertex(*_cohort_surface(spark, sf), 6.0)
+
+
+@query("surface_density_cohort", sql("cpts csrf", f"WITH {CNV} SELECT subject_id, vertex_id, CAST(COUNT(nv.vertex_id) AS BIGINT) AS density FROM csrf LEFT JOIN nv USING (subject_id, vertex_id) GROUP BY 1, 2"))
+def surface_density_cohort(spark, sf):
+    return surfaces.surface_density(*_cohort_surface(spark, sf), 6.0)
+
+
+@query("surface_mean_dps_cohort", sql("cpts csrf cdps", f"WITH {CNV} SELECT subject_id, vertex_id, {R('AVG(CASE WHEN streamline_id IS NOT NULL THEN COALESCE(value, 0) END)', 4)} AS mean_value FROM csrf LEFT JOIN nv USING (subject_id, vertex_id) LEFT JOIN cdps USING (subject_id, streamline_id) GROUP BY 1, 2"))
+def surface_mean_dps_cohort(spark, sf):
+    """NaN (no contact) is shown as NULL."""
+    out = surfaces.surface_mean_dps(*_cohort_surface(spark, sf), 6.0, fx.by_subject(fx.dps(spark, sf)), "price")
+    return out.select("subject_id", "vertex_id", r(F.nanvl("mean_value", F.lit(None).cast("double")), 4).alias("mean_value"))
+
+
 NORMAL = """(by_-ay)*(cz-az) - (bz-az)*(cy-ay) AS nx, (bz-az)*(cx-ax) - (bx-ax)*(cz-az) AS ny, (bx-ax)*(cy-ay) - (by_-ay)*(cx-ax) AS nz"""
 
 
@@ -359,7 +385,8 @@ def purifibre(spark, sf):
     return kept
 
 
-COVER = """ref AS (SELECT * FROM pts WHERE streamline_id % 53 = 2), cand AS (SELECT * FROM pts WHERE streamline_id % 11 = 3),
+# Candidates are the streamlines of group N, the reference those of group R.
+COVER = """ref AS (SELECT pts.* FROM pts JOIN grp USING (streamline_id) WHERE group_name = 'R'), cand AS (SELECT pts.* FROM pts JOIN grp USING (streamline_id) WHERE group_name = 'N'),
     rx AS (SELECT DISTINCT x, y, z FROM ref), cx AS (SELECT DISTINCT x, y, z FROM cand),
     fd AS (SELECT c.x, c.y, c.z, SQRT(MIN((c.x-r.x)*(c.x-r.x) + (c.y-r.y)*(c.y-r.y) + (c.z-r.z)*(c.z-r.z))) AS d FROM cx c, rx r GROUP BY 1, 2, 3),
     bd AS (SELECT r.x, r.y, r.z, SQRT(MIN((c.x-r.x)*(c.x-r.x) + (c.y-r.y)*(c.y-r.y) + (c.z-r.z)*(c.z-r.z))) AS d FROM cx c, rx r GROUP BY 1, 2, 3),
@@ -367,13 +394,29 @@ COVER = """ref AS (SELECT * FROM pts WHERE streamline_id % 53 = 2), cand AS (SEL
     l AS (SELECT length_mm, ROW_NUMBER() OVER (ORDER BY length_mm) - 1 AS n, COUNT(*) OVER () AS c FROM len WHERE streamline_id IN (SELECT streamline_id FROM cand))"""
 
 
-@query("bundle_coverage", sql("pts len", f"WITH {COVER} SELECT {R('(SELECT AVG(d) FROM f)')} AS forward_mean_mm, {R('(SELECT AVG(CASE WHEN d <= 2 THEN 1e0 ELSE 0e0 END) FROM b)')} AS coverage, {R('(SELECT length_mm FROM l WHERE n = FLOOR(c * 0.5e0))')} AS median_length_mm"))
+@query("bundle_coverage", sql("pts grp len", f"WITH {COVER} SELECT {R('(SELECT AVG(d) FROM f)')} AS forward_mean_mm, {R('(SELECT AVG(CASE WHEN d <= 1 THEN 1e0 ELSE 0e0 END) FROM b)')} AS coverage, {R('(SELECT length_mm FROM l WHERE n = FLOOR(c * 0.5e0))')} AS median_length_mm"))
 def bundle_coverage(spark, sf):
-    pts = fx.points(spark, sf)
-    out = pruning.bundle_coverage(pts.filter("streamline_id % 11 = 3"), pts.filter("streamline_id % 53 = 2"), 2.0)
+    pts, groups = fx.points(spark, sf), fx.groups(spark, sf)
+    found, reference_pts = (selection.keep(pts, selection.group_select(selection.ids(pts), groups, [g])) for g in "NR")
+    out = pruning.bundle_coverage(found, reference_pts, 1.0)
     return out.select(*[r(F.col(c)).alias(c) for c in out.columns])
 
 
+@query("bundle_coverage_cohort", sql("cpts cgrp clen", f"""WITH ref AS (SELECT cpts.* FROM cpts JOIN cgrp USING (subject_id, streamline_id) WHERE group_name = 'R'), cand AS (SELECT cpts.* FROM cpts JOIN cgrp USING (subject_id, streamline_id) WHERE group_name = 'N'),
+    rx AS (SELECT DISTINCT subject_id, x, y, z FROM ref), cx AS (SELECT DISTINCT subject_id, x, y, z FROM cand),
+    m AS (SELECT subject_id, c.x AS cx, c.y AS cy, c.z AS cz, r.x AS rx, r.y AS ry, r.z AS rz, (c.x-r.x)*(c.x-r.x) + (c.y-r.y)*(c.y-r.y) + (c.z-r.z)*(c.z-r.z) AS d2 FROM cx c JOIN rx r USING (subject_id)),
+    fd AS (SELECT subject_id, cx AS x, cy AS y, cz AS z, SQRT(MIN(d2)) AS d FROM m GROUP BY ALL), bd AS (SELECT subject_id, rx AS x, ry AS y, rz AS z, SQRT(MIN(d2)) AS d FROM m GROUP BY ALL),
+    f AS (SELECT subject_id, streamline_id, AVG(d) AS d FROM cand JOIN fd USING (subject_id, x, y, z) GROUP BY 1, 2), b AS (SELECT subject_id, streamline_id, AVG(d) AS d FROM ref JOIN bd USING (subject_id, x, y, z) GROUP BY 1, 2),
+    l AS (SELECT subject_id, length_mm, ROW_NUMBER() OVER (PARTITION BY subject_id ORDER BY length_mm) - 1 AS n, COUNT(*) OVER (PARTITION BY subject_id) AS c FROM clen WHERE (subject_id, streamline_id) IN (SELECT (subject_id, streamline_id) FROM cand))
+    SELECT subject_id, {R('f.d')} AS forward_mean_mm, {R('b.d')} AS coverage, {R('length_mm')} AS median_length_mm FROM (SELECT subject_id, AVG(d) AS d FROM f GROUP BY 1) f
+    JOIN (SELECT subject_id, AVG(CASE WHEN d <= 1 THEN 1e0 ELSE 0e0 END) AS d FROM b GROUP BY 1) b USING (subject_id) JOIN l USING (subject_id) WHERE n = FLOOR(c * 0.5e0)"""))
+def bundle_coverage_cohort(spark, sf):
+    pts, groups = fx.by_subject(fx.points(spark, sf)), fx.by_subject(fx.groups(spark, sf))
+    found, reference_pts = (selection.keep(pts, selection.group_select(selection.ids(pts), groups, [g])) for g in "NR")
+    out = pruning.bundle_coverage(found, reference_pts, 1.0)
+    return out.select("subject_id", *[r(F.col(c)).alias(c) for c in out.columns if c != "subject_id"])
+
+
 # --- colours ------------------------------------------------------------------------
 
 
@@ -469,99 +512,169 @@ def plan_params_resolve(spark, sf):
 
 CLASSIFY = """WITH c AS (SELECT DISTINCT streamline_id, mask_id FROM pvf JOIN msks USING (i, j, k)),
     t AS (SELECT DISTINCT streamline_id, mask_id FROM (SELECT *, CAST(FLOOR(x * 2e-1) AS INT) AS i, CAST(FLOOR(y * 2e-1) AS INT) AS j, CAST(FLOOR(z * 2e-1) AS INT) AS k FROM endr WHERE n >= 2) JOIN msks USING (i, j, k)),
-    ref AS (SELECT DISTINCT x, y, z FROM pts WHERE streamline_id % 97 = 5), u AS (SELECT DISTINCT x, y, z FROM pts),
+    ref AS (SELECT DISTINCT x, y, z FROM pts JOIN grp USING (streamline_id) WHERE group_name = 'R'), u AS (SELECT DISTINCT x, y, z FROM pts),
     d AS (SELECT u.x, u.y, u.z, SQRT(MIN((u.x-r.x)*(u.x-r.x) + (u.y-r.y)*(u.y-r.y) + (u.z-r.z)*(u.z-r.z))) AS d FROM u, ref r GROUP BY 1, 2, 3),
     h AS (SELECT streamline_id, AVG(d) AS far FROM pts JOIN d USING (x, y, z) GROUP BY 1),
     s AS (SELECT p.streamline_id, COALESCE(length_mm, 0) AS len, far FROM (SELECT DISTINCT streamline_id FROM pts) p LEFT JOIN len USING (streamline_id) JOIN h USING (streamline_id)),
     cl AS (SELECT streamline_id, 'one' AS bundle_id, CASE WHEN len < 30 THEN 'reject_min_length' WHEN streamline_id NOT IN (SELECT streamline_id FROM c WHERE mask_id = 'large') THEN 'reject_roi'
-      WHEN streamline_id IN (SELECT streamline_id FROM t WHERE mask_id = 'low') THEN 'reject_no_end' WHEN far > 3 THEN 'reject_hausdorff' WHEN len > 150 THEN 'reject_max_length' ELSE 'accept' END AS outcome FROM s
+      WHEN streamline_id IN (SELECT streamline_id FROM t WHERE mask_id = 'low') THEN 'reject_no_end' WHEN far > 1 THEN 'reject_hausdorff' WHEN len > 150 THEN 'reject_max_length' ELSE 'accept' END AS outcome FROM s
       UNION ALL SELECT streamline_id, 'two', CASE WHEN streamline_id IN (SELECT streamline_id FROM c WHERE mask_id = 'low') THEN 'reject_roa' WHEN len < 10 THEN 'reject_min_length'
-      WHEN streamline_id NOT IN (SELECT streamline_id FROM t WHERE mask_id = 'even') THEN 'reject_end' ELSE 'accept' END FROM s)"""
+      WHEN streamline_id NOT IN (SELECT streamline_id FROM t WHERE mask_id = 'even') THEN 'reject_end' ELSE 'accept' END FROM s
+      UNION ALL SELECT streamline_id, 'three', CASE WHEN len < 20 THEN 'reject_min_length' WHEN far > 0.5 THEN 'reject_hausdorff' WHEN len > 90 THEN 'reject_max_length' ELSE 'accept' END FROM s)"""
 
 
 def _classified(spark, sf):
+    """Bundle three asks for no mask, only for nearness to its reference."""
     pts = fx.points(spark, sf)
     params = small_table(
         spark,
-        [("one", 30.0, 150.0, 3.0), ("two", 10.0, None, None)],
+        [("one", 30.0, 150.0, 1.0), ("two", 10.0, None, None), ("three", 20.0, 90.0, 0.5)],
         "bundle_id string, min_len_mm double, max_len_mm double, max_hausdorff_mm double",
     )
-    cloud = pts.filter("streamline_id % 97 = 5")
-    return classify.bundle_classify(pts, _rules(spark), params, fx.masks(spark, sf), fx.grid(spark, sf), {"one": cloud})
+    cloud = selection.keep(pts, selection.group_select(selection.ids(pts), fx.groups(spark, sf), ["R"]))
+    references = cloud.select(F.explode(F.array(F.lit("one"), F.lit("three"))).alias("bundle_id"), "x", "y", "z")
+    return classify.bundle_classify(pts, _rules(spark), params, fx.masks(spark, sf), fx.grid(spark, sf), references)
 
 
-@query("bundle_classify", sql("pts pvf endr msks len", f"{CLASSIFY} SELECT streamline_id, bundle_id, outcome FROM cl"))
+@query("bundle_classify", sql("pts grp pvf endr msks len", f"{CLASSIFY} SELECT streamline_id, bundle_id, outcome FROM cl"))
 def bundle_classify(spark, sf):
-    return _classified(spark, sf)
+    """Every pair, those without contact expanded."""
+    return _classified(spark, sf).pairs()
 
 
-@query("rejection_summary", sql("pts pvf endr msks len", f"{CLASSIFY} SELECT bundle_id, outcome, CAST(COUNT(*) AS BIGINT) AS attempts FROM cl GROUP BY ROLLUP (bundle_id, outcome)"))
+@query("rejection_summary", sql("pts grp pvf endr msks len", f"{CLASSIFY} SELECT bundle_id, outcome, CAST(COUNT(*) AS BIGINT) AS attempts FROM cl GROUP BY ROLLUP (bundle_id, outcome)"))
 def rejection_summary(spark, sf):
+    """From the pairs with contact and the counts of the others."""
     return classify.rejection_summary(_classified(spark, sf))
 
 
-REFERENCE = """WITH rp AS (SELECT * FROM near WHERE streamline_id % 211 = 7), dm AS (SELECT MAX(k) + 1 AS nz FROM odx),
+# A bundle per nation: voxels of parts of its number are its waypoint, those of the next number are to be avoided.
+NATIONS = """WITH v AS (SELECT DISTINCT streamline_id, p_size % 25 AS n FROM pvf JOIN vox USING (i, j, k)),
+    s AS (SELECT p.streamline_id, COALESCE(length_mm, 0) AS len FROM (SELECT DISTINCT streamline_id FROM pts) p LEFT JOIN len USING (streamline_id)),
+    e AS (SELECT streamline_id, len, n_name, n_nationkey AS k FROM s, nation),
+    cl AS (SELECT e.streamline_id, n_name AS bundle_id, CASE WHEN b.n IS NOT NULL THEN 'reject_roa' WHEN len < k THEN 'reject_min_length' WHEN a.n IS NULL THEN 'reject_roi'
+      WHEN len > 40 + 5 * k THEN 'reject_max_length' ELSE 'accept' END AS outcome
+      FROM e LEFT JOIN v a ON a.streamline_id = e.streamline_id AND a.n = k LEFT JOIN v b ON b.streamline_id = e.streamline_id AND b.n = (k + 1) % 25)"""
+
+
+def _classified_nations(spark, sf):
+    nation = fx.table(spark, sf, "nation")
+    key = F.col("n_nationkey")
+    rules_ = nation.select(F.col("n_name").alias("bundle_id"), F.explode(F.array(
+        F.struct(F.lit("roi").alias("role"), key.cast("string").alias("mask_id")),
+        F.struct(F.lit("roa").alias("role"), F.pmod(key + 1, F.lit(25)).cast("string").alias("mask_id")),
+    )).alias("_r")).select("bundle_id", "_r.*")
+    params = nation.select(
+        F.col("n_name").alias("bundle_id"), key.cast("double").alias("min_len_mm"), (key * 5 + 40).cast("double").alias("max_len_mm"),
+        F.lit(None).cast("double").alias("max_hausdorff_mm"),
+    )
+    masks = fx.parts(spark, sf).select(F.pmod("p_size", F.lit(25)).cast("string").alias("mask_id"), "i", "j", "k")
+    return classify.bundle_classify(fx.points(spark, sf), rules_, params, masks, fx.grid(spark, sf))
+
+
+@query("bundle_classify_nations", sql("pts pvf vox len", f"{NATIONS} SELECT bundle_id, streamline_id FROM cl WHERE outcome = 'accept'"))
+def bundle_classify_nations(spark, sf):
+    """The accepted pairs of a bundle per nation."""
+    return _classified_nations(spark, sf).accepted().select("bundle_id", "streamline_id")
+
+
+@query("rejection_summary_nations", sql("pts pvf vox len", f"{NATIONS} SELECT bundle_id, outcome, CAST(COUNT(*) AS BIGINT) AS attempts FROM cl GROUP BY ROLLUP (bundle_id, outcome)"))
+def rejection_summary_nations(spark, sf):
+    return classify.rejection_summary(_classified_nations(spark, sf))
+
+
+# A bundle per group of each subject, on the 5 mm grid of the orientation field.
+REFERENCE = """WITH rp AS (SELECT subject_id, group_name AS bundle_id, cnear.* EXCLUDE (subject_id) FROM (SELECT * REPLACE (streamline_id // 3 AS streamline_id), CAST(streamline_id % 3 AS VARCHAR) AS subject_id FROM near) cnear JOIN cgrp USING (subject_id, streamline_id)),
+    dm AS (SELECT MAX(k) + 1 AS nz FROM odx),
     e AS (SELECT *, CAST(CEIL(GREATEST(ABS(nx*2e-1 - x*2e-1), ABS(ny*2e-1 - y*2e-1), ABS(nz*2e-1 - z*2e-1))) AS INT) AS steps FROM rp WHERE nx IS NOT NULL),
     u AS (SELECT *, UNNEST(RANGE(steps + 1)) AS s FROM e), t AS (SELECT *, s * (1e0 / GREATEST(steps, 1)) AS t FROM u),
-    cov AS (SELECT DISTINCT CAST(FLOOR(x*2e-1 + (nx*2e-1 - x*2e-1) * t) AS INT) AS i, CAST(FLOOR(y*2e-1 + (ny*2e-1 - y*2e-1) * t) AS INT) AS j, CAST(FLOOR(z*2e-1 + (nz*2e-1 - z*2e-1) * t) AS INT) AS k FROM t),
+    cov AS (SELECT DISTINCT subject_id, bundle_id, CAST(FLOOR(x*2e-1 + (nx*2e-1 - x*2e-1) * t) AS INT) AS i, CAST(FLOOR(y*2e-1 + (ny*2e-1 - y*2e-1) * t) AS INT) AS j, CAST(FLOOR(z*2e-1 + (nz*2e-1 - z*2e-1) * t) AS INT) AS k FROM t),
     c AS (SELECT cov.* FROM cov, dm WHERE i BETWEEN 0 AND 9 AND j BETWEEN 0 AND 9 AND k BETWEEN 0 AND dm.nz - 1), o AS (SELECT UNNEST(RANGE(-2, 3)) AS d),
-    dil AS (SELECT CAST(c.i + a.d AS INT) AS i, CAST(c.j + b.d AS INT) AS j, CAST(c.k + g.d AS INT) AS k, MIN(a.d*a.d + b.d*b.d + g.d*g.d) AS d2 FROM c, o a, o b, o g, dm
-      WHERE c.i + a.d BETWEEN 0 AND 9 AND c.j + b.d BETWEEN 0 AND 9 AND c.k + g.d BETWEEN 0 AND dm.nz - 1 GROUP BY 1, 2, 3),
-    lim AS (SELECT i, j, k FROM dil WHERE d2 <= 2), env AS (SELECT i, j, k FROM dil WHERE d2 <= 1),
-    pk AS (SELECT i, j, k, amplitude FROM odx JOIN fix USING (voxel_id) WHERE fixel_idx = 0)
-    SELECT 'ref_limiting' AS mask_id, i, j, k FROM lim UNION ALL SELECT 'ref_seed', i, j, k FROM env LEFT JOIN pk USING (i, j, k) WHERE COALESCE(amplitude, 0) >= 0.5e0 * 0.3e0
-    UNION ALL SELECT 'ref_no_end', i, j, k FROM lim LEFT JOIN pk USING (i, j, k) WHERE COALESCE(amplitude, 0) > 0.9e0 * 0.3e0"""
+    dil AS (SELECT subject_id, bundle_id, CAST(c.i + a.d AS INT) AS i, CAST(c.j + b.d AS INT) AS j, CAST(c.k + g.d AS INT) AS k, MIN(a.d*a.d + b.d*b.d + g.d*g.d) AS d2 FROM c, o a, o b, o g, dm
+      WHERE c.i + a.d BETWEEN 0 AND 9 AND c.j + b.d BETWEEN 0 AND 9 AND c.k + g.d BETWEEN 0 AND dm.nz - 1 GROUP BY 1, 2, 3, 4, 5),
+    lim AS (SELECT * EXCLUDE (d2) FROM dil WHERE d2 <= 2), env AS (SELECT * EXCLUDE (d2) FROM dil WHERE d2 <= 1),
+    pk AS (SELECT i, j, k, amplitude FROM odx JOIN fix USING (voxel_id) WHERE fixel_idx = 0),
+    m AS (SELECT bundle_id || '_limiting' AS mask_id, * FROM lim UNION ALL SELECT bundle_id || '_seed', env.* FROM env LEFT JOIN pk USING (i, j, k) WHERE COALESCE(amplitude, 0) >= 0.5e0 * 0.3e0
+    UNION ALL SELECT bundle_id || '_no_end', lim.* FROM lim LEFT JOIN pk USING (i, j, k) WHERE COALESCE(amplitude, 0) > 0.9e0 * 0.3e0)
+    SELECT subject_id, bundle_id, mask_id, i, j, k FROM m"""
 
 
-@query("prepare_reference_plan", sql("near odx fix", REFERENCE))
-def prepare_reference_plan(spark, sf):
-    """The three masks of the plan (tolerances of 6 mm and 2 mm on a 5 mm grid)."""
+def _reference_plan(spark, sf):
     voxels = fx.odx_voxels(spark, sf)
     top = voxels.agg(F.max("k").alias("m")).first()["m"]
-    ref = fx.points(spark, sf).filter("streamline_id % 211 = 7")
-    plan = reference.prepare_reference_plan(ref, fx.fixels(spark, sf), voxels, geo.scaling_grid(10, 10, int(top) + 1, 5.0), "amplitude", 0.3, 6.0, 2.0)
-    return plan.masks("ref").select("mask_id", "i", "j", "k")
+    pts, groups = fx.by_subject(fx.points(spark, sf)), fx.by_subject(fx.groups(spark, sf))
+    ref = pts.join(groups.withColumnRenamed("group_name", "bundle_id"), ["subject_id", "streamline_id"])
+    return reference.prepare_reference_plan(ref, fx.fixels(spark, sf), voxels, geo.scaling_grid(10, 10, int(top) + 1, 5.0), "amplitude", 0.3, 6.0, 2.0)
 
 
-@query("prepare_reference_plan_lengths", sql("len", f"SELECT {R('GREATEST(6, MIN(length_mm) - 12, 0)')} AS min_len_mm, {R('MAX(length_mm) + 12')} AS max_len_mm FROM len WHERE streamline_id % 211 = 7 AND length_mm > 0"))
-def prepare_reference_plan_lengths(spark, sf):
-    lengths = og.length_extents(fx.points(spark, sf).filter("streamline_id % 211 = 7"))
-    voxels = fx.odx_voxels(spark, sf)
-    ref = fx.points(spark, sf).filter("streamline_id % 211 = 7")
-    plan = reference.prepare_reference_plan(ref, fx.fixels(spark, sf), voxels, geo.scaling_grid(10, 10, 10, 5.0), "amplitude", 0.3, 6.0, 2.0)
-    return lengths.select(r(F.lit(plan.min_len_mm)).alias("min_len_mm"), r(F.lit(plan.max_len_mm)).alias("max_len_mm"))
+@query("prepare_reference_plan", sql("near odx fix cgrp", REFERENCE))
+def prepare_reference_plan(spark, sf):
+    """The three masks of every subject and bundle (tolerances of 6 mm and 2 mm on a 5 mm grid)."""
+    plan = _reference_plan(spark, sf)
+    return plan.rules.join(plan.masks, ["subject_id", "mask_id"]).select("subject_id", "bundle_id", "mask_id", "i", "j", "k")
 
 
-def _roi_inputs(spark, sf):
-    """Every catalogued file holds the parts of one size."""
-    found = catalog.catalog_derivatives(fx.paths(spark, sf), fx.bundles(spark, sf), "ASIA")
-    size = F.regexp_extract("path", "/sub-([0-9]+)_", 1).cast("int") % 50 + 1
-    files = found.select("path", size.alias("p_size"))
-    return found, fx.parts(spark, sf).join(files, "p_size").select("path", "i", "j", "k")
+@query("prepare_reference_plan_lengths", sql("clen cgrp", f"""SELECT subject_id, group_name AS bundle_id, {R('GREATEST(6, MIN(length_mm) - 12, 0)')} AS min_len_mm, {R('MAX(length_mm) + 12')} AS max_len_mm, 6e0 AS max_hausdorff_mm
+    FROM clen JOIN cgrp USING (subject_id, streamline_id) WHERE length_mm > 0 GROUP BY 1, 2"""))
+def prepare_reference_plan_lengths(spark, sf):
+    limits = _reference_plan(spark, sf).params
+    return limits.select("subject_id", "bundle_id", r(F.col("min_len_mm")).alias("min_len_mm"), r(F.col("max_len_mm")).alias("max_len_mm"), "max_hausdorff_mm")
 
 
-@query("prepare_roi_plan", sql("pth vox dims", f"""WITH f AS (SELECT path, CASE WHEN path LIKE '%Include%' OR path LIKE '%-include%' THEN 'roi' WHEN path LIKE '%Exclude%' THEN 'roa' ELSE 'end' END AS role,
-      CAST(regexp_extract(path, '/sub-([0-9]+)_', 1) AS INT) % 50 + 1 AS p_size, regexp_extract(path, '(Include|Exclude|ROI-N[0-9]+-)([0-9]+)', 2) AS idx FROM pth
-      WHERE path LIKE '%\\_space-ASIA\\_desc-' || (SELECT MIN(REPLACE(n_name, '_', '')) FROM nation WHERE n_regionkey = 2) || '%\\_mask.nii.gz' ESCAPE '\\'
-        OR path LIKE '%\\_space-ASIA\\_%ROI-N' || (SELECT ARG_MIN(n_nationkey, REPLACE(n_name, '_', '')) FROM nation WHERE n_regionkey = 2) || '-%' ESCAPE '\\'),
-    g AS (SELECT role, idx, p_size, CASE WHEN role = 'roi' THEN path END AS file FROM f),
+# Region files of three subjects: customers of a region of nations name them, each file holds the parts of one size.
+FILES = """f AS (SELECT DISTINCT CAST(CAST(FLOOR(c_custkey / 24) AS BIGINT) % 3 AS VARCHAR) AS subject_id, REPLACE(n_name, '_', '') AS bundle_id, n_nationkey,
+      CASE WHEN c_custkey % 8 < 4 THEN 'roi' WHEN c_custkey % 8 < 6 THEN 'roa' ELSE 'end' END AS role, CASE WHEN c_custkey % 8 = 6 THEN 'start' WHEN c_custkey % 8 = 7 THEN 'end' END AS side,
+      CASE WHEN c_custkey % 8 < 6 THEN CAST(FLOOR(c_custkey / 8) AS BIGINT) % 3 END AS idx FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2),
+    w AS (SELECT *, (CAST(subject_id AS BIGINT) * 7 + COALESCE(idx, 5) * 11 + n_nationkey + CASE role WHEN 'roi' THEN 0 WHEN 'roa' THEN 17 ELSE 29 END) % 50 + 1 AS p_size, bundle_id || CASE role WHEN 'roi' THEN '_include' || idx WHEN 'roa' THEN '_exclude' ELSE '_' || side END AS mask_id
+      FROM f WHERE (subject_id, bundle_id) IN (SELECT (subject_id, bundle_id) FROM f WHERE role = 'roi')),
     o AS (SELECT UNNEST(RANGE(-2, 3)) AS d),
-    dil AS (SELECT role, idx, file, CAST(i + a.d AS INT) AS i, CAST(j + b.d AS INT) AS j, CAST(k + c.d AS INT) AS k FROM g JOIN vox USING (p_size), o a, o b, o c, dims
-      WHERE a.d*a.d + b.d*b.d + c.d*c.d <= (CASE role WHEN 'end' THEN 3 ELSE 1 END) AND i + a.d BETWEEN 0 AND 9 AND j + b.d BETWEEN 0 AND 9 AND k + c.d BETWEEN 0 AND dims.nz - 1)
-    SELECT role, CASE WHEN role = 'roi' THEN idx ELSE '' END AS idx, CAST(COUNT(DISTINCT i + 10 * j + 100 * k) AS BIGINT) AS n_voxels FROM dil GROUP BY role, idx, file"""))
-def prepare_roi_plan(spark, sf):
-    """Voxels per rule of the first bundle of the region (5 mm waypoint, 8 mm end reach), one rule an include file."""
-    found, voxels = _roi_inputs(spark, sf)
-    found = cut_lineage(found)
-    first = fx.table(spark, sf, "nation").filter("n_regionkey = 2").select(F.col("n_name").alias("b")).orderBy(F.translate("b", "_", "")).first()["b"]
+    dil AS (SELECT DISTINCT subject_id, bundle_id, role, mask_id, CAST(i + a.d AS INT) AS i, CAST(j + b.d AS INT) AS j, CAST(k + c.d AS INT) AS k FROM w JOIN vox USING (p_size), o a, o b, o c, dims
+      WHERE a.d*a.d + b.d*b.d + c.d*c.d <= (CASE role WHEN 'end' THEN 3 WHEN 'roi' THEN 1 ELSE 0 END) AND i + a.d BETWEEN 0 AND 9 AND j + b.d BETWEEN 0 AND 9 AND k + c.d BETWEEN 0 AND dims.nz - 1)"""
+
+
+def _roi_plan(spark, sf):
+    rows = fx.table(spark, sf, "customer").join(fx.table(spark, sf, "nation").filter("n_regionkey = 2"), F.col("c_nationkey") == F.col("n_nationkey"))
+    key = F.col("c_custkey")
+    kind, turn = F.pmod(key, F.lit(8)), F.pmod(F.floor(key / 8), F.lit(3))
+    side = F.when(kind == 6, "Start").when(kind == 7, "End")
+    token = F.when(kind < 4, F.concat(F.lit("Include"), turn.cast("string"))).when(kind < 6, F.concat(F.lit("Exclude"), turn.cast("string"))).otherwise(side)
+    sub = F.pmod(F.floor(key / 24), F.lit(3))
+    path = F.concat(F.lit("/deriv/sub-"), sub.cast("string"), F.lit("_space-ASIA_desc-"), F.translate("n_name", "_", ""), token, F.lit("_mask.nii.gz"))
+    size = (sub * 7 + F.when(kind < 6, turn).otherwise(5) * 11 + F.col("n_nationkey") + F.when(kind < 4, 0).when(kind < 6, 17).otherwise(29)) % 50 + 1
+    files = rows.select(path.alias("path"), size.alias("p_size")).distinct()
+    names = fx.table(spark, sf, "nation").filter("n_regionkey = 2").select(F.translate("n_name", "_", "").alias("bundle"), (F.col("n_nationkey") * 2.0).alias("min_len_mm"), F.lit(200.0).alias("max_len_mm"))
+    found = cut_lineage(catalog.catalog_derivatives(files.select("path"), names.select("bundle"), "ASIA"))
+    voxels = fx.parts(spark, sf).join(files, "p_size").select("path", "i", "j", "k")
     grid = fx.grid(spark, sf)
     header = [F.lit(v).alias(n) for n, v in zip(("nx", "ny", "nz"), grid.dims)]
     grids = found.select("path").distinct().select("path", *header, F.array(*[F.lit(float(v)) for v in grid.affine]).alias("affine"))
-    plan = roi.prepare_roi_plan(found, voxels, grids, first, waypoint_mm=5.0, exclusion_mm=5.0, endpoint_mm=8.0)
-    counts = plan.masks.groupBy("mask_id").agg(F.count("*").alias("n_voxels"))
-    out = plan.rules.join(counts, "mask_id")
-    idx = F.when(F.col("role") == "roi", F.regexp_extract("mask_id", "_include([0-9]+)", 1)).otherwise("")
-    return out.select("role", idx.alias("idx"), "n_voxels")
+    return roi.prepare_roi_plan(found, voxels, grids, waypoint_mm=5.0, exclusion_mm=0.0, endpoint_mm=8.0, lengths=names)
+
+
+@query("prepare_roi_plan", sql("vox dims", f"WITH {FILES} SELECT subject_id, bundle_id, role, mask_id, CAST(COUNT(*) AS BIGINT) AS n_voxels FROM dil GROUP BY 1, 2, 3, 4"))
+def prepare_roi_plan(spark, sf):
+    """Voxels per rule of every subject and bundle (5 mm waypoint, 8 mm end reach)."""
+    plan = _roi_plan(spark, sf)
+    counts = plan.masks.groupBy("subject_id", "mask_id").agg(F.count("*").alias("n_voxels"))
+    return plan.rules.join(counts, ["subject_id", "mask_id"]).select("subject_id", "bundle_id", "role", "mask_id", "n_voxels")
+
+
+@query("plan_classify_keep", sql("pts len endr vox dims cpts clen", f"""WITH {FILES},
+    h AS (SELECT DISTINCT subject_id, bundle_id, role, mask_id, streamline_id FROM cpts p JOIN dil USING (subject_id) WHERE i = CAST(FLOOR(x * 2e-1) AS INT) AND j = CAST(FLOOR(y * 2e-1) AS INT) AND k = CAST(FLOOR(z * 2e-1) AS INT)),
+    e AS (SELECT DISTINCT subject_id, bundle_id, mask_id, p.streamline_id FROM (SELECT * REPLACE (streamline_id // 3 AS streamline_id), CAST(streamline_id % 3 AS VARCHAR) AS subject_id FROM endr WHERE n >= 2) p JOIN dil USING (subject_id)
+      WHERE role = 'end' AND i = CAST(FLOOR(x * 2e-1) AS INT) AND j = CAST(FLOOR(y * 2e-1) AS INT) AND k = CAST(FLOOR(z * 2e-1) AS INT)),
+    n AS (SELECT subject_id, bundle_id, COUNT(DISTINCT CASE WHEN role = 'roi' THEN mask_id END) AS rois, COUNT(DISTINCT CASE WHEN role = 'end' THEN mask_id END) AS ends FROM w GROUP BY 1, 2),
+    g AS (SELECT subject_id, bundle_id, streamline_id, COUNT(DISTINCT CASE WHEN role = 'roi' THEN mask_id END) AS rois, COUNT(CASE WHEN role = 'roa' THEN 1 END) AS roas FROM h GROUP BY 1, 2, 3),
+    x AS (SELECT subject_id, bundle_id, streamline_id, COUNT(*) AS ends FROM e GROUP BY 1, 2, 3)
+    SELECT g.subject_id, g.bundle_id, g.streamline_id, p.point_idx FROM g JOIN n USING (subject_id, bundle_id) LEFT JOIN x USING (subject_id, bundle_id, streamline_id) LEFT JOIN clen l USING (subject_id, streamline_id)
+      JOIN nation ON REPLACE(n_name, '_', '') = g.bundle_id JOIN cpts p USING (subject_id, streamline_id)
+      WHERE g.rois = n.rois AND g.roas = 0 AND COALESCE(x.ends, 0) = n.ends AND COALESCE(length_mm, 0) BETWEEN n_nationkey * 2 AND 200"""))
+def plan_classify_keep(spark, sf):
+    """Region files to plans, plans to outcomes, and the vertices of what each bundle of each subject accepts."""
+    plan = _roi_plan(spark, sf)
+    pts = fx.by_subject(fx.points(spark, sf))
+    found = classify.bundle_classify(pts, plan.rules, plan.params, plan.masks, fx.grid(spark, sf))
+    return found.accepted().join(pts, ["subject_id", "streamline_id"]).select("subject_id", "bundle_id", "streamline_id", "point_idx")
 
 
 @query("bundle_envelope", sql("pts grp box", f"""WITH {KER}, dm AS (SELECT GREATEST(3, CAST(CEIL((bx + 16 - (ax - 16)) / 8e0) AS INT) + 1) AS di, GREATEST(3, CAST(CEIL((by_ + 16 - (ay - 16)) / 8e0) AS INT) + 1) AS dj, GREATEST(3, CAST(CEIL((bz + 16 - (az - 16)) / 8e0) AS INT) + 1) AS dk FROM box),

@@ -132,6 +132,11 @@ def triangles(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def by_subject(rows: DataFrame, key: str = "streamline_id", n: int = 3) -> DataFrame:
+    """The table as that of ``n`` subjects whose ids overlap."""
+    return rows.withColumn("subject_id", F.pmod(key, F.lit(n)).cast("string")).withColumn(key, F.expr(f"{key} div {n}"))
+
+
 def amplitudes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("voxel_id"), F.col("embedding").cast("array<double>").alias("amps")
@@ -265,6 +270,11 @@ CTE = {
         WHERE s_suppkey + 2 <= (SELECT MAX(s_suppkey) FROM supplier)""",
     "corner": """SELECT tri_id, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, c.x AS cx, c.y AS cy, c.z AS cz
         FROM tri JOIN srf a ON v0 = a.vertex_id JOIN srf b ON v1 = b.vertex_id JOIN srf c ON v2 = c.vertex_id""",
+    "cpts": "SELECT * REPLACE (streamline_id // 3 AS streamline_id), CAST(streamline_id % 3 AS VARCHAR) AS subject_id FROM pts",
+    "clen": "SELECT CAST(streamline_id % 3 AS VARCHAR) AS subject_id, streamline_id // 3 AS streamline_id, length_mm FROM len",
+    "csrf": "SELECT * REPLACE (vertex_id // 3 AS vertex_id), CAST(vertex_id % 3 AS VARCHAR) AS subject_id FROM srf",
+    "cdps": "SELECT * REPLACE (streamline_id // 3 AS streamline_id), CAST(streamline_id % 3 AS VARCHAR) AS subject_id FROM dps",
+    "cgrp": "SELECT * REPLACE (streamline_id // 3 AS streamline_id), CAST(streamline_id % 3 AS VARCHAR) AS subject_id FROM grp",
     "emb": "SELECT vec_id AS voxel_id, CAST(embedding AS DOUBLE[]) AS amps, label FROM embeddings",
     "odx": """SELECT vec_id AS voxel_id, CAST(vec_id % 10 AS INT) AS i, CAST(FLOOR(vec_id / 10) AS INT) % 10 AS j,
         CAST(FLOOR(vec_id / 100) AS INT) AS k, CAST(label AS DOUBLE) AS fa FROM embeddings""",
@@ -288,7 +298,7 @@ CTE = {
 NEEDS = {
     "dims": ["vox"], "msk": ["vox"], "msks": ["vox"], "pvr": ["pts"], "pvf": ["pts"], "near": ["pts"], "seg": ["near"],
     "segu": ["seg"], "tan": ["near"], "len": ["seg"], "box": ["pts"], "ends": ["pts"], "endr": ["ends"],
-    "corner": ["tri", "srf"], "fix": ["emb"],
+    "corner": ["tri", "srf"], "fix": ["emb"], "cpts": ["pts"], "clen": ["len"], "csrf": ["srf"], "cdps": ["dps"], "cgrp": ["grp"],
 }
 
 

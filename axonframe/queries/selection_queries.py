@@ -355,16 +355,35 @@ def length_filter(spark, sf):
     return sel.length_filter(fx.points(spark, sf), 40.0, 120.0).withColumn("length_mm", r(F.col("length_mm")))
 
 
-HAUSDORFF = """WITH ref AS (SELECT DISTINCT x, y, z FROM pts WHERE streamline_id % 97 = 5),
+# The streamlines of group R are the reference.
+HAUSDORFF = """WITH ref AS (SELECT DISTINCT x, y, z FROM pts JOIN grp USING (streamline_id) WHERE group_name = 'R'),
     u AS (SELECT DISTINCT x, y, z FROM pts),
     d AS (SELECT u.x, u.y, u.z, SQRT(MIN((u.x-r.x)*(u.x-r.x) + (u.y-r.y)*(u.y-r.y) + (u.z-r.z)*(u.z-r.z))) AS d FROM u, ref r GROUP BY 1, 2, 3)"""
 
 
-@query("hausdorff_filter", sql("pts", f"{HAUSDORFF} SELECT streamline_id, {R('AVG(d)')} AS mean_distance_mm FROM pts JOIN d USING (x, y, z) GROUP BY 1 HAVING AVG(d) <= 3"))
+@query("hausdorff_filter", sql("pts grp", f"{HAUSDORFF} SELECT streamline_id, {R('AVG(d)')} AS mean_distance_mm FROM pts JOIN d USING (x, y, z) GROUP BY 1 HAVING AVG(d) <= 1"))
 def hausdorff_filter(spark, sf):
+    """All streamlines against all points of a group."""
     pts = fx.points(spark, sf)
-    cloud = pts.filter("streamline_id % 97 = 5")
-    return sel.hausdorff_filter(pts, cloud, 3.0).select("streamline_id", r(F.col("mean_distance_mm")).alias("mean_distance_mm"))
+    cloud = sel.keep(pts, sel.group_select(sel.ids(pts), fx.groups(spark, sf), ["R"]))
+    return sel.hausdorff_filter(pts, cloud, 1.0).select("streamline_id", r(F.col("mean_distance_mm")).alias("mean_distance_mm"))
+
+
+@query("hausdorff_filter_cohort", sql("cpts cgrp", f"""WITH ref AS (SELECT DISTINCT subject_id, x, y, z FROM cpts JOIN cgrp USING (subject_id, streamline_id) WHERE group_name = 'R'),
+    u AS (SELECT DISTINCT subject_id, x, y, z FROM cpts),
+    d AS (SELECT subject_id, u.x, u.y, u.z, SQRT(MIN((u.x-r.x)*(u.x-r.x) + (u.y-r.y)*(u.y-r.y) + (u.z-r.z)*(u.z-r.z))) AS d FROM u JOIN ref r USING (subject_id) GROUP BY ALL)
+    SELECT subject_id, streamline_id, {R('AVG(d)')} AS mean_distance_mm FROM cpts JOIN d USING (subject_id, x, y, z) GROUP BY 1, 2 HAVING AVG(d) <= 2"""))
+def hausdorff_filter_cohort(spark, sf):
+    """Each subject against its own reference."""
+    pts, groups = fx.by_subject(fx.points(spark, sf)), fx.by_subject(fx.groups(spark, sf))
+    cloud = sel.keep(pts, sel.group_select(sel.ids(pts), groups, ["R"]))
+    return sel.hausdorff_filter(pts, cloud, 2.0).select("subject_id", "streamline_id", r(F.col("mean_distance_mm")).alias("mean_distance_mm"))
+
+
+@query("surface_depth_query_cohort", sql("cpts csrf", """SELECT DISTINCT subject_id, streamline_id FROM cpts p JOIN csrf s USING (subject_id)
+    WHERE (p.x-s.x)*(p.x-s.x) + (p.y-s.y)*(p.y-s.y) + (p.z-s.z)*(p.z-s.z) <= 9"""))
+def surface_depth_query_cohort(spark, sf):
+    return sel.surface_depth_query(fx.by_subject(fx.points(spark, sf)), fx.by_subject(fx.surface(spark, sf), "vertex_id"), 3.0)
 
 
 # --- points, lengths, boxes ---------------------------------------------------------

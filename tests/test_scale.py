@@ -82,22 +82,38 @@ def brute(points, targets):
     return np.sqrt(d.min(axis=1))
 
 
-@pytest.mark.parametrize("few", [0, 20_000])
-def test_both_cloud_routes_equal_brute_force(skewed, few):
+def test_distance_to_cloud_equals_brute_force(skewed):
     cloud = skewed.filter("point_idx % 7 = 0")
     p = skewed.select("streamline_id", "point_idx", "x", "y", "z").orderBy("streamline_id", "point_idx").toPandas()
     want = brute(p[["x", "y", "z"]].to_numpy(), cloud.select("x", "y", "z").toPandas().to_numpy())
-    got = nearest.distance_to_cloud(skewed.select(*p.columns), cloud, few=few).orderBy("streamline_id", "point_idx").toPandas()
-    assert np.allclose(got["distance"], want, atol=1e-12)
-
-
-def test_dense_cells_take_the_nested_route(skewed):
-    vertices = skewed.filter("streamline_id = 0").select(F.col("point_idx").cast("long").alias("vertex_id"), "x", "y", "z")
-    points = skewed.filter("streamline_id > 0").select("streamline_id", "point_idx", (F.col("x") + 0.01).alias("x"), "y", "z")
-    plain = nearest.nearest_in_radius(points, vertices, "vertex_id", 6.0, dense_cell=10**9)
-    nested = nearest.nearest_in_radius(points, vertices, "vertex_id", 6.0, dense_cell=0)
-    columns = ["streamline_id", "point_idx", "nearest"]
-    same(plain.select(*columns), nested.select(*columns))
+    got = nearest.distance_to_cloud(skewed.select(*p.columns), cloud).orderBy("streamline_id", "point_idx").toPandas()
+    assert list(got.columns) == [*p.columns, "distance"] and np.allclose(got["distance"], want, atol=1e-12)
+
+
+def test_nearest_of_two_subjects_with_a_dense_spot(spark, monkeypatch):
+    """Half of the targets lie in one spot finer than the order's steps; each subject has its own targets."""
+    monkeypatch.setattr(nearest, "BLOCK", 16)
+    monkeypatch.setattr(nearest, "LEAF", 4)
+    monkeypatch.setattr(nearest, "FAN", 3)
+    rng = np.random.default_rng(8)
+    dense = 20 + rng.random((300, 3)) * 0.01
+    places = np.concatenate([rng.integers(0, 40, (300, 3)) / 1.0, dense, [[1e9, -1e9, 0]]])
+    targets = [("ab"[n % 2], n // 2 * 10 % 997, *map(float, t)) for n, t in enumerate(places)]
+    queries = [("abc"[n % 3], n, *map(float, q)) for n, q in enumerate(np.concatenate([rng.integers(0, 40, (400, 3)) / 1.0, 20 + rng.random((200, 3)) * 0.02]))]
+    odd = [("a", 9001, None, 1.0, 1.0), ("b", 9002, float("nan"), 1.0, 1.0), (None, 9003, 1.0, 1.0, 1.0)]
+    schema = "subject_id string, {} long, x double, y double, z double"
+    points = spark.createDataFrame(queries + odd, schema.format("point_idx")).repartition(5)
+    found = nearest.nearest(points, spark.createDataFrame(targets, schema.format("vertex_id")).repartition(3), "vertex_id", ["subject_id"])
+    got = {r["point_idx"]: (r["nearest"], r["d2"]) for r in found.collect()}
+    assert len(got) == len(queries) + len(odd) == found.count()
+    for subject, n, *q in queries:
+        own = [(sum((a - b) ** 2 for a, b in zip(q, t)), v) for s, v, *t in targets if s == subject]
+        d2, label = min(own, default=(None, None))
+        assert got[n][0] == label and (d2 is None or got[n][1] == pytest.approx(d2, abs=1e-12))
+    assert {got[n] for n in (9001, 9002, 9003)} == {(None, None)}
+    near = nearest.nearest_in_radius(points, spark.createDataFrame(targets, schema.format("vertex_id")), "vertex_id", 3.0)
+    assert {(r["point_idx"], r["nearest"]) for r in near.collect()} == {(n, v) for n, (v, d2) in got.items() if d2 is not None and d2 <= 9.0}
+    assert nearest.nearest(points, spark.createDataFrame([], schema.format("vertex_id")), "vertex_id").filter("nearest is not null").isEmpty()
 
 
 def test_subject_is_part_of_the_key(lines):
