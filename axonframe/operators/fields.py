@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from axonframe.functions.bricks import make_bricks
 from axonframe.functions.geometry import XYZ, attach_bounds, unit_or_zero
 from axonframe.functions.scan import lookup, subject
 from axonframe.functions.sphere import FULL_DETAIL, bin_count, nearest_bin, neighbour_pairs, opposite_bins, smoothing_kernel
@@ -243,44 +244,45 @@ def direction_normalize(field: DataFrame, mode: str = "global_peak") -> DataFram
     return field.withColumn("weight", F.when(F.col("_m") > 0, F.col("weight") / F.col("_m")).otherwise(F.col("weight"))).drop("_m")
 
 
-def direction_sample(rows: DataFrame, summary: DataFrame, pts: DataFrame, voxel_mm: float, key: list[str]) -> DataFrame:
-    """Summary vector at a point: its own voxel, else the inverse-square weighted mean of
-    the 27 voxels around it, else zero. ``pts`` defines the grid."""
+def direction_sample(rows: DataFrame, summary: DataFrame, pts: DataFrame, voxel_mm: float) -> DataFrame:
+    """Adds ``vx, vy, vz`` and the tensor ``xx .. zz`` of the summary at each point.
+
+    The vector is that of the point's voxel, else the inverse-square weighted mean of the 26 around
+    it, else zero; the tensor is that of the point's voxel, else zero. Outside the grid, which
+    ``pts`` defines, both are zero. The summary comes as bricks, so a point takes one lookup.
+    """
     size = voxel_size(voxel_mm)
-    by = subject(rows, summary)
-    on = by + ["i", "j", "k"]
-    seated = place(rows.select(*key, *XYZ), pts, size, 1)
-    boxed = attach_bounds(seated, pts)
-    near = F.array(
-        *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
-    )
-    spread = boxed.withColumn("_d", F.explode(near))
-    index = {n: F.col(n) + F.col(f"_d.{a}") for n, a in zip("ijk", "abc")}
-    centre = [
-        F.col(f"min_{c}") - F.lit(size) + (F.col(n) + F.col(f"_d.{a}") + F.lit(0.5)) * F.lit(size)
-        for c, n, a in zip(XYZ, "ijk", "abc")
-    ]
-    gap = [m - F.col(c) for m, c in zip(centre, XYZ)]
-    d2 = gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]
-    own = (F.col("_d.a") == 0) & (F.col("_d.b") == 0) & (F.col("_d.c") == 0)
-    spread = spread.withColumn("_w", F.lit(1.0) / F.greatest(d2, F.lit(1e-4))).withColumn("_own", own).withColumns(index)
-    vectors = summary.select(*on, *[f"v{c}" for c in XYZ])
-    found = lookup(spread.select(*key, *on, "_w", "_own"), vectors, on, spread=True)
-    v = [F.col(f"v{c}") for c in XYZ]
-    counts = v[0] * v[0] + v[1] * v[1] + v[2] * v[2] > 1e-10
-    weight = F.when(counts, F.col("_w"))
-    sums = found.groupBy(*key).agg(
-        F.max("_own").alias("_has"),
-        *[F.max(F.when(F.col("_own"), F.col(f"v{c}"))).alias(f"_o{c}") for c in XYZ],
-        *[F.sum(F.col(f"v{c}") * weight).alias(f"_s{c}") for c in XYZ],
-        F.sum(weight).alias("_t"),
-    )
-    out = lookup(rows.select(*key), sums, key, "left")
-    picked = {
-        f"v{c}": F.coalesce(F.when(F.col("_has"), F.col(f"_o{c}")).otherwise(F.col(f"_s{c}") / F.col("_t")), F.lit(0.0))
-        for c in XYZ
-    }
-    return out.withColumns(picked).select(*key, *picked)
+    names = [f"v{c}" for c in XYZ] + list(TENSOR)
+    cell = F.struct(*[F.col(c).cast("double").alias(c) for c in names])
+    bricks = make_bricks(summary, cell, subject(rows, summary), low=1, high=1)
+    placed = attach_bounds(rows, pts)
+    raw = [(F.col(c) - F.col(f"min_{c}")) / F.lit(size) + 1 for c in XYZ]
+    dims = [F.greatest(F.ceil((F.col(f"max_{c}") - F.col(f"min_{c}")) / F.lit(size) + 2), F.lit(1)) for c in XYZ]
+    inside_grid = F.lit(True)
+    for v, n in zip(raw, dims):
+        inside_grid = inside_grid & (v >= 0) & (F.floor(v) < n)
+    placed = placed.withColumns({f"_r{c}": v for c, v in zip(XYZ, raw)} | {"_inside": F.coalesce(inside_grid, F.lit(False))})
+    placed = bricks.beside(placed, [F.floor(f"_r{c}").cast("int") for c in XYZ]).withColumn("_own", bricks.cell(0, 0, 0))
+    # Distance in voxels to the centre of the voxel at an offset, back to mm.
+    part = [F.col(f"_r{c}") - F.floor(f"_r{c}") for c in XYZ]
+    zero = F.struct(*[F.lit(0.0).alias(f"v{c}") for c in XYZ], F.lit(0.0).alias("w"))
+
+    def add(acc: Column, n: Column) -> Column:
+        step = [F.floor(n / 9).cast("int") - 1, F.pmod(F.floor(n / 3), F.lit(3)).cast("int") - 1, F.pmod(n, F.lit(3)) - 1]
+        gap = [(d + F.lit(0.5) - p) * F.lit(size) for d, p in zip(step, part)]
+        at = bricks.cell(*step)
+        v = [at[f"v{c}"] for c in XYZ]
+        counts = F.coalesce(v[0] * v[0] + v[1] * v[1] + v[2] * v[2] > 1e-10, F.lit(False))
+        w = F.lit(1.0) / F.greatest(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2], F.lit(1e-4))
+        more = F.struct(*[(acc[f"v{c}"] + x * w).alias(f"v{c}") for c, x in zip(XYZ, v)], (acc["w"] + w).alias("w"))
+        return F.when(counts, more).otherwise(acc)
+
+    around = F.when(F.col("_inside") & F.col("_own").isNull(), F.aggregate(F.sequence(F.lit(0), F.lit(26)), zero, add))
+    placed = placed.withColumn("_around", around)
+    mean = {f"v{c}": F.when(F.col("_around.w") > 0, F.col(f"_around.v{c}") / F.col("_around.w")) for c in XYZ}
+    own = {c: F.when(F.col("_inside"), F.col("_own")[c]) for c in names}
+    picked = [F.coalesce(own[c], mean[c], F.lit(0.0)).alias(c) if c in mean else F.coalesce(own[c], F.lit(0.0)).alias(c) for c in names]
+    return placed.select(*rows.columns, *picked)
 
 
 def principal_direction(summary: DataFrame, rounds: int = 6) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from axonframe.functions.bricks import Bricks, make_bricks
 from axonframe.functions.geometry import (
     XYZ,
     Grid,
@@ -30,74 +29,65 @@ def sample_nearest(
     return found if outside is None else found.withColumn(name, F.coalesce(name, F.lit(float(outside))))
 
 
-def corner_weights(rows: DataFrame, grid: Grid, clip: bool) -> DataFrame:
-    """Eight (voxel, weight) rows per point. Without ``clip``, points whose cube leaves the
-    grid are dropped; with it, only the corners inside are kept."""
+CORNERS = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
+
+
+def _seated(rows: DataFrame, bricks: Bricks, grid: Grid) -> tuple[DataFrame, list[Column]]:
+    """Rows beside the brick of their base voxel, and the weights of the eight corners in order."""
     raw = world_to_voxel(grid, *[F.col(c) for c in XYZ])
-    rows = rows.withColumns({f"_b{c}": F.floor(v).cast("int") for c, v in zip(XYZ, raw)})
-    rows = rows.withColumns({f"_f{c}": v - F.col(f"_b{c}") for c, v in zip(XYZ, raw)})
+    base = [F.floor(v) for v in raw]
+    rows = rows.withColumns({f"_b{c}": b for c, b in zip(XYZ, base)} | {f"_f{c}": v - b for c, v, b in zip(XYZ, raw, base)})
+    rows = bricks.beside(rows, [F.col(f"_b{c}").cast("int") for c in XYZ])
+    weights = []
+    for corner in CORNERS:
+        share = [F.col(f"_f{c}") if d else F.lit(1.0) - F.col(f"_f{c}") for c, d in zip(XYZ, corner)]
+        weights.append(share[0] * share[1] * share[2])
+    return rows, weights
+
+
+def sample_trilinear(pts: DataFrame, voxels: DataFrame, grid: Grid, name: str = "value") -> DataFrame:
+    """Adds the eight-corner interpolation at each point, NULL where a corner leaves the grid or
+    has no voxel. One lookup a point: the volume comes as bricks."""
+    bricks = make_bricks(voxels, F.col("value").cast("double"), subject(pts, voxels))
+    rows, weights = _seated(pts, bricks, grid)
     base = [F.col(f"_b{c}") for c in XYZ]
-    if not clip:
-        rows = rows.filter(inside(grid, *base) & inside(grid, *[b + 1 for b in base]))
-    corners = []
-    for dx in (0, 1):
-        for dy in (0, 1):
-            for dz in (0, 1):
-                share = [F.col(f"_f{c}") if d else F.lit(1.0) - F.col(f"_f{c}") for c, d in zip(XYZ, (dx, dy, dz))]
-                corners.append(
-                    F.struct(
-                        *[(b + d).alias(n) for b, d, n in zip(base, (dx, dy, dz), "ijk")],
-                        (share[0] * share[1] * share[2]).alias("w"),
-                    )
-                )
-    out = rows.withColumn("_c", F.explode(F.array(*corners)))
-    out = out.select(*[c for c in rows.columns if c not in {f"_{p}{a}" for p in "bf" for a in XYZ}], "_c.*")
-    return out.filter(inside(grid, F.col("i"), F.col("j"), F.col("k")) & (F.col("w") > 0)) if clip else out
-
-
-def sample_trilinear(
-    pts: DataFrame, voxels: DataFrame, grid: Grid, key: Sequence[str], name: str = "value"
-) -> DataFrame:
-    """Eight-corner interpolation at each point, NULL where a corner leaves the grid.
-
-    ``key`` identifies a point. All its columns are carried through.
-    """
-    on = voxel_keys(pts, voxels)
-    carried = pts.columns
-    corners = corner_weights(pts.select(*key, *XYZ), grid, clip=False)
-    taps = lookup(corners, voxels.select(*on, F.col("value").cast("double").alias("_v")), on, spread=True)
-    sums = taps.groupBy(*key).agg(F.sum(F.col("w") * F.col("_v")).alias(name), F.count("*").alias("_n"))
-    whole = sums.filter(F.col("_n") == 8).drop("_n")
-    return lookup(pts, whole, list(key), "left").select(*carried, name)
+    within = inside(grid, *base) & inside(grid, *[b + 1 for b in base])
+    total = None
+    for corner, weight in zip(CORNERS, weights):
+        term = weight * bricks.cell(*corner)
+        total = term if total is None else total + term
+    return rows.select(*pts.columns, F.when(within, total).alias(name))
 
 
 def sample_masked_trilinear(
     pts: DataFrame,
     coeffs: DataFrame,
     grid: Grid,
-    key: Sequence[str],
     gate: str | None = None,
     threshold: float = 0.0,
     min_weight: float = 0.01,
 ) -> DataFrame:
-    """Array-valued interpolation over the corners that exist and pass the gate.
+    """Adds ``coeffs``, the array-valued interpolation over the corners that exist and pass the gate.
 
     ``coeffs``: i, j, k, coeffs ARRAY<DOUBLE> and optionally the gate column. Weights are
-    renormalised; a total weight under ``min_weight`` gives no row. At most eight arrays
-    meet per point, so they are gathered and folded element by element.
+    renormalised; a total weight under ``min_weight`` gives no row.
     """
-    on = voxel_keys(pts, coeffs)
     present = coeffs if gate is None else coeffs.filter(F.col(gate) >= threshold)
-    corners = corner_weights(pts.select(*key, *XYZ), grid, clip=True)
-    taps = lookup(corners, present.select(*on, F.col("coeffs").cast("array<double>").alias("coeffs")), on, spread=True)
-    tap = F.struct("i", "j", "k", "w", "coeffs")
-    met = taps.groupBy(*key).agg(F.sum("w").alias("_w"), F.sort_array(F.collect_list(tap)).alias("_taps"))
-    met = met.filter(F.col("_w") >= min_weight)
-    first = F.transform(F.get("_taps", F.lit(0))["coeffs"], lambda c: c * F.lit(0.0))
-    total = F.aggregate(
-        "_taps", first, lambda acc, t: F.zip_with(acc, t["coeffs"], lambda a, c: a + t["w"] * c)
-    )
-    return met.select(*key, F.transform(total, lambda v: v / F.col("_w")).alias("coeffs"))
+    bricks = make_bricks(present, F.col("coeffs").cast("array<double>"), subject(pts, coeffs), bits=2)
+    rows, weights = _seated(pts, bricks, grid)
+    base = [F.col(f"_b{c}") for c in XYZ]
+    taps = F.array(*[
+        F.when(
+            inside(grid, *[b + d for b, d in zip(base, corner)]) & (w > 0),
+            F.struct(w.alias("w"), bricks.cell(*corner).alias("c")),
+        )
+        for corner, w in zip(CORNERS, weights)
+    ])
+    met = rows.select(*pts.columns, F.filter(taps, lambda t: t["c"].isNotNull()).alias("_taps"))
+    met = met.withColumn("_w", F.aggregate("_taps", F.lit(0.0), lambda acc, t: acc + t["w"])).filter(F.col("_w") >= min_weight)
+    first = F.transform(F.get("_taps", F.lit(0))["c"], lambda c: c * F.lit(0.0))
+    total = F.aggregate("_taps", first, lambda acc, t: F.zip_with(acc, t["c"], lambda a, c: a + t["w"] * c))
+    return met.select(*pts.columns, F.transform(total, lambda v: v / F.col("_w")).alias("coeffs"))
 
 
 def sample_volume_along_streamline(
@@ -108,7 +98,7 @@ def sample_volume_along_streamline(
     A streamline without a sample gets NaN. An existing field of the same name is replaced.
     """
     keys = streamline_keys(pts)
-    sampled = sample_trilinear(pts.select(*keys, "point_idx", *XYZ), voxels, grid, keys + ["point_idx"], "_v")
+    sampled = sample_trilinear(pts.select(*keys, *XYZ), voxels, grid, "_v")
     means = sampled.groupBy(*keys).agg(F.coalesce(F.avg("_v"), F.lit(float("nan"))).alias("value"))
     means = means.select(*keys, F.lit(name).alias("field"), "value")
     if dps is None:
@@ -128,17 +118,19 @@ def glyph_gate_values(voxels: DataFrame, volume: DataFrame, grid: Grid, volume_g
 def resample_volume(
     spark: SparkSession, target: Grid, voxels: DataFrame, grid: Grid, interpolation: str = "trilinear"
 ) -> DataFrame:
-    """Values of ``voxels`` at the voxel centres of ``target``; NULL outside."""
+    """Values of ``voxels`` at the voxel centres of ``target``, per subject; NULL outside."""
     if interpolation not in ("nearest", "trilinear"):
         raise ValueError(f"unknown interpolation {interpolation!r}")
+    by = subject(voxels)
     cells = grid_voxels(spark, target)
     world = voxel_to_world(target, F.col("i"), F.col("j"), F.col("k"))
     centres = cells.select(*[F.col(n).alias(f"t{n}") for n in "ijk"], *[w.alias(c) for w, c in zip(world, XYZ)])
-    if interpolation == "nearest":
-        out = sample_nearest(centres, voxels, grid)
-    else:
-        out = sample_trilinear(centres, voxels, grid, ["ti", "tj", "tk"])
-    return out.select(*[F.col(f"t{n}").alias(n) for n in "ijk"], "value")
+    if by:
+        # The grid once for every subject.
+        names = voxels.select(*by).distinct().withColumn("_one", F.lit(1))
+        centres = centres.withColumn("_one", F.lit(1)).join(names, "_one").drop("_one")
+    sampled = sample_nearest(centres, voxels, grid) if interpolation == "nearest" else sample_trilinear(centres, voxels, grid)
+    return sampled.select(*by, *[F.col(f"t{n}").alias(n) for n in "ijk"], "value")
 
 
 def join_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:

@@ -363,17 +363,23 @@ def blend_volume_layers(spark: SparkSession, layers: Sequence[VolumeLayer]) -> D
     if not layers:
         raise ValueError("a stack needs at least one layer")
     base = layers[0].grid
+    by = subject(*[layer.voxels for layer in layers])
+    on = [*by, "i", "j", "k"]
     rows = grid_voxels(spark, base)
+    if by:
+        # Each subject has a stack of its own, on the grid of the first layer.
+        names = layers[0].voxels.select(*by).distinct().withColumn("_one", F.lit(1))
+        rows = rows.withColumn("_one", F.lit(1)).join(names, "_one").drop("_one")
     acc: list[Column] = [F.lit(0.0)] * 4
     for n, layer in enumerate(layers):
         if not layer.enabled:
             continue
         if n == 0:
-            values = layer.voxels.select("i", "j", "k", F.col("value").cast("double").alias(f"_v{n}"))
+            values = layer.voxels.select(*on, F.col("value").cast("double").alias(f"_v{n}"))
         else:
             values = resample_volume(spark, base, layer.voxels, layer.grid, layer.interpolation)
             values = values.withColumnRenamed("value", f"_v{n}")
-        rows = rows.join(values, ["i", "j", "k"], "left")
+        rows = rows.join(values.select(*on, f"_v{n}"), on, "left")
         v = F.col(f"_v{n}")
         seen = is_finite(v) & (v >= layer.threshold_min) & (v <= layer.threshold_max)
         t = window_level(v, layer.window_center - layer.window_width * 0.5, layer.window_center + layer.window_width * 0.5)
@@ -385,4 +391,4 @@ def blend_volume_layers(spark: SparkSession, layers: Sequence[VolumeLayer]) -> D
             {f"_o{n}{c}": F.when(seen, o + a * (F.lit(1.0) - alpha)).otherwise(a) for c, o, a in zip("rgba", over, acc)}
         )
         acc = [F.col(f"_o{n}{c}") for c in "rgba"]
-    return rows.select("i", "j", "k", *[clamp01(a).alias(c) for a, c in zip(acc, "rgba")])
+    return rows.select(*on, *[clamp01(a).alias(c) for a, c in zip(acc, "rgba")])

@@ -296,19 +296,20 @@ def direction_normalize_global(spark, sf):
     return fields.direction_normalize(field, "global_peak").withColumn("weight", r(F.col("weight")))
 
 
-@query("direction_sample", sql("segu box", f"""WITH {SUMMARY}, p AS (SELECT streamline_id, point_idx, x + 0.125e0 AS x, y + 1 AS y, z + 1 AS z FROM pts),
-    s AS (SELECT p.*, {place_sql(('x', 'y', 'z'), 1, VOXEL_MM)} FROM p, box),
-    n AS (SELECT s.streamline_id, s.point_idx, v.vx, v.vy, v.vz, v.i = s.i AND v.j = s.j AND v.k = s.k AS own, (ax - 4 + (v.i + 0.5e0) * 4 - s.x) AS gx, (ay - 4 + (v.j + 0.5e0) * 4 - s.y) AS gy, (az - 4 + (v.k + 0.5e0) * 4 - s.z) AS gz
-      FROM s, (SELECT UNNEST([-1,0,1]) AS a) t1, (SELECT UNNEST([-1,0,1]) AS b) t2, (SELECT UNNEST([-1,0,1]) AS c) t3, box JOIN summ v ON v.i = s.i + a AND v.j = s.j + b AND v.k = s.k + c),
+# Points moved out of their voxels, some of them out of the grid.
+@query("direction_sample", sql("segu box", f"""WITH {SUMMARY}, p AS (SELECT streamline_id, point_idx, x + 0.125e0 AS x, y + 1 AS y, z * 1.25e0 + 1 AS z FROM pts),
+    s AS (SELECT p.*, {place_sql(('x', 'y', 'z'), 1, VOXEL_MM)}, (x - ax) / 4e0 + 1 < CEIL((bx - ax) / 4e0 + 2) AND (y - ay) / 4e0 + 1 < CEIL((by_ - ay) / 4e0 + 2) AND (z - az) / 4e0 + 1 < CEIL((bz - az) / 4e0 + 2) AS ok FROM p, box),
+    n AS (SELECT s.streamline_id, s.point_idx, v.* EXCLUDE (i, j, k), v.i = s.i AND v.j = s.j AND v.k = s.k AS own, (ax - 4 + (v.i + 0.5e0) * 4 - s.x) AS gx, (ay - 4 + (v.j + 0.5e0) * 4 - s.y) AS gy, (az - 4 + (v.k + 0.5e0) * 4 - s.z) AS gz
+      FROM s, (SELECT UNNEST([-1,0,1]) AS a) t1, (SELECT UNNEST([-1,0,1]) AS b) t2, (SELECT UNNEST([-1,0,1]) AS c) t3, box JOIN summ v ON v.i = s.i + a AND v.j = s.j + b AND v.k = s.k + c WHERE ok),
     w AS (SELECT *, CASE WHEN vx*vx + vy*vy + vz*vz > 1e-10 THEN 1e0 / GREATEST(gx*gx + gy*gy + gz*gz, 1e-4) END AS w FROM n),
-    q AS (SELECT streamline_id, point_idx, CASE WHEN BOOL_OR(own) THEN MAX(CASE WHEN own THEN vx END) ELSE SUM(vx * w) / SUM(w) END AS vx, CASE WHEN BOOL_OR(own) THEN MAX(CASE WHEN own THEN vz END) ELSE SUM(vz * w) / SUM(w) END AS vz FROM w GROUP BY 1, 2)
-    SELECT streamline_id, point_idx, {R('COALESCE(q.vx, 0)', 5)} AS vx, {R('COALESCE(q.vz, 0)', 5)} AS vz FROM p LEFT JOIN q USING (streamline_id, point_idx)"""))
+    q AS (SELECT streamline_id, point_idx, {", ".join(f"CASE WHEN BOOL_OR(own) THEN MAX(CASE WHEN own THEN v{c} END) ELSE SUM(v{c} * w) / SUM(w) END AS v{c}" for c in "xyz")}, {", ".join(f"MAX(CASE WHEN own THEN {t} END) AS {t}" for t in fields.TENSOR)} FROM w GROUP BY 1, 2)
+    SELECT streamline_id, point_idx, {", ".join(f"{R(f'COALESCE({c}, 0)', 5)} AS {c}" for c in ("vx", "vy", "vz", *fields.TENSOR))} FROM p LEFT JOIN q USING (streamline_id, point_idx)"""))
 def direction_sample(spark, sf):
     pts = fx.points(spark, sf)
     summary = fields.direction_summary(pts, VOXEL_MM)
-    moved = pts.select(*POINT, (F.col("x") + 0.125).alias("x"), (F.col("y") + 1).alias("y"), (F.col("z") + 1).alias("z"))
-    out = fields.direction_sample(moved, summary, pts, VOXEL_MM, POINT)
-    return out.select(*POINT, r(F.col("vx"), 5).alias("vx"), r(F.col("vz"), 5).alias("vz"))
+    moved = pts.select(*POINT, (F.col("x") + 0.125).alias("x"), (F.col("y") + 1).alias("y"), (F.col("z") * 1.25 + 1).alias("z"))
+    out = fields.direction_sample(moved, summary, pts, VOXEL_MM)
+    return out.select(*POINT, *[r(F.col(c), 5).alias(c) for c in ("vx", "vy", "vz", *fields.TENSOR)])
 
 
 def _power_sql() -> str:

@@ -30,20 +30,20 @@ def sample_nearest(spark, sf):
 @query("sample_trilinear", sql("pts vox", f"""WITH {TAPS}, s AS (SELECT streamline_id, point_idx, SUM(w * value) AS v FROM t JOIN vox USING (i, j, k) GROUP BY 1, 2 HAVING COUNT(*) = 8)
     SELECT streamline_id, point_idx, {R('v', 5)} AS value FROM pts LEFT JOIN s USING (streamline_id, point_idx)"""))
 def sample_trilinear(spark, sf):
-    out = sampling.sample_trilinear(fx.points(spark, sf), fx.voxels(spark, sf), fx.grid(spark, sf), POINT)
+    out = sampling.sample_trilinear(fx.points(spark, sf), fx.voxels(spark, sf), fx.grid(spark, sf))
     return out.select(*POINT, r(F.col("value"), 5).alias("value"))
 
 
 @query("sample_masked_trilinear", sql("pts odx emb", f"""WITH {TAPS},
-    s AS (SELECT streamline_id, point_idx, n AS term, SUM(w * amps[n + 1]) AS s, SUM(w) AS w FROM t JOIN odx USING (i, j, k) JOIN emb USING (voxel_id), (SELECT UNNEST(RANGE(6)) AS n)
+    s AS (SELECT streamline_id, point_idx, n AS term, SUM(w * amps[n + 1]) AS s, SUM(w) AS w FROM t JOIN odx USING (i, j, k) JOIN emb USING (voxel_id), (SELECT UNNEST(RANGE(64)) AS n)
       WHERE w > 0 AND fa >= 3 GROUP BY 1, 2, 3)
     SELECT streamline_id, point_idx, CAST(term AS INT) AS term, {R('s / w')} AS value FROM s WHERE w >= 0.01e0"""))
 def sample_masked_trilinear(spark, sf):
-    """The first six amplitudes of each voxel as coefficients, gated by a voxel scalar."""
+    """All 64 amplitudes of each voxel as coefficients, gated by a voxel scalar."""
     rows = fx.odx_voxels(spark, sf).join(fx.amplitudes(spark, sf), "voxel_id")
-    rows = rows.select("i", "j", "k", "fa", F.slice("amps", 1, 6).alias("coeffs"))
+    rows = rows.select("i", "j", "k", "fa", F.col("amps").alias("coeffs"))
     grid = geo.scaling_grid(10, 10, 10_000, 5.0)
-    out = sampling.sample_masked_trilinear(fx.points(spark, sf), rows, grid, POINT, "fa", 3.0)
+    out = sampling.sample_masked_trilinear(fx.points(spark, sf), rows, grid, "fa", 3.0)
     long = out.select(*POINT, F.posexplode("coeffs").alias("term", "value"))
     return long.withColumn("value", r(F.col("value")))
 
@@ -54,7 +54,7 @@ def sample_masked_trilinear(spark, sf):
 def sample_volume_along_streamline(spark, sf):
     """NaN (no sample in bounds) is shown as NULL."""
     old = fx.dps(spark, sf)
-    old = old.unionByName(old.limit(5).withColumn("field", F.lit("fa")))
+    old = old.unionByName(old.withColumn("field", F.lit("fa")))
     out = sampling.sample_volume_along_streamline(fx.points(spark, sf), fx.voxels(spark, sf), fx.grid(spark, sf), "fa", old)
     shown = F.when(F.col("field") == "fa", r(F.nanvl("value", F.lit(None).cast("double")), 5)).otherwise(F.col("value"))
     return out.select("streamline_id", "field", shown.alias("value"))
@@ -89,6 +89,20 @@ def resample_volume(spark, sf):
     return out.withColumn("value", r(F.col("value"), 5))
 
 
+@query("resample_volume_cohort", sql("vox", """WITH v AS (SELECT CAST(label % 2 AS VARCHAR) AS subject_id, i, j, k FROM vox), s AS (SELECT a.subject_id, i, j, k, value FROM (SELECT DISTINCT subject_id FROM v) a, vox WHERE NOT (subject_id = '1' AND p_size % 5 = 0)),
+    g AS (SELECT subject_id, i, j, k FROM (SELECT DISTINCT subject_id FROM v), (SELECT i, j, k FROM (SELECT UNNEST(RANGE(9)) AS i), (SELECT UNNEST(RANGE(9)) AS j), (SELECT UNNEST(RANGE((SELECT MAX(k) FROM vox))) AS k))),
+    t AS (SELECT g.subject_id, g.i, g.j, g.k, SUM(value) * 0.125e0 AS v FROM g JOIN s ON s.subject_id = g.subject_id AND s.i - g.i IN (0, 1) AND s.j - g.j IN (0, 1) AND s.k - g.k IN (0, 1) GROUP BY ALL HAVING COUNT(*) = 8)
+    SELECT subject_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(k AS INT) AS k, """ + R("v", 5) + """ AS value FROM g LEFT JOIN t USING (subject_id, i, j, k)"""))
+def resample_volume_cohort(spark, sf):
+    """Two subjects' volumes at the corners between their voxels; the second lacks some voxels."""
+    rows = fx.parts(spark, sf).withColumn("subject_id", F.explode(F.array(F.lit("0"), F.lit("1"))))
+    rows = rows.filter(~((F.col("subject_id") == "1") & (F.col("p_size") % 5 == 0)))
+    grid = fx.grid(spark, sf)
+    between = geo.Grid(9, 9, grid.nz - 1, (5.0, 0, 0, 2.5, 0, 5.0, 0, 2.5, 0, 0, 5.0, 2.5, 0, 0, 0, 1))
+    out = sampling.resample_volume(spark, between, rows.select("subject_id", "i", "j", "k", "value"), grid, "trilinear")
+    return out.withColumn("value", r(F.col("value"), 5))
+
+
 @query("resample_labels", sql("vox dims", f"""WITH {CENTRES} SELECT CAST(ti AS INT) AS i, CAST(tj AS INT) AS j, CAST(tk AS INT) AS k, CAST(label AS DOUBLE) AS value
     FROM g LEFT JOIN vox ON vox.i = ROUND(x * 2e-1) AND vox.j = ROUND(y * 2e-1) AND vox.k = ROUND(z * 2e-1)"""))
 def resample_labels(spark, sf):
