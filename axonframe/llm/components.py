@@ -18,18 +18,25 @@ CHUNK = 1 << 20
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for all ends of ``edges(a, b)``; root is the smallest node of a component.
 
-    Each round first turns the edges that a task reads into stars, a bounded number at a time and
-    without a shuffle, then takes a large-star and a small-star step, each one aggregate per node
+    Tasks join ``CHUNK`` edges at a time into stars, so edges that fit one chunk are done with that.
+    Else each round then takes a large-star and a small-star step, each one aggregate per node
     and one join with it, until all edges form stars. Edges fold to distinct pairs before they
     move; a centre with many edges is a skewed join that Spark splits.
     """
-    stars = written(_joined(_ordered(edges)), "stars")
-    while not _are_stars(stars):
-        stars = written(_small_star(_large_star(_joined(stars))), "stars")
+    given = written(_ordered(edges), "edges")
+    stars, parts = _dealt(given)
+    while parts > 1 and not _are_stars(stars):
+        stars, parts = _dealt(written(_small_star(_large_star(stars)), "edges"))
     ends = stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return ends.union(stars.select("b", "b")).distinct()
 
 
+def _dealt(edges: DataFrame) -> tuple[DataFrame, int]:
+    """The edges as stars of as many tasks as they fill, and that number."""
+    parts = max(1, -(-edges.count() // CHUNK))
+    return written(_joined(edges.coalesce(parts)), "stars"), parts
+
+
 def _are_stars(edges: DataFrame) -> bool:
     """No node has two centres or is a centre and has one."""
     ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("centres"), F.lit(0).alias("rays")).union(

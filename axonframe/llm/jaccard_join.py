@@ -4,11 +4,10 @@ The distance 1 - Jaccard is a metric, r = 1 - threshold the radius of a link. Te
 nothing to do with one another are all at distance 1, where pivots cannot tell them apart, so
 the join has two levels, both exact:
 
-*Coarse regions.* Two linked sets differ in a bounded number of shingles, D. A set's hashes fall
-into K = D + 1 + slack parts, so at least one part that is not empty is the same in both (sets with more empty
-parts than the slack also meet by those). Sets with an equal part meet, and the components of
-these meetings are regions without links between them. Parts are made per size class and for the
-class below, as linked sets are of the same class or of adjacent ones.
+*Coarse regions.* The shingles of a set are put in order, those of the fewest sets first. Two linked
+sets share one of their first n - ceil(threshold n) + 1, so the components of sets that share such
+a shingle are regions without links between them. A shingle of one set alone meets nothing; most
+texts have enough of those to be done with at once.
 
 *Voronoi regions.* In a coarse region pivots are drawn and the distance of every set to every
 pivot is found. Sets within r of a pivot are linked to it, so a pivot is done with. The others
@@ -17,13 +16,14 @@ nearest: by the triangle inequality both ends of a link then meet in one cell. C
 recursively. Where windows would copy so much that the cells' pairs are over half of the region's
 it is not split, only its pivots leave. New pivots come from sets outside the region's largest component, and a region is
 finished when one component holds it: components, not pairs, are wanted. Regions of at most
-``leaf`` sets end in one task; larger ones go through salted passes over Spark.
+``leaf`` sets end in one task; larger ones go through salted passes of the same steps over Spark.
 
 Equal sets are one node from the start and fold in the task that reads them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from axonframe.llm.common import arrow_batches, fresh, written
 from axonframe.llm.components import components
-from axonframe.llm.shingles import ODD, mixed, shingles_of
+from axonframe.llm.shingles import shingles_of
 
 
 @dataclass(frozen=True)
@@ -49,8 +49,9 @@ class JoinParams:
     leaf_bytes: int = 24 << 20
     pivots: int = 1024
     pivot_bytes: int = 8 << 20
-    small: int = 24
     salts: int = 16
+    often: int = 1024
+    bucket: int = 1 << 20
 
     @property
     def radius(self) -> float:
@@ -71,48 +72,134 @@ def node_of(values: np.ndarray) -> int:
 
 # --- coarse regions -------------------------------------------------------------------
 
+#: Numbers that travel in one row, bucket by bucket, as bytes.
+BLOCKS = "bucket int, shingles binary, nodes binary, needs binary, often binary"
+
+
+def dealt(bucket: np.ndarray, rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row a bucket: the rows of each, in the order they have."""
+    order = np.argsort(bucket, kind="stable")
+    found, begins = np.unique(bucket[order], return_index=True)
+    ends = np.append(begins[1:], len(order))
+    columns = {"bucket": pa.array(found.astype(np.int32))}
+    for name in ("shingles", "nodes", "needs", "often"):
+        values = rows[name][order] if name in rows else np.zeros(0, np.int16)
+        size = values.itemsize if name in rows else 0
+        offsets = pa.array(np.append(begins, ends[-1:]) * size, pa.int32()) if len(found) else pa.array([0], pa.int32())
+        columns[name] = pa.Array.from_buffers(pa.binary(), len(found), [None, offsets.buffers()[1], pa.py_buffer(values.tobytes())])
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], kinds: dict[str, str], full: int = 1 << 62):
+    """``(rows, is_last)`` of each bucket: whole, or as soon as ``full`` rows have come together."""
+    bucket, held, size = None, {k: [] for k in kinds}, 0
+
+    def taken() -> dict[str, np.ndarray]:
+        return {k: np.concatenate(v) for k, v in held.items()}
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] != bucket:
+                if size:
+                    yield taken(), True
+                bucket, held, size = row["bucket"], {k: [] for k in kinds}, 0
+            for k, kind in kinds.items():
+                held[k].append(np.frombuffer(row[k], kind))
+            size += len(held["nodes"][-1])
+            if size >= full:
+                yield taken(), False
+                held, size = {k: [] for k in kinds}, 0
+    if bucket is not None:
+        yield (taken() if size else {k: np.zeros(0, kind) for k, kind in kinds.items()}), True
+
+
+def owned(batches: Iterator[pa.RecordBatch], most: int, buckets: int, full: int) -> Iterator[pa.RecordBatch]:
+    """From shingles by bucket to those that several sets have, by bucket of their nodes.
+
+    ``often`` is the number of sets, ``most`` at most. A shingle that comes ``most`` times before its
+    bucket is whole is given out at once, and so are its later rows: what is held stays bounded.
+    """
+    kinds = {"shingles": "<u8", "nodes": "<i8", "needs": "<i4"}
+    rest, hot = None, np.zeros(0, np.uint64)
+
+    def out(rows: dict[str, np.ndarray], often: np.ndarray) -> pa.RecordBatch:
+        place = ((rows["nodes"].view(np.uint64) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        return dealt(place, {**rows, "often": often.astype(np.int16)})
+
+    for rows, is_last in gathered(batches, kinds, full):
+        known = np.isin(rows["shingles"], hot)
+        if known.any():
+            yield out({k: v[known] for k, v in rows.items()}, np.full(known.sum(), most))
+            rows = {k: v[~known] for k, v in rows.items()}
+        if rest is not None:
+            rows = {k: np.concatenate([rest[k], v]) for k, v in rows.items()}
+        order = np.lexsort([rows["nodes"], rows["shingles"]])
+        rows = {k: v[order] for k, v in rows.items()}
+        shingle, node = rows["shingles"], rows["nodes"]
+        fresh_row = np.append(True, (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1]))[: len(node)]
+        rows = {k: v[fresh_row] for k, v in rows.items()}
+        shingle = rows["shingles"]
+        begins = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])[: len(shingle)])
+        counts = np.diff(np.append(begins, len(shingle)))
+        often = np.repeat(np.minimum(counts, most), counts)
+        if is_last:
+            several = often > 1
+            rest, hot = None, np.zeros(0, np.uint64)
+        else:
+            several = often >= most
+            hot = np.concatenate([hot, shingle[begins[counts >= most]]])
+            rest = {k: v[~several] for k, v in rows.items()}
+        if several.any():
+            yield out({k: v[several] for k, v in rows.items()}, often[several])
+
+
+def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the shared shingles by bucket of nodes to ``shingle, node``: of each set all but its
+    ``need - 1`` last, those that the most sets have."""
+    kinds = {"shingles": "<u8", "nodes": "<i8", "needs": "<i4", "often": "<i2"}
+    for rows, _ in gathered(batches, kinds):
+        order = np.lexsort([~rows["shingles"], -rows["often"], rows["nodes"]])
+        node, shingle, need = (rows[k][order] for k in ("nodes", "shingles", "needs"))
+        # A shingle given out early may have come twice.
+        once = np.append(True, (node[1:] != node[:-1]) | (shingle[1:] != shingle[:-1]))[: len(node)]
+        node, shingle, need = node[once], shingle[once], need[once]
+        begins = np.flatnonzero(np.append(True, node[1:] != node[:-1])[: len(node)])
+        place = np.arange(len(node)) - np.repeat(begins, np.diff(np.append(begins, len(node))))
+        keep = place >= need - 1
+        yield pa.RecordBatch.from_pydict({"shingle": pa.array(shingle[keep].view(np.int64)), "node": pa.array(node[keep])})
+
+
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by (shingle, node) to each node with the smallest one it shares a shingle with."""
+    last, centre = None, 0
+    for batch in batches:
+        shingle, node = batch["shingle"].to_numpy(), batch["node"].to_numpy()
+        if not len(shingle):
+            continue
+        begins = np.concatenate([[True], shingle[1:] != shingle[:-1]])
+        centres = node[np.flatnonzero(begins)].copy()
+        if last is not None and shingle[0] == last:
+            centres[0] = centre
+        of = centres[np.cumsum(begins) - 1]
+        last, centre = int(shingle[-1]), int(of[-1])
+        keep = of != node
+        pairs = np.unique(np.stack([of[keep], node[keep]], 1), axis=0) if keep.any() else np.zeros((0, 2), np.int64)
+        yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+
+def meetings(docs: DataFrame, p: JoinParams, shingles: int) -> DataFrame:
+    """Pairs (a, b) of nodes that share one of their rarest shingles: each with the smallest that has it.
+
+    All shingles, ``shingles`` in number, cross one exchange to be counted; those of one set alone end
+    there. The others go back to their sets, which put them in order, and their first ones meet. Both
+    times they travel in blocks, a row for each bucket of a batch, and buckets are of bounded size.
+    """
+    buckets = max(1, -(-shingles // p.bucket))
 
-def class_limits(percent: int) -> list[int]:
-    """Sizes at which classes begin, each at least 1 / threshold of the one before."""
-    limits = [1]
-    while limits[-1] < 1 << 40:
-        limits.append(max(limits[-1] + 1, -(-limits[-1] * 100 // percent)))
-    return limits
-
-
-def parts_of(level: int, limits: np.ndarray, percent: int) -> tuple[int, int]:
-    """K and the slack of the pairs whose smaller set is of class ``level``."""
-    most = int(limits[level + 1]) - 1
-    larger = most * 100 // percent
-    differ = (100 - percent) * (most + larger) // (100 + percent)
-    slack = 2 + differ // 32
-    return differ + 1 + slack, slack
-
-
-def part_signatures(values: np.ndarray, limits: np.ndarray, percent: int) -> np.ndarray:
-    """What a set meets others by. ``values`` are sorted hashes, so parts are ranges of them."""
-    own = int(np.searchsorted(limits, len(values), "right")) - 1
-    found = []
-    for level in {own, max(own - 1, 0)}:
-        k, slack = parts_of(level, limits, percent)
-        part = ((values >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-        first = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
-        number = part[first] + np.uint64(level << 32)
-        found.append(mixed(np.add.reduceat(values, first) + (number + np.uint64(1)) * np.uint64(ODD)))
-        if k - len(first) > slack:
-            empty = np.setdiff1d(np.arange(k, dtype=np.uint64) + np.uint64(level << 32), number)
-            found.append(mixed((empty + np.uint64(1)) * np.uint64(ODD) ^ np.uint64(0x5A5A5A5A5A5A5A5A)))
-    return np.concatenate(found)
-
-
-def meetings(docs: DataFrame, p: JoinParams) -> DataFrame:
-    """Distinct pairs (a, b) of nodes with an equal part: each node with the smallest one it meets there."""
-    limits = np.array(class_limits(p.percent))
-
-    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            found, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            sets, nodes = [np.zeros(0, np.uint64)], []
             for values in shingle_sets(batch["text"].to_pylist(), p.words):
                 # Below this size linked sets are equal.
                 if p.percent * (len(values) + 1) > 100 * len(values):
@@ -123,72 +210,18 @@ def meetings(docs: DataFrame, p: JoinParams) -> DataFrame:
                 if len(seen) > 1 << 20:
                     seen.clear()
                 seen.add(node)
-                found.append(part_signatures(values, limits, p.percent))
-                nodes.append(np.full(len(found[-1]), node, np.int64))
-            yield pa.RecordBatch.from_pydict({"part": pa.array(np.concatenate(found).view(np.int64)), "node": pa.array(np.concatenate(nodes))})
+                sets.append(values)
+                nodes.append(node)
+            many = np.array([len(v) for v in sets[1:]], np.int64)
+            shingle = np.concatenate(sets)
+            rows = {"shingles": shingle, "nodes": np.repeat(np.array(nodes, np.int64), many), "needs": np.repeat(-(-p.percent * many // 100), many).astype(np.int32)}
+            yield dealt(((shingle >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), rows)
 
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, centre = None, 0
-        for batch in batches:
-            part, node = batch["part"].to_numpy(), batch["node"].to_numpy()
-            if not len(part):
-                continue
-            begins = np.concatenate([[True], part[1:] != part[:-1]])
-            first = np.flatnonzero(begins)
-            centres = node[first].copy()
-            if last is not None and part[0] == last:
-                centres[0] = centre
-            of = centres[np.cumsum(begins) - 1]
-            last, centre = int(part[-1]), int(of[-1])
-            keep = of != node
-            pairs = np.unique(np.stack([of[keep], node[keep]], 1), axis=0) if keep.any() else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(signatures, "part long, node long")
-    ordered = rows.repartition(F.col("part")).sortWithinPartitions("part", "node")
-    return ordered.mapInArrow(stars, "a long, b long").distinct()
-
-
-def refined(members: DataFrame, p: JoinParams) -> DataFrame:
-    """Regions larger than a leaf made finer, without sets that meet no other; the others as they are.
-
-    Texts that share long passages meet in the parts that hold nothing else. Here the shingles of
-    a region are put in order, the rarest of the region first. Linked sets share one of their
-    first n - ceil(threshold n) + 1, so sets whose first ones are all their own have no links.
-    """
-
-    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                sets = [np.frombuffer(s, np.int64) for s in part["shingles"].to_pylist()]
-                many = [len(s) for s in sets]
-                yield pa.RecordBatch.from_pydict({
-                    "region": pa.array(np.repeat(part["region"].to_numpy(), many)),
-                    "node": pa.array(np.repeat(part["node"].to_numpy(), many)),
-                    "size": pa.array(np.repeat(many, many).astype(np.int64)),
-                    "shingle": pa.array(np.concatenate(sets)),
-                })
-
-    sizes = members.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes"))
-    marked = members.join(sizes.select("region", ((F.col("n") > p.leaf) | (F.col("bytes") > p.leaf_bytes)).alias("large")), "region")
-    members, small = marked.filter("large"), marked.filter("not large").drop("large")
-    once = members.dropDuplicates(["region", "node"]).select("region", "node", "shingles")
-    rows = once.mapInArrow(exploded, "region long, node long, size long, shingle long")
-    often = rows.groupBy("region", "shingle").agg(F.count("*").alias("often")).filter("often > 1")
-    held = rows.join(often, ["region", "shingle"]).groupBy("region", "node", "size").agg(
-        F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("held")
-    )
-    # Shingles that only this set has come first of all.
-    need = F.ceil(F.lit(p.percent) * F.col("size") / 100).cast("long")
-    left = F.col("size") - need + 1 - (F.col("size") - F.size("held"))
-    first = held.filter(left > 0).select("region", "node", F.explode(F.slice("held", F.lit(1), left.cast("int"))).alias("h"))
-    prefix = first.select("region", "node", F.col("h.shingle").alias("shingle"))
-    centre = prefix.groupBy("region", "shingle").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").drop("b")
-    pairs = prefix.join(centre, ["region", "shingle"]).select("a", F.col("node").alias("b")).filter("a <> b").distinct()
-    finer = components(pairs).select("node", F.col("root").alias("finer"))
-    large = members.join(finer, "node").select(F.col("finer").alias("region"), "node", "label", "shingles")
-    return large.unionByName(small.select("region", "node", "label", "shingles"))
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(exploded, BLOCKS)
+    counted = rows.repartition("bucket").sortWithinPartitions("bucket")
+    shared = counted.mapInArrow(lambda batches: owned(batches, p.often, buckets, 4 * p.bucket), BLOCKS)
+    first = shared.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(prefixes, "shingle long, node long")
+    return first.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(stars, "a long, b long")
 
 
 # --- Voronoi regions in one task --------------------------------------------------------
@@ -252,8 +285,7 @@ def join_region(sets: list[np.ndarray], labels: list[int], p: JoinParams) -> lis
             continue
         postings = Postings([sets[i] for i in own])
         sizes, place = postings.sizes, {int(i): k for k, i in enumerate(own)}
-        # Few sets: all of them are pivots, which is the plain join.
-        pivots = outside if len(own) <= p.small else outside[: p.leaf_pivots]
+        pivots = outside[: min(p.leaf_pivots, math.isqrt(len(own)))]
         distances = np.ones((len(own), len(pivots)))
         for k, i in enumerate(pivots):
             both = postings.with_own(place[int(i)])
@@ -436,7 +468,8 @@ def versions_joined(docs: DataFrame, p: JoinParams) -> DataFrame:
     hashed = rows.select("doc_id", "text", F.xxhash64("text").alias("version"))
     described = written(hashed.mapInArrow(describe, "doc_id long, version long, n_shingles long, node long"), "described")
     classes = described.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    regions = components(meetings(rows, p)).select("node", F.col("root").alias("region"))
+    shingles = described.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
+    regions = components(meetings(rows, p, shingles)).select("node", F.col("root").alias("region"))
     wanted = regions.join(classes, "node").select("node", "region", F.col("least").alias("doc_id"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,7 +485,6 @@ def versions_joined(docs: DataFrame, p: JoinParams) -> DataFrame:
 
     texts = rows.join(wanted, "doc_id").select("region", "node", "text")
     members = written(texts.mapInArrow(sets_of, MEMBERS), "members")
-    members = written(refined(members, p), "refined")
     roots = components(links_between(members, p))
     named = roots.join(classes, "node").groupBy("root").agg(F.min("least").alias("component"))
     of_node = roots.join(named, "root").select("node", "component")

@@ -1,14 +1,15 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from axonframe.llm import jaccard_join as jj
 from axonframe.llm.components import components
 
 STRICT = jj.JoinParams(words=4, percent=85)
-TIGHT = jj.JoinParams(words=4, percent=85, leaf=16, leaf_pivots=3, pivots=12, salts=3, small=4)
-LOOSE = jj.JoinParams(leaf=5, leaf_pivots=3, pivots=2, salts=2, small=3)
+TIGHT = jj.JoinParams(words=4, percent=85, leaf=16, leaf_pivots=3, pivots=12, salts=3, often=4, bucket=500)
+LOOSE = jj.JoinParams(leaf=5, leaf_pivots=3, pivots=2, salts=2, often=2, bucket=100)
 
 
 def plain_set(text, k):
@@ -89,18 +90,61 @@ def test_keep_one(docs, odd):
     assert found == sorted(want)
 
 
-def test_part_signatures_meet_for_every_link():
-    rng = np.random.default_rng(4)
-    for percent in (80, 85, 95):
-        limits = np.array(jj.class_limits(percent))
-        for _ in range(300):
-            n = int(rng.integers(6, 400))
-            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-            keep, add = int(rng.integers(0, n // 6 + 1)), int(rng.integers(0, n // 6 + 1))
-            b = np.unique(np.concatenate([rng.permutation(a)[keep:], rng.integers(0, 2**63, add).astype(np.uint64)]))
-            both = len(np.intersect1d(a, b))
-            if 100 * both >= percent * (len(a) + len(b) - both):
-                assert np.intersect1d(jj.part_signatures(a, limits, percent), jj.part_signatures(b, limits, percent)).size
+def test_every_link_meets(docs, crowd):
+    """Linked sets are in one component of the meetings; texts of their own words meet nothing."""
+    for p in (STRICT, TIGHT):
+        pairs = [tuple(r) for r in jj.meetings(docs([*crowd, (999, " ".join(f"own{i}" for i in range(99)))]), p, 10**5).collect()]
+        met = {}
+        for a, b in pairs:
+            kind = {a, b} | met.get(a, set()) | met.get(b, set())
+            met |= dict.fromkeys(kind, kind)
+        sets = {jj.node_of(s): s for s in jj.shingle_sets([t for _, t in crowd], p.words) if len(s)}
+        for x, a in sets.items():
+            for y, b in sets.items():
+                both = len(np.intersect1d(a, b))
+                if x != y and 100 * both >= p.percent * (len(a) + len(b) - both):
+                    assert y in met[x]
+        (own,) = jj.shingle_sets([" ".join(f"own{i}" for i in range(99))], p.words)
+        assert jj.node_of(own) not in met
+
+
+@pytest.mark.parametrize("most", [2, 5, 1000])
+@pytest.mark.parametrize("full", [1, 40, 10**6])
+def test_shingles_of_several_sets_in_any_blocks(most, full):
+    """Also where a bucket comes in pieces and its frequent shingles leave early."""
+    rng = np.random.default_rng(2)
+    shingle = np.concatenate([rng.integers(0, 60, 300), np.full(50, 7)]).astype(np.uint64)
+    node = rng.integers(0, 12, len(shingle)).astype(np.int64)
+    bucket = shingle % np.uint64(3)
+    need = np.ones(len(node), np.int32)
+    parts = [jj.dealt(bucket[i], {"shingles": shingle[i], "nodes": node[i], "needs": need[i]}) for i in np.array_split(np.arange(len(node)), 9)]
+    rows = pa.Table.from_batches(parts).sort_by("bucket").to_batches()
+    got = {}
+    for batch in jj.owned(iter(rows), most, 4, full):
+        for r in batch.to_pylist():
+            for s, n, o in zip(np.frombuffer(r["shingles"], "<u8"), np.frombuffer(r["nodes"], "<i8"), np.frombuffer(r["often"], "<i2")):
+                got.setdefault(int(s), {}).setdefault(int(n), set()).add(int(o))
+    for s in np.unique(shingle):
+        nodes = set(node[shingle == s].tolist())
+        assert set(got.get(int(s), {})) == (nodes if len(nodes) > 1 else set())
+        # One number a shingle, so all sets put it in the same place.
+        assert len(set().union(*got.get(int(s), {0: {1}}).values())) == 1
+    if full > 10**5:
+        assert all(o == {min(len(set(node[shingle == np.uint64(s)])), most)} for s, of in got.items() for o in of.values())
+
+
+def test_regions_go_through_cells(crowd):
+    """Voronoi cells with windows are formed, and cells are searched in place of whole regions."""
+    sets = [s for s in jj.shingle_sets([t for _, t in crowd], TIGHT.words) if len(s)]
+    formed = []
+    plain = jj.cells_of
+    jj.cells_of = lambda d, r: formed.append(plain(d, r)) or formed[-1]
+    try:
+        jj.join_region(sets, list(range(len(sets))), TIGHT)
+    finally:
+        jj.cells_of = plain
+    copies = sum(int(c.sum() - c.any(1).sum()) for c in formed)
+    assert len(formed) > 5 and copies > 0
 
 
 def test_region_in_one_task(crowd):
