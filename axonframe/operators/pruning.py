@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from axonframe.functions.geometry import XYZ
 from axonframe.functions.scan import cut_lineage, lookup, order_statistics, row_rank, streamline_keys, subject
@@ -149,8 +153,9 @@ def remove_duplicates(
 
     ``exact``: same points in the same order. ``near`` (after ``exact``): a streamline goes
     if one with a lower id has the same endpoints (either way round) within the endpoint
-    tolerance, shares at least the given fraction of their joint voxels, and lies within
-    the tolerance on average.
+    tolerance, lies within the tolerance on average, and at least the given fraction of the
+    vertices of each lie within the tolerance of the other. Only distances count, so two copies
+    are found wherever a grid happens to cut between them.
     """
     keys = streamline_keys(pts)
     unique = ids(pts).join(exact_copies(pts).select(*keys), keys, "left_anti")
@@ -158,60 +163,129 @@ def remove_duplicates(
         return unique
     if mode != "near":
         raise ValueError(f"unknown duplicate mode {mode!r}")
-    unique = cut_lineage(unique)
-    kept = keep(pts, unique)
-    pairs = near_pairs(kept, tolerance_mm, endpoint_tolerance_mm, min_shared_voxel_fraction)
-    return unique.join(pairs.select(*subject(pts), "streamline_id").distinct(), keys, "left_anti")
+    kept = keep(pts, cut_lineage(unique))
+    return without_near_copies(kept, tolerance_mm, endpoint_tolerance_mm, min_shared_voxel_fraction)
 
 
-def near_pairs(pts: DataFrame, tolerance: float, end_tolerance: float, fraction: float) -> DataFrame:
-    """(streamline_id, other) near-duplicates with other < streamline_id.
+#: Streamlines of a cell that all others are held against first, and how much more each later round takes.
+LEADERS, MORE = 64, 16
 
-    Candidates must agree on a rare voxel: two sets sharing a fraction f of their union
-    must share one of their ceil((1 - f) n) + 1 rarest members. Together with the endpoint
-    test this keeps a crowded region from pairing everything with everything.
+
+def without_near_copies(pts: DataFrame, tolerance: float, end_tolerance: float, fraction: float) -> DataFrame:
+    """Ids without a near copy of a lower id.
+
+    Candidates lie in one cell of the space of both endpoints. A streamline is in one cell, as a copy
+    of others it is in every cell that its tolerance reaches, both ways round. The lowest ids of a
+    cell are the first to be compared with; whoever copies one of them is done with, so a crowd of
+    copies costs one short round, and only what is left meets the further ones.
     """
-    by = subject(pts)
-    keys = by + ["streamline_id"]
-    cell = max(tolerance, 0.5)
-    voxels = pts.select(*keys, *[F.floor(F.col(c) / cell).cast("long").alias(f"v{c}") for c in XYZ]).distinct()
-    voxels = voxels.select(*keys, F.struct("vx", "vy", "vz").alias("voxel"))
-    rarity = voxels.groupBy(*by, "voxel").agg(F.count("*").alias("_f"))
-    ranked = lookup(voxels, rarity, by + ["voxel"], spread=True)
-    sizes = voxels.groupBy(*keys).agg(F.count("*").alias("n_voxels"))
-    # Position of each voxel in its streamline, rarest first, however long the streamline is.
-    placed = lookup(row_rank(ranked, ["_f", "voxel"], "_pos", keys), sizes, keys)
-    length = F.col("n_voxels") - F.ceil(F.col("n_voxels") * F.lit(fraction)) + 1
-    prefix = placed.filter(F.col("_pos") < length).select(*keys, "voxel")
-    if fraction <= 0:
-        raise ValueError("near duplicates share a positive fraction of their voxels")
-    ends = endpoints(pts).select(*keys, "first", "last").join(sizes, keys)
-    rows = prefix.join(ends, keys)
-    other = rows.select(*by, "voxel", *[F.col(c).alias(f"o_{c}") for c in ("streamline_id", "first", "last", "n_voxels")])
+    by, keys = subject(pts), streamline_keys(pts)
+    cell = 4.0 * max(float(end_tolerance), 1e-6)
+    ends = cut_lineage(endpoints(pts).select(*keys, "first", "last"))
+
+    def at(end: str) -> list:
+        return [F.col(end)[c] for c in XYZ]
+
+    home = F.xxhash64(*[F.floor(v / cell) for v in at("first") + at("last")])
+    open_ones = ends.withColumn("_cell", home)
+    seats = None
+    for one, other in (("first", "last"), ("last", "first")):
+        side = ends.select(*keys, *[v.alias(f"_v{n}") for n, v in enumerate(at(one) + at(other))])
+        for n in range(6):
+            reach = [F.floor((F.col(f"_v{n}") + d * end_tolerance) / cell) for d in (-1, 1)]
+            side = side.withColumn(f"_v{n}", F.explode(F.array_distinct(F.array(*reach))))
+        side = side.select(*keys, F.xxhash64(*[f"_v{n}" for n in range(6)]).alias("_cell"))
+        seats = side if seats is None else seats.unionByName(side)
+    ranked = cut_lineage(row_rank(seats.distinct(), ["streamline_id"], "_rank", by + ["_cell"]))
+    others = lookup(ranked, ends, keys).select(
+        *by, "_cell", "_rank", *[F.col(c).alias(f"o_{c}") for c in ("streamline_id", "first", "last")]
+    )
+    top = ranked.agg(F.max("_rank").alias("top")).first()["top"]
 
     def close(a: str, b: str):
-        d = [F.col(a)[c] - F.col(b)[c] for c in XYZ]
+        d = [p - q for p, q in zip(at(a), at(b))]
         return d[0] * d[0] + d[1] * d[1] + d[2] * d[2] <= end_tolerance * end_tolerance
 
-    met = rows.join(other, by + ["voxel"]).filter(F.col("o_streamline_id") < F.col("streamline_id"))
-    met = met.filter((close("first", "o_first") & close("last", "o_last")) | (close("first", "o_last") & close("last", "o_first")))
-    fits = F.least("n_voxels", "o_n_voxels") >= F.lit(fraction) * F.greatest("n_voxels", "o_n_voxels")
-    pairs = met.filter(fits).select(*keys, F.col("o_streamline_id").alias("other"), "n_voxels", "o_n_voxels").distinct()
-    pairs = cut_lineage(pairs)
-    mine = lookup(pairs, voxels, keys)
-    theirs = voxels.select(*by, F.col("streamline_id").alias("other"), "voxel")
-    shared = mine.join(theirs, by + ["other", "voxel"]).groupBy(*keys, "other", "n_voxels", "o_n_voxels").agg(F.count("*").alias("_s"))
-    union = F.col("n_voxels") + F.col("o_n_voxels") - F.col("_s")
-    pairs = shared.filter(F.col("_s") >= F.lit(fraction) * union).select(*keys, "other")
-    # Mean distance from each vertex to the other's nearest vertex, for the pairs left.
-    a = lookup(pts.select(*keys, "point_idx", *XYZ), pairs, keys)
-    b = pts.select(*by, F.col("streamline_id").alias("other"), *[F.col(c).alias(f"o{c}") for c in XYZ])
-    d = [F.col(c) - F.col(f"o{c}") for c in XYZ]
-    per_vertex = a.join(b, by + ["other"]).groupBy(*keys, "other", "point_idx").agg(
-        F.min(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("_d2")
+    begin, size = 0, LEADERS
+    while top is not None and begin <= top:
+        leaders = others.filter(F.col("_rank").between(begin, begin + size - 1))
+        met = open_ones.join(leaders, by + ["_cell"]).filter(F.col("o_streamline_id") < F.col("streamline_id"))
+        met = met.filter((close("first", "o_first") & close("last", "o_last")) | (close("first", "o_last") & close("last", "o_first")))
+        pairs = cut_lineage(met.select(*keys, F.col("o_streamline_id").alias("other")))
+        if not pairs.isEmpty():
+            copies = near_pairs(pts, pairs, tolerance, fraction).select(*keys).distinct()
+            open_ones = cut_lineage(open_ones.join(copies, keys, "left_anti"))
+        begin, size = begin + size, size * MORE
+    return open_ones.select(*keys)
+
+
+#: Vertices of a piece; two pieces meet in one row.
+PIECE = 128
+
+
+def near_pairs(pts: DataFrame, pairs: DataFrame, tolerance: float, fraction: float) -> DataFrame:
+    """Those of ``pairs(streamline_id, other)`` that lie within the tolerance, as a whole and for the
+    given fraction of the vertices of each.
+
+    Streamlines come in pieces with boxes. Of two streamlines only the pieces meet that may hold the
+    nearest vertex of some vertex of the other, in one row and one array operation.
+    """
+    by = subject(pts)
+    keys, pair = by + ["streamline_id"], by + ["streamline_id", "other"]
+    vertex = F.struct("point_idx", *[F.col(c).cast("double").alias(c) for c in XYZ])
+    box = [F.min(c).alias(f"lo{c}") for c in XYZ] + [F.max(c).alias(f"hi{c}") for c in XYZ]
+    involved = pairs.select(*keys).union(pairs.select(*by, "other")).distinct()
+    pieces = lookup(pts, involved, keys, "left_semi").groupBy(*keys, F.floor(F.col("point_idx") / PIECE).alias("piece"))
+    pieces = cut_lineage(pieces.agg(F.sort_array(F.collect_list(vertex)).alias("v"), *box))
+
+    def side(name: str, columns: list[str]) -> DataFrame:
+        end = "other" if name == "b" else "streamline_id"
+        return pieces.select(*by, F.col("streamline_id").alias(end), *[F.col(c).alias(f"{name}_{c}") for c in ["piece", *columns]])
+
+    boxes = [f"{e}{c}" for e in ("lo", "hi") for c in XYZ]
+    met = lookup(lookup(pairs, side("a", boxes), keys), side("b", boxes), by + ["other"])
+    gap, far = [], []
+    for c in XYZ:
+        al, ah, bl, bh = (F.col(f"{n}_{e}{c}") for n in "ab" for e in ("lo", "hi"))
+        gap.append(F.greatest(bl - ah, al - bh, F.lit(0.0)))
+        far.append(F.greatest(bh - al, ah - bl))
+    near2, far2 = (d[0] * d[0] + d[1] * d[1] + d[2] * d[2] for d in (gap, far))
+    met = met.select(*pair, "a_piece", "b_piece", near2.alias("_near2"), far2.alias("_far2"))
+    reach = F.greatest(*[F.min("_far2").over(Window.partitionBy(*pair, f"{n}_piece")) for n in "ab"])
+    met = met.withColumn("_reach", reach).filter(F.col("_near2") <= F.col("_reach") * (1 + 1e-12) + 1e-12).drop("_near2", "_far2", "_reach")
+    both = lookup(lookup(met, side("a", ["v"]), keys + ["a_piece"]), side("b", ["v"]), by + ["other", "b_piece"])
+    row = both.select(F.struct(*pair).alias("pair"), "a_piece", "b_piece", *[F.col(f"{n}_v.{c}").alias(f"{n}_{c}") for n in "ab" for c in XYZ])
+    out = StructType([row.schema["pair"], *StructType.fromDDL("a_piece long, b_piece long, a_d array<double>, b_d array<double>").fields])
+    measured = row.mapInArrow(_piece_distances, out)
+    each = measured.select("pair", F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("a_piece").alias("piece"), F.col("a_d").alias("d")),
+        F.struct(F.lit(1).alias("side"), F.col("b_piece").alias("piece"), F.col("b_d").alias("d")),
+    )).alias("_e")).select("pair", "_e.side", "_e.piece", F.posexplode("_e.d").alias("at", "d"))
+    least = each.groupBy("pair", "side", "piece", "at").agg(F.min("d").alias("d"))
+    within = (F.col("d") <= tolerance).cast("double")
+    sums = least.groupBy("pair").agg(
+        F.avg(F.when(F.col("side") == 0, F.col("d"))).alias("mean_distance_mm"),
+        F.least(F.avg(F.when(F.col("side") == 0, within)), F.avg(F.when(F.col("side") == 1, within))).alias("_share"),
     )
-    mean = per_vertex.groupBy(*keys, "other").agg(F.avg(F.sqrt("_d2")).alias("mean_distance_mm"))
-    return mean.filter(F.col("mean_distance_mm") <= tolerance)
+    return sums.filter((F.col("mean_distance_mm") <= tolerance) & (F.col("_share") >= fraction)).select("pair.*", "mean_distance_mm")
+
+
+def _piece_distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From two pieces to the distance of each vertex of one to the nearest of the other, both ways."""
+    for batch in batches:
+        sides = {}
+        for n in "ab":
+            lists = [batch[f"{n}_{c}"] for c in XYZ]
+            sides[n] = (np.stack([v.flatten().to_numpy() for v in lists], 1), np.append(0, np.cumsum(lists[0].value_lengths().to_numpy())))
+        out = {"a": np.empty(len(sides["a"][0])), "b": np.empty(len(sides["b"][0]))}
+        for i in range(batch.num_rows):
+            (a0, a1), (b0, b1) = (sides[n][1][i : i + 2] for n in "ab")
+            p, q = sides["a"][0][a0:a1], sides["b"][0][b0:b1]
+            dx, dy, dz = (p[:, None, k] - q[None, :, k] for k in range(3))
+            d2 = dx * dx + dy * dy + dz * dz
+            out["a"][a0:a1], out["b"][b0:b1] = d2.min(1), d2.min(0)
+        lists = [pa.ListArray.from_arrays(pa.array(sides[n][1], pa.int32()), pa.array(np.sqrt(out[n]))) for n in "ab"]
+        yield pa.RecordBatch.from_arrays([batch["pair"], batch["a_piece"], batch["b_piece"], *lists], ["pair", "a_piece", "b_piece", "a_d", "b_d"])
 
 
 def bundle_coverage(candidates: DataFrame, reference: DataFrame, tolerance_mm: float) -> DataFrame:

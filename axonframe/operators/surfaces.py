@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from axonframe.functions.color import clamp01, map_colors
 from axonframe.functions.geometry import XYZ, norm
+from axonframe.functions.graph import connect
 from axonframe.functions.nearest import nearest
 from axonframe.functions.scan import cut_lineage, is_finite, lookup, streamline_keys, subject
 from axonframe.operators.selection import keep, select_field
@@ -104,59 +105,25 @@ def component_volume(corners: DataFrame, component: str = "component") -> DataFr
     return corners.groupBy(*surface_keys(corners), component).agg(F.abs(F.sum(signed)).alias("volume_mm3"), F.count("*").alias("n_triangles"))
 
 
-def connect(edges: DataFrame) -> DataFrame:
-    """Connected components of (u, v) pairs: every node with its smallest reachable node.
-
-    Alternates two star rewrites until every node hangs off its component's minimum. Each
-    needs one aggregate and one join on a node, never the pairs within a group.
-    """
-    links = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    nodes = edges.select("u").union(edges.select("v")).distinct()
-    links = cut_lineage(links)
-
-    def mark(df: DataFrame) -> tuple:
-        row = df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
-        return row["n"], row["h"]
-
-    state = mark(links)
-    while True:
-        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = cut_lineage(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        after = mark(links)
-        if after == state:
-            break
-        state = after
-    roots = links.groupBy("u").agg(F.min("v").alias("component"))
-    return nodes.withColumnRenamed("u", "node").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn(
-        "component", F.coalesce("component", "node")
-    )
-
-
 def mesh_components(
     triangles: DataFrame, vertices: DataFrame, min_volume_mm3: float = 0.0, quantum: float = 1e-4
 ) -> DataFrame:
-    """Triangles with a component id: triangles sharing a corner position belong together.
+    """Triangles with a component id: triangles of one surface that share a corner position belong together.
 
     The id is the smallest triangle id of the component. Components under the volume are
     dropped.
     """
     corners = triangle_corners(triangles, vertices)
-    place = [
-        F.xxhash64(*[F.round(F.col(n)[c] / F.lit(quantum)).cast("long") for c in XYZ]) for n in "abc"
-    ]
-    placed = corners.withColumns({f"_p{n}": p for n, p in enumerate(place)})
+    on = surface_keys(corners)
+    place = [F.xxhash64(*on, *[F.round(F.col(n)[c] / F.lit(quantum)).cast("long") for c in XYZ]) for n in "abc"]
+    placed = cut_lineage(corners.withColumns({f"_p{n}": p for n, p in enumerate(place)}))
     edges = placed.select(F.explode(F.array(*[F.struct(F.col("_p0").alias("u"), F.col(f"_p{n}").alias("v")) for n in range(3)])).alias("_e")).select("_e.*")
     nodes = connect(edges).select(F.col("node").alias("_p0"), F.col("component").alias("_c"))
-    tagged = placed.join(nodes, "_p0").drop("_p0", "_p1", "_p2")
-    names = tagged.groupBy("_c").agg(F.min("tri_id").alias("component"))
-    tagged = lookup(tagged, names, ["_c"]).drop("_c")
+    tagged = lookup(placed, nodes, ["_p0"], spread=True).drop("_p0", "_p1", "_p2")
+    names = tagged.groupBy(*on, "_c").agg(F.min("tri_id").alias("component"))
+    tagged = lookup(tagged, names, [*on, "_c"], spread=True).drop("_c")
     sizes = component_volume(tagged).filter(F.col("volume_mm3") >= min_volume_mm3)
-    return lookup(tagged, sizes, ["component"]).select("tri_id", "component", "volume_mm3", "n_triangles")
+    return lookup(tagged, sizes, [*on, "component"], spread=True).select(*on, "tri_id", "component", "volume_mm3", "n_triangles")
 
 
 PLANE_EPS = 1e-4

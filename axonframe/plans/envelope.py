@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from axonframe.functions.graph import connect
 from axonframe.functions.scan import lookup
 from axonframe.operators.fields import grid_dims, place, voxel_size
 from axonframe.operators.selection import split_by_group
-from axonframe.operators.surfaces import connect
 from axonframe.operators.volumes import gaussian_blur, iso_level
 
 

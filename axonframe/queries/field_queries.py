@@ -96,17 +96,32 @@ def component_volume(spark, sf):
     return out.select("component", r(F.col("volume_mm3"), 4).alias("volume_mm3"), "n_triangles")
 
 
-# Dropping every triangle that starts a block of nine leaves chains as components.
-@query("mesh_components", sql("corner", f"""WITH t AS (SELECT * FROM corner WHERE tri_id % 9 < 6),
-    p AS (SELECT tri_id, ax || ',' || ay || ',' || az AS k FROM t UNION ALL SELECT tri_id, bx || ',' || by_ || ',' || bz FROM t UNION ALL SELECT tri_id, cx || ',' || cy || ',' || cz FROM t),
-    e AS (SELECT DISTINCT a.tri_id AS u, b.tri_id AS v FROM p a JOIN p b USING (k)),
-    w AS (SELECT tri_id AS s, tri_id AS n FROM t UNION SELECT w.s, e.v FROM w JOIN e ON e.u = w.n),
-    c AS (SELECT n AS tri_id, MIN(s) AS component FROM w GROUP BY 1),
-    s AS (SELECT component, ABS(SUM({SIGNED})) AS v, COUNT(*) AS n FROM c JOIN t USING (tri_id) GROUP BY 1)
-    SELECT tri_id, component, {R('v', 4)} AS volume_mm3, CAST(n AS BIGINT) AS n_triangles FROM c JOIN s USING (component) WHERE v >= 50""", recursive=True))
+def _components_sql(on: str, least: int) -> str:
+    """Triangles that share a corner position, by way of others too; ``on`` names the surface."""
+    key = f"{on}, " if on else ""
+    same = f"USING ({key}k)"
+    step = " AND ".join(f"e.{c} = w.{c}" for c in ([on] if on else []) + ["u"]).replace("w.u", "w.n")
+    return f"""p AS (SELECT {key}tri_id, UNNEST([ax || ',' || ay || ',' || az, bx || ',' || by_ || ',' || bz, cx || ',' || cy || ',' || cz]) AS k FROM t),
+    e AS (SELECT DISTINCT {key}a.tri_id AS u, b.tri_id AS v FROM p a JOIN p b {same}),
+    w AS (SELECT {key}tri_id AS s, tri_id AS n FROM t UNION SELECT {'w.' + on + ', ' if on else ''}w.s, e.v FROM w JOIN e ON {step}),
+    c AS (SELECT {key}n AS tri_id, MIN(s) AS component FROM w GROUP BY ALL),
+    s AS (SELECT {key}component, ABS(SUM({SIGNED})) AS v, COUNT(*) AS n FROM c JOIN t USING ({key}tri_id) GROUP BY ALL)
+    SELECT {key}tri_id, component, {R('v', 4)} AS volume_mm3, CAST(n AS BIGINT) AS n_triangles FROM c JOIN s USING ({key}component) WHERE v >= {least}"""
+
+
+@query("mesh_components", sql("corner", f"WITH t AS (SELECT * FROM corner), {_components_sql('', 50)}", recursive=True))
 def mesh_components(spark, sf):
-    kept = fx.triangles(spark, sf).filter(F.col("tri_id") % 9 < 6)
-    out = surfaces.mesh_components(kept, fx.surface(spark, sf), 50.0)
+    out = surfaces.mesh_components(fx.triangles(spark, sf), fx.surface(spark, sf), 50.0)
+    return out.withColumn("volume_mm3", r(F.col("volume_mm3"), 4))
+
+
+# The triangles of each nation's suppliers are a surface of their own.
+@query("mesh_components_surfaces", sql("corner", f"WITH t AS (SELECT corner.*, 'n' || s_nationkey AS surface_id FROM corner JOIN supplier ON s_suppkey = tri_id), {_components_sql('surface_id', 0)}", recursive=True))
+def mesh_components_surfaces(spark, sf):
+    owner = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("tri_id"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("surface_id"))
+    triangles = fx.triangles(spark, sf).join(owner, "tri_id")
+    corners = triangles.select("surface_id", F.explode(F.array("v0", "v1", "v2")).alias("vertex_id")).distinct()
+    out = surfaces.mesh_components(triangles, corners.join(fx.surface(spark, sf), "vertex_id"))
     return out.withColumn("volume_mm3", r(F.col("volume_mm3"), 4))
 
 

@@ -511,11 +511,12 @@ def puri_threshold(spark, sf):
 
 @query("merge", sql("pts", """
     WITH ord AS (SELECT part, streamline_id, ROW_NUMBER() OVER (ORDER BY part, streamline_id) - 1 AS new_id FROM
-      (SELECT DISTINCT 0 AS part, streamline_id FROM pts WHERE streamline_id % 2 = 0 UNION ALL SELECT DISTINCT 1, streamline_id FROM pts WHERE streamline_id % 3 = 0))
+      (SELECT DISTINCT 0 AS part, streamline_id FROM pts WHERE streamline_id % 3 < 2 UNION ALL SELECT DISTINCT 1, streamline_id FROM pts WHERE streamline_id % 3 > 0))
     SELECT new_id AS streamline_id, point_idx, x, y, z FROM ord JOIN pts USING (streamline_id)"""))
 def merge(spark, sf):
+    """Two sets that together hold all streamlines and share a third of them."""
     pts = fx.points(spark, sf)
-    left, right = (sets.Tractogram(pts.filter(F.col("streamline_id") % k == 0)) for k in (2, 3))
+    left, right = (sets.Tractogram(pts.filter(part)) for part in ("streamline_id % 3 < 2", "streamline_id % 3 > 0"))
     return sets.merge(left, right).points.select("streamline_id", "point_idx", "x", "y", "z")
 
 
@@ -555,13 +556,11 @@ def remove_duplicates_exact(spark, sf):
     cand AS (SELECT a.streamline_id AS s, b.streamline_id AS o FROM e a JOIN e b ON b.streamline_id < a.streamline_id
         AND ((ABS(a.fx - b.fx) <= 15 AND ABS(a.fy - b.fy) <= 15 AND ABS(a.lx - b.lx) <= 15 AND (a.fx-b.fx)*(a.fx-b.fx) + (a.fy-b.fy)*(a.fy-b.fy) + (a.fz-b.fz)*(a.fz-b.fz) <= 225 AND (a.lx-b.lx)*(a.lx-b.lx) + (a.ly-b.ly)*(a.ly-b.ly) + (a.lz-b.lz)*(a.lz-b.lz) <= 225)
           OR ((a.fx-b.lx)*(a.fx-b.lx) + (a.fy-b.ly)*(a.fy-b.ly) + (a.fz-b.lz)*(a.fz-b.lz) <= 225 AND (a.lx-b.fx)*(a.lx-b.fx) + (a.ly-b.fy)*(a.ly-b.fy) + (a.lz-b.fz)*(a.lz-b.fz) <= 225))),
-    v AS (SELECT DISTINCT streamline_id, FLOOR(x / 12) AS i, FLOOR(y / 12) AS j, FLOOR(z / 12) AS k FROM base JOIN u USING (streamline_id)),
-    n AS (SELECT streamline_id, COUNT(*) AS n FROM v GROUP BY 1),
-    sh AS (SELECT s, o, COUNT(*) AS c FROM cand JOIN v a ON a.streamline_id = s JOIN v b ON b.streamline_id = o AND a.i = b.i AND a.j = b.j AND a.k = b.k GROUP BY 1, 2),
-    ok AS (SELECT s, o FROM sh JOIN n a ON a.streamline_id = s JOIN n b ON b.streamline_id = o WHERE c >= 0.6e0 * (a.n + b.n - c)),
-    dist AS (SELECT s, o, p.point_idx, SQRT(MIN((p.x-q.x)*(p.x-q.x) + (p.y-q.y)*(p.y-q.y) + (p.z-q.z)*(p.z-q.z))) AS d
-        FROM ok JOIN base p ON p.streamline_id = s JOIN base q ON q.streamline_id = o GROUP BY 1, 2, 3),
-    near AS (SELECT DISTINCT s FROM (SELECT s, o FROM dist GROUP BY 1, 2 HAVING AVG(d) <= 12))
+    m AS (SELECT s, o, p.point_idx AS a, q.point_idx AS b, SQRT((p.x-q.x)*(p.x-q.x) + (p.y-q.y)*(p.y-q.y) + (p.z-q.z)*(p.z-q.z)) AS d
+        FROM cand JOIN base p ON p.streamline_id = s JOIN base q ON q.streamline_id = o),
+    forth AS (SELECT s, o, AVG(d) AS mean, AVG(CASE WHEN d <= 12 THEN 1e0 ELSE 0e0 END) AS share FROM (SELECT s, o, a, MIN(d) AS d FROM m GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    back AS (SELECT s, o, AVG(CASE WHEN d <= 12 THEN 1e0 ELSE 0e0 END) AS share FROM (SELECT s, o, b, MIN(d) AS d FROM m GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    near AS (SELECT DISTINCT s FROM forth f JOIN back USING (s, o) WHERE mean <= 12 AND LEAST(f.share, back.share) >= 0.6)
     SELECT streamline_id FROM u WHERE streamline_id NOT IN (SELECT s FROM near)"""))
 def remove_duplicates_near(spark, sf):
     from axonframe.operators.pruning import remove_duplicates

@@ -52,6 +52,26 @@ def test_exact_copies_keep_the_lowest_id(lines):
     assert ids(pruning.remove_duplicates(pts)) == [0, 1, 3]
 
 
+def test_near_copies_across_any_border(lines):
+    """A pair 0.2 mm apart is found wherever cells begin; the middle of a line counts as well as its ends."""
+    shifts = [0.0, 3.9, 7.95, 11.9, 15.95, 23.95]
+    pairs = [[(x, y + 50 * n, z + shift + d) for x, y, z in run(8)] for n, shift in enumerate(shifts) for d in (0.0, 0.2)]
+    bent = [(x, y + (3.0 if 2 < x < 5 else 0.0), z) for x, y, z in run(8)]
+    both = lines([*pairs, bent])
+    assert ids(pruning.remove_duplicates(both, "near", 1.0, 2.0, 0.9)) == [0, 2, 4, 6, 8, 10, 12]
+    assert ids(pruning.remove_duplicates(both, "near", 1.0, 2.0, 0.7)) == [0, 2, 4, 6, 8, 10]
+
+
+def test_a_crowd_of_near_copies_makes_few_pairs(lines, monkeypatch):
+    monkeypatch.setattr(pruning, "LEADERS", 4)
+    pairs = []
+    plain = pruning.near_pairs
+    monkeypatch.setattr(pruning, "near_pairs", lambda pts, p, *more: pairs.append(p.count()) or plain(pts, p, *more))
+    crowd = [[(x, y + n * 1e-4, z) for x, y, z in run(4)] for n in range(300)]
+    assert ids(pruning.remove_duplicates(lines([*crowd, run(4, axis=1)]), "near", 1.0, 2.0, 0.9)) == [0, 300]
+    assert sum(pairs) < 5 * 300
+
+
 def test_near_copies_in_either_direction(lines):
     shifted = [(x, y + 0.1, z) for x, y, z in run(10)]
     pts = lines([run(10), shifted[::-1], run(10, axis=1)])

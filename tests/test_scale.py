@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from axonframe.functions import nearest, scan
+from axonframe.functions import graph, nearest, scan
 from axonframe.operators import geometry as og
 from axonframe.operators import selection as sel
 from axonframe.operators.fields import voxel_density
@@ -116,6 +116,21 @@ def test_nearest_of_two_subjects_with_a_dense_spot(spark, monkeypatch):
     assert nearest.nearest(points, spark.createDataFrame([], schema.format("vertex_id")), "vertex_id").filter("nearest is not null").isEmpty()
 
 
+@pytest.mark.parametrize("chunk", [60, 1 << 20])
+def test_components_of_a_star_and_a_chain(spark, monkeypatch, chunk):
+    """In one task, and in rounds of many."""
+    monkeypatch.setattr(graph, "CHUNK", chunk)
+    rounds = []
+    plain = graph._forests
+    monkeypatch.setattr(graph, "_forests", lambda links: rounds.append(1) or plain(links))
+    star = [(5000, k) for k in range(5001, 5700)]
+    chain = [(k * 37 % 499, (k + 1) * 37 % 499) for k in range(498)]
+    edges = spark.createDataFrame([*star, *chain, (9000, 9000), (-1, -2)], "u long, v long").repartition(9)
+    got = dict(graph.connect(edges).collect())
+    want = {k: 0 for k in range(499)} | {k: 5000 for k in range(5000, 5700)} | {9000: 9000, -1: -2, -2: -2}
+    assert got == want and len(rounds) < 9
+
+
 def test_subject_is_part_of_the_key(lines):
     pts = lines([[(0, 0, 0), (3, 4, 0)], [(1, 1, 1), (1, 1, 2)]])
     both = pts.withColumn("subject_id", F.lit("a")).unionByName(pts.withColumns({"subject_id": F.lit("b"), "x": F.col("x") * 2}))
