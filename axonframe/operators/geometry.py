@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from axonframe.functions.geometry import XYZ, Grid, bounds, inside, norm, unit_or_zero, world_to_voxel
 from axonframe.functions.scan import lookup, running_sum, streamline_keys, subject, with_neighbours
@@ -130,38 +134,30 @@ def dedup_consecutive(pts: DataFrame, tolerance: float = SAME_POINT_MM) -> DataF
     near = running_sum(near.withColumn("_restart", restart), keys, F.col("_restart").cast("long"), "_run")
     near = near.filter(F.col("_d2").isNull() | (F.col("_d2") > 0))
     run = keys + ["_run"]
-    vertex = F.struct("point_idx", *XYZ)
     creeping = near.filter(~F.col("_restart")).select(*run).distinct()
-    folded = (
-        near.join(creeping, run, "left_semi")
-        .groupBy(*run)
-        .agg(F.sort_array(F.collect_list(vertex)).alias("_vertices"))
-        .select(*keys, F.explode(_kept(F.col("_vertices"), tolerance)).alias("point_idx"))
-    )
+    crept = near.join(creeping, run, "left_semi").select(*run, "point_idx", *XYZ)
+    fields = [crept.schema[c] for c in (*keys, "point_idx")]
+    # A run is a stream of its own: a task remembers its last kept vertex and nothing else.
+    ordered = crept.repartition(*run).sortWithinPartitions(*run, "point_idx")
+    folded = ordered.mapInArrow(lambda batches: _kept(batches, run, tolerance), StructType(fields))
     sure = near.filter("_restart").join(creeping, run, "left_anti").select(*keys, "point_idx")
     return pts.join(sure.unionByName(folded), keys + ["point_idx"], "left_semi")
 
 
-def _kept(vertices: Column, tolerance: float) -> Column:
-    def step(acc: Column, v: Column) -> Column:
-        last = acc["last"]
-        d = [v[c] - last[c] for c in XYZ]
-        far = last.isNull() | (d[0] * d[0] + d[1] * d[1] + d[2] * d[2] >= tolerance * tolerance)
-        return F.when(
-            far, F.struct(v.alias("last"), F.concat(acc["kept"], F.array(v["point_idx"])).alias("kept"))
-        ).otherwise(acc)
-
-    empty = F.struct(
-        F.lit(None).cast("struct<point_idx:int,x:double,y:double,z:double>").alias("last"),
-        F.array().cast("array<int>").alias("kept"),
-    )
-    typed = F.transform(
-        vertices,
-        lambda v: F.struct(
-            v["point_idx"].cast("int").alias("point_idx"), *[v[c].cast("double").alias(c) for c in XYZ]
-        ),
-    )
-    return F.aggregate(typed, empty, step)["kept"]
+def _kept(batches: Iterator[pa.RecordBatch], run: Sequence[str], tolerance: float) -> Iterator[pa.RecordBatch]:
+    """Vertices at least ``tolerance`` from the last one kept of their run."""
+    owner, last, limit = None, None, tolerance * tolerance
+    for batch in batches:
+        owners = zip(*(batch[c].to_pylist() for c in run))
+        keep = []
+        for at, (own, place) in enumerate(zip(owners, zip(*(batch[c].to_pylist() for c in XYZ)))):
+            if own == owner:
+                dx, dy, dz = (a - b for a, b in zip(place, last))
+                if dx * dx + dy * dy + dz * dz < limit:
+                    continue
+            owner, last = own, place
+            keep.append(at)
+        yield batch.take(pa.array(keep, pa.int64())).select([*run[:-1], "point_idx"])
 
 
 def raster(pts: DataFrame, to_voxel, changes_only: bool) -> DataFrame:

@@ -297,21 +297,23 @@ def hausdorff_filter(pts: DataFrame, ref_pts: DataFrame, max_mm: float) -> DataF
 
 
 def _hashed(sel: DataFrame, seed: int) -> DataFrame:
-    return sel.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in streamline_keys(sel)]))
+    """Adds 60 bits of the MD5 of ``seed:<keys>``, a hash that any other system can repeat."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in streamline_keys(sel)])
+    return sel.withColumn("_h", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"))
 
 
 def limit_streamlines(sel: DataFrame, n: int, randomize: bool = False, seed: int = 0) -> DataFrame:
-    """First ``n`` ids, or the ``n`` smallest seeded hashes when randomised."""
+    """First ``n`` ids of each subject, or the ``n`` smallest seeded hashes when randomised."""
     keys = streamline_keys(sel)
     if randomize:
         return random_subset(sel, n, seed)
-    return first_n(sel.select(*keys), keys, n)
+    return first_n(sel.select(*keys), ["streamline_id"], n, subject(sel))
 
 
 def random_subset(sel: DataFrame, n: int, seed: int) -> DataFrame:
-    """A deterministic random subset: the ``n`` smallest seeded hashes."""
+    """A deterministic random subset of each subject: the ``n`` smallest seeded hashes."""
     keys = streamline_keys(sel)
-    return first_n(_hashed(sel.select(*keys), seed), ["_h", *keys], n).select(*keys)
+    return first_n(_hashed(sel.select(*keys), seed), ["_h", "streamline_id"], n, subject(sel)).select(*keys)
 
 
 def stride_sample(sel: DataFrame, stride: int) -> DataFrame:

@@ -723,3 +723,20 @@ def stream_voxel_density(spark, sf):
     running = streaming.start_density(streaming.stream_voxel_density(cells), f"{sink}/counts", "density", f"{sink}/state")
     running.awaitTermination()
     return streaming.latest_batch(spark, f"{sink}/counts").select("voxel", "density")
+
+
+@query("stream_voxel_density_update", sql("dims", """SELECT i, j, k, CAST(COUNT(*) AS BIGINT) AS density FROM (SELECT CAST(FLOOR((l_quantity + (l_partkey % 8) / 8e0) * 2e-1) AS INT) AS i,
+    CAST(FLOOR(ROUND(l_discount * 100) * 5e0 * 2e-1) AS INT) AS j, CAST(FLOOR(ROUND(l_tax * 100) * 6.25e0 * 2e-1) AS INT) AS k FROM lineitem WHERE l_returnflag = 'R') p, dims
+    WHERE i BETWEEN 0 AND nx - 1 AND j BETWEEN 0 AND ny - 1 AND k BETWEEN 0 AND nz - 1 GROUP BY 1, 2, 3"""))
+def stream_voxel_density_update(spark, sf):
+    """The vertices of one run as a stream in update mode: each batch writes the voxels it changed; then compacted."""
+    arriving = spark.readStream.schema(fx.table(spark, sf, "lineitem").schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
+    vertices = arriving.select(
+        F.col("l_returnflag").alias("run_id"), (F.col("l_quantity") + F.pmod("l_partkey", F.lit(8)) / F.lit(8.0)).alias("x"),
+        (F.round(F.col("l_discount") * 100) * F.lit(5.0)).alias("y"), (F.round(F.col("l_tax") * 100) * F.lit(6.25)).alias("z"),
+    )
+    sink = fx.scratch(spark)
+    counts = streaming.stream_voxel_density(vertices, fx.grid(spark, sf), run_id="R")
+    streaming.start_density(counts, f"{sink}/counts", "density", f"{sink}/state", "update").awaitTermination()
+    streaming.compact(spark, f"{sink}/counts")
+    return streaming.current_counts(spark, f"{sink}/counts")

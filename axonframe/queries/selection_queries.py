@@ -139,7 +139,7 @@ def write_tractogram(spark, sf):
 
 
 @query("concat_tractograms", sql("pts grp", """
-    WITH a AS (SELECT * FROM pts WHERE streamline_id % 2 = 0), b AS (SELECT * FROM pts WHERE streamline_id % 3 = 0),
+    WITH a AS (SELECT * FROM pts WHERE streamline_id % 3 < 2), b AS (SELECT * FROM pts WHERE streamline_id % 3 > 0),
     ord AS (SELECT part, streamline_id, ROW_NUMBER() OVER (ORDER BY part, streamline_id) - 1 AS new_id FROM
       (SELECT DISTINCT 0 AS part, streamline_id FROM a UNION ALL SELECT DISTINCT 1, streamline_id FROM b)),
     g AS (SELECT new_id, CASE part WHEN 0 THEN 'left' ELSE 'right' END AS group_name FROM ord
@@ -149,10 +149,11 @@ def write_tractogram(spark, sf):
 def concat_tractograms(spark, sf):
     pts, groups = fx.points(spark, sf), fx.groups(spark, sf)
 
-    def share(k):
-        return sets.Tractogram(pts.filter(F.col("streamline_id") % k == 0), groups.filter(F.col("streamline_id") % k == 0))
+    # Two sets that together hold all streamlines and share a third of them.
+    def share(part):
+        return sets.Tractogram(pts.filter(part), groups.filter(part))
 
-    both = sets.concat_tractograms([(share(2), "left"), (share(3), "right")])
+    both = sets.concat_tractograms([(share("streamline_id % 3 < 2"), "left"), (share("streamline_id % 3 > 0"), "right")])
     sizes = both.points.groupBy("streamline_id").agg(F.count("*").alias("n_points"))
     return both.groups.join(sizes, "streamline_id").select("streamline_id", "group_name", "n_points")
 
@@ -482,16 +483,27 @@ def limit_streamlines(spark, sf):
     return sel.limit_streamlines(sel.ids(fx.points(spark, sf)), 250)
 
 
-@query("limit_streamlines_random")
+def _random_sql(n: int, seed: int) -> str:
+    return f"SELECT streamline_id FROM (SELECT DISTINCT streamline_id FROM pts) ORDER BY substr(md5('{seed}:' || streamline_id), 1, 15), streamline_id LIMIT {n}"
+
+
+@query("limit_streamlines_random", sql("pts", _random_sql(250, 7)))
 def limit_streamlines_random(spark, sf):
     return sel.limit_streamlines(sel.ids(fx.points(spark, sf)), 250, randomize=True, seed=7)
 
 
-@query("random_subset")
+@query("random_subset", sql("pts", _random_sql(200, 42)))
 def random_subset(spark, sf):
     return sel.random_subset(sel.ids(fx.points(spark, sf)), 200, 42)
 
 
+@query("random_subset_cohort", sql("cpts", """SELECT subject_id, streamline_id FROM (SELECT DISTINCT subject_id, streamline_id FROM cpts)
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY subject_id ORDER BY substr(md5('42:' || subject_id || ':' || streamline_id), 1, 15), streamline_id) <= 200"""))
+def random_subset_cohort(spark, sf):
+    """As many of each subject."""
+    return sel.random_subset(sel.ids(fx.by_subject(fx.points(spark, sf))), 200, 42)
+
+
 @query("stride_sample", sql("pts", "SELECT streamline_id FROM (SELECT streamline_id, ROW_NUMBER() OVER (ORDER BY streamline_id) - 1 AS n FROM (SELECT DISTINCT streamline_id FROM pts)) WHERE n % 7 = 0"))
 def stride_sample(spark, sf):
     return sel.stride_sample(sel.ids(fx.points(spark, sf)), 7)

@@ -70,11 +70,26 @@ def test_order_statistics_are_exact(skewed):
     assert (got["lo"], got["mid"], got["top"]) == (values[int(n * 0.02)], values[n // 2], values[-1])
 
 
-def test_large_first_n_stays_distributed(skewed, monkeypatch):
-    monkeypatch.setattr(scan, "SMALL_LIMIT", 10)
-    rows = skewed.select("streamline_id", "point_idx")
-    got = scan.first_n(rows, ["streamline_id", "point_idx"], 2500)
-    assert got.count() == 2500 and got.agg(F.max("streamline_id").alias("m")).first()["m"] > 0
+@pytest.mark.parametrize("n", [1, 7, 400, 2999, 3000, 9000])
+def test_first_n_is_exact(skewed, n):
+    rows = skewed.select("streamline_id", "point_idx", "x")
+    for by in ([], ["streamline_id"]):
+        order = ["x", "point_idx", "streamline_id"]
+        w = Window.partitionBy(*by).orderBy(*order)
+        plain = rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
+        same(plain, scan.first_n(rows, order, n, by).select(*plain.columns))
+
+
+def test_one_creeping_run_is_streamed(spark):
+    """A single endless run of tiny steps: kept vertices are those of a plain loop."""
+    step = 3e-5
+    rows = spark.range(20_000).select(F.lit(4).cast("long").alias("streamline_id"), F.col("id").cast("int").alias("point_idx"), (F.col("id") * step).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    kept, last = [], None
+    for n in range(20_000):
+        if last is None or abs(n * step - last) ** 2 >= og.SAME_POINT_MM**2:
+            kept.append(n)
+            last = n * step
+    assert sorted(r["point_idx"] for r in og.dedup_consecutive(rows).collect()) == kept
 
 
 def brute(points, targets):
@@ -159,6 +174,37 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     same(density.latest_batch(spark, str(tmp_path / "out")).select("i", "j", "k", "density"), density.stream_voxel_density(batch, grid))
 
 
+def test_update_mode_replays_and_compacts(spark, sf, tmp_path):
+    batch = fx.points(spark, sf).withColumn("run_id", F.when(F.col("streamline_id") % 4 == 0, "old").otherwise("new")).repartition(6)
+    batch.write.parquet(str(tmp_path / "in"))
+    grid, sink, state = fx.grid(spark, sf), str(tmp_path / "out"), str(tmp_path / "state")
+    want = density.stream_voxel_density(batch, grid, "new")
+
+    def run():
+        arriving = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        density.start_density(density.stream_voxel_density(arriving, grid, "new"), sink, "d", state, "update").awaitTermination()
+
+    def now():
+        return density.current_counts(spark, sink).select("i", "j", "k", "density")
+
+    run()
+    sizes = [r["count"] for r in spark.read.parquet(sink).groupBy("batch").count().collect()]
+    assert len(sizes) == 6 and max(sizes) <= want.count()
+    same(now(), want)
+    # A batch written twice counts once, before and after compaction.
+    spark.read.parquet(sink).filter("batch = 5").drop("batch").write.mode("overwrite").parquet(str(tmp_path / "again"))
+    spark.read.parquet(str(tmp_path / "again")).write.mode("overwrite").parquet(f"{sink}/batch=5")
+    same(now(), want)
+    density.compact(spark, sink)
+    density.compact(spark, sink)
+    same(now(), want)
+    assert spark.read.parquet(sink).count() == want.count()
+    # The stream goes on after compaction.
+    batch.limit(200).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    same(now(), density.stream_voxel_density(spark.read.parquet(str(tmp_path / "in")), grid, "new"))
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf, tmp_path):
     fx.points(spark, sf).write.parquet(str(tmp_path / "p"))
     pts = spark.read.parquet(str(tmp_path / "p"))
