@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from axonframe.llm.licenses import COVER, K, SHIFT, template_rows
-from axonframe.llm.mixing import MOST, RATE_MOST
+from axonframe.llm.mixing import MOST, SLICE
 from axonframe.llm.secret_scan import BASE, RULES
 
 ARCHIVES = """
@@ -95,7 +95,7 @@ FROM m JOIN x ON x.depth = m.depth AND x.k = m.k LEFT JOIN n p ON p.depth = m.de
 def secrets() -> str:
     parts = []
     for rank, rule in enumerate(RULES):
-        pattern = rule.pattern.replace("'", "''")
+        pattern = rule.plain.replace("'", "''")
         parts.append(f"""SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, {rule.least} AS least, regexp_extract_all(t, '{pattern}', 0) AS hits,
             regexp_extract_all(t, '{pattern}', {rule.group}) AS measured, string_split_regex(t, '{pattern}') AS gaps FROM d""")
     base = ", ".join(f"'{r.kind}'" for r in BASE)
@@ -134,13 +134,15 @@ WITH RECURSIVE d AS (SELECT *, COALESCE(source, '') AS s FROM documents),
 c AS (SELECT s, CAST(SUM(length(COALESCE(text, ''))) AS BIGINT) AS chars FROM d GROUP BY s),
 w AS (SELECT s, chars, CASE WHEN chars > 0 THEN 1e0 ELSE 0e0 END AS weight FROM c),
 a AS (SELECT CAST(SUM(chars) AS BIGINT) AS all_chars, SUM(weight) AS all_weight FROM w),
-q AS (SELECT s, LEAST(CASE WHEN chars > 0 THEN weight / all_weight * all_chars * 1e0 / chars ELSE 0e0 END, {RATE_MOST}e0) AS rate FROM w, a),
-k AS (SELECT s, rate, 0 AS k, EXP(-rate) AS p, EXP(-rate) AS cdf FROM q
-    UNION ALL SELECT s, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) FROM k WHERE k < {MOST - 1}),
-u AS (SELECT d.*, CAST('0x' || substr(md5('1:' || doc_id), 1, 12) AS BIGINT) / 281474976710656e0 AS u FROM d),
-n AS (SELECT doc_id, COUNT(*) AS n, ANY_VALUE(rate) AS rate FROM u JOIN k USING (s) WHERE cdf <= u GROUP BY doc_id),
-e AS (SELECT u.doc_id, text, lang, source, n_chars, rate, UNNEST(range(0, n)) AS copy FROM u JOIN n USING (doc_id))
-SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INT) AS copy, rate,
+r AS (SELECT s, CASE WHEN chars > 0 THEN weight / all_weight * all_chars * 1e0 / chars ELSE 0e0 END AS rate FROM w, a),
+q AS (SELECT s, rate, CAST(GREATEST(1, CEIL(rate / {SLICE}e0)) AS BIGINT) AS slices, rate / GREATEST(1, CEIL(rate / {SLICE}e0)) AS part FROM r),
+k AS (SELECT s, part, 0 AS k, EXP(-part) AS p, EXP(-part) AS cdf FROM q
+    UNION ALL SELECT s, part, k + 1, p * part / (k + 1), cdf + p * part / (k + 1) FROM k WHERE k < {MOST - 1}),
+i AS (SELECT d.*, rate, UNNEST(range(0, slices)) AS slice FROM d JOIN q USING (s)),
+u AS (SELECT *, CAST('0x' || substr(md5('1:' || doc_id || CASE WHEN slice = 0 THEN '' ELSE ':' || slice END), 1, 12) AS BIGINT) / 281474976710656e0 AS u FROM i),
+n AS (SELECT doc_id, slice, COUNT(*) AS n FROM u JOIN k USING (s) WHERE cdf <= u GROUP BY doc_id, slice),
+e AS (SELECT u.doc_id, text, lang, source, n_chars, rate, slice * {MOST} + UNNEST(range(0, n)) AS copy FROM u JOIN n USING (doc_id, slice))
+SELECT doc_id, text, lang, source, n_chars, copy, rate,
     CAST('0x' || substr(md5('1 order:' || doc_id || ':' || copy), 1, 12) AS BIGINT) / 281474976710656e0 AS shuffle_key FROM e
 """
 

@@ -31,6 +31,11 @@ class Rule:
     group: int = 0
     least: int = 1
 
+    @property
+    def plain(self) -> str:
+        """The pattern for engines without possessive loops, with the same matches."""
+        return self.pattern.replace("*+", "*").replace(")++", ")+")
+
 
 # The rules, in the order in which spans of one start are listed.
 BASE = (
@@ -38,11 +43,13 @@ BASE = (
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", 1, r"[0-9a-f]{32,}", 0, 32),
 )
-#: A line of a key's body: a header of an encrypted key, or base64 of 16 characters or more.
-PEM_LINE = r"(?:\s|\\[nr])+(?:(?:Proc-Type|DEK-Info):[^\n]*|" + "[A-Za-z0-9+/=]" * 16 + "[A-Za-z0-9+/=]*)"
+#: What parts the lines of a key, and a line: a header of an encrypted key, or base64 of 16 characters or more.
+PEM_GAP = r"(?:[\x20\x09-\x0D]|\\[nr])++"
+PEM_LINE = PEM_GAP + r"(?:(?:Proc-Type|DEK-Info):[^\n]*+|" + "[A-Za-z0-9+/=]" * 16 + "[A-Za-z0-9+/=]*+)"
 ADDED = (
-    # To the END line, else over the lines of the body and a padded last one. Single hyphens stand in headers only.
-    Rule("pem", 2, r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,40}-----END [A-Z ]*PRIVATE KEY-----|(?:" + PEM_LINE + r"){0,500}(?:(?:\s|\\[nr])+[A-Za-z0-9+/]+={1,2})?)"),
+    # To the END line over text without a double hyphen, else over the lines of the body and a padded last one.
+    # Loops over groups are possessive: they take no stack, however long the key is, and lose no match.
+    Rule("pem", 3, r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]|-[^-])*+-----END [A-Z ]*PRIVATE KEY-----|(?:" + PEM_LINE + r")*+(?:" + PEM_GAP + r"[A-Za-z0-9+/]+={1,2})?)"),
     Rule("ghtoken", 1, r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
 RULES = BASE + ADDED

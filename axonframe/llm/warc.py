@@ -155,7 +155,7 @@ def arc_stream(stream: Stream) -> Iterator[tuple[int, dict, bytes]]:
 def record_key(head: bytes, uri: str, date: str, digest: str) -> int:
     """The page id that the document carries, else a negative number of its own."""
     own = http_header(head, KEY_HEADER)
-    if own is not None and re.fullmatch(r"-?\d{1,18}", own):
+    if own is not None and re.fullmatch(r"-?\d{1,19}", own) and -(2**63) <= int(own) < 2**63:
         return int(own)
     return -1 - int.from_bytes(hashlib.sha1(f"{uri} {date} {digest}".encode()).digest()[:8], "big") // 2
 

@@ -50,10 +50,21 @@ def test_odd_rows(docs, odd):
     assert mixing.poisson_mix(docs([(1, None), (2, "")])).collect() == []
 
 
-def test_a_small_source_is_not_repeated_without_end(docs):
+def test_a_small_source_gets_its_whole_weight(docs):
+    """No rate is cut by default: one character beside 9,900 is repeated some 4,950 times; a limit is for the asking."""
     rows = [(0, "x", "en", "tiny"), *[(i, "y" * 100, "en", "big") for i in range(1, 100)]]
     got = mixing.poisson_mix(docs(rows)).collect()
-    assert sum(r["doc_id"] == 0 for r in got) <= mixing.MOST
+    tiny = [r["copy_" if "copy_" in r else "_copy"] for r in got if r["doc_id"] == 0]
+    assert 4500 < len(tiny) < 5400 and len(set(tiny)) == len(tiny)
+    assert sum(r["doc_id"] == 0 for r in mixing.poisson_mix(docs(rows), rate_most=16.0).collect()) <= mixing.MOST
+
+
+def test_a_huge_rate_is_dealt_out(docs, monkeypatch):
+    """Blocks of slices in many tasks give the counts that one block gives."""
+    rows = [(0, "x", "en", "tiny"), (1, "y" * 9000, "en", "big")]
+    whole = sorted(r["shuffle_key"] for r in mixing.poisson_mix(docs(rows)).collect())
+    monkeypatch.setattr(mixing, "BLOCK", 8)
+    assert sorted(r["shuffle_key"] for r in mixing.poisson_mix(docs(rows)).collect()) == whole
 
 
 def test_same_result_in_any_layout(docs):

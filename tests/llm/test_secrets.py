@@ -82,3 +82,16 @@ def test_a_whole_key_is_blotted_out(spark, docs):
     want = {1: "a\n[secret]\nb", 2: "a\n[secret]\nb and c", 3: "a\n[secret]\nb", 4: "a\n[secret]\nb", 5: "a\n[secret]\nb - c\n[secret]\nd", 6: "a\n[secret] is how a key begins - b", 7: "a\n[secret]\nb"}
     got = ss.redact(docs(list(texts.items()), clash=False), ss.new_ledger(spark)).select("doc_id", "text").collect()
     assert dict(map(tuple, got)) == want
+
+
+def test_keys_of_any_length(docs):
+    """Bodies of 10^5 lines with and without an END line, headers of many hyphens, many BEGIN lines."""
+    line, begin, end = "QUJD" * 16, "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    long_body = "\n".join([line] * 100_000)
+    texts = {
+        1: f"a\n{begin}\n{long_body}\nand b", 2: f"a\n{begin}\n{long_body}\n{end}\nb", 3: f"a\n{begin}\nDEK-Info: {'x-' * 45}\n\n{line}\n{end}\nb",
+        4: (begin + "\n") * 5000 + f"{line}\n{end}\nb", 5: begin + " and - " * 20_000,
+    }
+    clean = {r["doc_id"]: r["text"] for r in ss.redact(docs(list(texts.items())), ss.new_ledger(docs([]).sparkSession)).collect()}
+    assert clean[1] == "a\n[secret]\nand b" and clean[2] == clean[3] == "a\n[secret]\nb"
+    assert clean[4] == "[secret]\n" * 4999 + "[secret]\nb" and clean[5] == "[secret]" + " and - " * 20_000

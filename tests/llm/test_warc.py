@@ -79,3 +79,10 @@ def test_arc_stream_takes_declared_lengths():
 def test_cut_archive_is_an_error():
     with pytest.raises(ValueError, match="ends"):
         list(warc.arc_stream(warc.Stream(iter([b"http://a 1.1.1.1 19960101000000 text/html 50", b"short"]))))
+
+
+def test_page_ids_of_any_size(spark):
+    """Of equal payloads the record of the largest id is the response, up to the limits of a long."""
+    ids = [3, 10**18 + 5, 2**63 - 1, -(2**63), 10**17]
+    _, got = made(spark, [(i, "http://a", "same") for i in ids])
+    assert {(r[0], r[3], r[4]) for r in got} == {(i, "response", None) if i == 2**63 - 1 else (i, "revisit", 2**63 - 1) for i in ids}
