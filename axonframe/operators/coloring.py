@@ -30,16 +30,21 @@ def color_uniform(pts: DataFrame, color: tuple) -> DataFrame:
 
 
 def group_colors(groups: DataFrame, colors: DataFrame | None = None) -> DataFrame:
-    """Colour and order of each group: own colour, well-known name, sheet number, then the
-    golden-angle colour of its position. ``colors``: group_name, r, g, b."""
+    """Colour and order of each group of a subject: own colour, well-known name, sheet number, then the
+    golden-angle colour of its position. ``colors``: group_name, r, g, b.
+
+    Groups come in the order of the file where ``groups`` has it as ``group_ord``, else by name.
+    """
     by = subject(groups)
-    names = groups.select(*by, "group_name").distinct()
-    ranked = row_rank(names, ["group_name"], "group_ord", by)
+    order = ["_ord", "group_name"] if "group_ord" in groups.columns else ["group_name"]
+    place = F.min("group_ord") if "group_ord" in groups.columns else F.lit(0)
+    names = groups.groupBy(*by, "group_name").agg(place.alias("_ord"))
+    ranked = row_rank(names, order, "group_ord", by).drop("_ord")
     name = F.col("group_name")
     choice = [bundle_name_color(name), sheet_color(name), distinct_color(F.col("group_ord"))]
     if colors is not None:
-        own = colors.select("group_name", F.struct(*[F.col(c).cast("double").alias(c) for c in "rgb"]).alias("_own"))
-        ranked = lookup(ranked, own, ["group_name"], "left", spread=True)
+        own = colors.select(*subject(groups, colors), "group_name", F.struct(*[F.col(c).cast("double").alias(c) for c in "rgb"]).alias("_own"))
+        ranked = lookup(ranked, own, [*subject(groups, colors), "group_name"], "left", spread=True)
         choice = [F.col("_own"), *choice]
     return ranked.select(*by, "group_name", "group_ord", F.coalesce(*choice).alias("color"))
 
@@ -63,7 +68,7 @@ def color_by_scalar(
 ) -> DataFrame:
     """Colour by a per-vertex column, or by a per-streamline field of ``dps``.
 
-    Without a fixed range the robust range of the scalar is used. An unknown field is grey.
+    Without a fixed range the robust range of the subject's scalar is used. An unknown field is grey.
     """
     if dps is None:
         if field not in pts.columns:
@@ -75,8 +80,11 @@ def color_by_scalar(
             return color_uniform(pts, GREY)
         rows, source, column = expand_dps_to_vertices(pts, dps, field), chosen, "value"
     if value_range is None:
-        span = robust_range(source, column).first()
-        value_range = (span["lo"], span["hi"])
-    lo, hi = (float(v) for v in value_range)
-    t = (F.col(field).cast("double") - F.lit(lo)) / F.lit(max(hi - lo, 1e-10))
+        by = subject(rows, source)
+        span = robust_range(source, column, by=by).withColumn("_one", F.lit(1))
+        rows = lookup(rows.withColumn("_one", F.lit(1)), span.withColumnsRenamed({"lo": "_lo", "hi": "_hi"}), [*by, "_one"], "left")
+        lo, hi = F.coalesce("_lo", F.lit(0.0)), F.coalesce("_hi", F.lit(1.0))
+    else:
+        lo, hi = (F.lit(float(v)) for v in value_range)
+    t = (F.col(field).cast("double") - lo) / F.greatest(hi - lo, F.lit(1e-10))
     return _spread(rows, map_colors(t, colormap))

@@ -125,7 +125,7 @@ def fixel_otsu_gate(fixels: DataFrame, threshold: DataFrame, metric: str | None
 def color_fixels(
     fixels: DataFrame, scalars: DataFrame | None = None, colormap: str = "inferno", value_range: tuple | None = None
 ) -> DataFrame:
-    """Fixel colours: absolute direction, or a scalar through a colour map.
+    """Fixel colours: absolute direction, or a scalar through a colour map over its subject's range.
 
     ``scalars`` has one value per fixel; a different count is an error.
     """
@@ -136,10 +136,12 @@ def color_fixels(
     n_fixels, n_values = fixels.count(), scalars.count()
     if n_fixels != n_values:
         raise ValueError(f"{n_values} scalars for {n_fixels} fixels")
-    if value_range is None:
-        span = finite_minmax(scalars, "value").first()
-        value_range = (span["lo"], span["hi"])
     joined = fixels.select(*keys).join(scalars.select(*on, F.col("value").cast("double").alias("_v")), on)
+    if value_range is None:
+        by = subject(joined, scalars)
+        span = finite_minmax(scalars, "value", by).withColumnsRenamed({"lo": "_lo", "hi": "_hi"}).withColumn("_one", F.lit(1))
+        joined = lookup(joined.withColumn("_one", F.lit(1)), span, [*by, "_one"])
+        value_range = (F.col("_lo"), F.col("_hi"))
     color = map_colors(window_level(F.col("_v"), *value_range), colormap)
     return joined.select(*keys, *[color[c].alias(c) for c in "rgb"])
 

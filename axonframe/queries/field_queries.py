@@ -467,6 +467,15 @@ def color_by_dpv(spark, sf):
     return out.select(*POINT, *[r(F.col(c)).alias(c) for c in "rgb"])
 
 
+@query("color_by_dpv_cohort", sql("cpts", f"""WITH o AS (SELECT subject_id, dpv, ROW_NUMBER() OVER (PARTITION BY subject_id ORDER BY dpv) - 1 AS n, COUNT(*) OVER (PARTITION BY subject_id) AS c FROM cpts),
+    s AS (SELECT subject_id, MAX(CASE WHEN n = FLOOR(c * 0.02e0) THEN dpv END) AS lo, MAX(CASE WHEN n = FLOOR(c * 0.98e0) THEN dpv END) AS hi FROM o GROUP BY 1),
+    t AS (SELECT subject_id, streamline_id, point_idx, LEAST(1e0, GREATEST(0e0, (dpv - lo) / (hi - lo))) AS t FROM cpts JOIN s USING (subject_id)) SELECT subject_id, streamline_id, point_idx, {_bwr('t')} FROM t"""))
+def color_by_dpv_cohort(spark, sf):
+    """Each subject over its own range."""
+    out = coloring.color_by_scalar(fx.by_subject(fx.points(spark, sf)), "dpv")
+    return out.select("subject_id", *POINT, *[r(F.col(c)).alias(c) for c in "rgb"])
+
+
 @query("color_by_dps", sql("pts dps", f"""WITH t AS (SELECT streamline_id, point_idx, LEAST(1e0, GREATEST(0e0, (COALESCE(value, 0) - 50000) / 250000e0)) AS t FROM pts LEFT JOIN dps USING (streamline_id))
     SELECT streamline_id, point_idx, {_bwr('t')} FROM t"""))
 def color_by_dps(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from axonframe.functions import color
 from axonframe.functions.geometry import Grid, nearest_slice_index, scaling_grid, slice_world_position
 from axonframe.functions.sphere import icosphere, nearest_bin, neighbour_pairs
-from axonframe.operators import cifti, fields, orientation, pruning, sets, shapes, surfaces, volumes
+from axonframe.operators import cifti, coloring, fields, orientation, pruning, sets, shapes, surfaces, volumes
 from axonframe.operators import geometry as og
 from axonframe.operators import selection as sel
 from axonframe.plans import rules
@@ -483,3 +483,15 @@ def test_files_of_one_number_are_waypoints_of_their_own(spark):
     plan = prepare_roi_plan(found, voxels, grids, "b", waypoint_mm=0.0)
     assert {r["mask_id"] for r in plan.rules.collect()} == {"b_include1", "b_include1_2"}
     assert {r["mask_id"]: r["count"] for r in plan.masks.groupBy("mask_id").count().collect()} == {"b_include1": 1, "b_include1_2": 1}
+
+
+def test_last_group_in_file_order_wins(spark, lines):
+    """With an order of the file the names' order does not count; each subject has its own."""
+    pts = lines([run(2)]).withColumn("subject_id", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    rows = [("a", 0, "z", 0), ("a", 0, "m", 1), ("b", 0, "m", 0), ("b", 0, "z", 1)]
+    groups = spark.createDataFrame(rows, "subject_id string, streamline_id long, group_name string, group_ord int")
+    own = spark.createDataFrame([("z", 1.0, 0.0, 0.0), ("m", 0.0, 0.25, 1.0)], "group_name string, r double, g double, b double")
+    got = {r["subject_id"]: (r["r"], r["g"], r["b"]) for r in coloring.color_by_group(pts, groups, own).collect()}
+    assert got == {"a": (0.0, 0.25, 1.0), "b": (1.0, 0.0, 0.0)}
+    by_name = coloring.color_by_group(pts, groups.drop("group_ord"), own).collect()
+    assert {(r["r"], r["g"], r["b"]) for r in by_name} == {(1.0, 0.0, 0.0)}
