@@ -42,6 +42,22 @@ def grid_dims(pts: DataFrame, voxel_mm: float) -> tuple[int, int, int]:
     )
 
 
+def with_grid_dims(rows: DataFrame, pts: DataFrame, voxel_mm: float) -> DataFrame:
+    """Adds ``n_i, n_j, n_k``, the dimensions of the padded density grid of each subject's points."""
+    size = voxel_size(voxel_mm)
+    boxed = attach_bounds(rows, pts)
+    extent = {n: F.ceil((F.col(f"max_{c}") - F.col(f"min_{c}") + 4 * size) / F.lit(size)) + 1 for n, c in zip("ijk", XYZ)}
+    sized = boxed.withColumns({f"n_{n}": F.greatest(v, F.lit(3)).cast("int") for n, v in extent.items()})
+    return sized.drop(*[f"{e}_{c}" for e in ("min", "max") for c in XYZ])
+
+
+def vertex_marks() -> dict[str, Column]:
+    """What a vertex with its tangent adds to a voxel: direction colour and orientation tensor."""
+    c = [F.abs(F.col(f"t{a}")) for a in XYZ]
+    d = dict(zip(XYZ, unit_or_zero(*c)))
+    return dict(zip("rgb", c)) | {t: d[t[0]] * d[t[1]] for t in TENSOR}
+
+
 def voxel_density(pts: DataFrame, voxel_mm: float, colors: bool = True) -> DataFrame:
     """Vertices per voxel with sums of the direction colour and its orientation tensor."""
     size = voxel_size(voxel_mm)
@@ -50,10 +66,7 @@ def voxel_density(pts: DataFrame, voxel_mm: float, colors: bool = True) -> DataF
     rows = place(rows, pts, size, 2)
     aggs = [F.count("*").alias("density")]
     if colors:
-        c = [F.abs(F.col(f"t{a}")) for a in XYZ]
-        d = dict(zip(XYZ, unit_or_zero(*c)))
-        aggs += [F.sum(v).alias(f"sum_{n}") for v, n in zip(c, "rgb")]
-        aggs += [F.sum(d[t[0]] * d[t[1]]).alias(f"sum_{t}") for t in TENSOR]
+        aggs += [F.sum(v).alias(f"sum_{n}") for n, v in vertex_marks().items()]
     return rows.groupBy(*by, "i", "j", "k").agg(*aggs)
 
 

@@ -279,13 +279,17 @@ def gaussian_kernel(sigma: float) -> list[float]:
     return [v / total for v in raw]
 
 
-def gaussian_blur(voxels: DataFrame, dims: tuple[int, int, int], sigma: float, values: Sequence[str] = ("value",)) -> DataFrame:
+def gaussian_blur(
+    voxels: DataFrame, dims: tuple[int, int, int] | Sequence[str], sigma: float, values: Sequence[str] = ("value",)
+) -> DataFrame:
     """Separable Gaussian blur with clamped edges over sparse voxels (absent = 0).
 
+    ``dims`` are three numbers, or the columns that hold them where subjects differ; those stay.
+
     Each voxel scatters to its 2r + 1 neighbours of one axis at a time; a border voxel also
     stands in for the samples beyond the border. ``sigma`` under 0.5 changes nothing.
     """
-    keys = [c for c in ("subject_id", "group_name") if c in voxels.columns]
+    keys = [c for c in ("subject_id", "group_name") if c in voxels.columns] + [d for d in dims if isinstance(d, str)]
     if sigma < 0.5:
         return voxels.select(*keys, "i", "j", "k", *values)
     kernel = gaussian_kernel(sigma)
@@ -304,8 +308,8 @@ def gaussian_blur(voxels: DataFrame, dims: tuple[int, int, int], sigma: float, v
         ]
     )
     rows = voxels.select(*keys, "i", "j", "k", *values)
-    for axis, size in zip("ijk", dims):
-        t = F.col("_t")
+    for axis, dim in zip("ijk", dims):
+        t, size = F.col("_t"), F.col(dim) if isinstance(dim, str) else F.lit(dim)
         weight = (
             t["w"]
             + F.when(F.col(axis) == 0, t["low"]).otherwise(F.lit(0.0))

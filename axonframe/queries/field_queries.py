@@ -702,21 +702,55 @@ def plan_classify_keep(spark, sf):
     return found.accepted().join(pts, ["subject_id", "streamline_id"]).select("subject_id", "bundle_id", "streamline_id", "point_idx")
 
 
-@query("bundle_envelope", sql("pts grp box", f"""WITH {KER}, dm AS (SELECT GREATEST(3, CAST(CEIL((bx + 16 - (ax - 16)) / 8e0) AS INT) + 1) AS di, GREATEST(3, CAST(CEIL((by_ + 16 - (ay - 16)) / 8e0) AS INT) + 1) AS dj, GREATEST(3, CAST(CEIL((bz + 16 - (az - 16)) / 8e0) AS INT) + 1) AS dk FROM box),
-    s AS (SELECT group_name, {place_sql(('x', 'y', 'z'), 2, 8.0)} FROM pts JOIN grp USING (streamline_id), box), b0 AS (SELECT group_name, i, j, k, COUNT(*) * 1e0 AS v FROM s GROUP BY ALL),
-    b1 AS (SELECT group_name, t.i, s.j, s.k, SUM(w * v) AS v FROM (SELECT UNNEST(RANGE((SELECT di FROM dm))) AS i) t, ker JOIN b0 s ON s.i = LEAST(GREATEST(t.i + o, 0), (SELECT di FROM dm) - 1) GROUP BY ALL),
-    b2 AS (SELECT group_name, s.i, t.j, s.k, SUM(w * v) AS v FROM (SELECT UNNEST(RANGE((SELECT dj FROM dm))) AS j) t, ker JOIN b1 s ON s.j = LEAST(GREATEST(t.j + o, 0), (SELECT dj FROM dm) - 1) GROUP BY ALL),
-    b3 AS (SELECT group_name, s.i, s.j, t.k, SUM(w * v) AS v FROM (SELECT UNNEST(RANGE((SELECT dk FROM dm))) AS k) t, ker JOIN b2 s ON s.k = LEAST(GREATEST(t.k + o, 0), (SELECT dk FROM dm) - 1) GROUP BY ALL)
-    SELECT group_name, CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(k AS INT) AS k, {R('v', 5)} AS density FROM b3 WHERE v > {number(iso_level(30.0, 1.0))}"""))
+MARKS = ["r", "g", "b", *fields.TENSOR]
+
+
+def _envelope_sql(owner: list[str], level: float) -> str:
+    """Ten sums of each owner's vertices, blurred along one axis after the other."""
+    own, by = ", ".join(owner), "subject_id" in owner
+    unit = {c: f"(CASE WHEN l > 0 THEN ABS(t{c}) / l ELSE 0 END)" for c in "xyz"}
+    marks = {"r": "ABS(tx)", "g": "ABS(ty)", "b": "ABS(tz)"} | {t: f"{unit[t[0]]} * {unit[t[1]]}" for t in fields.TENSOR}
+    boxed = "JOIN sbox USING (subject_id)" if by else ", sbox"
+    key = "subject_id, " if by else ""
+    steps = []
+    last = "b0"
+    for n, axis in enumerate("ijk"):
+        here = ", ".join(f"t.{axis}" if c == axis else f"s.{c}" for c in "ijk")
+        sums = ", ".join(f"SUM(w * {v}) AS {v}" for v in ("density", *MARKS))
+        owned = ", ".join(f"s.{o}" for o in owner)
+        dims = f"(SELECT {key}UNNEST(RANGE(d{axis})) AS {axis}, d{axis} FROM dm) t"
+        on = f"s.{axis} = LEAST(GREATEST(t.{axis} + o, 0), t.d{axis} - 1)" + (" AND s.subject_id = t.subject_id" if by else "")
+        steps.append(f"b{n + 1} AS (SELECT {owned}, {here}, {sums} FROM {dims}, ker, {last} s WHERE {on} GROUP BY ALL)")
+        last = f"b{n + 1}"
+    shown = ", ".join(f"{R(f'{m} / density', 5)} AS {m}" for m in MARKS)
+    tan = "SELECT * REPLACE (streamline_id // 3 AS streamline_id), CAST(streamline_id % 3 AS VARCHAR) AS subject_id FROM tan" if by else "SELECT * FROM tan"
+    group = "cgrp USING (subject_id, streamline_id)" if by else "grp USING (streamline_id)"
+    return f"""WITH {KER}, ot AS ({tan}), sbox AS (SELECT {key}MIN(x) AS ax, MIN(y) AS ay, MIN(z) AS az, MAX(x) AS bx, MAX(y) AS by_, MAX(z) AS bz FROM ot GROUP BY ALL),
+    dm AS (SELECT {key}GREATEST(3, CAST(CEIL((bx - ax + 32) / 8e0) AS INT) + 1) AS di, GREATEST(3, CAST(CEIL((by_ - ay + 32) / 8e0) AS INT) + 1) AS dj, GREATEST(3, CAST(CEIL((bz - az + 32) / 8e0) AS INT) + 1) AS dk FROM sbox),
+    s AS (SELECT ot.*, group_name, SQRT(tx*tx + ty*ty + tz*tz) AS l, {place_sql(('x', 'y', 'z'), 2, 8.0)} FROM ot JOIN {group} {boxed}),
+    b0 AS (SELECT {own}, i, j, k, COUNT(*) * 1e0 AS density, {", ".join(f"SUM({v}) AS {m}" for m, v in marks.items())} FROM s GROUP BY ALL), {", ".join(steps)}
+    SELECT {own}, CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(k AS INT) AS k, {R('density', 5)} AS density, {shown} FROM b3 WHERE density > {number(level)}"""
+
+
+def _shown(out, digits=5):
+    return out.withColumns({c: r(F.col(c), digits) for c in ("density", *MARKS)})
+
+
+@query("bundle_envelope", sql("tan grp", _envelope_sql(["group_name"], iso_level(30.0, 1.0))))
 def bundle_envelope(spark, sf):
-    out = envelope.bundle_envelope(fx.points(spark, sf), 8.0, 30.0, 1.0, 0.0, fx.groups(spark, sf))
-    return out.withColumn("density", r(F.col("density"), 5))
+    return _shown(envelope.bundle_envelope(fx.points(spark, sf), 8.0, 30.0, 1.0, 0.0, fx.groups(spark, sf)))
+
+
+@query("bundle_envelope_cohort", sql("tan cgrp", _envelope_sql(["subject_id", "group_name"], iso_level(10.0, 1.0))))
+def bundle_envelope_cohort(spark, sf):
+    """Each group of each subject, on the subject's own grid."""
+    return _shown(envelope.bundle_envelope(fx.by_subject(fx.points(spark, sf)), 8.0, 10.0, 1.0, 0.0, fx.by_subject(fx.groups(spark, sf))))
 
 
 @query("bundle_envelope_components")
 def bundle_envelope_components(spark, sf):
     out = envelope.bundle_envelope(fx.points(spark, sf), 4.0, 8.0, 0.5, 200.0, fx.groups(spark, sf))
-    return out.withColumn("density", F.round("density", 4))
+    return out.withColumns({c: F.round(c, 4) for c in ("density", *MARKS)})
 
 
 # --- streaming ----------------------------------------------------------------------
