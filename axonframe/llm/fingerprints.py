@@ -3,7 +3,7 @@
 A sketch is the k smallest 48-bit hashes of a text's distinct shingles, in ascending order, as
 base64 of 6-byte big-endian numbers. Sketches of parts merge to the sketch of the whole set; two
 sketches estimate resemblance, containment and, one alone, the number of distinct shingles. All
-three are exact while a set has at most k shingles. White space is ASCII's; letter case counts.
+three are exact while the sets at hand have fewer than k shingles together. White space is ASCII's; letter case counts.
 """
 
 from __future__ import annotations

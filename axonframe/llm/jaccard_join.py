@@ -46,12 +46,12 @@ class JoinParams:
     percent: int = 80
     leaf: int = 1024
     leaf_pivots: int = 32
-    leaf_bytes: int = 24 << 20
+    leaf_bytes: int = 8 << 20
     pivots: int = 1024
-    pivot_bytes: int = 8 << 20
+    pivot_bytes: int = 4 << 20
     salts: int = 16
     often: int = 1024
-    bucket: int = 1 << 20
+    bucket: int = 1 << 18
 
     @property
     def radius(self) -> float:
@@ -219,7 +219,7 @@ def meetings(docs: DataFrame, p: JoinParams, shingles: int) -> DataFrame:
 
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(exploded, BLOCKS)
     counted = rows.repartition("bucket").sortWithinPartitions("bucket")
-    shared = counted.mapInArrow(lambda batches: owned(batches, p.often, buckets, 4 * p.bucket), BLOCKS)
+    shared = counted.mapInArrow(lambda batches: owned(batches, p.often, buckets, 2 * p.bucket), BLOCKS)
     first = shared.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(prefixes, "shingle long, node long")
     return first.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(stars, "a long, b long")
 
