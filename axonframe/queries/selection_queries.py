@@ -26,14 +26,17 @@ HIT = "SELECT DISTINCT streamline_id FROM pvr JOIN vox USING (i, j, k) WHERE lab
       CAST(embedding[p + 1] AS DOUBLE) AS x, CAST(embedding[p + 22] AS DOUBLE) AS y, CAST(embedding[p + 43] AS DOUBLE) AS z
     FROM embeddings, (SELECT UNNEST(RANGE(21)) AS p)""")
 def read_tractogram(spark, sf):
-    """Offset-array files (here: one embedding row per file) exploded to vertices."""
+    """The offset-array form (here: an embedding per subject, streamlines across blocks), saved and read."""
     e = F.col("embedding").cast("array<double>")
     files = fx.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("subject_id"),
         F.array(*[F.lit(v) for v in (0, 7, 14, 21)]).alias("offsets"),
         *[F.slice(e, s, 21).alias(c) for s, c in ((1, "x"), (22, "y"), (43, "z"))],
     )
-    return tables.explode_offsets(files)
+    path = fx.scratch(spark)
+    for name, table in zip(("offsets", "positions"), tables.cut_offset_arrays(files, width=8), strict=True):
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+    return tables.read_tractogram(spark, path).points
 
 
 @query("read_volume", sql("vox", f"""SELECT i, j, k, {R('(value - lo) / (hi - lo)')} AS value
@@ -98,9 +101,12 @@ LINES = """SELECT o_orderkey AS line_no, 'lut' || (o_orderkey % 3) AS file, CASE
 def read_label_tables(spark, sf):
     """Label lines in both layouts; three trailing bytes are read as a colour before four."""
     fx.table(spark, sf, "orders").createOrReplaceTempView("orders")
-    lines = spark.sql(LINES)
-    parsed = tables.parse_label_lines(lines)
-    return parsed.select("file", "label", "name", *[r(F.col(c)).alias(c) for c in "rgba"])
+    path = fx.scratch(spark)
+    # A text file per table, its lines in order, whatever the number of tasks that read it.
+    lines = spark.sql(LINES).repartitionByRange("file").sortWithinPartitions("file", "line_no")
+    lines.select(F.col("file").alias("lut"), "value").write.mode("overwrite").partitionBy("lut").text(path)
+    parsed = tables.read_label_tables(spark, f"{path}/lut=*")
+    return parsed.select(F.regexp_extract("file", "lut=([^/]+)/", 1).alias("file"), "label", "name", *[r(F.col(c)).alias(c) for c in "rgba"])
 
 
 @query("read_cifti_tables", sql("mat bm", "SELECT structure, map_id, CAST(COUNT(*) AS BIGINT) AS n FROM mat JOIN bm USING (col) GROUP BY 1, 2"))

@@ -39,34 +39,70 @@ def _optional(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if there else None
 
 
-def explode_offsets(files: DataFrame) -> DataFrame:
-    """Offset-array form (one row per file: streamline offsets and flat x, y, z arrays plus
-    vertex scalars) -> one row per vertex.
+#: Vertices of one block of the offset-array form.
+BLOCK = 4096
 
-    The vertex list is cut by offsets first, so a row is one streamline before it is
-    exploded.
+
+def cut_offset_arrays(files: DataFrame, width: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """One row per file (streamline offsets and flat x, y, z and scalar arrays) -> the two tables of
+    the offset-array form: ``offsets`` (streamline_id, start, size, width) and ``positions`` (block,
+    width and the arrays of ``width`` vertices, the last block of a file with fewer).
     """
-    scalars = [c for c in files.columns if c not in {"offsets", *XYZ, "subject_id"}]
+    arrays = [c for c in files.columns if c not in {"offsets", "subject_id"}]
     by = [c for c in ("subject_id",) if c in files.columns]
     ranges = F.transform(
         F.sequence(F.lit(1), F.size("offsets") - 1),
         lambda n: F.struct(
             (n - 1).cast("long").alias("streamline_id"),
-            F.get("offsets", n - 1).alias("start"),
-            (F.get("offsets", n) - F.get("offsets", n - 1)).alias("size"),
+            F.get("offsets", n - 1).cast("long").alias("start"),
+            (F.get("offsets", n) - F.get("offsets", n - 1)).cast("long").alias("size"),
         ),
     )
-    parts = files.withColumn("_r", F.explode(F.when(F.size("offsets") > 1, ranges))).filter("_r.size > 0")
-    cut = {c: F.slice(c, F.col("_r.start") + 1, F.col("_r.size")) for c in [*XYZ, *scalars]}
-    parts = parts.select(*by, "_r.streamline_id", *[v.alias(c) for c, v in cut.items()])
-    rows = parts.select(*by, "streamline_id", F.posexplode(F.arrays_zip(*XYZ, *scalars)).alias("point_idx", "_p"))
-    return rows.select(*by, "streamline_id", "point_idx", *[F.col("_p")[c].cast("double").alias(c) for c in [*XYZ, *scalars]])
+    fixed = F.lit(width).cast("long").alias("width")
+    offsets = files.select(*by, F.inline(F.when(F.size("offsets") > 1, ranges))).select("*", fixed)
+    blocks = F.sequence(F.lit(0), F.floor((F.size("x") - 1) / width).cast("int"))
+    parts = files.select(*by, *arrays, F.explode(F.when(F.size("x") > 0, blocks)).alias("_block"))
+    cut = [F.slice(c, F.col("_block") * width + 1, F.lit(width)).alias(c) for c in arrays]
+    return offsets, parts.select(*by, F.col("_block").cast("long").alias("block"), fixed, *cut)
+
+
+def join_offset_arrays(offsets: DataFrame, positions: DataFrame) -> DataFrame:
+    """The offset-array form -> one row per vertex.
+
+    A streamline is dealt to the blocks it crosses, and each block meets the list of its pieces, at
+    most as long as the block: no task holds a file, nor a streamline longer than a block. A
+    streamline without vertices has no rows; a vertex that no block holds is an error.
+    """
+    by = [c for c in ("subject_id",) if c in offsets.columns]
+    arrays = [c for c in positions.columns if c not in {*by, "block", "width"}]
+    last = F.col("start") + F.col("size") - 1
+    first_block, last_block = F.floor(F.col("start") / F.col("width")), F.floor(last / F.col("width"))
+    pieces = offsets.filter("size > 0").select("*", F.explode(F.sequence(first_block, last_block)).alias("block"))
+    piece = F.struct(
+        "streamline_id", "start", F.greatest("start", F.col("block") * F.col("width")).alias("first"),
+        F.least(last, (F.col("block") + 1) * F.col("width") - 1).alias("last"),
+    )
+    lists = pieces.groupBy(*by, "block").agg(F.collect_list(piece).alias("_pieces"))
+    both = lists.join(positions, [*by, "block"], "left")
+    begin = F.col("block") * F.col("width")
+
+    def vertex(p: Column, v: Column) -> Column:
+        values = [F.get(c, (v - begin).cast("int")).cast("double").alias(c) for c in arrays]
+        return F.struct(p["streamline_id"].alias("streamline_id"), (v - p["start"]).cast("int").alias("point_idx"), *values)
+
+    rows = F.flatten(F.transform("_pieces", lambda p: F.transform(F.sequence(p["first"], p["last"]), lambda v: vertex(p, v))))
+    short = F.col("width").isNull() | (F.array_max(F.transform("_pieces", lambda p: p["last"])) - begin >= F.size("x"))
+    lacking = F.raise_error(F.concat(F.lit("offsets point past the positions at block "), F.col("block"))).cast(both.select(rows).schema[0].dataType)
+    return both.select(*by, F.inline(F.when(short, lacking).otherwise(rows)))
 
 
 def read_tractogram(spark: SparkSession, path: str) -> Tractogram:
-    """``<path>/points`` with optional ``groups`` and ``dps`` Parquet tables."""
-    points = check(spark.read.parquet(f"{path}/points"), "points")
-    return Tractogram(points, _optional(spark, f"{path}/groups"), _optional(spark, f"{path}/dps"))
+    """``<path>/points``, or ``<path>/offsets`` and ``<path>/positions`` in the offset-array form,
+    with optional ``groups`` and ``dps``; all are Parquet tables."""
+    points = _optional(spark, f"{path}/points")
+    if points is None:
+        points = join_offset_arrays(spark.read.parquet(f"{path}/offsets"), spark.read.parquet(f"{path}/positions"))
+    return Tractogram(check(points, "points"), _optional(spark, f"{path}/groups"), _optional(spark, f"{path}/dps"))
 
 
 def write_tractogram(data: Tractogram, sel: DataFrame | None, path: str) -> None:
@@ -177,11 +213,26 @@ def parse_label_lines(lines: DataFrame, text: str = "value", order: str = "line_
     return latest.select(*by, "label", "_l.*")
 
 
-def read_label_tables(spark: SparkSession, glob: str) -> DataFrame:
-    """Many label-table text files as one table keyed by file."""
-    raw = spark.read.option("wholetext", True).text(glob).withColumn("file", F.input_file_name())
-    lines = raw.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
-    return parse_label_lines(lines)
+def read_label_tables(spark: SparkSession, path: str) -> DataFrame:
+    """Many label-table text files as one table keyed by file; a file without any label is an error.
+
+    Files are read line by line in splits. A line's order is that of its split in the file, then of
+    reading; both ends of a split are Spark's, so a large file is read by many tasks.
+    """
+    file = F.col("_metadata.file_path").alias("file")
+    text = F.regexp_replace("value", r"\r$", "").alias("value")
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    raw = spark.read.option("lineSep", "\n").text(path)
+    lines = raw.select(file, place.alias("line_no"), text)
+    labels = parse_label_lines(lines)
+    # The names that Spark listed, empty files too; both forms of a local name are one.
+    plain = F.regexp_replace("file", "^file:/+", "file:/")
+    listed = spark.createDataFrame([(name,) for name in raw.inputFiles()], "file string").select(plain.alias("file"))
+    known = labels.groupBy(plain.alias("file")).agg(F.count("*").alias("_n"))
+    failed = F.raise_error(F.concat(F.lit("no label could be read from "), F.col("file"))).cast("boolean")
+    # Never true, so no row is added: the filter stops the query at the first such file.
+    bare = listed.join(known, "file", "left").filter(F.when(F.col("_n").isNull(), failed).otherwise(F.lit(False)))
+    return labels.unionByName(bare.select("file", *[F.lit(None).cast(f.dataType).alias(f.name) for f in labels.schema[1:]]))
 
 
 def read_cifti_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -386,6 +386,47 @@ def test_label_files(spark, tmp_path):
     assert rows[2]["name"] == "Later Name 1" and rows[5]["name"] == "Quoted" and set(rows) == {1, 2, 5}
 
 
+def test_a_label_file_without_labels_is_an_error(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("1 One\n", encoding="utf-8")
+    for text in ("# nothing\nno label\n", ""):
+        (tmp_path / "b.txt").write_text(text, encoding="utf-8")
+        with pytest.raises(Exception, match="no label could be read"):
+            tables.read_label_tables(spark, str(tmp_path)).collect()
+
+
+def test_a_label_file_in_many_splits(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"{n % 50} Area {n}\r\n" for n in range(4000)), encoding="utf-8", newline="")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        table = tables.read_label_tables(spark, str(tmp_path))
+        assert {r["label"]: r["name"] for r in table.collect()} == {n % 50: f"Area {n}" for n in range(3950, 4000)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_offset_arrays(spark, tmp_path):
+    sizes = {"a": [0, 3, 40, 0, 1], "b": [17], "c": [], "d": [8, 8]}
+    rows = []
+    for subject, own in sizes.items():
+        ends = [sum(own[:n]) for n in range(len(own) + 1)]
+        flat = [float(v) for v in range(ends[-1])]
+        rows.append((subject, ends, flat, [v / 2 for v in flat], [-v for v in flat], [v * v for v in flat]))
+    files = spark.createDataFrame(rows, "subject_id string, offsets array<int>, x array<float>, y array<float>, z array<float>, fa array<double>")
+    offsets, positions = tables.cut_offset_arrays(files, width=8)
+    assert positions.count() == 6 + 3 + 2
+    offsets.write.parquet(f"{tmp_path}/offsets")
+    positions.write.parquet(f"{tmp_path}/positions")
+    got = sorted(tuple(r) for r in tables.read_tractogram(spark, str(tmp_path)).points.collect())
+    want = [
+        (s, n, i, float(v), v / 2, float(-v), float(v * v))
+        for s, own in sizes.items() for n, size in enumerate(own) for i in range(size) for v in [sum(own[:n]) + i]
+    ]
+    assert got == want
+    with pytest.raises(Exception, match="offsets point past"):
+        tables.join_offset_arrays(offsets, positions.filter("block < 2")).collect()
+
+
 def test_catalogue_layouts_and_traps(spark):
     names = [
         "sub-01_space-MNI_desc-LeftArcuateInclude2_mask.nii.gz", "sub-01_space-MNI_desc-LeftArcuateInclude1_mask.nii.gz",
