@@ -3,10 +3,11 @@
 All rolling word k-grams of all texts meet the k-grams of the templates in a Spark join. A match
 at word i of a text and word j of a template votes for the diagonal i - j; votes are summed per
 (document, template, diagonal), neighbouring diagonals that overlap (a word put in or left out)
-are merged, and a span counts where its votes are enough of the template's grams. The join
-compares the words of the grams themselves beside their hashes, so every counted word is
-verified. The three base phrases are templates of two- and three-word grams that must match
-whole, on one diagonal.
+are merged into a span. A span is then verified: it must hold enough of the template's grams,
+each counted once however often it votes, and enough of the words from its first to its last must
+be words of the template. The join compares the words of the grams themselves beside their
+hashes. The three base phrases are templates of two- and three-word grams that must match whole,
+on one diagonal.
 
 Only DataFrame functions are used, and no text is shuffled: grams that match nothing end at the
 broadcast of the template grams, a table fixed in this file. A text in which one pattern of all
@@ -15,13 +16,16 @@ template grams finds nothing has no gram to match; its grams are not made.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from axonframe.llm.common import whole_text
 
 K = 4
-#: Word shift within which diagonals merge, and the share of a template's grams that a span must have.
+#: Word shift within which diagonals merge, and the share that a span must have of the template's grams, and
+#: that the template's words must have of the span.
 SHIFT, COVER = 3, 0.6
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -64,6 +68,60 @@ TEMPLATES = (
     ("under the unlicense license", "unlicense"),
     ("released under the unlicense", "unlicense"),
     ("licensed under the unlicense", "unlicense"),
+    ("gnu lesser general public license", "lgpl"),
+    ("gnu affero general public license", "agpl"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-3-clause"),
+    ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "cc0-1.0"),
+)
+
+# Whole texts of short public licenses and whole file notices of long ones.
+TEXTS = (
+    ("""Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+    documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+    rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+    persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
+    this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED
+    "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+    MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+    HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+    ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""", "mit"),
+    ("""Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+    provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS
+    IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+    MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+    DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+    NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""", "isc"),
+    ("""Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+    following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+    conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+    this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+    distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+    WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+    ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+    SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+    LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+    CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+    SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""", "bsd"),
+    ("""Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+    License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable
+    law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+    WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+    permissions and limitations under the License.""", "apache-2.0"),
+    ("""This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+    License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+    version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+    implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
+    details. You should have received a copy of the GNU General Public License along with this program. If not, see
+    https://www.gnu.org/licenses/.""", "gpl"),
+    ("""This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+    distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""", "mpl-2.0"),
+    ("""This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+    for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
+    purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+    restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original
+    software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but
+    is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the
+    original software. 3. This notice may not be removed or altered from any source distribution.""", "zlib"),
 )
 
 
@@ -71,10 +129,15 @@ def has_phrase(gram: list[str]) -> bool:
     return any(f" {p} " in f" {' '.join(gram)} " for p in PHRASES)
 
 
+def plain_words(text: str) -> str:
+    return " ".join(w for w in re.split(SEPARATORS, text.lower()) if w)
+
+
 def template_rows() -> list[tuple]:
     """template, label, is_base, number of its grams, position, gram (K words, two for a base phrase)."""
     rows = []
-    for is_base, texts in ((True, PHRASES.items()), (False, TEMPLATES)):
+    whole = [(plain_words(text), label) for text, label in TEXTS]
+    for is_base, texts in ((True, PHRASES.items()), (False, [*TEMPLATES, *whole])):
         for text, label in texts:
             words = text.split()
             k = 2 if is_base else K
@@ -139,27 +202,34 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     votes = either.join(templates, (F.xxhash64("gram") == F.col("hash")) & (F.col("gram") == F.col("template_gram")))
     key = ["doc_id", "version", "template", "label", "is_base", "n_grams"]
     diagonals = votes.groupBy(*key, (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.countDistinct("at").alias("votes"), F.min("at").alias("first"), F.max("at").alias("last")
+        F.collect_set("place").alias("places"), F.min("at").alias("first"), F.max("at").alias("last")
     )
-    return finish(counted, diagonals)
+    return finish(counted, verified(diagonals))
 
 
-def finish(counted: DataFrame, diagonals: DataFrame) -> DataFrame:
-    base = diagonals.filter(F.col("is_base") & (F.col("votes") == F.col("n_grams"))).select(
-        "doc_id", "version", "label", F.col("diagonal").cast("long").alias("start"), F.lit(1.0).alias("cover"), F.lit(True).alias("is_base")
-    )
-    # Neighbouring diagonals of one template whose matches follow or overlap make one span.
-    run = Window.partitionBy("doc_id", "version", "template").orderBy("first", "diagonal")
-    texts = diagonals.filter(~F.col("is_base"))
+def verified(diagonals: DataFrame) -> DataFrame:
+    """Spans of merged diagonals that hold enough of their template: doc_id, version, label, is_base, start, cover.
+
+    A diagonal has a template's places at most. So has a span: places go on in a template as words do
+    in a text, but for SHIFT, so its lists are bounded by the template.
+    """
+    # A base phrase stands on one diagonal: each is a run of its own.
+    key = ["doc_id", "version", "template", "label", "is_base", "n_grams", "line"]
+    lines = diagonals.withColumn("line", F.when(F.col("is_base"), F.col("diagonal")))
+    run = Window.partitionBy(*key).orderBy("first", "diagonal")
     apart = (F.abs(F.col("diagonal") - F.lag("diagonal").over(run)) > SHIFT) | (F.col("first") - F.lag("last").over(run) > K + SHIFT)
-    islands = texts.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(run))
-    spans = islands.groupBy("doc_id", "version", "template", "label", "n_grams", "island").agg(
-        F.sum("votes").alias("votes"), F.min("first").alias("start")
+    islands = lines.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(run))
+    spans = islands.groupBy(*key, "island").agg(
+        F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("first").alias("start"), F.max("last").alias("last")
     )
-    cover = F.least(F.lit(1.0), F.col("votes") / F.col("n_grams"))
-    found = base.unionByName(spans.withColumn("cover", cover).filter(F.col("cover") >= COVER).select(
-        "doc_id", "version", "label", F.col("start").cast("long").alias("start"), "cover", F.lit(False).alias("is_base")
-    ))
+    words = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + K - 1)))))
+    cover = F.size("places") / F.col("n_grams")
+    tight = words >= COVER * (F.col("last") + K - F.col("start"))
+    enough = F.when(F.col("is_base"), cover == 1).otherwise((cover >= COVER) & tight)
+    return spans.filter(enough).select("doc_id", "version", "label", "is_base", F.col("start").cast("long").alias("start"), cover.alias("cover"))
+
+
+def finish(counted: DataFrame, found: DataFrame) -> DataFrame:
     of_base = lambda c: F.when(F.col("is_base"), F.col(c))
     per_doc = found.groupBy("doc_id", "version").agg(
         F.count(of_base("start")).alias("n_base"), F.min(of_base("start")).alias("first_word"), F.max(of_base("start")).alias("last_word"),

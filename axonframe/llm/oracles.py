@@ -156,14 +156,17 @@ d AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), '{upper}',
 i AS (SELECT doc_id, w, UNNEST(range(1, len(w) + 1)) AS i FROM d),
 g AS (SELECT doc_id, i - 1 AS spot, array_to_string(w[i : i + 1], ' ') AS gram FROM i WHERE i < len(w)
     UNION ALL SELECT doc_id, i - 1, array_to_string(w[i : i + {K - 1}], ' ') FROM i WHERE i + {K - 1} <= len(w)),
-v AS (SELECT doc_id, template, label, is_base, n_tpl, spot - place AS diagonal, COUNT(DISTINCT spot) AS votes, MIN(spot) AS first_at, MAX(spot) AS last_at
+v AS (SELECT doc_id, template, label, is_base, n_tpl, spot - place AS diagonal, COUNT(DISTINCT spot) AS votes, list(DISTINCT place) AS places, MIN(spot) AS first_at, MAX(spot) AS last_at
     FROM g JOIN tpl USING (gram) GROUP BY ALL),
 b AS (SELECT doc_id, label, diagonal AS start, 1e0 AS cover, TRUE AS is_base FROM v WHERE is_base AND votes = n_tpl),
 o AS (SELECT *, LAG(diagonal) OVER r AS before, LAG(last_at) OVER r AS ended FROM v WHERE NOT is_base WINDOW r AS (PARTITION BY doc_id, template ORDER BY first_at, diagonal)),
 l AS (SELECT *, SUM(CASE WHEN before IS NULL OR ABS(diagonal - before) > {SHIFT} OR first_at - ended > {K + SHIFT} THEN 1 ELSE 0 END)
     OVER (PARTITION BY doc_id, template ORDER BY first_at, diagonal) AS island FROM o),
-s AS (SELECT doc_id, label, template, island, MIN(first_at) AS start, LEAST(1e0, SUM(votes) / CAST(n_tpl AS DOUBLE)) AS cover FROM l GROUP BY doc_id, label, template, island, n_tpl),
-f AS (SELECT * FROM b UNION ALL SELECT doc_id, label, start, cover, FALSE FROM s WHERE cover >= {COVER}),
+p AS (SELECT doc_id, label, template, island, n_tpl, first_at, last_at, UNNEST(places) AS place FROM l),
+q AS (SELECT *, UNNEST(range(place, place + {K})) AS word FROM p),
+s AS (SELECT doc_id, label, template, island, MIN(first_at) AS start, COUNT(DISTINCT place) / CAST(n_tpl AS DOUBLE) AS cover,
+    COUNT(DISTINCT word) >= {COVER} * (MAX(last_at) + {K} - MIN(first_at)) AS tight FROM q GROUP BY doc_id, label, template, island, n_tpl),
+f AS (SELECT * FROM b UNION ALL SELECT doc_id, label, start, cover, FALSE FROM s WHERE cover >= {COVER} AND tight),
 e AS (SELECT doc_id, COUNT(*) FILTER (is_base) AS n_base, MIN(start) FILTER (is_base) AS first_word, MAX(start) FILTER (is_base) AS last_word,
     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, MAX(cover) AS score FROM f GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,

@@ -62,6 +62,32 @@ def test_plain_notices(docs, notice, label):
     assert got["labels"] == label and got["score"] == (1.0 if label else 0.0)
 
 
+def test_whole_texts(docs):
+    rows = [(i, f"ahead of it\n{text}\nafter it") for i, (text, _) in enumerate(licenses.TEXTS)]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs(rows)).collect()}
+    for i, (_, label) in enumerate(licenses.TEXTS):
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == 1.0
+    # No text stands for a license that is not its own.
+    assert {got[i]["labels"] for i in range(len(rows))} == {"mit", "isc", "bsd", "apache-2.0", "gpl", "mpl-2.0", "zlib"}
+
+
+def test_spans_are_verified(docs):
+    words = licenses.plain_words(licenses.TEXTS[3][0]).split()
+    lone = ("software", "distributed", "under", "the", "license")
+    rows = [
+        # The same grams again and again are counted once.
+        (1, " x y z ".join([" ".join(words[20:26])] * 40)),
+        # Less than the share of the template.
+        (2, " ".join(words[40:70])), (3, " ".join(lone * 3)),
+        # Words put in after every seventh leave it whole enough; after every fourth, too few words are the template's.
+        (4, " ".join(w if i % 9 else f"{w} so" for i, w in enumerate(words))),
+        (5, " ".join(w if i % 4 else f"{w} so to say" for i, w in enumerate(words))),
+    ]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(docs(rows)).collect()}
+    assert got[1] == got[2] == got[3] == got[5] == ("", 0.0)
+    assert got[4][0] == "apache-2.0"
+
+
 def test_all_grams_vote(docs):
     grams = {t: [r[-1] for r in licenses.template_rows() if r[0] == f"text {t}"] for t, _ in licenses.TEMPLATES}
     for template, found in grams.items():
