@@ -98,7 +98,8 @@ def op9_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_tokeniser_fertility")
 def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    second = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return quality_rules(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), second)
 
 
 @query("op11_merkle_descent", oracles.merkle())
