@@ -2,7 +2,7 @@
 
 A shard holds whole documents in ascending doc_id order:
 
-    magic  "AXEF0001"                      8 bytes
+    magic  "AXEF0002"                      8 bytes
     header bucket, number, n_docs, n_null, n_ids, id width, id base      7 x int64, little-endian
     ids of the documents   (Elias-Fano, relative to the base, without the null ones)
     ends of the documents  (Elias-Fano, in ids from the start of the shard)
@@ -10,8 +10,9 @@ A shard holds whole documents in ascending doc_id order:
     one line feed
 
 An Elias-Fano sequence of n values below u takes about n * (2 + log2(u / n)) bits: the low bits
-are packed, the high ones are unary in a bit vector whose every 256th one is sampled, so the
-i-th value is one select away. Nulls come first; rows with equal ids follow by text.
+are packed, the high ones are unary in a bit vector whose every 256th one is sampled (32 bits each),
+so the i-th value is one select away. Readers take the offsets of documents by select
+and never decode a table of boundaries. Nulls come first; rows with equal ids follow by text.
 
 Files are written by Spark's text writer (a shard is one line of raw bytes) and read by its
 binary reader, so they may lie in any store that Spark reaches. Ids are written in tasks that
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from axonframe.llm.common import arrow_batches, deal_in_order, in_partitions
 from axonframe.llm.tokens import encoder, ids_crc32
 
-MAGIC = b"AXEF0001"
+MAGIC = b"AXEF0002"
 SAMPLE = 256
 SHARD_IDS, SHARD_DOCS = 8 << 20, 1 << 17
 HEADER = "<7q"
@@ -50,14 +51,21 @@ class EliasFano:
         values = np.asarray(values, np.uint64)
         n = len(values)
         if not n:
-            return cls(0, 0, b"", b"", np.zeros(0, "<u8"))
+            return cls(0, 0, b"", b"", np.zeros(0, "<u4"))
         low = max(0, ((int(values[-1]) + 1) // n).bit_length() - 1)
         bits = (values[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)
         ones = (values >> np.uint64(low)).astype(np.int64) + np.arange(n)
         high = np.zeros(int(ones[-1]) + 1, np.uint8)
         high[ones] = 1
         lows = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
-        return cls(n, low, lows, np.packbits(high, bitorder="little").tobytes(), ones[::SAMPLE].astype("<u8"))
+        return cls(n, low, lows, np.packbits(high, bitorder="little").tobytes(), cls.sampled(ones))
+
+    @staticmethod
+    def sampled(ones: np.ndarray) -> np.ndarray:
+        """Places of every SAMPLE-th one; a sequence has at most three bits a value, so 32 do for SHARD_DOCS."""
+        if ones[-1] >= 1 << 32:
+            raise ValueError("too many values for one sequence")
+        return ones[::SAMPLE].astype("<u4")
 
     def to_bytes(self) -> bytes:
         return struct.pack(self.HEAD, self.n, self.low_bits, len(self.highs)) + self.lows + self.highs + self.samples.tobytes()
@@ -69,8 +77,8 @@ class EliasFano:
         n_low, n_samples = (n * low + 7) // 8, -(-n // SAMPLE)
         lows, highs = bytes(data[at : at + n_low]), bytes(data[at + n_low : at + n_low + n_high])
         at += n_low + n_high
-        samples = np.frombuffer(data, "<u8", n_samples, at)
-        return cls(n, low, lows, highs, samples), at + 8 * n_samples
+        samples = np.frombuffer(data, "<u4", n_samples, at)
+        return cls(n, low, lows, highs, samples), at + 4 * n_samples
 
     def select(self, i: int) -> int:
         """Value i: from the sampled one before it, then by counted bytes."""
@@ -117,8 +125,23 @@ class Shard:
         self.ids = np.frombuffer(view, f"<u{width}", self.n_ids, at)
         self.end = at + self.n_ids * width + 1
 
+    def start(self, i: int) -> int:
+        return self.ends.select(i - 1) if i else 0
+
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
+        return self.ids[self.start(i) : self.ends.select(i)]
+
+    def place_of(self, doc_id: int) -> int | None:
+        """The first document with this id: a binary search that selects one id a step."""
+        low, high = 0, self.doc_ids.n
+        while low < high:
+            middle = (low + high) // 2
+            if self.doc_ids.select(middle) + self.base < doc_id:
+                low = middle + 1
+            else:
+                high = middle
+        there = low < self.doc_ids.n and self.doc_ids.select(low) + self.base == doc_id
+        return self.n_null + low if there else None
 
     def ids_of_documents(self) -> list[int | None]:
         return [None] * self.n_null + [int(v) + self.base for v in self.doc_ids.values()]
@@ -182,8 +205,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, shard in opened(batches):
-            ends = shard.ends.values().astype(np.int64)
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            starts = np.fromiter(map(shard.start, range(shard.n_docs)), np.int64, shard.n_docs)
+            ends = np.append(starts[1:], shard.n_ids)
             yield pa.RecordBatch.from_pydict({
                 "bucket": pa.array([shard.bucket] * shard.n_docs, pa.int64()),
                 "number": pa.array([shard.number] * shard.n_docs, pa.int64()),

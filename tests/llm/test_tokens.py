@@ -67,6 +67,20 @@ def test_shard_gives_one_document():
     shard = token_output.Shard(token_output.pack_shard(1, 0, [None, 3, 9], [b"\1\0", b"\2\0\3\0", b"\4\0"], 2) + b"\n")
     assert [shard.document(i).tolist() for i in range(3)] == [[1], [2, 3], [4]]
     assert shard.ids_of_documents() == [None, 3, 9]
+    assert [shard.start(i) for i in range(3)] == [0, 1, 3]
+
+
+def test_a_document_is_found_by_select():
+    rng = random.Random(5)
+    known = sorted(rng.randrange(-(10**6), 10**6) for _ in range(2000))
+    known[700:705] = [known[700]] * 5
+    rows = [None, None, *known]
+    ids = [np.arange(rng.randrange(1, 9), dtype="<u2").tobytes() for _ in rows]
+    shard = token_output.Shard(token_output.pack_shard(0, 0, rows, ids, 2) + b"\n")
+    assert all(shard.document(i).tobytes() == own for i, own in enumerate(ids))
+    assert [shard.place_of(d) for d in known] == [2 + known.index(d) for d in known]
+    missing = set(range(-1000, 1000)) - set(known) | {-(10**7), 10**7}
+    assert {shard.place_of(d) for d in missing} == {None}
 
 
 def check_packing(rows, wanted, room):
