@@ -10,7 +10,7 @@ A shard holds whole documents in ascending doc_id order:
     one line feed
 
 An Elias-Fano sequence of n values below u takes about n * (2 + log2(u / n)) bits: the low bits
-are packed, the high ones are unary in a bit vector whose every 256th one is sampled (32 bits each),
+are packed, the high ones are unary in a bit vector whose every 64th one is sampled (32 bits each),
 so the i-th value is one select away. Readers take the offsets of documents by select
 and never decode a table of boundaries. Nulls come first; rows with equal ids follow by text.
 
@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from axonframe.llm.common import arrow_batches, deal_in_order, in_partitions
+from axonframe.llm.common import arrow_batches, deal_in_order, in_partitions, written
 from axonframe.llm.tokens import encoder, ids_crc32
 
 MAGIC = b"AXEF0002"
-SAMPLE = 256
+SAMPLE = 64
 SHARD_IDS, SHARD_DOCS = 8 << 20, 1 << 17
 HEADER = "<7q"
 
@@ -194,15 +194,13 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Documents of the shards: doc_id, start (over all shards), n_tokens, ids_crc32.
 
-    A shard's start is a running sum over one small row per shard.
+    Files are read once; what is kept of each document is one small row, written to the shared folder.
+    A shard's start is a running sum over one row per shard, at least 2^17 documents or 2^23 ids each but
+    for the last of a range: a window without a key over as many rows.
     """
     arrow_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for file, shard in opened(batches):
-            yield pa.RecordBatch.from_pydict({"bucket": [shard.bucket], "number": [shard.number], "n_ids": [shard.n_ids]})
-
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, shard in opened(batches):
             starts = np.fromiter(map(shard.start, range(shard.n_docs)), np.int64, shard.n_docs)
@@ -216,10 +214,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 "ids_crc32": pa.array([ids_crc32(shard.ids[a:b]) for a, b in zip(starts, ends, strict=True)], pa.int64()),
             })
 
-    sizes = files.mapInArrow(heads, "bucket long, number long, n_ids long")
+    rows = written(files.mapInArrow(documents, "bucket long, number long, doc_id long, first long, n_tokens long, ids_crc32 long"), "token-rows")
+    sizes = rows.groupBy("bucket", "number").agg(F.sum("n_tokens").alias("n_ids"))
     before = Window.orderBy("bucket", "number").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("bucket", "number", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("offset"))
-    rows = files.mapInArrow(documents, "bucket long, number long, doc_id long, first long, n_tokens long, ids_crc32 long")
     return rows.join(offsets, ["bucket", "number"]).select(
         "doc_id", (F.col("offset") + F.col("first")).alias("start"), "n_tokens", "ids_crc32"
     )
