@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from axonframe.functions.bricks import Bricks, make_bricks
+from axonframe.functions.bricks import AT, Bricks, make_bricks
 from axonframe.functions.geometry import (
     XYZ,
     Grid,
@@ -74,20 +80,99 @@ def sample_masked_trilinear(
     """
     present = coeffs if gate is None else coeffs.filter(F.col(gate) >= threshold)
     bricks = make_bricks(present, F.col("coeffs").cast("array<double>"), subject(pts, coeffs), bits=2)
-    rows, weights = _seated(pts, bricks, grid)
-    base = [F.col(f"_b{c}") for c in XYZ]
-    taps = F.array(*[
-        F.when(
-            inside(grid, *[b + d for b, d in zip(base, corner)]) & (w > 0),
-            F.struct(w.alias("w"), bricks.cell(*corner).alias("c")),
-        )
-        for corner, w in zip(CORNERS, weights)
-    ])
-    met = rows.select(*pts.columns, F.filter(taps, lambda t: t["c"].isNotNull()).alias("_taps"))
-    met = met.withColumn("_w", F.aggregate("_taps", F.lit(0.0), lambda acc, t: acc + t["w"])).filter(F.col("_w") >= min_weight)
-    first = F.transform(F.get("_taps", F.lit(0))["c"], lambda c: c * F.lit(0.0))
-    total = F.aggregate("_taps", first, lambda acc, t: F.zip_with(acc, t["c"], lambda a, c: a + t["w"] * c))
-    return met.select(*pts.columns, F.transform(total, lambda v: v / F.col("_w")).alias("coeffs"))
+    raw = world_to_voxel(grid, *[F.col(c) for c in XYZ])
+    row = F.struct(*[F.col(c) for c in pts.columns])
+    seated = pts.select(*bricks.by, row.alias("row"), *[v.alias(f"_v{c}") for c, v in zip(XYZ, raw)])
+    seated = seated.withColumns({b: F.shiftright(F.floor(f"_v{c}").cast("int"), bricks.bits) for b, c in zip(AT, XYZ)})
+    at = [*bricks.by, *AT]
+    # Points of a brick that lie in one partition share a row, so the brick is copied once for many of them.
+    seated = seated.sortWithinPartitions(*at)
+    of = {f.name: f for f in seated.schema.fields}
+    fields = [of[c] for c in at] + [StructField(c, ArrayType(of[c].dataType)) for c in ("row", *[f"_v{c}" for c in XYZ])]
+    sets = seated.mapInArrow(_brick_sets(at), StructType(fields))
+    met = lookup(sets, bricks.table, at, spread=True).select("row", *[f"_v{c}" for c in XYZ], "_cells")
+    out = StructType([*pts.schema.fields, StructField("coeffs", ArrayType(DoubleType()))])
+    return met.mapInArrow(_weighted(grid.dims, bricks.bits, bricks.low, bricks.edge, min_weight), out)
+
+
+#: Points of a brick that go in one row.
+POINTS = 1024
+
+
+def _brick_sets(at: Sequence[str]):
+    """Rows sorted by ``at`` -> one row per run of equal ones, the other columns as arrays."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            new[::POINTS] = True
+            for c in at:
+                changed = pc.not_equal(batch[c].slice(1), batch[c].slice(0, n - 1))
+                nulls = pc.not_equal(pc.is_null(batch[c].slice(1)), pc.is_null(batch[c].slice(0, n - 1)))
+                new[1:] |= pc.or_(pc.fill_null(changed, False), nulls).to_numpy(zero_copy_only=False)
+            begins = np.flatnonzero(new)
+            offsets, first = pa.array(np.append(begins, n), pa.int32()), pa.array(begins)
+            others = [c for c in batch.schema.names if c not in at]
+            lists = [pa.ListArray.from_arrays(offsets, batch[c]) for c in others]
+            yield pa.RecordBatch.from_arrays([*(batch[c].take(first) for c in at), *lists], [*at, *others])
+
+    return cut
+
+
+def _weighted(dims: tuple[int, int, int], bits: int, low: int, edge: int, min_weight: float):
+    """Points of a brick, in fractional voxels, and its cells -> the weighted means of the cells around each."""
+
+    def of_brick(v: np.ndarray, cells: pa.ListArray) -> tuple[np.ndarray, pa.ListArray]:
+        there = cells.is_valid().to_numpy(zero_copy_only=False)
+        lengths = cells.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        width = int(lengths.max(initial=0))
+        own = lengths[:, None] > np.arange(width)
+        table, known = np.zeros((len(cells), width)), np.zeros((len(cells), width), bool)
+        values = cells.flatten()
+        table[own] = values.fill_null(0.0).to_numpy(zero_copy_only=False)
+        known[own] = values.is_valid().to_numpy(zero_copy_only=False)
+        whole = bool(known[there].all())
+        base = np.floor(v)
+        share = v - base
+        local = (base.astype("int64") & ((1 << bits) - 1)) + low
+        total, mass = np.zeros((len(v), width)), np.zeros(len(v))
+        sure, longest = np.ones((len(v), width), bool), np.zeros(len(v), "int64")
+        for corner in CORNERS:
+            w = np.ones(len(v))
+            within = np.ones(len(v), bool)
+            for n, d in enumerate(corner):
+                w = w * (share[:, n] if d else 1.0 - share[:, n])
+                within &= (base[:, n] + d >= 0) & (base[:, n] + d < dims[n])
+            seat = ((local[:, 0] + corner[0]) * edge + local[:, 1] + corner[1]) * edge + local[:, 2] + corner[2]
+            take = np.flatnonzero(within & (w > 0) & there[seat])
+            mass[take] += w[take]
+            total[take] += w[take, None] * table[seat[take]]
+            if not whole:
+                sure[take] &= known[seat[take]]
+                longest[take] = np.maximum(longest[take], lengths[seat[take]])
+        met = (mass > 0) & (mass >= min_weight)
+        means = total / np.where(met, mass, 1.0)[:, None]
+        if whole:
+            values, sizes = pa.array(means[met].ravel()), np.full(int(met.sum()), width)
+        else:
+            inside_ = (longest[:, None] > np.arange(width)) & met[:, None]
+            values, sizes = pa.array(means[inside_], mask=~sure[inside_]), longest[met]
+        ends = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+        return np.flatnonzero(met), pa.ListArray.from_arrays(ends, values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                one = batch.slice(n, 1)
+                v = np.stack([one[f"_v{c}"].flatten().to_numpy(zero_copy_only=False) for c in XYZ], 1)
+                met, means = of_brick(v, one["_cells"].flatten())
+                rows = one["row"].flatten().take(pa.array(met))
+                yield pa.RecordBatch.from_arrays([*rows.flatten(), means], [*(f.name for f in rows.type), "coeffs"])
+
+    return run
 
 
 def sample_volume_along_streamline(

@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from axonframe.functions import graph, nearest, scan
+from axonframe.functions.geometry import scaling_grid
 from axonframe.operators import geometry as og
+from axonframe.operators import sampling
 from axonframe.operators import selection as sel
 from axonframe.operators.fields import voxel_density
 from axonframe.queries import fixtures as fx
@@ -218,3 +220,31 @@ def test_no_local_checkpoints_or_local_collects():
     root = pathlib.Path(__file__).resolve().parent.parent / "axonframe"
     text = "".join(p.read_text() for p in root.rglob("*.py"))
     assert "localCheckpoint" not in text and "crossJoin" not in text
+
+
+def test_masked_sampling_shares_a_brick(spark, monkeypatch):
+    """Many points of a brick cross with one copy of it; corners beyond the grid, without a voxel or under the gate do not count."""
+    counted = []
+    plain = sampling.lookup
+    monkeypatch.setattr(sampling, "lookup", lambda rows, *more, **how: counted.append(rows.count()) or plain(rows, *more, **how))
+    voxels = {(i, j, k): [float(i), 10.0 * j + k, 1.0] for i in range(6) for j in range(2) for k in range(2) if (i, j, k) != (1, 1, 1)}
+    table = spark.createDataFrame([(*v, 0.0 if v[0] == 5 else 1.0, c) for v, c in voxels.items()], "i int, j int, k int, fa double, coeffs array<double>")
+    rng = np.random.default_rng(3)
+    at = [(0, n, *map(float, p)) for n, p in enumerate(rng.uniform(-1.0, 6.0, (600, 3)) * [1, 0.3, 0.3])] + [(0, 600, 5.0, 0.0, 0.0)]
+    pts = spark.createDataFrame(at, "streamline_id long, point_idx int, x double, y double, z double").coalesce(1)
+    found = {r["point_idx"]: r["coeffs"] for r in sampling.sample_masked_trilinear(pts, table, scaling_grid(6, 2, 2, 1.0), "fa", 0.5).collect()}
+    expected = {}
+    for _, n, *p in at:
+        base = [int(np.floor(v)) for v in p]
+        taps = []
+        for d in np.ndindex(2, 2, 2):
+            cell = tuple(b + e for b, e in zip(base, d))
+            w = float(np.prod([(v - b) if e else 1 - (v - b) for v, b, e in zip(p, base, d)]))
+            if cell in voxels and cell[0] != 5 and w > 0:
+                taps.append((w, np.array(voxels[cell])))
+        mass = sum(w for w, _ in taps)
+        if mass >= 0.01:
+            expected[n] = sum(w * c for w, c in taps) / mass
+    assert set(found) == set(expected) and 100 < len(found) < 600
+    assert all(np.allclose(found[n], c, atol=1e-12) for n, c in expected.items())
+    assert counted and max(counted) <= 20
