@@ -177,11 +177,12 @@ def without_near_copies(pts: DataFrame, tolerance: float, end_tolerance: float,
     Candidates lie in one cell of the space of both endpoints. A streamline is in one cell, as a copy
     of others it is in every cell that its tolerance reaches, both ways round. The lowest ids of a
     cell are the first to be compared with; whoever copies one of them is done with, so a crowd of
-    copies costs one short round, and only what is left meets the further ones.
+    copies costs one short round, and only what is left meets the further ones. Short streamlines
+    meet in blocks, whole; long ones meet by pairs and pieces.
     """
     by, keys = subject(pts), streamline_keys(pts)
     cell = 4.0 * max(float(end_tolerance), 1e-6)
-    ends = cut_lineage(endpoints(pts).select(*keys, "first", "last"))
+    ends = cut_lineage(endpoints(pts).select(*keys, "n_points", "first", "last"))
 
     def at(end: str) -> list:
         return [F.col(end)[c] for c in XYZ]
@@ -196,29 +197,139 @@ def without_near_copies(pts: DataFrame, tolerance: float, end_tolerance: float,
             side = side.withColumn(f"_v{n}", F.explode(F.array_distinct(F.array(*reach))))
         side = side.select(*keys, F.xxhash64(*[f"_v{n}" for n in range(6)]).alias("_cell"))
         seats = side if seats is None else seats.unionByName(side)
-    ranked = cut_lineage(row_rank(seats.distinct(), ["streamline_id"], "_rank", by + ["_cell"]))
-    others = lookup(ranked, ends, keys).select(
-        *by, "_cell", "_rank", *[F.col(c).alias(f"o_{c}") for c in ("streamline_id", "first", "last")]
-    )
+    # A seat in a cell that nobody lives in meets nobody.
+    homes = open_ones.select(*by, "_cell").distinct()
+    seats = lookup(seats.distinct(), homes, by + ["_cell"], "left_semi")
+    ranked = cut_lineage(row_rank(seats, ["streamline_id"], "_rank", by + ["_cell"]))
+    shapes = cut_lineage(_shapes(lookup(pts, ends.filter(F.col("n_points") <= PIECE), keys, "left_semi")))
+    long_ones = cut_lineage(ends.filter(F.col("n_points") > PIECE).select(*keys, "first", "last"))
+    any_long = not long_ones.isEmpty()
     top = ranked.agg(F.max("_rank").alias("top")).first()["top"]
 
     def close(a: str, b: str):
         d = [p - q for p, q in zip(at(a), at(b))]
         return d[0] * d[0] + d[1] * d[1] + d[2] * d[2] <= end_tolerance * end_tolerance
 
+    def as_other(rows: DataFrame) -> DataFrame:
+        return rows.select(*by, "_cell", *[F.col(c).alias(f"o_{c}") for c in ("streamline_id", "first", "last")])
+
+    open_ones = open_ones.select(*keys, "_cell")
     begin, size = 0, LEADERS
     while top is not None and begin <= top:
-        leaders = others.filter(F.col("_rank").between(begin, begin + size - 1))
-        met = open_ones.join(leaders, by + ["_cell"]).filter(F.col("o_streamline_id") < F.col("streamline_id"))
-        met = met.filter((close("first", "o_first") & close("last", "o_last")) | (close("first", "o_last") & close("last", "o_first")))
-        pairs = cut_lineage(met.select(*keys, F.col("o_streamline_id").alias("other")))
-        if not pairs.isEmpty():
-            copies = near_pairs(pts, pairs, tolerance, fraction).select(*keys).distinct()
-            open_ones = cut_lineage(open_ones.join(copies, keys, "left_anti"))
+        leaders = ranked.filter(F.col("_rank").between(begin, begin + size - 1))
+        copies = _short_copies(open_ones, leaders, shapes, by, tolerance, end_tolerance, fraction)
+        open_ones = cut_lineage(open_ones.join(copies, keys, "left_anti"))
+        if any_long:
+            # Long ones on either side meet piece by piece.
+            placed, first_ones = lookup(open_ones, ends, keys), lookup(leaders, ends, keys)
+            met = lookup(placed, long_ones, keys, "left_semi").join(as_other(first_ones), by + ["_cell"]).unionByName(
+                lookup(placed, long_ones, keys, "left_anti").join(as_other(lookup(first_ones, long_ones, keys, "left_semi")), by + ["_cell"])
+            ).filter(F.col("o_streamline_id") < F.col("streamline_id"))
+            met = met.filter((close("first", "o_first") & close("last", "o_last")) | (close("first", "o_last") & close("last", "o_first")))
+            pairs = cut_lineage(met.select(*keys, F.col("o_streamline_id").alias("other")))
+            if not pairs.isEmpty():
+                copies = near_pairs(pts, pairs, tolerance, fraction).select(*keys).distinct()
+                open_ones = cut_lineage(open_ones.join(copies, keys, "left_anti"))
         begin, size = begin + size, size * MORE
     return open_ones.select(*keys)
 
 
+#: Short streamlines of one row on either side, those that all are held against at a time, and distances held at a time.
+SHORT, STEP, HELD = 4096, 512, 1 << 22
+
+
+def _shapes(pts: DataFrame) -> DataFrame:
+    """``_shape``: id and coordinate arrays of each (short) streamline."""
+    vertex = F.struct("point_idx", *[F.col(c).cast("double").alias(c) for c in XYZ])
+    rows = pts.groupBy(*streamline_keys(pts)).agg(F.sort_array(F.collect_list(vertex)).alias("v"))
+    return rows.select(*streamline_keys(pts), F.struct("streamline_id", *[F.col(f"v.{c}").alias(c) for c in XYZ]).alias("_shape"))
+
+
+def _short_copies(open_ones: DataFrame, leaders: DataFrame, shapes: DataFrame, by: list[str], *limits: float) -> DataFrame:
+    """Keys of the short ones of ``open_ones`` with a near copy of a lower id among the short ``leaders``.
+
+    Both sides are packed, so two blocks of a cell meet in one row and its pairs are never rows.
+    """
+    keys, cell = by + ["streamline_id"], by + ["_cell"]
+    sizes = open_ones.groupBy(*cell).agg(F.ceil(F.count("*") / SHORT).alias("_blocks"))
+    dealt = lookup(lookup(open_ones, shapes, keys), sizes, cell).withColumn("_block", F.pmod(F.xxhash64("streamline_id"), F.col("_blocks")))
+    own = cut_lineage(dealt.groupBy(*cell, "_block").agg(F.collect_list("_shape").alias("a"), F.max("streamline_id").alias("_top")))
+    packed = lookup(leaders, shapes, keys).groupBy(*cell, F.floor(F.col("_rank") / SHORT).alias("_part"))
+    others = cut_lineage(packed.agg(F.sort_array(F.collect_list("_shape")).alias("b"), F.min("streamline_id").alias("_least")))
+    met = own.select(*cell, "_block", "_top").join(others.select(*cell, "_part", "_least"), cell).filter("_least < _top")
+    rows = lookup(met.select(*cell, "_block", "_part"), others.drop("_least"), cell + ["_part"])
+    rows = lookup(rows, own.drop("_top"), cell + ["_block"], spread=True).select(*by, "a", "b")
+    found = rows.mapInArrow(_block_copies(by, *limits), StructType([shapes.schema[c] for c in keys]))
+    return found.distinct()
+
+
+def _block_copies(by: list[str], tolerance: float, end_tolerance: float, fraction: float):
+    """Two blocks of streamlines -> those of the first that are near copies of one of a lower id in the second."""
+
+    def sides(shapes: pa.StructArray) -> tuple:
+        ids_, *axes = shapes.flatten()
+        starts = axes[0].offsets.to_numpy()
+        flat = np.stack([v.values.to_numpy(zero_copy_only=False) for v in axes], 1)
+        return ids_.to_numpy(), flat, starts[:-1], np.diff(starts)
+
+    def padded(flat: np.ndarray, start: np.ndarray, count: np.ndarray, width: int) -> np.ndarray:
+        """Vertices of each, the last one repeated."""
+        return flat[start[:, None] + np.minimum(np.arange(width), count[:, None] - 1)]
+
+    def apart2(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        dx, dy, dz = (p[..., k] - q[..., k] for k in range(3))
+        return dx * dx + dy * dy + dz * dz
+
+    def near(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs are near copies; those of like sizes are measured together."""
+        out = np.zeros(len(i), bool)
+        wide = [2 ** np.ceil(np.log2(s[3])).astype(int) for s in (a, b)]
+        kind = wide[0][i] * 4096 + wide[1][j]
+        for k in np.unique(kind):
+            same, m, n = np.flatnonzero(kind == k), int(k) // 4096, int(k) % 4096
+            for at in range(0, len(same), max(1, HELD // (m * n))):
+                some = same[at : at + max(1, HELD // (m * n))]
+                counts = [a[3][i[some]], b[3][j[some]]]
+                p, q = padded(a[1], a[2][i[some]], counts[0], m), padded(b[1], b[2][j[some]], counts[1], n)
+                d = np.sqrt(apart2(p[:, :, None], q[:, None, :]))
+                sides_ = [(d.min(2), counts[0]), (d.min(1), counts[1])]
+                real = [np.arange(v.shape[1]) < c[:, None] for v, c in sides_]
+                mean = np.where(real[0], sides_[0][0], 0.0).sum(1) / counts[0]
+                share = [((v <= tolerance) & r).sum(1) / c for (v, c), r in zip(sides_, real)]
+                out[some] = (mean <= tolerance) & (np.minimum(*share) >= fraction)
+        return out
+
+    def copies(a: tuple, b: tuple) -> np.ndarray:
+        end2 = end_tolerance * end_tolerance
+        ends = [(s[1][s[2]], s[1][s[2] + s[3] - 1]) for s in (a, b)]
+        left = np.arange(len(a[0]))
+        for at in range(0, len(b[0]), STEP):
+            if not len(left):
+                break
+            to = slice(at, at + STEP)
+            met = []
+            for one, other in ((0, 1), (1, 0)):
+                i, j = np.nonzero(apart2(ends[0][0][left][:, None], ends[1][one][to][None]) <= end2)
+                more = apart2(ends[0][1][left[i]], ends[1][other][to][j]) <= end2
+                met.append(i[more] * STEP + j[more])
+            both = np.unique(np.concatenate(met))
+            i, j = left[both // STEP], at + both % STEP
+            lower = b[0][j] < a[0][i]
+            i, j = i[lower], j[lower]
+            left = np.setdiff1d(left, i[near(a, b, i, j)], assume_unique=False)
+        return np.setdiff1d(a[0], a[0][left])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                one = batch.slice(n, 1)
+                gone = copies(*(sides(one[c].flatten()) for c in "ab"))
+                same = [one[c].take(pa.array(np.zeros(len(gone), "int64"))) for c in by]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(gone)], [*by, "streamline_id"])
+
+    return run
+
+
 #: Vertices of a piece; two pieces meet in one row.
 PIECE = 128
 

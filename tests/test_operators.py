@@ -72,6 +72,32 @@ def test_a_crowd_of_near_copies_makes_few_pairs(lines, monkeypatch):
     assert sum(pairs) < 5 * 300
 
 
+def test_near_copies_of_short_and_long_lines(lines, monkeypatch):
+    """Short ones are told in blocks and make no pairs; whatever the block and piece sizes, the result is that of plain distances."""
+    rng = np.random.default_rng(5)
+    shapes = [rng.uniform(0, 4, (int(rng.integers(1, 7)), 3)) for _ in range(40)]
+    every = [s + rng.normal(0, 0.6, s.shape) for s in shapes for _ in range(4)]
+    every = [every[i][::-1] if i % 3 == 0 else every[i] for i in rng.permutation(len(every))]
+
+    def near(p, q):
+        ends = [min(max(np.linalg.norm(p[0] - a), np.linalg.norm(p[-1] - b)) for a, b in ((q[0], q[-1]), (q[-1], q[0])))]
+        d = np.linalg.norm(p[:, None] - q[None], axis=2)
+        return ends[0] <= 2.0 and d.min(1).mean() <= 1.0 and min((d.min(1) <= 1.0).mean(), (d.min(0) <= 1.0).mean()) >= 0.6
+
+    left = [i for i, p in enumerate(every) if not any(near(p, q) for q in every[:i])]
+    assert 20 < len(left) < 140
+    pairs = []
+    plain = pruning.near_pairs
+    monkeypatch.setattr(pruning, "near_pairs", lambda pts, p, *more: pairs.append(p.count()) or plain(pts, p, *more))
+    pts = lines(every)
+    assert ids(pruning.remove_duplicates(pts, "near", 1.0, 2.0, 0.6)) == left
+    assert not pairs
+    for name, value in (("SHORT", 7), ("STEP", 3), ("LEADERS", 5), ("PIECE", 3)):
+        monkeypatch.setattr(pruning, name, value)
+    assert ids(pruning.remove_duplicates(pts, "near", 1.0, 2.0, 0.6)) == left
+    assert pairs
+
+
 def test_near_copies_in_either_direction(lines):
     shifted = [(x, y + 0.1, z) for x, y, z in run(10)]
     pts = lines([run(10), shifted[::-1], run(10, axis=1)])
