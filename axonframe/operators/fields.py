@@ -75,11 +75,17 @@ def visit_density(pts: DataFrame, voxel_mm: float) -> DataFrame:
 
     Origin: bounding box minimum minus one voxel.
     """
-    return visits(pts, voxel_mm).groupBy(*subject(pts), "i", "j", "k").agg(F.sum("visits").alias("density"))
+    return _entered(pts, voxel_mm).groupBy(*subject(pts), "i", "j", "k").agg(F.count("*").alias("density"))
 
 
 def visits(pts: DataFrame, voxel_mm: float) -> DataFrame:
     """Visit counts per (streamline, voxel)."""
+    walked = _entered(pts, voxel_mm)
+    return walked.groupBy(*subject(pts), "streamline_id", "i", "j", "k").agg(F.count("*").alias("visits"))
+
+
+def _entered(pts: DataFrame, voxel_mm: float) -> DataFrame:
+    """A row each time that a streamline enters a voxel."""
     size = max(float(voxel_mm), 1e-3)
     by = subject(pts)
     boxed = attach_bounds(pts.select(*by, "streamline_id", "point_idx", *XYZ), pts)
@@ -87,8 +93,7 @@ def visits(pts: DataFrame, voxel_mm: float) -> DataFrame:
     relative = boxed.select(
         *by, "streamline_id", "point_idx", *[(F.col(c) - (F.col(f"min_{c}") - F.lit(size))).alias(c) for c in XYZ]
     )
-    walked = raster(relative, lambda *p: [v * F.lit(1.0 / size) for v in p], changes_only=True)
-    return walked.groupBy(*by, "streamline_id", "i", "j", "k").agg(F.count("*").alias("visits"))
+    return raster(relative, lambda *p: [v * F.lit(1.0 / size) for v in p], changes_only=True)
 
 
 # --- direction fields ---------------------------------------------------------------

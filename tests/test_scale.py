@@ -10,7 +10,7 @@ from axonframe.functions.geometry import scaling_grid
 from axonframe.operators import geometry as og
 from axonframe.operators import sampling
 from axonframe.operators import selection as sel
-from axonframe.operators.fields import voxel_density
+from axonframe.operators.fields import visit_density, visits, voxel_density
 from axonframe.queries import fixtures as fx
 from axonframe.streaming import density
 
@@ -248,3 +248,11 @@ def test_masked_sampling_shares_a_brick(spark, monkeypatch):
     assert set(found) == set(expected) and 100 < len(found) < 600
     assert all(np.allclose(found[n], c, atol=1e-12) for n, c in expected.items())
     assert counted and max(counted) <= 20
+
+
+def test_visit_density_groups_by_voxel_alone(spark, skewed):
+    """Rows grow with the voxels, not with streamlines times voxels: no aggregate holds a streamline."""
+    found = visit_density(skewed, 2.0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate [" in line and "streamline_id" in line]
+    same(found, visits(skewed, 2.0).groupBy("i", "j", "k").agg(F.sum("visits")))
