@@ -9,12 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from axonframe.functions.geometry import XYZ
-from axonframe.functions.scan import cut_lineage, lookup, order_statistics, row_rank, streamline_keys, subject
+from axonframe.functions.scan import CHUNK, cut_lineage, lookup, order_statistics, row_rank, streamline_keys, subject
 from axonframe.functions.sphere import FULL_DETAIL, nearest_bin
-from axonframe.operators.fields import place, smoothed_support, visits, voxel_size
+from axonframe.operators.fields import place, smoothed_support, voxel_size
 from axonframe.operators.geometry import endpoints, segments, streamline_length, trim_segments
 from axonframe.operators.selection import ids, keep, mean_cloud_distance, puri_threshold
 
@@ -31,43 +31,116 @@ def tip_prune(
 ) -> DataFrame:
     """Repeatedly drop streamlines whose share of thinly visited voxels is too large.
 
-    Each round rebuilds the visit density from the survivors and stops when nothing goes.
-    The visits per (streamline, voxel) are written once and reused while the survivors
-    still span the same box, since the grid hangs on the box minimum. Voxels are sparse
-    rows, so there is no grid size to refuse.
+    Each round rebuilds the visit density from the survivors and stops when nothing goes. Vertices are
+    packed once, a row per piece of a streamline, and every round walks the pieces where they lie:
+    visits are counted per voxel at once and are never written or moved, except those of streamlines
+    of several pieces. Voxels are sparse rows, so there is no grid size to refuse.
     """
     keys = streamline_keys(pts)
     by = subject(pts)
     voxel = by + ["i", "j", "k"]
-    share = min(max(max_unsupported, 0.0), 1.0)
-    current = cut_lineage(ids(keep(pts, sel)))
+    size, share = max(float(voxel_mm), 1e-3), min(max(max_unsupported, 0.0), 1.0)
+    packed = cut_lineage(_packed(keep(pts, sel)))
+    current = packed.select(*keys).distinct()
     left = current.count()
-    walked: DataFrame | None = None
-    origin = None
     for _ in range(max(1, iterations)):
         if left == 0:
             break
-        rows = keep(pts, current)
-        corner = None if by else rows.agg(*[F.min(c).alias(c) for c in XYZ]).first()
-        if walked is None or by or corner != origin:
-            walked = cut_lineage(visits(rows, voxel_mm))
-            origin = corner
-        else:
-            walked = lookup(walked, current, keys, "left_semi")
-        thin = walked.groupBy(*voxel).agg(F.sum("visits").alias("_d")).filter(F.col("_d") <= min_support).select(*voxel)
+        corner = packed.groupBy(*by).agg(*[F.min(F.array_min(c)).alias(f"_min_{c}") for c in XYZ])
+        placed = lookup(packed, corner, by) if by else packed.crossJoin(F.broadcast(corner))
+        density = _walked(placed, size, by, distinct=False).groupBy(*voxel).agg(F.count("*").alias("_d"))
+        thin = cut_lineage(density.filter(F.col("_d") <= min_support).select(*voxel, F.lit(1).alias("_thin")))
+        few = thin.count() <= FEW
+        touched = _walked(placed, size, keys, distinct=True)
+        single = touched.filter(~F.col("_many")).select(*keys, "i", "j", "k")
+        walked = single.unionByName(touched.filter("_many").select(*keys, "i", "j", "k").distinct())
         # A thin voxel has at most min_support visits, so the matched side cannot be hot.
-        weak = lookup(walked, thin, voxel, "left_semi", spread=True).groupBy(*keys).agg(F.count("*").alias("_weak"))
-        touched = walked.groupBy(*keys).agg(F.count("*").alias("_all"))
-        judged = touched.join(weak, keys, "left")
-        fraction = F.coalesce("_weak", F.lit(0)) / F.col("_all")
-        current = cut_lineage(judged.filter(fraction <= share).select(*keys))
+        marked = walked.join(F.broadcast(thin), voxel, "left") if few else lookup(walked, thin, voxel, "left", spread=True)
+        judged = marked.groupBy(*keys).agg(F.count("_thin").alias("_weak"), F.count("*").alias("_all"))
+        current = cut_lineage(judged.filter(F.col("_weak") / F.col("_all") <= share).select(*keys))
         remaining = current.count()
         if remaining == left:
             break
         left = remaining
+        packed = cut_lineage(lookup(packed, current, keys, "left_semi"))
     return current
 
 
+#: Thin voxels that every task may hold.
+FEW = 1 << 18
+
+
+def _packed(pts: DataFrame) -> DataFrame:
+    """A row per piece of ``CHUNK`` vertices of a streamline: arrays ``x, y, z`` in order, with the neighbours
+    beyond both seams; ``_before``: the first one is such; ``_many``: the streamline has further pieces."""
+    keys = streamline_keys(pts)
+    home, seat = F.floor(F.col("point_idx") / CHUNK), F.pmod("point_idx", F.lit(CHUNK))
+    seams = F.array_compact(F.array(home, F.when((seat == 0) & (home > 0), home - 1), F.when(seat == CHUNK - 1, home + 1)))
+    vertex = F.struct("point_idx", *[F.col(c).cast("double").alias(c) for c in XYZ])
+    rows = pts.select(*keys, vertex.alias("_v"), F.explode(seams).alias("_piece"))
+    rows = rows.groupBy(*keys, "_piece").agg(F.sort_array(F.collect_list("_v")).alias("_v"))
+    many = (F.col("_piece") > 0) | (F.element_at("_v", -1)["point_idx"] >= CHUNK)
+    return rows.select(*keys, (F.col("_piece") > 0).alias("_before"), many.alias("_many"), *[F.col(f"_v.{c}").alias(c) for c in XYZ])
+
+
+def _walked(placed: DataFrame, size: float, keys: list[str], distinct: bool) -> DataFrame:
+    """``<keys>, _many, i, j, k``: a row each time that a piece enters a voxel, or for each voxel that it touches.
+
+    The voxels are those of ``visits``.
+    """
+    rows = placed.select(*keys, "_many", "_before", *XYZ, *[f"_min_{c}" for c in XYZ])
+    out = StructType([*(rows.schema[c] for c in (*keys, "_many")), StructField("_at", StructType.fromDDL("i array<int>, j array<int>, k array<int>"))])
+
+    def sampled(a: np.ndarray, b: np.ndarray, t: np.ndarray) -> np.ndarray:
+        return np.floor(a + (b - a) * t[:, None]).astype("int64")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = batch["x"].value_lengths().to_numpy()
+            row = np.repeat(np.arange(len(counts)), counts)
+            p = np.stack([batch[c].flatten().to_numpy(zero_copy_only=False) for c in XYZ], 1)
+            low = np.stack([batch[f"_min_{c}"].to_numpy(zero_copy_only=False) for c in XYZ], 1)
+            p = (p - (low[row] - size)) * (1.0 / size)
+            first = np.append(0, np.cumsum(counts))[:-1]
+            # A segment starts at each vertex but the last of a piece, and but the one before the seam.
+            starts = np.ones(len(p), bool)
+            starts[(first + counts - 1)[counts > 0]] = False
+            before = batch["_before"].to_numpy(zero_copy_only=False)
+            starts[first[before & (counts > 0)]] = False
+            steps = np.zeros(len(p))
+            steps[:-1] = np.ceil(np.abs(p[1:] - p[:-1]).max(1))
+            starts[:-1] &= np.isfinite(steps[:-1])
+            lone = np.zeros(len(p), bool)
+            lone[first[counts > 0]] = True
+            at = np.flatnonzero(starts)
+            n = steps[at].astype("int64") + 1
+            seg = np.repeat(at, n)
+            s = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
+            share = 1.0 / np.maximum(steps[seg], 1.0)
+            cell = sampled(p[seg], p[seg + 1], s * share)
+            # The sample before: of the same segment, or the last of the one before it.
+            back = np.maximum(seg - 1, 0)
+            known = ~lone[seg] & np.isfinite(steps[back])
+            joint = known & (s == 0)
+            prior = sampled(p[seg], p[seg + 1], (s - 1) * share)
+            end = steps[back[joint]]
+            prior[joint] = sampled(p[back[joint]], p[seg[joint]], end * (1.0 / np.maximum(end, 1.0)))
+            moved = (cell != prior).any(1) | ((s == 0) & ~known)
+            cell, owner = cell[moved], row[seg[moved]]
+            if distinct and len(cell):
+                order = np.lexsort((cell[:, 2], cell[:, 1], cell[:, 0], owner))
+                cell, owner = cell[order], owner[order]
+                new = np.append(True, (owner[1:] != owner[:-1]) | (cell[1:] != cell[:-1]).any(1))
+                cell, owner = cell[new], owner[new]
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(owner, minlength=len(counts)))), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(cell[:, k].astype("int32"))) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in (*keys, "_many")), pa.StructArray.from_arrays(lists, ["i", "j", "k"])], out.names)
+
+    found = rows.mapInArrow(walk, out)
+    each = found.select(*keys, "_many", F.explode(F.arrays_zip("_at.i", "_at.j", "_at.k")).alias("_c"))
+    return each.select(*keys, "_many", *[F.col("_c")[c].alias(c) for c in "ijk"])
+
+
 # --- coherence score ----------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from axonframe.functions import graph, nearest, scan
 from axonframe.functions.geometry import scaling_grid
 from axonframe.operators import geometry as og
-from axonframe.operators import sampling
+from axonframe.operators import pruning, sampling
 from axonframe.operators import selection as sel
 from axonframe.operators.fields import visit_density, visits, voxel_density
 from axonframe.queries import fixtures as fx
@@ -256,3 +256,26 @@ def test_visit_density_groups_by_voxel_alone(spark, skewed):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Aggregate [" in line and "streamline_id" in line]
     same(found, visits(skewed, 2.0).groupBy("i", "j", "k").agg(F.sum("visits")))
+
+
+def test_pruning_walks_packed_pieces(spark, skewed, monkeypatch):
+    """Pieces of a long streamline are walked as one, in the voxels of ``visits``, which are not written."""
+    found = {}
+    for chunk in (4096, 7):
+        monkeypatch.setattr(pruning, "CHUNK", chunk)
+        corner = skewed.agg(*[F.min(c).alias(f"_min_{c}") for c in "xyz"])
+        placed = pruning._packed(skewed).crossJoin(corner)
+        walked = pruning._walked(placed, 2.0, ["streamline_id"], False).groupBy("streamline_id", "i", "j", "k").agg(F.count("*"))
+        same(walked, visits(skewed, 2.0))
+        same(pruning._walked(placed, 2.0, ["streamline_id"], True).select("streamline_id", "i", "j", "k").distinct(), visits(skewed, 2.0).select("streamline_id", "i", "j", "k"))
+        found[chunk] = sorted(r[0] for r in pruning.tip_prune(skewed, None, 2.0, 3, 2, 0.3).collect())
+    assert found[7] == found[4096] and len(found[7]) < 51
+
+
+def test_pruning_writes_no_visits(skewed, monkeypatch):
+    """What is written are pieces, streamlines and thin voxels, not what each streamline visits."""
+    written = []
+    plain = pruning.cut_lineage
+    monkeypatch.setattr(pruning, "cut_lineage", lambda df: written.append(set(df.columns)) or plain(df))
+    pruning.tip_prune(skewed, None, 2.0, 3, 2, 0.3)
+    assert written and not any({"streamline_id", "i"} <= columns for columns in written)
