@@ -139,8 +139,12 @@ def nearest(points: DataFrame, targets: DataFrame, label: str | None, by: Sequen
     named = F.min(label).cast("long") if label else F.lit(0).cast("long")
     positions = targets.filter(known).groupBy(*by, *XYZ).agg(named.alias("label"))
     leaves = cut_lineage(runs(positions, by, "label", LEAF))
-    carried = points.withColumn("row", F.struct(*points.columns))
-    blocks = cut_lineage(runs(carried.filter(known), by, "row", BLOCK).withColumn("block", F.shiftleft(F.col("part").cast("long"), 32) + F.col("number")).drop("part", "number"))
+    # Points at one place are searched for once; one without a group meets no target.
+    for c in by:
+        known = known & F.col(c).isNotNull()
+    place = [*by, *XYZ]
+    carried = points.filter(known).select(*place).distinct().withColumn("row", F.struct(*place))
+    blocks = cut_lineage(runs(carried, by, "row", BLOCK).withColumn("block", F.shiftleft(F.col("part").cast("long"), 32) + F.col("number")).drop("part", "number"))
     levels = _levels(leaves, by)
     zero = F.lit(0).cast("long")
     pairs = blocks.select(*by, "block", *[F.col(c).alias(f"q_{c}") for c in BOX], zero.alias("up_a"), zero.alias("up_b"))
@@ -157,6 +161,7 @@ def nearest(points: DataFrame, targets: DataFrame, label: str | None, by: Sequen
         blocks.schema["row"], StructField("nearest", ArrayType(LongType())), StructField("d2", ArrayType(DoubleType())),
     ]))
     each = found.select(F.explode(F.arrays_zip("row", "nearest", "d2")).alias("_x")).select("_x.row.*", "_x.nearest", "_x.d2")
+    each = lookup(points.filter(known), each, place, spread=True).select(*points.columns, "nearest", "d2")
     unknown = points.filter(~known).withColumns({"nearest": F.lit(None).cast("long"), "d2": F.lit(None).cast("double")})
     return each.unionByName(unknown)
 

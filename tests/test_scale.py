@@ -279,3 +279,15 @@ def test_pruning_writes_no_visits(skewed, monkeypatch):
     monkeypatch.setattr(pruning, "cut_lineage", lambda df: written.append(set(df.columns)) or plain(df))
     pruning.tip_prune(skewed, None, 2.0, 3, 2, 0.3)
     assert written and not any({"streamline_id", "i"} <= columns for columns in written)
+
+
+def test_points_at_one_place_are_searched_for_once(spark, monkeypatch):
+    searched = []
+    plain = nearest.runs
+    monkeypatch.setattr(nearest, "runs", lambda rows, by, payload, size: (payload == "row" and searched.append(rows.count())) or plain(rows, by, payload, size))
+    at = [(n % 2, n, float(n % 3), -0.0 if n % 4 else 0.0, None if n == 999 else 1.0) for n in range(1000)]
+    points = spark.createDataFrame(at, "subject_id int, point_idx int, x double, y double, z double")
+    targets = spark.createDataFrame([(0, 7, 1.0, 0.0, 1.0), (0, 8, 9.0, 0.0, 1.0)], "subject_id int, vertex_id long, x double, y double, z double")
+    found = {r["point_idx"]: (r["nearest"], r["d2"]) for r in nearest.nearest(points, targets, "vertex_id", ["subject_id"]).collect()}
+    assert searched == [6]
+    assert found == {n: (None, None) if s or z is None else (7, (x - 1.0) ** 2) for s, n, x, _, z in at}
