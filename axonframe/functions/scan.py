@@ -14,6 +14,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 CHUNK = 4096
 DEFAULT_SALTS = 8
@@ -65,14 +66,40 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def broadcast_limit(spark: SparkSession) -> int:
+    return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+
+
 def is_broadcastable(df: DataFrame) -> bool:
-    conf = df.sparkSession._jsparkSession.sessionState().conf()
-    return planned_bytes(df) <= int(conf.autoBroadcastJoinThreshold())
+    return planned_bytes(df) <= broadcast_limit(df.sparkSession)
+
+
+def _width(kind: DataType, value: Column) -> Column:
+    """About the bytes of a value in memory."""
+    if isinstance(kind, ArrayType):
+        return F.lit(24) + F.coalesce(F.size(value), F.lit(0)) * _width(kind.elementType, F.get(value, F.lit(0)))
+    if isinstance(kind, StructType):
+        return sum((_width(f.dataType, value[f.name]) for f in kind.fields), F.lit(24))
+    return F.lit(16) + F.coalesce(F.length(value), F.lit(0)) if isinstance(kind, (StringType, BinaryType)) else F.lit(8)
+
+
+def settled(table: DataFrame) -> tuple[DataFrame, bool]:
+    """The table, written if need be, and whether its true size is under Spark's broadcast threshold.
+
+    The planner only guesses the size of a table that joins and aggregates made, mostly far too high, and
+    then moves the rows that are looked up in it.
+    """
+    if is_broadcastable(table):
+        return table, True
+    table = cut_lineage(table)
+    row = sum((_width(f.dataType, F.col(f"`{f.name}`")) for f in table.schema.fields), F.lit(24))
+    size = table.agg(F.sum(row.cast("long")).alias("n")).first()["n"] or 0
+    return table, size <= broadcast_limit(table.sparkSession)
 
 
 def lookup(
     rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner", spread: bool = False,
-    salts: int | None = None,
+    salts: int | None = None, small: bool = False,
 ) -> DataFrame:
     """Equi join of a large row set to a table that is (nearly) unique on ``on``.
 
@@ -80,9 +107,12 @@ def lookup(
     partition of the row side. With ``spread`` (voxel, cell and label keys, where one key
     may hold a third of the rows and the table is far smaller than them) the table is also
     copied ``salts`` times and the rows of a key dealt out over the copies by a hash of the
-    row, stable under task retries.
+    row, stable under task retries. A table known to be ``small`` (a row per subject, or measured by
+    ``settled``) is broadcast, so the rows stay where they are.
     """
     on = list(on)
+    if small:
+        return rows.join(F.broadcast(table), on, how)
     if salts is None:
         salts = DEFAULT_SALTS if spread and not is_broadcastable(table) else 1
     if salts <= 1:
@@ -246,7 +276,7 @@ def order_statistics(
     ranked = running_total(counted, by, ["_value"], F.col("_n"), "_upto")
     if by:
         totals = ranked.groupBy(*by).agg(F.sum("_n").alias("_total"))
-        ranked = lookup(ranked, totals, by)
+        ranked = lookup(ranked, totals, by, small=True)
     else:
         total = ranked.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("t")).first()["t"]
         ranked = ranked.withColumn("_total", F.lit(int(total)).cast("long"))

@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from axonframe.functions.geometry import XYZ, Grid, points_to_voxels
-from axonframe.functions.scan import cut_lineage, lookup, streamline_keys, subject, voxel_keys
-from axonframe.operators.geometry import endpoint_rows, streamline_length
-from axonframe.operators.selection import ids, keep, mean_cloud_distance, touched_voxels
+from axonframe.functions.scan import cut_lineage, lookup, settled, streamline_keys, subject, voxel_keys
+from axonframe.operators.geometry import streamline_length
+from axonframe.operators.selection import ids, keep, mean_cloud_distance
 
 OUTCOMES = (
     "reject_roa", "reject_min_length", "reject_roi", "reject_no_end", "reject_end",
     "reject_hausdorff", "reject_max_length",
 )
 
+#: Masks of a plan that share a long word.
+WORD = 64
+
 
 @dataclass
 class Classified:
@@ -105,9 +109,9 @@ def bundle_classify(
     ]
     judged = judged.withColumn("_first", _first(tests, OUTCOMES))
     judged = judged.select(*keys, "bundle_id", "_first", "_measured", "length_mm", "max_len_mm", "max_hausdorff_mm")
-    judged = cut_lineage(judged)
     far = F.lit(False)
     if references is not None:
+        judged = cut_lineage(judged)
         open_pairs = judged.filter(F.col("_first").isNull() & F.col("_measured")).select(*keys, "bundle_id")
         vertices = lookup(open_pairs, pts.select(*keys, "point_idx", *XYZ), keys)
         far_by = [*subject(pts, references), "bundle_id"]
@@ -136,7 +140,7 @@ def _length_classes(lengths: DataFrame, plan: DataFrame, by: list[str]) -> DataF
     """Adds ``length_class``: which of the plan's length limits lie below, and which are met exactly."""
     cuts = plan.select(*by, F.explode(F.array("min_len_mm", "max_len_mm")).alias("_cut"))
     cuts = cuts.groupBy(*by, F.lit(1).alias("_one")).agg(F.sort_array(F.collect_set("_cut")).alias("_cuts"))
-    placed = lookup(lengths.withColumn("_one", F.lit(1)), cuts, [*by, "_one"], "left")
+    placed = lookup(lengths.withColumn("_one", F.lit(1)), cuts, [*by, "_one"], "left", small=True)
     below = F.size(F.filter("_cuts", lambda c: c < F.col("length_mm"))) + F.size(F.filter("_cuts", lambda c: c <= F.col("length_mm")))
     return placed.withColumn("length_class", F.coalesce(below, F.lit(0))).drop("_one", "_cuts")
 
@@ -158,21 +162,61 @@ def _contacts(pts: DataFrame, rules: DataFrame, masks: DataFrame, grid: Grid) ->
     keys = streamline_keys(pts)
     judging = rules.filter(F.col("role").isin("roa", "roi", "no_end", "end"))
     used = masks.join(judging.select(*subject(masks, rules), "mask_id").distinct(), [*subject(masks, rules), "mask_id"], "left_semi")
-    on = voxel_keys(pts, masks)
-    body = lookup(touched_voxels(pts, grid, "floor"), used, on, spread=True).select(*keys, "mask_id", F.lit(False).alias("at_end"))
-    ends = points_to_voxels(endpoint_rows(pts).filter(F.col("n_points") >= 2), grid, "floor")
-    tips = lookup(ends, used, on, spread=True).select(*keys, "mask_id", F.lit(True).alias("at_end"))
-    contacts = body.unionByName(tips).groupBy(*keys, "mask_id").agg(F.max("at_end").alias("at_end"))
-    met = lookup(contacts, judging, [*subject(pts, rules), "mask_id"], spread=True)
-    role = F.col("role")
-    return met.groupBy(*keys, "bundle_id").agg(
-        F.max(role == "roa").alias("_roa"),
-        F.count_if(role == "roi").alias("_roi"),
-        F.max((role == "no_end") & F.col("at_end")).alias("_no_end"),
-        F.count_if((role == "end") & F.col("at_end")).alias("_end"),
+    on, owner = voxel_keys(pts, masks), subject(pts, masks, rules)
+    # The masks of a plan as bits of a few long words: a streamline's contacts take two words, however many there are.
+    names = judging.groupBy(*owner, F.lit(1).alias("_one")).agg(F.sort_array(F.collect_set("mask_id")).alias("_names"))
+    bits = cut_lineage(names.select(*owner, F.posexplode("_names").alias("_bit", "mask_id")))
+    words = range((bits.agg(F.max("_bit").alias("m")).first()["m"] or 0) // WORD + 1)
+
+    def word(w: int, when: Column | None = None) -> Column:
+        here = F.floor(F.col("_bit") / WORD) == w
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("_bit", F.lit(WORD)).cast("int"))
+        return F.coalesce(F.bit_or(F.when(here if when is None else here & when, one)), F.lit(0).cast("long"))
+
+    seats = points_to_voxels(pts, grid, "floor")
+    seen, few = settled(seats.select(*on).distinct())
+    marked = lookup(lookup(used, seen, on, "left_semi", small=few), bits, [*owner, "mask_id"], spread=True)
+    marked, few = settled(marked.groupBy(*on).agg(*[word(w).alias(f"_w{w}") for w in words]))
+    tops = pts.select(*keys, "point_idx", *XYZ)
+    # Vertices outside the grid meet no mask, and must not meet one another in one task.
+    apart = -1 - F.pmod(F.xxhash64(*keys, "point_idx"), F.lit(1 << 20)).cast("int")
+    tops = points_to_voxels(tops, grid, "floor", keep_outside=True).withColumn("i", F.coalesce("i", apart))
+    tops = tops.withColumns({c: F.coalesce(c, F.lit(-1)) for c in "jk"})
+    rows = lookup(tops, marked, on, "left", spread=True, small=few)
+    none = F.lit(0).cast("long")
+    held = [F.coalesce(f"_w{w}", none) for w in words]
+    found = rows.groupBy(*keys).agg(
+        F.count("*").alias("_n"),
+        *[F.bit_or(v).alias(f"_body{w}") for w, v in zip(words, held)],
+        *[side(v, "point_idx").alias(f"_{name}{w}") for w, v in zip(words, held) for name, side in (("first", F.min_by), ("last", F.max_by))],
+    )
+    found = found.filter(_any([F.col(f"_body{w}") != 0 for w in words]))
+    tips = {f"_tips{w}": F.when(F.col("_n") >= 2, F.col(f"_first{w}").bitwiseOR(F.col(f"_last{w}"))).otherwise(none) for w in words}
+    found = found.withColumns(tips).select(*keys, *[f"{side}{w}" for w in words for side in ("_body", "_tips")])
+    asked = lookup(judging, bits, [*owner, "mask_id"]).groupBy(*subject(pts, rules), "bundle_id").agg(
+        *[word(w, F.col("role") == role).alias(f"_{role}{w}") for w in words for role in ("roa", "roi", "no_end", "end")]
+    )
+    asked, few = settled(asked.withColumn("_one", F.lit(1)))
+    met = lookup(found.withColumn("_one", F.lit(1)), asked, [*subject(pts, rules), "_one"], spread=True, small=few)
+
+    def hits(side: str, role: str) -> list[Column]:
+        return [F.col(f"{side}{w}").bitwiseAND(F.col(f"_{role}{w}")) for w in words]
+
+    met = met.filter(_any([h != 0 for role in ("roa", "roi", "no_end", "end") for h in hits("_body", role)]))
+    return met.select(
+        *keys,
+        "bundle_id",
+        _any([h != 0 for h in hits("_body", "roa")]).alias("_roa"),
+        sum((F.bit_count(h) for h in hits("_body", "roi")), F.lit(0)).alias("_roi"),
+        _any([h != 0 for h in hits("_tips", "no_end")]).alias("_no_end"),
+        sum((F.bit_count(h) for h in hits("_tips", "end")), F.lit(0)).alias("_end"),
     )
 
 
+def _any(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests)
+
+
 def _near_references(pts: DataFrame, plan: DataFrame, references: DataFrame, by: list[str]) -> DataFrame:
     """Pairs that a mean distance within the limit is possible for, of bundles that ask for no mask.
 
@@ -183,12 +227,17 @@ def _near_references(pts: DataFrame, plan: DataFrame, references: DataFrame, by:
     free = plan.filter(F.col("_measured") & (F.col("_want_roi") == 0) & (F.col("_want_end") == 0))
     wide = free.groupBy(*by, F.lit(1).alias("_one")).agg(F.greatest(F.max("max_hausdorff_mm"), F.lit(1e-3)).alias("_wide"))
     cell = [F.floor(F.col(c) / F.col("_wide")).alias(f"_{c}") for c in XYZ]
-    clouds = lookup(references, free.select(*by, "bundle_id"), [*subject(references, free), "bundle_id"]).withColumn("_one", F.lit(1))
-    clouds = lookup(clouds, wide, [*subject(clouds, wide), "_one"]).select(*subject(clouds, wide), "bundle_id", *cell).distinct()
+    free_ones, few = settled(free.select(*by, "bundle_id"))
+    clouds = lookup(references, free_ones, [*subject(references, free), "bundle_id"], small=few).withColumn("_one", F.lit(1))
+    clouds = lookup(clouds, wide, [*subject(clouds, wide), "_one"], small=True).select(*subject(clouds, wide), "bundle_id", *cell).distinct()
     for c in XYZ:
         clouds = clouds.withColumn(f"_{c}", F.explode(F.array(*[F.col(f"_{c}") + n for n in (-1, 0, 1)])))
-    seated = lookup(pts.withColumn("_one", F.lit(1)), wide, [*by, "_one"]).select(*keys, *cell).distinct()
-    return lookup(seated, clouds.distinct(), [*subject(seated, clouds), *[f"_{c}" for c in XYZ]], spread=True).select(*keys, "bundle_id").distinct()
+    seated = lookup(pts.withColumn("_one", F.lit(1)), wide, [*by, "_one"], small=True).select(*keys, *cell)
+    # A cell in one row with the bundles near it, so a vertex is not multiplied before it is known to be new.
+    at = [*subject(seated, clouds), *[f"_{c}" for c in XYZ]]
+    clouds, few = settled(clouds.groupBy(*at).agg(F.collect_set("bundle_id").alias("_near")))
+    met = lookup(seated if few else seated.distinct(), clouds, at, spread=True, small=few)
+    return met.select(*keys, F.explode("_near").alias("bundle_id")).distinct()
 
 
 def keep_accepted(pts: DataFrame, found: Classified, bundle_id: str) -> DataFrame:

@@ -11,6 +11,7 @@ from axonframe.operators import geometry as og
 from axonframe.operators import pruning, sampling
 from axonframe.operators import selection as sel
 from axonframe.operators.fields import visit_density, visits, voxel_density
+from axonframe.plans import classify
 from axonframe.queries import fixtures as fx
 from axonframe.streaming import density
 
@@ -291,3 +292,38 @@ def test_points_at_one_place_are_searched_for_once(spark, monkeypatch):
     found = {r["point_idx"]: (r["nearest"], r["d2"]) for r in nearest.nearest(points, targets, "vertex_id", ["subject_id"]).collect()}
     assert searched == [6]
     assert found == {n: (None, None) if s or z is None else (7, (x - 1.0) ** 2) for s, n, x, _, z in at}
+
+
+def joins(df):
+    """The join operators of the plan before AQE looks at any size."""
+    return [line for line in df._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line]
+
+
+def test_settled_tables_are_broadcast_by_their_true_size(spark):
+    rows = spark.range(1000).select("id", F.pmod("id", F.lit(9)).alias("k"))
+    guessed = rows.join(rows.select("k", F.lit("a").alias("a")).distinct(), "k").groupBy("k").agg(F.collect_set("a").alias("a"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2000")
+        table, small = scan.settled(guessed)
+        assert small and not scan.settled(rows)[1]
+        assert all("BroadcastHashJoin" in j for j in joins(scan.lookup(rows, table, ["k"], small=small)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_contacts_are_bits_of_words(spark):
+    """Plans of more masks than a word has bits; vertices outside the grid; masks nobody touches."""
+    line = [(0, p, p * 1.0 + 0.5, 0.5, 0.5) for p in range(70)] + [(1, 0, 0.5, 0.5, 0.5), (1, 1, -3.0, 0.5, 0.5), (2, 0, 69.5, 0.5, 0.5)]
+    pts = spark.createDataFrame(line, "streamline_id long, point_idx int, x double, y double, z double")
+    masks = spark.createDataFrame([(f"m{n:03}", n, 0, 0) for n in range(80)], "mask_id string, i int, j int, k int")
+    role = [("a", "roi", f"m{n:03}") for n in range(70)] + [("b", "end", "m000"), ("b", "end", "m069"), ("c", "no_end", "m069"), ("c", "roa", "m075"), ("d", "roi", "m075")]
+    plan = spark.createDataFrame(role, "bundle_id string, role string, mask_id string")
+    found = classify._contacts(pts, plan, masks, scaling_grid(100, 10, 10, 1.0))
+    rows = {(r["streamline_id"], r["bundle_id"]): (r["_roa"], r["_roi"], r["_no_end"], r["_end"]) for r in found.collect()}
+    assert rows == {
+        (0, "a"): (False, 70, False, 0), (0, "b"): (False, 0, False, 2), (0, "c"): (False, 0, True, 0),
+        (1, "a"): (False, 1, False, 0), (1, "b"): (False, 0, False, 1), (2, "a"): (False, 1, False, 0), (2, "b"): (False, 0, False, 0), (2, "c"): (False, 0, False, 0),
+    }
+    tall = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or" in tall
