@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from axonframe.functions.bricks import make_bricks
 from axonframe.functions.geometry import XYZ, attach_bounds, unit_or_zero
-from axonframe.functions.scan import lookup, subject
+from axonframe.functions.scan import lookup, settled, subject
 from axonframe.functions.sphere import FULL_DETAIL, bin_count, nearest_bin, neighbour_pairs, opposite_bins, smoothing_kernel
 from axonframe.operators.geometry import raster, segments, tangents
 
@@ -267,12 +267,23 @@ def direction_sample(rows: DataFrame, summary: DataFrame, pts: DataFrame, voxel_
 
     The vector is that of the point's voxel, else the inverse-square weighted mean of the 26 around
     it, else zero; the tensor is that of the point's voxel, else zero. Outside the grid, which
-    ``pts`` defines, both are zero. The summary comes as bricks, so a point takes one lookup.
+    ``pts`` defines, both are zero. A voxel's row brings what its points need, so a point takes one lookup.
     """
     size = voxel_size(voxel_mm)
     names = [f"v{c}" for c in XYZ] + list(TENSOR)
     cell = F.struct(*[F.col(c).cast("double").alias(c) for c in names])
-    bricks = make_bricks(summary, cell, subject(rows, summary), low=1, high=1)
+    # A row per voxel: its own cell or, of one that has none, the neighbours that count with their offsets.
+    by = subject(rows, summary)
+    at = [*by, "_i", "_j", "_k"]
+    cells = summary.groupBy(*by, "i", "j", "k").agg(F.max(cell).alias("_c"))
+    offset = F.explode(F.array(*[F.struct(*[F.lit(d).alias(f"_d{c}") for d, c in zip(o, "ijk")]) for o in product((-1, 0, 1), repeat=3)]))
+    seen = cells.withColumn("_o", offset).select(*by, "_c", "_o.*", *[(F.col(c) - F.col(f"_o._d{c}")).alias(f"_{c}") for c in "ijk"])
+    here = (F.col("_di") == 0) & (F.col("_dj") == 0) & (F.col("_dk") == 0)
+    v = [F.col(f"_c.v{c}") for c in XYZ]
+    near = F.struct("_di", "_dj", "_dk", *[x.alias(f"v{c}") for c, x in zip(XYZ, v)])
+    counts = ~here & F.coalesce(v[0] * v[0] + v[1] * v[1] + v[2] * v[2] > 1e-10, F.lit(False))
+    seen = seen.groupBy(*at).agg(F.max(F.when(here, F.col("_c"))).alias("_own"), F.sort_array(F.collect_list(F.when(counts, near))).alias("_near"))
+    seen, small = settled(seen.withColumn("_near", F.when(F.col("_own").isNull(), F.col("_near"))))
     placed = attach_bounds(rows, pts)
     raw = [(F.col(c) - F.col(f"min_{c}")) / F.lit(size) + 1 for c in XYZ]
     dims = [F.greatest(F.ceil((F.col(f"max_{c}") - F.col(f"min_{c}")) / F.lit(size) + 2), F.lit(1)) for c in XYZ]
@@ -280,22 +291,18 @@ def direction_sample(rows: DataFrame, summary: DataFrame, pts: DataFrame, voxel_
     for v, n in zip(raw, dims):
         inside_grid = inside_grid & (v >= 0) & (F.floor(v) < n)
     placed = placed.withColumns({f"_r{c}": v for c, v in zip(XYZ, raw)} | {"_inside": F.coalesce(inside_grid, F.lit(False))})
-    placed = bricks.beside(placed, [F.floor(f"_r{c}").cast("int") for c in XYZ]).withColumn("_own", bricks.cell(0, 0, 0))
+    placed = placed.withColumns({f"_{n}": F.floor(f"_r{c}").cast("int") for n, c in zip("ijk", XYZ)})
+    placed = lookup(placed, seen, at, "left", spread=True, small=small)
     # Distance in voxels to the centre of the voxel at an offset, back to mm.
     part = [F.col(f"_r{c}") - F.floor(f"_r{c}") for c in XYZ]
     zero = F.struct(*[F.lit(0.0).alias(f"v{c}") for c in XYZ], F.lit(0.0).alias("w"))
 
     def add(acc: Column, n: Column) -> Column:
-        step = [F.floor(n / 9).cast("int") - 1, F.pmod(F.floor(n / 3), F.lit(3)).cast("int") - 1, F.pmod(n, F.lit(3)) - 1]
-        gap = [(d + F.lit(0.5) - p) * F.lit(size) for d, p in zip(step, part)]
-        at = bricks.cell(*step)
-        v = [at[f"v{c}"] for c in XYZ]
-        counts = F.coalesce(v[0] * v[0] + v[1] * v[1] + v[2] * v[2] > 1e-10, F.lit(False))
+        gap = [(n[f"_d{d}"] + F.lit(0.5) - p) * F.lit(size) for d, p in zip("ijk", part)]
         w = F.lit(1.0) / F.greatest(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2], F.lit(1e-4))
-        more = F.struct(*[(acc[f"v{c}"] + x * w).alias(f"v{c}") for c, x in zip(XYZ, v)], (acc["w"] + w).alias("w"))
-        return F.when(counts, more).otherwise(acc)
+        return F.struct(*[(acc[f"v{c}"] + n[f"v{c}"] * w).alias(f"v{c}") for c in XYZ], (acc["w"] + w).alias("w"))
 
-    around = F.when(F.col("_inside") & F.col("_own").isNull(), F.aggregate(F.sequence(F.lit(0), F.lit(26)), zero, add))
+    around = F.when(F.col("_inside") & F.col("_own").isNull() & (F.size("_near") > 0), F.aggregate("_near", zero, add))
     placed = placed.withColumn("_around", around)
     mean = {f"v{c}": F.when(F.col("_around.w") > 0, F.col(f"_around.v{c}") / F.col("_around.w")) for c in XYZ}
     own = {c: F.when(F.col("_inside"), F.col("_own")[c]) for c in names}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from axonframe.functions import graph, nearest, scan
 from axonframe.functions.geometry import scaling_grid
 from axonframe.operators import geometry as og
-from axonframe.operators import pruning, sampling
+from axonframe.operators import fields, pruning, sampling
 from axonframe.operators import selection as sel
 from axonframe.operators.fields import visit_density, visits, voxel_density
 from axonframe.plans import classify
@@ -327,3 +327,15 @@ def test_contacts_are_bits_of_words(spark):
     }
     tall = found._jdf.queryExecution().optimizedPlan().toString()
     assert "bit_or" in tall
+
+
+def test_points_beside_the_summary_take_its_neighbours(spark):
+    """A voxel without a vector brings its neighbours' in its own row."""
+    pts = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0), (0, 1, 8.0, 8.0, 8.0)], "streamline_id long, point_idx int, x double, y double, z double")
+    zeros = [0.0] * 6
+    summary = spark.createDataFrame([(1, 1, 1, 1.0, 0.0, 0.0, *zeros), (3, 1, 1, 0.0, 1.0, 0.0, *zeros)], "i int, j int, k int, vx double, vy double, vz double, xx double, xy double, xz double, yy double, yz double, zz double")
+    at = spark.createDataFrame([(0, 2.0, 2.0, 2.0), (1, 6.0, 2.0, 2.0), (2, 6.0, 6.0, 7.0), (3, 99.0, 2.0, 2.0)], "n int, x double, y double, z double")
+    out = fields.direction_sample(at, summary, pts, 4.0)
+    assert "_cells" not in out._jdf.queryExecution().optimizedPlan().toString()
+    found = {r["n"]: (round(r["vx"], 6), round(r["vy"], 6)) for r in out.collect()}
+    assert found == {0: (1.0, 0.0), 1: (0.5, 0.5), 2: (0.5, 0.5), 3: (0.0, 0.0)}
