@@ -225,7 +225,7 @@ def attach_bounds(rows: DataFrame, pts: DataFrame) -> DataFrame:
     by = ["subject_id"] if "subject_id" in pts.columns and "subject_id" in rows.columns else []
     box = bounds(pts, by)
     if by:
-        return rows.join(box, by)
+        return rows.join(F.broadcast(box), by)
     values = box.first()
     return rows.withColumns(
         {f"{e}_{c}": F.lit(values[f"{e}_{c}"]).cast("double") for e in ("min", "max") for c in XYZ}

@@ -82,7 +82,7 @@ def color_by_scalar(
     if value_range is None:
         by = subject(rows, source)
         span = robust_range(source, column, by=by).withColumn("_one", F.lit(1))
-        rows = lookup(rows.withColumn("_one", F.lit(1)), span.withColumnsRenamed({"lo": "_lo", "hi": "_hi"}), [*by, "_one"], "left")
+        rows = lookup(rows.withColumn("_one", F.lit(1)), span.withColumnsRenamed({"lo": "_lo", "hi": "_hi"}), [*by, "_one"], "left", small=True)
         lo, hi = F.coalesce("_lo", F.lit(0.0)), F.coalesce("_hi", F.lit(1.0))
     else:
         lo, hi = (F.lit(float(v)) for v in value_range)

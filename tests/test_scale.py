@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from axonframe.functions import graph, nearest, scan
 from axonframe.functions.geometry import scaling_grid
 from axonframe.operators import geometry as og
-from axonframe.operators import fields, pruning, sampling
+from axonframe.operators import coloring, fields, pruning, sampling
 from axonframe.operators import selection as sel
 from axonframe.operators.fields import visit_density, visits, voxel_density
 from axonframe.plans import classify
@@ -339,3 +339,10 @@ def test_points_beside_the_summary_take_its_neighbours(spark):
     assert "_cells" not in out._jdf.queryExecution().optimizedPlan().toString()
     found = {r["n"]: (round(r["vx"], 6), round(r["vy"], 6)) for r in out.collect()}
     assert found == {0: (1.0, 0.0), 1: (0.5, 0.5), 2: (0.5, 0.5), 3: (0.0, 0.0)}
+
+
+def test_a_subjects_range_is_broadcast(spark, skewed):
+    """Rows of a subject are not gathered to meet the one row of their range."""
+    rows = skewed.withColumn("subject_id", F.pmod("streamline_id", F.lit(2)))
+    found = coloring.color_by_scalar(rows, "x")
+    assert joins(found) and "SortMergeJoin" not in "".join(joins(found))
