@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axonframe.functions.geometry import Grid, min_voxel_size
-from axonframe.functions.scan import subject
+from axonframe.functions.scan import cut_lineage, subject
 from axonframe.operators.geometry import length_extents, voxelize_streamlines
 from axonframe.operators.orientation import primary_peak_volume
 from axonframe.operators.selection import subsample_points
@@ -51,7 +51,8 @@ def prepare_reference_plan(
     # The operators below keep subjects apart; here a subject's bundles are kept apart the same way.
     owned = rows.withColumn("subject_id", F.struct(*on)).drop("bundle_id")
     back = [F.col(f"subject_id.{c}").alias(c) for c in on]
-    coverage = voxelize_streamlines(owned, grid)
+    # The masks below all start from it; the walk along the segments is taken once.
+    coverage = cut_lineage(voxelize_streamlines(owned, grid))
     size = max(min_voxel_size(grid.affine), 1e-6)
     near = min(max(seed_tolerance_mm, 0.0), tolerance_mm)
     limiting = mask_dilate(coverage, grid, max(tolerance_mm / size, 0.0))
@@ -71,6 +72,7 @@ def prepare_reference_plan(
     for name, mask in named.items():
         part = mask.select(*on, F.concat(F.col("bundle_id"), F.lit(f"_{name}")).alias("mask_id"), F.lit(name).alias("role"), "i", "j", "k")
         masks = part if masks is None else masks.unionByName(part)
+    masks = cut_lineage(masks)
     tol = max(tolerance_mm, 0.0)
     # The extents are of the positive lengths; a bundle without any has no limits.
     bundles = owned.select("subject_id").distinct().join(length_extents(owned), "subject_id", "left")

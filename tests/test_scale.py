@@ -11,7 +11,7 @@ from axonframe.operators import geometry as og
 from axonframe.operators import coloring, fields, pruning, sampling
 from axonframe.operators import selection as sel
 from axonframe.operators.fields import visit_density, visits, voxel_density
-from axonframe.plans import classify
+from axonframe.plans import classify, reference
 from axonframe.queries import fixtures as fx
 from axonframe.streaming import density
 
@@ -346,3 +346,13 @@ def test_a_subjects_range_is_broadcast(spark, skewed):
     rows = skewed.withColumn("subject_id", F.pmod("streamline_id", F.lit(2)))
     found = coloring.color_by_scalar(rows, "x")
     assert joins(found) and "SortMergeJoin" not in "".join(joins(found))
+
+
+def test_a_reference_is_walked_once(spark, skewed, monkeypatch):
+    written = []
+    plain = reference.cut_lineage
+    monkeypatch.setattr(reference, "cut_lineage", lambda df: written.append(set(df.columns)) or plain(df))
+    odx = spark.createDataFrame([(0, 1, 1, 1)], "voxel_id long, i int, j int, k int")
+    peaks = spark.createDataFrame([(0, 0, 1.0)], "voxel_id long, fixel_idx int, amplitude double")
+    reference.prepare_reference_plan(skewed, peaks, odx, scaling_grid(10, 10, 10, 5.0), "amplitude", 0.3)
+    assert {"subject_id", "i", "j", "k"} in written
