@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from axonframe.functions.geometry import XYZ, Grid, bounds, inside, norm, unit_or_zero, world_to_voxel
-from axonframe.functions.scan import lookup, running_sum, streamline_keys, subject, with_neighbours
+from axonframe.functions.scan import cut_lineage, lookup, running_sum, streamline_keys, subject, with_neighbours
 
 SAME_POINT_MM = 1e-4
 
@@ -134,6 +134,8 @@ def dedup_consecutive(pts: DataFrame, tolerance: float = SAME_POINT_MM) -> DataF
     near = running_sum(near.withColumn("_restart", restart), keys, F.col("_restart").cast("long"), "_run")
     near = near.filter(F.col("_d2").isNull() | (F.col("_d2") > 0))
     run = keys + ["_run"]
+    # Written once: it is read three times, and no task holds its scans and the joins below together.
+    near = cut_lineage(near.select(*run, "point_idx", *XYZ, "_restart"))
     creeping = near.filter(~F.col("_restart")).select(*run).distinct()
     crept = near.join(creeping, run, "left_semi").select(*run, "point_idx", *XYZ)
     fields = [crept.schema[c] for c in (*keys, "point_idx")]

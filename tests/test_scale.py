@@ -356,3 +356,14 @@ def test_a_reference_is_walked_once(spark, skewed, monkeypatch):
     peaks = spark.createDataFrame([(0, 0, 1.0)], "voxel_id long, fixel_idx int, amplitude double")
     reference.prepare_reference_plan(skewed, peaks, odx, scaling_grid(10, 10, 10, 5.0), "amplitude", 0.3)
     assert {"subject_id", "i", "j", "k"} in written
+
+
+def test_dedup_writes_its_scan_once(spark, monkeypatch):
+    """The scans and the joins after them share no task, and only what the joins need is written."""
+    written = []
+    plain = og.cut_lineage
+    monkeypatch.setattr(og, "cut_lineage", lambda df: written.append(df.columns) or plain(df))
+    at = [(0, p, p * 3e-5, 0.0, 0.0, "x") for p in range(9)]
+    pts = spark.createDataFrame(at, "streamline_id long, point_idx int, x double, y double, z double, more string")
+    assert sorted(r["point_idx"] for r in og.dedup_consecutive(pts).collect()) == [0, 4, 8]
+    assert written == [["streamline_id", "_run", "point_idx", "x", "y", "z", "_restart"]]
