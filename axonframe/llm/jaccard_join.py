@@ -76,6 +76,35 @@ def node_of(values: np.ndarray) -> int:
 BLOCKS = "bucket int, shingles binary, nodes binary, needs binary, often binary"
 
 
+#: Needs travel in two bytes; a smaller need is a longer prefix, never a lost link.
+NEED_MOST = (1 << 16) - 1
+
+
+def shortened(values: np.ndarray, need: int) -> tuple[np.ndarray, int]:
+    """Shingles as four bytes, for use inside their bucket, and the need that still holds.
+
+    Shingles of one bucket that agree in these bytes count as one: that may only add meetings. Those
+    of one set that do are as many fewer that a linked set surely shares, but at least one.
+    """
+    short = values.astype(np.uint32)
+    in_order = np.sort(short)
+    lost = int((in_order[1:] == in_order[:-1]).sum())
+    return short, min(max(need - lost, 1), NEED_MOST)
+
+
+def widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of short shingles as blocks of whole numbers: the bucket, then the four bytes."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            shingle = np.uint64(row["bucket"] << 32) | np.frombuffer(row["shingles"], "<u4").astype(np.uint64)
+            yield pa.RecordBatch.from_pydict({
+                "bucket": pa.array([row["bucket"]], pa.int32()),
+                "shingles": pa.array([shingle.tobytes()]),
+                "nodes": pa.array([row["nodes"]]),
+                "needs": pa.array([np.frombuffer(row["needs"], "<u2").astype(np.int32).tobytes()]),
+            })
+
+
 def dealt(bucket: np.ndarray, rows: dict[str, np.ndarray]) -> pa.RecordBatch:
     """One row a bucket: the rows of each, in the order they have."""
     order = np.argsort(bucket, kind="stable")
@@ -193,13 +222,14 @@ def meetings(docs: DataFrame, p: JoinParams, shingles: int) -> DataFrame:
     All shingles, ``shingles`` in number, cross one exchange to be counted; those of one set alone end
     there. The others go back to their sets, which put them in order, and their first ones meet. Both
     times they travel in blocks, a row for each bucket of a batch, and buckets are of bounded size.
+    To be counted a shingle takes 14 bytes: four of its own, eight of its set and two of the need.
     """
     buckets = max(1, -(-shingles // p.bucket))
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            sets, nodes = [np.zeros(0, np.uint64)], []
+            sets, shorts, nodes, needs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [], []
             for values in shingle_sets(batch["text"].to_pylist(), p.words):
                 # Below this size linked sets are equal.
                 if p.percent * (len(values) + 1) > 100 * len(values):
@@ -210,16 +240,20 @@ def meetings(docs: DataFrame, p: JoinParams, shingles: int) -> DataFrame:
                 if len(seen) > 1 << 20:
                     seen.clear()
                 seen.add(node)
+                short, need = shortened(values, -(-p.percent * len(values) // 100))
                 sets.append(values)
+                shorts.append(short)
                 nodes.append(node)
+                needs.append(need)
             many = np.array([len(v) for v in sets[1:]], np.int64)
             shingle = np.concatenate(sets)
-            rows = {"shingles": shingle, "nodes": np.repeat(np.array(nodes, np.int64), many), "needs": np.repeat(-(-p.percent * many // 100), many).astype(np.int32)}
+            each = {"nodes": np.array(nodes, np.int64), "needs": np.array(needs, np.uint16)}
+            rows = {"shingles": np.concatenate(shorts), **{k: np.repeat(v, many) for k, v in each.items()}}
             yield dealt(((shingle >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), rows)
 
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(exploded, BLOCKS)
     counted = rows.repartition("bucket").sortWithinPartitions("bucket")
-    shared = counted.mapInArrow(lambda batches: owned(batches, p.often, buckets, 2 * p.bucket), BLOCKS)
+    shared = counted.mapInArrow(lambda batches: owned(widened(batches), p.often, buckets, 2 * p.bucket), BLOCKS)
     first = shared.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(prefixes, "shingle long, node long")
     return first.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(stars, "a long, b long")
 

@@ -133,6 +133,28 @@ def test_shingles_of_several_sets_in_any_blocks(most, full):
         assert all(o == {min(len(set(node[shingle == np.uint64(s)])), most)} for s, of in got.items() for o in of.values())
 
 
+def test_counted_shingles_are_short(docs, crowd):
+    """A shingle crosses the first exchange in 14 bytes, and sets whose short forms collide still meet."""
+    values = np.array([1, 2, (5 << 32) + 2, (6 << 32) + 2, (7 << 32) + 9], np.uint64)
+    short, need = jj.shortened(values, 4)
+    assert short.itemsize == 4 and need == 2 and jj.shortened(values[1:4], 1)[1] == 1
+    assert jj.shortened(np.arange(9, dtype=np.uint64), 1 << 20)[1] == jj.NEED_MOST
+    rows = {"shingles": short, "nodes": np.full(5, 3), "needs": np.full(5, need, np.uint16)}
+    block = jj.dealt(np.array([0, 2, 2, 2, 1]), rows)
+    assert sum(len(b) for c in ("shingles", "nodes", "needs", "often") for b in block[c].to_pylist()) == 5 * 14
+    wide = [r for b in jj.widened(iter([block])) for r in b.to_pylist()]
+    assert [np.frombuffer(r["shingles"], "<u8").tolist() for r in wide] == [[1], [(1 << 32) + 9], [(2 << 32) + 2] * 3]
+    assert all(set(np.frombuffer(r["needs"], "<i4")) == {2} for r in wide)
+    # Hashes of eight low bits: most sets of the crowd hold colliding shingles.
+    plain = jj.shortened
+    jj.shortened = lambda v, need: plain(v & np.uint64(255), need)
+    try:
+        got = sorted(tuple(r) for r in jj.jaccard_components(docs(crowd), TIGHT).collect())
+    finally:
+        jj.shortened = plain
+    assert got == plain_components(crowd, TIGHT)
+
+
 def test_regions_go_through_cells(crowd):
     """Voronoi cells with windows are formed, and cells are searched in place of whole regions."""
     sets = [s for s in jj.shingle_sets([t for _, t in crowd], TIGHT.words) if len(s)]
