@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from axonframe.functions.color import map_colors, window_level
 from axonframe.functions.geometry import XYZ, norm
-from axonframe.functions.scan import is_finite, lookup, subject
+from axonframe.functions.scan import is_finite, lookup, settled, subject
 from axonframe.operators.volumes import finite_minmax
 
 METRIC_ORDER = ("amplitude", "afd", "qa")
@@ -31,20 +31,24 @@ def best_fixel(dirs: DataFrame, fixels: DataFrame, cos_max: float, key: Sequence
     """Per direction, the fixel of its voxel best aligned inside the cone, flipped to the
     direction's half-space; the lowest fixel number wins a tie.
 
-    ``dirs``: key columns, voxel_id, dx, dy, dz (unit).
+    ``dirs``: key columns (a row per key), voxel_id, dx, dy, dz (unit). A voxel's fixels are one row, and the
+    choice is made in the direction's own row: pairs are never rows, so nothing is sorted or grouped.
     """
     on = subject(dirs, fixels) + ["voxel_id"]
     length = norm(F.col("dx"), F.col("dy"), F.col("dz"))
-    peaks = fixels.filter(length * length >= 1e-8).select(
-        *on, "fixel_idx", *[(F.col(f"d{c}") / length).alias(f"p{c}") for c in XYZ], F.col(amplitude).alias("amplitude")
-    )
-    pairs = dirs.select(*dict.fromkeys([*key, *on]), "dx", "dy", "dz").join(peaks, on)
-    dot = F.col("px") * F.col("dx") + F.col("py") * F.col("dy") + F.col("pz") * F.col("dz")
-    pairs = pairs.withColumn("_dot", dot).filter(F.abs("_dot") >= cos_max)
+    peak = F.struct("fixel_idx", *[(F.col(f"d{c}") / length).alias(c) for c in XYZ], F.col(amplitude).alias("amplitude"))
+    peaks = fixels.filter(length * length >= 1e-8).groupBy(*on).agg(F.sort_array(F.collect_list(peak)).alias("_p"))
+    peaks, small = settled(peaks)
+    rows = lookup(dirs.select(*dict.fromkeys([*key, *on]), "dx", "dy", "dz"), peaks, on, spread=True, small=small)
+    rows = rows.withColumn("_dots", F.transform("_p", lambda p: p["x"] * F.col("dx") + p["y"] * F.col("dy") + p["z"] * F.col("dz")))
+    rows = rows.withColumn("_top", F.greatest(F.array_max("_dots"), -F.array_min("_dots")))
+    # Fixels are in the order of their numbers, so the first of equal ones is the lowest.
+    first = F.least(*[F.nullif(F.array_position("_dots", v), F.lit(0)) for v in (F.col("_top"), -F.col("_top"))]).cast("int") - 1
+    # Chosen in a generator: a filter would be pushed below and the products made twice.
+    chosen = F.array(F.struct("_top", F.get("_dots", first).alias("_dot"), F.get("_p", first).alias("_b")))
+    rows = rows.select(*key, F.inline_outer(chosen)).filter(F.col("_top") >= cos_max)
     sign = F.when(F.col("_dot") >= 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-    choice = F.struct("fixel_idx", *[(F.col(f"p{c}") * sign).alias(c) for c in XYZ], "amplitude")
-    best = pairs.groupBy(*key).agg(F.max_by(choice, F.struct(F.abs("_dot"), -F.col("fixel_idx"))).alias("_b"))
-    return best.select(*key, "_b.*")
+    return rows.select(*key, "_b.fixel_idx", *[(F.col("_b")[c] * sign).alias(c) for c in XYZ], "_b.amplitude")
 
 
 def primary_peak_volume(fixels: DataFrame, voxels: DataFrame, metric: str) -> DataFrame:

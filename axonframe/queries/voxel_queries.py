@@ -509,7 +509,7 @@ def best_fixel(spark, sf):
     segs = segments(fx.points(spark, sf)).filter("length > 0")
     at = segs.select("streamline_id", "segment_idx", *[F.col(f"m{c}").alias(c) for c in "xyz"], *[F.col(f"u{c}").alias(f"d{c}") for c in "xyz"])
     placed = geo.points_to_voxels(at, geo.scaling_grid(10, 10, 1_000_000, 5.0), "round")
-    dirs = placed.join(fx.odx_voxels(spark, sf).select("voxel_id", "i", "j", "k"), ["i", "j", "k"])
+    dirs = placed.join(fx.odx_voxels(spark, sf).select("voxel_id", "i", "j", "k").distinct(), ["i", "j", "k"])
     out = orientation.best_fixel(dirs, fx.fixels(spark, sf), 0.8, ["streamline_id", "segment_idx"])
     return out.select("streamline_id", "segment_idx", "fixel_idx", r(F.col("x")).alias("x"), r(F.col("amplitude")).alias("amplitude"))
 

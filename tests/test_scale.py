@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from axonframe.functions import graph, nearest, scan
 from axonframe.functions.geometry import scaling_grid
 from axonframe.operators import geometry as og
-from axonframe.operators import coloring, fields, pruning, sampling
+from axonframe.operators import coloring, fields, orientation, pruning, sampling
 from axonframe.operators import selection as sel
 from axonframe.operators.fields import visit_density, visits, voxel_density
 from axonframe.plans import classify, reference
@@ -367,3 +367,29 @@ def test_dedup_writes_its_scan_once(spark, monkeypatch):
     pts = spark.createDataFrame(at, "streamline_id long, point_idx int, x double, y double, z double, more string")
     assert sorted(r["point_idx"] for r in og.dedup_consecutive(pts).collect()) == [0, 4, 8]
     assert written == [["streamline_id", "_run", "point_idx", "x", "y", "z", "_restart"]]
+
+
+def test_best_fixel_makes_no_rows_of_pairs(spark):
+    """A direction meets its voxel's fixels in its own row: nothing is grouped or sorted per direction."""
+    rng = np.random.default_rng(4)
+    unit = lambda n: (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(rng.normal(size=(n, 3)))
+    peaks, ways = unit(60), unit(400)
+    peaks[7], peaks[8] = -peaks[5], [0, 0, 0]
+    ways[0] = peaks[5]
+    fixels = spark.createDataFrame(
+        [(n % 3, n, *map(float, 2 * p), float(n)) for n, p in enumerate(peaks)], "voxel_id long, fixel_idx int, dx double, dy double, dz double, amplitude double"
+    )
+    rows = [(n, 2 if n == 0 else n % 4, *map(float, w)) for n, w in enumerate(ways)]
+    dirs = spark.createDataFrame(rows, "line long, voxel_id long, dx double, dy double, dz double")
+    out = orientation.best_fixel(dirs, fixels, 0.8, ["line"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Aggregate [" in x and "line#" in x]
+    want = {}
+    for line, voxel, *w in rows:
+        dots = {n: float(p @ w) for n, p in enumerate(peaks) if n % 3 == voxel and n != 8}
+        near = [(round(abs(d), 12), -n) for n, d in dots.items() if abs(d) >= 0.8]
+        if near:
+            n = -max(near)[1]
+            want[line] = (n, *np.round(peaks[n] * (1 if dots[n] >= 0 else -1), 9))
+    got = {r["line"]: (r["fixel_idx"], round(r["x"], 9), round(r["y"], 9), round(r["z"], 9)) for r in out.collect()}
+    assert got == want and got[0][0] == 5 and len(got) < len(rows)
