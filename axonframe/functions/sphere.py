@@ -12,7 +12,9 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 FULL_DETAIL = 3  # 10 * 4**3 + 2 = 642 bins
-BATCH = 512
+BATCH = 4096
+#: Each face of the cube has so many cells a side, in which few bins can be nearest.
+CELLS = 48
 
 
 @lru_cache(maxsize=None)
@@ -79,26 +81,77 @@ def sphere_neighbours(spark: SparkSession, detail: int = FULL_DETAIL) -> DataFra
     return spark.createDataFrame(pd.DataFrame(neighbour_pairs(detail), columns=["bin", "neighbour"], dtype="int32"))
 
 
+def _cells(v: np.ndarray) -> np.ndarray:
+    """Number of the cell of each direction: a face of the cube around the sphere, cut into CELLS x CELLS."""
+    rows = np.arange(len(v))
+    axis = np.argmax(np.abs(v), axis=1)
+    major = v[rows, axis]
+    u, w = v[rows, (axis + 1) % 3] / np.abs(major), v[rows, (axis + 2) % 3] / np.abs(major)
+    a, b = (np.clip(((c + 1.0) * (CELLS / 2)).astype("int64"), 0, CELLS - 1) for c in (u, w))
+    return ((axis * 2 + (major < 0)) * CELLS + a) * CELLS + b
+
+
+@lru_cache(maxsize=None)
+def cell_bins(detail: int = FULL_DETAIL) -> np.ndarray:
+    """The bins that can be nearest to a direction of each cell, ascending; the first one fills the row.
+
+    With r the angle from a cell's centre to its farthest corner, a bin that is nearest anywhere in the
+    cell is at most 2 r farther from the centre than the centre's own nearest bin.
+    """
+    directions, _ = icosphere(detail)
+    side = np.linspace(-1.0, 1.0, CELLS + 1)
+    middle = (side[1:] + side[:-1]) / 2
+    found = []
+    for face in range(6):
+        axis, sign = face // 2, 1.0 - 2.0 * (face % 2)
+
+        def unit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            v = np.empty((a.size, 3))
+            v[:, axis], v[:, (axis + 1) % 3], v[:, (axis + 2) % 3] = sign, a.ravel(), b.ravel()
+            return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+        centre = unit(*np.meshgrid(middle, middle, indexing="ij"))
+        corners = [unit(*np.meshgrid(x, y, indexing="ij")) for x in (side[1:], side[:-1]) for y in (side[1:], side[:-1])]
+        reach = np.arccos(np.clip(np.min([(centre * c).sum(1) for c in corners], axis=0), -1.0, 1.0))
+        angle = np.arccos(np.clip(centre @ directions.T, -1.0, 1.0))
+        found += [np.flatnonzero(near) for near in angle <= (angle.min(1) + 2 * reach + 1e-6)[:, None]]
+    out = np.repeat([[f[0]] for f in found], max(map(len, found)), axis=1).astype("int16" if len(directions) < 1 << 15 else "int32")
+    for row, f in zip(out, found):
+        row[: len(f)] = f
+    return out
+
+
+def pick_bins(v: np.ndarray, directions: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """``argmax(v @ directions.T, axis=1)``, the first of equal ones, of the bins that each cell may have."""
+    out = np.zeros(len(v), dtype="int32")
+    size = np.abs(v).max(axis=1) if len(v) else np.zeros(0)
+    # Zero and NaN have equal products with all bins: the first one.
+    plain = (size > 1e-100) & (size < 1e100)
+    for lo in range(0, len(v), BATCH):
+        at = np.flatnonzero(plain[lo : lo + BATCH]) + lo
+        if len(at):
+            p = v[at]
+            near = cells[_cells(p)]
+            dots = p[:, 0:1] * directions[:, 0][near] + p[:, 1:2] * directions[:, 1][near] + p[:, 2:3] * directions[:, 2][near]
+            out[at] = near[np.arange(len(at)), np.argmax(dots, axis=1)]
+    for n in np.flatnonzero(~plain & ~np.isnan(v).any(axis=1) & (size > 0)):
+        out[n] = np.argmax(v[n, 0] * directions[:, 0] + v[n, 1] * directions[:, 1] + v[n, 2] * directions[:, 2])
+    return out
+
+
 def opposite_bins(dx: Column, dy: Column, dz: Column, detail: int = FULL_DETAIL) -> Column:
     """Struct (bin, opposite): the bins with the largest dot product with the direction and
     with its negative; the first one wins a tie.
 
-    Arrow batches against a fixed matrix: no row is multiplied by the bin count.
+    Arrow batches against the few bins of a direction's cell: no row is multiplied by the bin count.
     """
-    directions, _ = icosphere(detail)
-    bx, by, bz = (np.ascontiguousarray(directions[:, a]) for a in range(3))
+    directions, cells = np.asfortranarray(icosphere(detail)[0]), cell_bins(detail)
     result = StructType([StructField(n, IntegerType()) for n in ("bin", "opposite")])
 
     @pandas_udf(result)
     def pick(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.DataFrame:
-        px, py, pz = (s.to_numpy(dtype="float64")[:, None] for s in (x, y, z))
-        out = np.empty((len(px), 2), dtype="int32")
-        for lo in range(0, len(px), BATCH):
-            cut = slice(lo, lo + BATCH)
-            dots = px[cut] * bx + py[cut] * by + pz[cut] * bz
-            out[cut, 0] = np.argmax(dots, axis=1)
-            out[cut, 1] = np.argmin(dots, axis=1)
-        return pd.DataFrame(out, columns=["bin", "opposite"])
+        v = np.stack([s.to_numpy(dtype="float64") for s in (x, y, z)], axis=1)
+        return pd.DataFrame({"bin": pick_bins(v, directions, cells), "opposite": pick_bins(-v, directions, cells)})
 
     return pick(dx, dy, dz)
 

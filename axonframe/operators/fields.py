@@ -99,6 +99,19 @@ def _entered(pts: DataFrame, voxel_mm: float) -> DataFrame:
 # --- direction fields ---------------------------------------------------------------
 
 
+def binned_segments(pts: DataFrame, voxel_mm: float, detail: int = FULL_DETAIL, field_pts: DataFrame | None = None) -> DataFrame:
+    """Segments with the voxel of their midpoint, their length ``w`` and their bins ``bin`` and ``opposite``.
+
+    The grid is that of ``field_pts`` (default: the same points). A field and the scores against it
+    can take these rows as ``binned``, so the points are walked once if they are written.
+    """
+    placed = place(segments(pts), pts if field_pts is None else field_pts, voxel_size(voxel_mm), 1, [f"m{c}" for c in XYZ])
+    bins = opposite_bins(*[F.col(f"u{c}") for c in XYZ], detail)
+    columns = [*subject(pts), "streamline_id", "segment_idx", "i", "j", "k", F.col("length").alias("w")]
+    rows = placed.select(*columns, bins.alias("_bins"))
+    return rows.select("*", "_bins.*").drop("_bins")
+
+
 def _oriented(pts: DataFrame, voxel_mm: float, mode: str, detail: int | None) -> DataFrame:
     """One row per (segment, voxel) contribution: direction, weight and (given a detail) bins."""
     size = voxel_size(voxel_mm)
@@ -156,14 +169,20 @@ def _with_exit(rows: DataFrame, origin: list[Column], size: float, start: str, s
     return rows.withColumn(f"_exit{start}", found)
 
 
-def direction_field(pts: DataFrame, voxel_mm: float, mode: str = "tangent", detail: int = FULL_DETAIL) -> DataFrame:
+def direction_field(
+    pts: DataFrame, voxel_mm: float, mode: str = "tangent", detail: int = FULL_DETAIL, binned: DataFrame | None = None
+) -> DataFrame:
     """Voxel x sphere-bin histogram in long form (raw weights).
 
-    ``tangent``: segment length to the bins of both directions at the midpoint's voxel.
+    ``tangent``: segment length to the bins of both directions at the midpoint's voxel; ``binned``:
+    the points' ``binned_segments``, where they are there already.
     ``crossings``: one vote in the left and in the entered voxel per face crossing.
     """
     by = subject(pts)
-    rows = _oriented(pts, voxel_mm, mode, detail)
+    if binned is not None and mode == "tangent":
+        rows = binned.filter(F.col("w") >= 1e-6)
+    else:
+        rows = _oriented(pts, voxel_mm, mode, detail)
     if mode == "tangent":
         bins = F.array_distinct(F.array("bin", "opposite"))
         rows = rows.select(*by, "i", "j", "k", F.explode(bins).alias("bin"), "w")

@@ -13,8 +13,8 @@ from pyspark.sql.types import StructField, StructType
 
 from axonframe.functions.geometry import XYZ
 from axonframe.functions.scan import CHUNK, cut_lineage, lookup, order_statistics, row_rank, streamline_keys, subject
-from axonframe.functions.sphere import FULL_DETAIL, nearest_bin
-from axonframe.operators.fields import place, smoothed_support, voxel_size
+from axonframe.functions.sphere import FULL_DETAIL
+from axonframe.operators.fields import binned_segments, smoothed_support
 from axonframe.operators.geometry import endpoints, segments, streamline_length, trim_segments
 from axonframe.operators.selection import ids, keep, mean_cloud_distance, puri_threshold
 
@@ -152,21 +152,24 @@ def purifibre_score(
     smooth_deg: float = 15.0,
     detail: int = FULL_DETAIL,
     field_pts: DataFrame | None = None,
+    binned: DataFrame | None = None,
 ) -> DataFrame:
     """ln(1 + weakest support) over the trimmed segments of each streamline as ``fico``.
 
     ``field`` is a direction field on the grid of ``field_pts`` (default: the same
-    points). A streamline with no scoreable segment gets NaN.
+    points). A streamline with no scoreable segment gets NaN. ``binned``: the written
+    ``binned_segments`` of the points on that grid, if there are any.
     """
     keys = streamline_keys(pts)
     by = subject(pts, field)
     cell = by + ["i", "j", "k", "bin"]
-    segs = trim_segments(segments(pts), trim).filter(F.col("length") * F.col("length") >= 1e-10)
-    placed = place(segs, field_pts if field_pts is not None else pts, voxel_size(voxel_mm), 1, [f"m{c}" for c in XYZ])
-    binned = placed.select(*keys, "i", "j", "k", nearest_bin(*[F.col(f"u{c}") for c in XYZ], detail).alias("bin"))
-    # Equal (streamline, voxel, bin) rows add nothing to a minimum. The Python step above
-    # is the only one, so write its result rather than run it on both branches.
-    distinct = cut_lineage(binned.distinct())
+    # Written before they are trimmed, so that neither the count of a streamline's segments nor the
+    # branches below walk the points again.
+    if binned is None:
+        binned = cut_lineage(binned_segments(pts, voxel_mm, detail, field_pts))
+    segs = trim_segments(binned, trim).filter(F.col("w") * F.col("w") >= 1e-10)
+    # Equal (streamline, voxel, bin) rows add nothing to a minimum.
+    distinct = cut_lineage(segs.select(*keys, "i", "j", "k", "bin").distinct())
     support = smoothed_support(field, distinct.select(*cell).distinct(), smooth_deg, detail)
     weakest = lookup(distinct, support, cell, spread=True).groupBy(*keys).agg(F.min("support").alias("_m"))
     fico = F.coalesce(F.log1p("_m"), F.lit(float("nan")))

@@ -378,17 +378,19 @@ def _fico_sql() -> str:
 
 
 def _scored(spark, sf):
+    """Points, their field, and the binned segments that the field and the scores are made of."""
     pts = fx.points(spark, sf)
-    field = fields.direction_field(pts, VOXEL_MM, "tangent", DETAIL)
+    binned = cut_lineage(fields.binned_segments(pts, VOXEL_MM, DETAIL))
+    field = fields.direction_field(pts, VOXEL_MM, "tangent", DETAIL, binned)
     field = cut_lineage(fields.direction_smooth(field, DETAIL))
-    return pts, fields.direction_normalize(field, "global_peak")
+    return pts, fields.direction_normalize(field, "global_peak"), binned
 
 
 @query("purifibre_score", sql("segu box", f"WITH {_fico_sql()} SELECT p.streamline_id, {R('fico')} AS fico FROM (SELECT DISTINCT streamline_id FROM pts) p LEFT JOIN fico USING (streamline_id)"))
 def purifibre_score(spark, sf):
     """NaN (nothing to score) is shown as NULL."""
-    pts, field = _scored(spark, sf)
-    out = pruning.purifibre_score(pts, field, VOXEL_MM, detail=DETAIL)
+    pts, field, binned = _scored(spark, sf)
+    out = pruning.purifibre_score(pts, field, VOXEL_MM, detail=DETAIL, binned=binned)
     return out.select("streamline_id", r(F.nanvl("fico", F.lit(None).cast("double"))).alias("fico"))
 
 
@@ -396,8 +398,8 @@ def purifibre_score(spark, sf):
     SELECT streamline_id, fico FROM o WHERE fico >= (SELECT fico FROM n WHERE n = LEAST(FLOOR(c * 0.1e0), c - 1))"""))
 def purifibre(spark, sf):
     """Survivors of the 10 % cut of the scores rounded to six digits."""
-    pts, field = _scored(spark, sf)
-    _, kept = pruning.purifibre(pts, field, VOXEL_MM, 0.1, digits=6, detail=DETAIL)
+    pts, field, binned = _scored(spark, sf)
+    _, kept = pruning.purifibre(pts, field, VOXEL_MM, 0.1, digits=6, detail=DETAIL, binned=binned)
     return kept
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from axonframe.functions import graph, nearest, scan
+from axonframe.functions import graph, nearest, scan, sphere
 from axonframe.functions.geometry import scaling_grid
 from axonframe.operators import geometry as og
 from axonframe.operators import coloring, fields, orientation, pruning, sampling
@@ -393,3 +393,34 @@ def test_best_fixel_makes_no_rows_of_pairs(spark):
             want[line] = (n, *np.round(peaks[n] * (1 if dots[n] >= 0 else -1), 9))
     got = {r["line"]: (r["fixel_idx"], round(r["x"], 9), round(r["y"], 9), round(r["z"], 9)) for r in out.collect()}
     assert got == want and got[0][0] == 5 and len(got) < len(rows)
+
+
+@pytest.mark.parametrize("detail", [0, 1, 3])
+def test_bins_are_found_among_those_of_a_cell(detail):
+    """A few products a direction, and yet the first largest of all: ties, cell edges and odd rows too."""
+    rng = np.random.default_rng(6)
+    d, faces = sphere.icosphere(detail)
+    cells = sphere.cell_bins(detail)
+    assert cells.shape[1] <= 4
+    odd = [[0, 0, 0], [np.nan, 1, 0], [1e-200, 0, 1e-201], [1e300, -1e300, 1e200], [-0.0, 1, 0], [5e-324, 0, 0]]
+    ways = np.concatenate([
+        rng.normal(size=(5000, 3)), d, d[faces].mean(1), (d[faces[:, 0]] + d[faces[:, 1]]) / 2,
+        rng.integers(-4, 5, (5000, 3)), rng.integers(-48, 49, (5000, 3)) / 48, odd,
+    ])
+    dots = ways[:, :1] * d[:, 0] + ways[:, 1:2] * d[:, 1] + ways[:, 2:] * d[:, 2]
+    assert (sphere.pick_bins(ways, d, cells) == dots.argmax(1)).all()
+    assert (sphere.pick_bins(-ways, d, cells) == dots.argmin(1)).all()
+
+
+def test_field_and_scores_from_segments_binned_once(spark, sf):
+    pts = scan.cut_lineage(fx.points(spark, sf).filter("streamline_id % 9 = 0"))
+    binned = scan.cut_lineage(fields.binned_segments(pts, 4.0, 1))
+    plain = fields.direction_field(pts, 4.0, detail=1)
+    once = fields.direction_field(pts, 4.0, detail=1, binned=binned)
+    assert "Window" not in once._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    assert rows(once) == rows(plain)
+    scores = pruning.purifibre_score(pts, once, 4.0, detail=1, binned=binned)
+    assert "Window" not in scores._jdf.queryExecution().optimizedPlan().toString()
+    fico = [(r["streamline_id"], str(round(r["fico"], 9))) for r in pruning.purifibre_score(pts, plain, 4.0, detail=1).collect()]
+    assert sorted(fico) == sorted((r["streamline_id"], str(round(r["fico"], 9))) for r in scores.collect())
