@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from axonframe.functions.color import label_color
 from axonframe.functions.geometry import XYZ
+from axonframe.functions.scan import cut_lineage
 from axonframe.operators.sets import Tractogram, subset
 from axonframe.operators.volumes import normalize_volume
 
@@ -167,7 +168,10 @@ def parse_label_lines(lines: DataFrame, text: str = "value", order: str = "line_
 
     comma = F.transform(F.split("_t", ","), lambda p: F.trim(p))
     blank = F.split("_t", r"\s+")
-    rows = rows.select(*by, order, comma.alias("_c"), blank.alias("_b"))
+    # Generators, since projections would be merged and filters pushed below them: each part that is
+    # looked at would split its line again.
+    parts = F.explode_outer(F.array(F.struct(comma.alias("_c"), blank.alias("_b")))).alias("_s")
+    rows = rows.select(*by, order, parts).select(*by, order, "_s.*")
     n, m = F.size("_c"), F.size("_b")
     byte = {k: number(F.get("_c", F.lit(k)), 255) for k in range(2, 6)}
     colored = n >= 6
@@ -205,7 +209,7 @@ def parse_label_lines(lines: DataFrame, text: str = "value", order: str = "line_
         .when(blank_ok & four, blank_row(4, last(4) / 255.0, last(3) / 255.0, last(2) / 255.0, last(1) / 255.0))
         .when(blank_ok, blank_row(0, none, none, none, none))
     )
-    rows = rows.withColumn("_p", parsed).filter(F.col("_p").isNotNull())
+    rows = rows.select(*by, order, F.explode_outer(F.array(parsed)).alias("_p")).filter(F.col("_p").isNotNull())
     own = rows.select(*by, order, "_p.*")
     made = label_color(F.col("label"))
     own = own.withColumns({c: F.coalesce(F.col(c), made[c]) for c in "rgb"} | {"a": F.coalesce(F.col("a"), F.lit(0.95))})
@@ -224,7 +228,8 @@ def read_label_tables(spark: SparkSession, path: str) -> DataFrame:
     place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
     raw = spark.read.option("lineSep", "\n").text(path)
     lines = raw.select(file, place.alias("line_no"), text)
-    labels = parse_label_lines(lines)
+    # Written, so that the check below does not read the files again.
+    labels = cut_lineage(parse_label_lines(lines))
     # The names that Spark listed, empty files too; both forms of a local name are one.
     plain = F.regexp_replace("file", "^file:/+", "file:/")
     listed = spark.createDataFrame([(name,) for name in raw.inputFiles()], "file string").select(plain.alias("file"))

@@ -13,6 +13,7 @@ from axonframe.operators import selection as sel
 from axonframe.operators.fields import visit_density, visits, voxel_density
 from axonframe.plans import classify, reference
 from axonframe.queries import fixtures as fx
+from axonframe.sources import tables
 from axonframe.streaming import density
 
 
@@ -424,3 +425,11 @@ def test_field_and_scores_from_segments_binned_once(spark, sf):
     assert "Window" not in scores._jdf.queryExecution().optimizedPlan().toString()
     fico = [(r["streamline_id"], str(round(r["fico"], 9))) for r in pruning.purifibre_score(pts, plain, 4.0, detail=1).collect()]
     assert sorted(fico) == sorted((r["streamline_id"], str(round(r["fico"], 9))) for r in scores.collect())
+
+
+def test_label_lines_are_split_once(spark):
+    """However many parts of a line are looked at, its two splits are made once."""
+    rows = [(n, t) for n, t in enumerate(["1, A", "2 B c 1 2 3", "2 Late 9 8 7", "x no", "# 3 D", "4,E,1,2,3,255", "5"])]
+    out = tables.parse_label_lines(spark.createDataFrame(rows, "line_no int, value string").repartition(2))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
+    assert sorted((r["label"], r["name"]) for r in out.collect()) == [(1, "A"), (2, "Late"), (4, "E")]
