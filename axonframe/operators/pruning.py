@@ -232,23 +232,48 @@ def remove_duplicates(
     tolerance, lies within the tolerance on average, and at least the given fraction of the
     vertices of each lie within the tolerance of the other. Only distances count, so two copies
     are found wherever a grid happens to cut between them.
+
+    Short streamlines are packed, a row each, and told by their whole shape; only those of more
+    than ``PIECE`` vertices by signatures and vertex by vertex.
     """
+    if mode not in ("exact", "near"):
+        raise ValueError(f"unknown duplicate mode {mode!r}")
     keys = streamline_keys(pts)
-    unique = ids(pts).join(exact_copies(pts).select(*keys), keys, "left_anti")
+    long_ones = cut_lineage(pts.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > PIECE).select(*keys))
+    any_long = not long_ones.isEmpty()
+    shapes = unique_shapes(lookup(pts, long_ones, keys, "left_anti") if any_long else pts)
+    if any_long:
+        copies = exact_copies(lookup(pts, long_ones, keys, "left_semi")).select(*keys)
+        long_ones = long_ones.join(copies, keys, "left_anti")
     if mode == "exact":
-        return unique
-    if mode != "near":
-        raise ValueError(f"unknown duplicate mode {mode!r}")
-    kept = keep(pts, cut_lineage(unique))
-    return without_near_copies(kept, tolerance_mm, endpoint_tolerance_mm, min_shared_voxel_fraction)
+        return shapes.select(*keys).unionByName(long_ones) if any_long else shapes.select(*keys)
+    long_pts = keep(pts, cut_lineage(long_ones)) if any_long else None
+    return without_near_copies(cut_lineage(shapes), long_pts, tolerance_mm, endpoint_tolerance_mm, min_shared_voxel_fraction)
+
+
+def unique_shapes(pts: DataFrame) -> DataFrame:
+    """``<keys>, x, y, z`` (arrays in order) of short streamlines: of those equal point by point the lowest id.
+
+    One with a missing coordinate equals no other.
+    """
+    by, keys = subject(pts), streamline_keys(pts)
+    rows = pts.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("point_idx", *XYZ))).alias("_v"),
+        F.max(F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull()).alias("_missing"),
+    )
+    alone = F.when(F.col("_missing"), F.col("streamline_id")).alias("_alone")
+    rows = rows.select(*keys, alone, *[F.col(f"_v.{c}").alias(c) for c in XYZ])
+    return rows.groupBy(*by, "_alone", *XYZ).agg(F.min("streamline_id").alias("streamline_id")).select(*keys, *XYZ)
 
 
 #: Streamlines of a cell that all others are held against first, and how much more each later round takes.
 LEADERS, MORE = 64, 16
 
 
-def without_near_copies(pts: DataFrame, tolerance: float, end_tolerance: float, fraction: float) -> DataFrame:
-    """Ids without a near copy of a lower id.
+def without_near_copies(
+    shapes: DataFrame, long_pts: DataFrame | None, tolerance: float, end_tolerance: float, fraction: float
+) -> DataFrame:
+    """Ids without a near copy of a lower id, of short streamlines (``unique_shapes``) and the points of long ones.
 
     Candidates lie in one cell of the space of both endpoints. A streamline is in one cell, as a copy
     of others it is in every cell that its tolerance reaches, both ways round. The lowest ids of a
@@ -256,15 +281,22 @@ def without_near_copies(pts: DataFrame, tolerance: float, end_tolerance: float,
     copies costs one short round, and only what is left meets the further ones. Short streamlines
     meet in blocks, whole; long ones meet by pairs and pieces.
     """
-    by, keys = subject(pts), streamline_keys(pts)
+    by, keys = subject(shapes), streamline_keys(shapes)
     cell = 4.0 * max(float(end_tolerance), 1e-6)
-    ends = cut_lineage(endpoints(pts).select(*keys, "n_points", "first", "last"))
+    lists = [F.col(c).cast("array<double>").alias(c) for c in XYZ]
+    short = shapes.select(*keys, *[F.struct(*[F.element_at(v, n).alias(c) for v, c in zip(lists, XYZ)]).alias(e) for n, e in ((1, "first"), (-1, "last"))])
+    shapes = shapes.select(*keys, F.struct("streamline_id", *lists).alias("_shape"))
+    ends, long_ones = short, None
+    if long_pts is not None:
+        long_pts = long_pts.withColumns({c: F.col(c).cast("double") for c in XYZ})
+        long_ones = cut_lineage(endpoints(long_pts).select(*keys, "first", "last"))
+        ends = cut_lineage(short.unionByName(long_ones))
 
     def at(end: str) -> list:
         return [F.col(end)[c] for c in XYZ]
 
     home = F.xxhash64(*[F.floor(v / cell) for v in at("first") + at("last")])
-    open_ones = ends.withColumn("_cell", home)
+    open_ones = cut_lineage(ends.select(*keys, home.alias("_cell")))
     seats = None
     for one, other in (("first", "last"), ("last", "first")):
         side = ends.select(*keys, *[v.alias(f"_v{n}") for n, v in enumerate(at(one) + at(other))])
@@ -274,14 +306,22 @@ def without_near_copies(pts: DataFrame, tolerance: float, end_tolerance: float,
         side = side.select(*keys, F.xxhash64(*[f"_v{n}" for n in range(6)]).alias("_cell"))
         seats = side if seats is None else seats.unionByName(side)
     # A seat in a cell that nobody lives in meets nobody.
-    homes = open_ones.select(*by, "_cell").distinct()
-    seats = lookup(seats.distinct(), homes, by + ["_cell"], "left_semi")
+    homes = cut_lineage(open_ones.select(*by, "_cell").distinct())
+    seats = lookup(seats, homes, by + ["_cell"], "left_semi").distinct()
     ranked = cut_lineage(row_rank(seats, ["streamline_id"], "_rank", by + ["_cell"]))
-    shapes = cut_lineage(_shapes(lookup(pts, ends.filter(F.col("n_points") <= PIECE), keys, "left_semi")))
-    long_ones = cut_lineage(ends.filter(F.col("n_points") > PIECE).select(*keys, "first", "last"))
-    any_long = not long_ones.isEmpty()
     top = ranked.agg(F.max("_rank").alias("top")).first()["top"]
+    longest = shapes.agg(F.max(F.size("_shape.x")).alias("n")).first()["n"]
 
+    begin, size = 0, LEADERS * MORE
+    while longest and top is not None and begin <= top:
+        leaders = ranked.filter(F.col("_rank").between(begin, begin + size - 1))
+        copies = _short_copies(open_ones, leaders, shapes, by, max(SHORT, min(8 * SHORT, HELD // longest)), tolerance, end_tolerance, fraction)
+        open_ones = cut_lineage(open_ones.join(copies, keys, "left_anti"))
+        begin, size = begin + size, size * MORE
+    if long_ones is None:
+        return open_ones.select(*keys)
+
+    # Long ones on either side meet piece by piece.
     def close(a: str, b: str):
         d = [p - q for p, q in zip(at(a), at(b))]
         return d[0] * d[0] + d[1] * d[1] + d[2] * d[2] <= end_tolerance * end_tolerance
@@ -289,68 +329,87 @@ def without_near_copies(pts: DataFrame, tolerance: float, end_tolerance: float,
     def as_other(rows: DataFrame) -> DataFrame:
         return rows.select(*by, "_cell", *[F.col(c).alias(f"o_{c}") for c in ("streamline_id", "first", "last")])
 
-    open_ones = open_ones.select(*keys, "_cell")
+    vertices = F.posexplode(F.arrays_zip(*[f"_shape.{c}" for c in XYZ])).alias("point_idx", "_v")
+    pts = shapes.select(*keys, vertices).select(*keys, "point_idx", *[F.col("_v")[c].alias(c) for c in XYZ])
+    pts = pts.unionByName(long_pts.select(*keys, "point_idx", *XYZ))
     begin, size = 0, LEADERS
     while top is not None and begin <= top:
         leaders = ranked.filter(F.col("_rank").between(begin, begin + size - 1))
-        copies = _short_copies(open_ones, leaders, shapes, by, tolerance, end_tolerance, fraction)
-        open_ones = cut_lineage(open_ones.join(copies, keys, "left_anti"))
-        if any_long:
-            # Long ones on either side meet piece by piece.
-            placed, first_ones = lookup(open_ones, ends, keys), lookup(leaders, ends, keys)
-            met = lookup(placed, long_ones, keys, "left_semi").join(as_other(first_ones), by + ["_cell"]).unionByName(
-                lookup(placed, long_ones, keys, "left_anti").join(as_other(lookup(first_ones, long_ones, keys, "left_semi")), by + ["_cell"])
-            ).filter(F.col("o_streamline_id") < F.col("streamline_id"))
-            met = met.filter((close("first", "o_first") & close("last", "o_last")) | (close("first", "o_last") & close("last", "o_first")))
-            pairs = cut_lineage(met.select(*keys, F.col("o_streamline_id").alias("other")))
-            if not pairs.isEmpty():
-                copies = near_pairs(pts, pairs, tolerance, fraction).select(*keys).distinct()
-                open_ones = cut_lineage(open_ones.join(copies, keys, "left_anti"))
+        placed, first_ones = lookup(open_ones, ends, keys), lookup(leaders, ends, keys)
+        met = lookup(placed, long_ones, keys, "left_semi").join(as_other(first_ones), by + ["_cell"]).unionByName(
+            lookup(placed, long_ones, keys, "left_anti").join(as_other(lookup(first_ones, long_ones, keys, "left_semi")), by + ["_cell"])
+        ).filter(F.col("o_streamline_id") < F.col("streamline_id"))
+        met = met.filter((close("first", "o_first") & close("last", "o_last")) | (close("first", "o_last") & close("last", "o_first")))
+        pairs = cut_lineage(met.select(*keys, F.col("o_streamline_id").alias("other")))
+        if not pairs.isEmpty():
+            copies = near_pairs(pts, pairs, tolerance, fraction).select(*keys).distinct()
+            open_ones = cut_lineage(open_ones.join(copies, keys, "left_anti"))
         begin, size = begin + size, size * MORE
     return open_ones.select(*keys)
 
 
-#: Short streamlines of one row on either side, those that all are held against at a time, and distances held at a time.
-SHORT, STEP, HELD = 4096, 512, 1 << 22
+#: Short streamlines of one row at least, where there are as many, and the rows that a crowded cell is dealt to, if it can be.
+SHORT, SPREAD = 4096, 256
+#: Streamlines that all are held against at a time, cells of space told apart, and distances (or vertices of a row) held at a time.
+STEP, CELLS, HELD = 512, 512, 1 << 19
 
 
-def _shapes(pts: DataFrame) -> DataFrame:
-    """``_shape``: id and coordinate arrays of each (short) streamline."""
-    vertex = F.struct("point_idx", *[F.col(c).cast("double").alias(c) for c in XYZ])
-    rows = pts.groupBy(*streamline_keys(pts)).agg(F.sort_array(F.collect_list(vertex)).alias("v"))
-    return rows.select(*streamline_keys(pts), F.struct("streamline_id", *[F.col(f"v.{c}").alias(c) for c in XYZ]).alias("_shape"))
-
-
-def _short_copies(open_ones: DataFrame, leaders: DataFrame, shapes: DataFrame, by: list[str], *limits: float) -> DataFrame:
+def _short_copies(open_ones: DataFrame, leaders: DataFrame, shapes: DataFrame, by: list[str], part: int, *limits: float) -> DataFrame:
     """Keys of the short ones of ``open_ones`` with a near copy of a lower id among the short ``leaders``.
 
-    Both sides are packed, so two blocks of a cell meet in one row and its pairs are never rows.
+    Both sides are packed, so two blocks of a cell meet in one row and its pairs are never rows. ``part``: streamlines of a row at most.
     """
     keys, cell = by + ["streamline_id"], by + ["_cell"]
-    sizes = open_ones.groupBy(*cell).agg(F.ceil(F.count("*") / SHORT).alias("_blocks"))
-    dealt = lookup(lookup(open_ones, shapes, keys), sizes, cell).withColumn("_block", F.pmod(F.xxhash64("streamline_id"), F.col("_blocks")))
+    parts = leaders.groupBy(*cell).agg(F.ceil(F.count("*") / part).alias("_parts"))
+    sizes = lookup(open_ones.groupBy(*cell).agg(F.count("*").alias("_n")), parts, cell)
+    blocks = F.greatest(F.ceil(F.col("_n") / part), F.least(F.ceil(F.col("_n") / SHORT), F.ceil(SPREAD / F.col("_parts"))))
+    sizes = cut_lineage(sizes.select(*cell, blocks.alias("_blocks")))
+    dealt = lookup(lookup(open_ones, sizes, cell), shapes, keys).withColumn("_block", F.pmod(F.xxhash64("streamline_id"), F.col("_blocks")))
     own = cut_lineage(dealt.groupBy(*cell, "_block").agg(F.collect_list("_shape").alias("a"), F.max("streamline_id").alias("_top")))
-    packed = lookup(leaders, shapes, keys).groupBy(*cell, F.floor(F.col("_rank") / SHORT).alias("_part"))
+    packed = lookup(leaders, shapes, keys).groupBy(*cell, F.floor(F.col("_rank") / part).alias("_part"))
     others = cut_lineage(packed.agg(F.sort_array(F.collect_list("_shape")).alias("b"), F.min("streamline_id").alias("_least")))
     met = own.select(*cell, "_block", "_top").join(others.select(*cell, "_part", "_least"), cell).filter("_least < _top")
-    rows = lookup(met.select(*cell, "_block", "_part"), others.drop("_least"), cell + ["_part"])
-    rows = lookup(rows, own.drop("_top"), cell + ["_block"], spread=True).select(*by, "a", "b")
+    met = cut_lineage(met.select(*cell, "_block", "_part"))
+    # A row for each two blocks, however few bytes it has: they take long.
+    n, at = max(1, min(met.count(), 2048)), [*cell, "_block", "_part"]
+
+    def dealt_out(side: DataFrame, name: str, other: str) -> DataFrame:
+        partners = met.groupBy(*cell, name).agg(F.collect_list(other).alias("_with"))
+        rows = lookup(side, partners, [*cell, name])
+        return rows.withColumn(other, F.explode("_with")).drop("_with").repartition(n, *at)
+
+    rows = dealt_out(own.drop("_top"), "_block", "_part").join(dealt_out(others.drop("_least"), "_part", "_block"), at).select(*by, "a", "b")
     found = rows.mapInArrow(_block_copies(by, *limits), StructType([shapes.schema[c] for c in keys]))
     return found.distinct()
 
 
 def _block_copies(by: list[str], tolerance: float, end_tolerance: float, fraction: float):
-    """Two blocks of streamlines -> those of the first that are near copies of one of a lower id in the second."""
+    """Two blocks of streamlines -> those of the first that are near copies of one of a lower id in the second.
+
+    Space is cut into the cells that hold vertices of the first block. For each cell, bits tell the
+    streamlines of the second that begin, end or come within the tolerance of it. The bits of a
+    streamline's cells leave those that may be its originals, and only they are measured.
+    """
+    end2, slack = end_tolerance * end_tolerance, 1 + 1e-6
 
     def sides(shapes: pa.StructArray) -> tuple:
+        """Ids, vertices, and first vertex and number of vertices of each."""
         ids_, *axes = shapes.flatten()
         starts = axes[0].offsets.to_numpy()
-        flat = np.stack([v.values.to_numpy(zero_copy_only=False) for v in axes], 1)
-        return ids_.to_numpy(), flat, starts[:-1], np.diff(starts)
+        flat = np.stack([v.flatten().to_numpy(zero_copy_only=False) for v in axes], 1)
+        return ids_.to_numpy(), flat, starts[:-1] - starts[0], np.diff(starts)
+
+    def which(side: tuple, fit: np.ndarray) -> np.ndarray:
+        """Streamlines all of whose vertices fit."""
+        return np.logical_and.reduceat(fit.all(1), side[2])
 
-    def padded(flat: np.ndarray, start: np.ndarray, count: np.ndarray, width: int) -> np.ndarray:
+    def padded(side: tuple, which_: np.ndarray, width: int) -> np.ndarray:
         """Vertices of each, the last one repeated."""
-        return flat[start[:, None] + np.minimum(np.arange(width), count[:, None] - 1)]
+        return side[1].take(side[2][which_][:, None] + np.minimum(np.arange(width), side[3][which_][:, None] - 1), 0)
+
+    def ends(side: tuple, which_: np.ndarray) -> tuple:
+        first = side[2][which_]
+        return side[1].take(first, 0), side[1].take(first + side[3][which_] - 1, 0)
 
     def apart2(p: np.ndarray, q: np.ndarray) -> np.ndarray:
         dx, dy, dz = (p[..., k] - q[..., k] for k in range(3))
@@ -361,45 +420,136 @@ def _block_copies(by: list[str], tolerance: float, end_tolerance: float, fractio
         out = np.zeros(len(i), bool)
         wide = [2 ** np.ceil(np.log2(s[3])).astype(int) for s in (a, b)]
         kind = wide[0][i] * 4096 + wide[1][j]
-        for k in np.unique(kind):
-            same, m, n = np.flatnonzero(kind == k), int(k) // 4096, int(k) % 4096
-            for at in range(0, len(same), max(1, HELD // (m * n))):
-                some = same[at : at + max(1, HELD // (m * n))]
-                counts = [a[3][i[some]], b[3][j[some]]]
-                p, q = padded(a[1], a[2][i[some]], counts[0], m), padded(b[1], b[2][j[some]], counts[1], n)
-                d = np.sqrt(apart2(p[:, :, None], q[:, None, :]))
-                sides_ = [(d.min(2), counts[0]), (d.min(1), counts[1])]
+        order = np.argsort(kind, kind="stable")
+        for alike in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1) if len(order) else []:
+            m, n = divmod(int(kind[alike[0]]), 4096)
+            for at in range(0, len(alike), max(1, HELD // (m * n))):
+                some = alike[at : at + max(1, HELD // (m * n))]
+                d2 = apart2(padded(a, i[some], m)[:, :, None], padded(b, j[some], n)[:, None])
+                sides_ = [(np.sqrt(d2.min(2)), a[3][i[some]]), (np.sqrt(d2.min(1)), b[3][j[some]])]
                 real = [np.arange(v.shape[1]) < c[:, None] for v, c in sides_]
-                mean = np.where(real[0], sides_[0][0], 0.0).sum(1) / counts[0]
+                mean = np.where(real[0], sides_[0][0], 0.0).sum(1) / sides_[0][1]
                 share = [((v <= tolerance) & r).sum(1) / c for (v, c), r in zip(sides_, real)]
                 out[some] = (mean <= tolerance) & (np.minimum(*share) >= fraction)
         return out
 
+    def cells_of(flat: np.ndarray, most: int) -> tuple:
+        """The cell of each vertex, the bins of each cell, and the bounds of the bins along each axis."""
+        size = max(tolerance, end_tolerance, 1e-6) / 4
+        while True:
+            bins = [np.unique(np.floor(flat[:, k] / size), return_inverse=True)[1] for k in range(3)]
+            top = [int(x.max()) + 1 for x in bins]
+            found, cell = np.unique((bins[0] * top[1] + bins[1]) * top[2] + bins[2], return_inverse=True)
+            if len(found) <= most:
+                break
+            size *= 1.3 if len(found) < 4 * most else 2.0
+        bounds = [(np.full(t, np.inf), np.full(t, -np.inf)) for t in top]
+        for k in range(3):
+            np.minimum.at(bounds[k][0], bins[k], flat[:, k])
+            np.maximum.at(bounds[k][1], bins[k], flat[:, k])
+        return cell, (found // (top[1] * top[2]), found // top[2] % top[1], found % top[2]), bounds
+
+    def reached(bins: list, bounds: list, p: np.ndarray, limit: float) -> np.ndarray:
+        """Which points may lie within the limit of some vertex of a cell; single precision, but never too few."""
+        total = None
+        for x, (low, high), v in zip(bins, bounds, p.T):
+            gap = np.maximum(np.maximum(low[:, None] - v, v - high[:, None]), 0.0).astype("float32")
+            gap *= gap
+            total = gap[x] if total is None else np.add(total, gap[x], out=total)
+        return total <= np.float32(limit * limit * slack)
+
+    def marks(bins: tuple, bounds: list, b: tuple, js: np.ndarray) -> np.ndarray:
+        """Bits by cell: the streamlines ``js`` (most vertices first) that begin, end or come within reach."""
+        count = len(bins[0])
+        bits = np.zeros((3, count, -(-len(js) // 64) * 8), "uint8")
+        layers = [b[1].take(b[2][js[b[3][js] > n]] + n, 0) for n in range(int(b[3][js[0]]))]
+        chunk = max(1, (1 << 17) // len(js))
+        for c in range(0, count, chunk):
+            some = [x[c : c + chunk] for x in bins]
+            cover = np.zeros((len(some[0]), len(js)), bool)
+            for p in layers:
+                cover[:, : len(p)] |= reached(some, bounds, p, tolerance)
+            for n, hit in enumerate([*(reached(some, bounds, p, end_tolerance) for p in ends(b, js)), cover]):
+                bits[n, c : c + chunk, : -(-len(js) // 8)] = np.packbits(hit, axis=1, bitorder="little")
+        return bits.view("uint64")
+
+    def possible(cell: np.ndarray, need: int, first: np.ndarray, last: np.ndarray, cover: np.ndarray) -> np.ndarray:
+        """Bits by streamline of equally many vertices: fitting ends, and at least ``need`` vertices within reach."""
+        one, other = cell[:, 0], cell[:, -1]
+        bits = (first[one] & last[other]) | (first[other] & last[one])
+        if need == cell.shape[1]:
+            for n in range(need):
+                bits &= cover[cell[:, n]]
+        elif need:
+            # Vertices within reach are counted in binary, a digit a word.
+            digits = [np.zeros_like(bits) for _ in range(cell.shape[1].bit_length())]
+            for n in range(cell.shape[1]):
+                carry = cover[cell[:, n]]
+                for k in range((n + 1).bit_length()):
+                    digits[k], carry = digits[k] ^ carry, digits[k] & carry
+            more = np.zeros_like(bits)
+            for k in reversed(range(len(digits))):
+                if need >> k & 1:
+                    bits = bits & digits[k]
+                else:
+                    more |= bits & digits[k]
+                    bits = bits & ~digits[k]
+            bits |= more
+        return bits
+
+    def grouped(a: tuple, open_: np.ndarray) -> tuple:
+        """Open streamlines by number of vertices, with their cells and the number that must be within reach."""
+        open_ = open_[np.argsort(a[3][open_], kind="stable")]
+        counts = a[3][open_]
+        starts = np.cumsum(counts) - counts
+        own = np.repeat(a[2][open_] - starts, counts) + np.arange(counts.sum())
+        cell, bins, bounds = cells_of(a[1][own], max(64, min(CELLS, len(own) // 4)))
+        groups = []
+        for n, at, m in zip(*np.unique(counts, return_index=True, return_counts=True)):
+            enough = np.flatnonzero(np.arange(n + 1) / n >= fraction)
+            if len(enough):
+                groups.append((open_[at : at + m], cell[starts[at] :][: m * n].reshape(m, n), int(enough[0])))
+        return groups, bins, bounds
+
     def copies(a: tuple, b: tuple) -> np.ndarray:
-        end2 = end_tolerance * end_tolerance
-        ends = [(s[1][s[2]], s[1][s[2] + s[3] - 1]) for s in (a, b)]
-        left = np.arange(len(a[0]))
-        for at in range(0, len(b[0]), STEP):
-            if not len(left):
+        left = which(a, np.isfinite(a[1]))
+        known = which(b, ~np.isnan(b[1]))
+        b = (b[0][known], b[1], b[2][known], b[3][known])
+        at, held = 0, 0
+        while at < len(b[0]):
+            open_ = np.flatnonzero(left & (a[0] > b[0][at]))
+            if not len(open_):
                 break
-            to = slice(at, at + STEP)
-            met = []
-            for one, other in ((0, 1), (1, 0)):
-                i, j = np.nonzero(apart2(ends[0][0][left][:, None], ends[1][one][to][None]) <= end2)
-                more = apart2(ends[0][1][left[i]], ends[1][other][to][j]) <= end2
-                met.append(i[more] * STEP + j[more])
-            both = np.unique(np.concatenate(met))
-            i, j = left[both // STEP], at + both % STEP
+            if not held or len(open_) < 0.7 * held:
+                (groups, bins, bounds), held = grouped(a, open_), len(open_)
+            # Few open ones are held against more at a time.
+            step = STEP * max(1, min(8, SHORT // len(open_)))
+            js = np.arange(at, min(at + step, len(b[0])))
+            js, at = js[np.argsort(-b[3][js], kind="stable")], at + step
+            bits = marks(bins, bounds, b, js)
+            found = [(np.empty(0, int), np.empty(0, int))]
+            for who, cell, need in groups:
+                still = np.flatnonzero(left[who])
+                words = possible(cell[still], need, *bits)
+                row, word = np.nonzero(words)
+                hit = np.flatnonzero(np.unpackbits(words[row, word].view("uint8"), bitorder="little"))
+                row, word = row[hit // 64], word[hit // 64]
+                found.append((who[still[row]], js[word * 64 + hit % 64]))
+            i, j = (np.concatenate(v) for v in zip(*found))
             lower = b[0][j] < a[0][i]
             i, j = i[lower], j[lower]
-            left = np.setdiff1d(left, i[near(a, b, i, j)], assume_unique=False)
-        return np.setdiff1d(a[0], a[0][left])
+            (p, q), (r, s) = ends(a, i), ends(b, j)
+            close = [(apart2(p, u) <= end2) & (apart2(q, v) <= end2) for u, v in ((r, s), (s, r))]
+            i, j = i[close[0] | close[1]], j[close[0] | close[1]]
+            left[i[near(a, b, i, j)]] = False
+        return a[0][which(a, np.isfinite(a[1])) & ~left]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
                 one = batch.slice(n, 1)
-                gone = copies(*(sides(one[c].flatten()) for c in "ab"))
+                with np.errstate(over="ignore"):
+                    gone = copies(*(sides(one[c].flatten()) for c in "ab"))
                 same = [one[c].take(pa.array(np.zeros(len(gone), "int64"))) for c in by]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(gone)], [*by, "streamline_id"])
 

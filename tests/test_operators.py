@@ -1,6 +1,7 @@
 """Hand cases: exact small inputs with known answers, and invariants."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,54 @@ def test_near_copies_of_short_and_long_lines(lines, monkeypatch):
     assert pairs
 
 
+def test_only_possible_copies_are_measured(monkeypatch):
+    """A crowd with like ends and other middles is told apart by cells; whatever their size, the result is that of plain distances."""
+    rng = np.random.default_rng(8)
+    every = []
+    for _ in range(300):
+        middle = rng.uniform(0, 400, (int(rng.integers(1, 7)), 3))
+        every.append(np.vstack([rng.uniform(0, 3, 3), middle, rng.uniform(0, 3, 3) + [400, 0, 0]])[:: rng.choice([-1, 1])])
+    for i in range(40):
+        every.append(every[i] + rng.normal(0, 1.5, every[i].shape))
+    every[7] = np.where([[False], [True], [False]], np.nan, every[7][[0, 1, -1]])
+    order = rng.permutation(len(every))
+    first, second = order[:200], np.sort(order)
+
+    def near(p, q):
+        ends = [min(max(np.linalg.norm(p[0] - a), np.linalg.norm(p[-1] - b)) for a, b in ((q[0], q[-1]), (q[-1], q[0])))]
+        d = np.linalg.norm(p[:, None] - q[None], axis=2)
+        return ends[0] <= 5.0 and d.min(1).mean() <= 4.0 and min((d.min(1) <= 4.0).mean(), (d.min(0) <= 4.0).mean()) >= 0.7
+
+    want = {int(i) for i in first if any(near(every[i], every[j]) for j in range(i))}
+    assert 5 < len(want) < 100
+    block = [[[{"streamline_id": int(i), **dict(zip("xyz", every[i].T.tolist()))} for i in side]] for side in (first, second)]
+    batch = pa.RecordBatch.from_arrays([pa.array(side) for side in block], ["a", "b"])
+    plain, measured = np.sqrt, []
+    for cells in (512, 8):
+        monkeypatch.setattr(pruning, "CELLS", cells, raising=False)
+        with monkeypatch.context() as counted:
+            counted.setattr(pruning.np, "sqrt", lambda v, *more: measured.append(np.size(v)) or plain(v, *more))
+            got = [b for out in pruning._block_copies([], 4.0, 5.0, 0.7)(iter([batch])) for b in out["streamline_id"].to_pylist()]
+        assert sorted(got) == sorted(want)
+    # All pairs have some 20 distances each, 34,000 of them fit by their ends and ids.
+    assert sum(measured) < 100_000
+
+
+def test_short_copies_are_told_by_their_shape(spark, lines, monkeypatch):
+    """Only long ones take signatures and joins of vertices; a missing coordinate equals nothing."""
+    monkeypatch.setattr(pruning, "PIECE", 6)
+    searched = []
+    plain = pruning.exact_copies
+    monkeypatch.setattr(pruning, "exact_copies", lambda pts: searched.append(ids(pts)) or plain(pts))
+    short = [run(4), run(5), run(4), run(4)[::-1], [(-0.0, *p[1:]) if p[0] == 0 else p for p in run(5)]]
+    assert ids(pruning.remove_duplicates(lines(short))) == [0, 1, 3]
+    assert not searched
+    pts = lines([*short, run(7), run(7), run(8)])
+    gaps = spark.createDataFrame([(n, p, float(p), None if p else 1.0, 0.0) for n in (8, 9) for p in range(2)], pts.schema)
+    assert ids(pruning.remove_duplicates(pts.union(gaps))) == [0, 1, 3, 5, 7, 8, 9]
+    assert [sorted(set(s)) for s in searched] == [[5, 6, 7]]
+
+
 def test_near_copies_in_either_direction(lines):
     shifted = [(x, y + 0.1, z) for x, y, z in run(10)]
     pts = lines([run(10), shifted[::-1], run(10, axis=1)])
