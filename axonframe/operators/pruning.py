@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from axonframe.functions.geometry import XYZ
-from axonframe.functions.scan import CHUNK, cut_lineage, lookup, order_statistics, row_rank, streamline_keys, subject
+from axonframe.functions.scan import CHUNK, cut_lineage, lookup, order_statistics, row_rank, settled, streamline_keys, subject
 from axonframe.functions.sphere import FULL_DETAIL
 from axonframe.operators.fields import binned_segments, smoothed_support
 from axonframe.operators.geometry import endpoints, segments, streamline_length, trim_segments
@@ -306,8 +306,8 @@ def without_near_copies(
         side = side.select(*keys, F.xxhash64(*[f"_v{n}" for n in range(6)]).alias("_cell"))
         seats = side if seats is None else seats.unionByName(side)
     # A seat in a cell that nobody lives in meets nobody.
-    homes = cut_lineage(open_ones.select(*by, "_cell").distinct())
-    seats = lookup(seats, homes, by + ["_cell"], "left_semi").distinct()
+    homes, few = settled(open_ones.select(*by, "_cell").distinct())
+    seats = lookup(seats, homes, by + ["_cell"], "left_semi", spread=True, small=few).distinct()
     ranked = cut_lineage(row_rank(seats, ["streamline_id"], "_rank", by + ["_cell"]))
     top = ranked.agg(F.max("_rank").alias("top")).first()["top"]
     longest = shapes.agg(F.max(F.size("_shape.x")).alias("n")).first()["n"]
@@ -315,7 +315,7 @@ def without_near_copies(
     begin, size = 0, LEADERS * MORE
     while longest and top is not None and begin <= top:
         leaders = ranked.filter(F.col("_rank").between(begin, begin + size - 1))
-        copies = _short_copies(open_ones, leaders, shapes, by, max(SHORT, min(8 * SHORT, HELD // longest)), tolerance, end_tolerance, fraction)
+        copies = _short_copies(open_ones, leaders, shapes, by, max(SHORT, min(8 * SHORT, VERTICES // longest)), tolerance, end_tolerance, fraction)
         open_ones = cut_lineage(open_ones.join(copies, keys, "left_anti"))
         begin, size = begin + size, size * MORE
     if long_ones is None:
@@ -349,9 +349,9 @@ def without_near_copies(
 
 
 #: Short streamlines of one row at least, where there are as many, and the rows that a crowded cell is dealt to, if it can be.
-SHORT, SPREAD = 4096, 256
-#: Streamlines that all are held against at a time, cells of space told apart, and distances (or vertices of a row) held at a time.
-STEP, CELLS, HELD = 512, 512, 1 << 19
+SHORT, SPREAD = 4096, 64
+#: Streamlines that all are held against at a time, cells of space told apart, distances held at a time, and vertices of a row.
+STEP, CELLS, HELD, VERTICES = 512, 512, 1 << 16, 1 << 19
 
 
 def _short_copies(open_ones: DataFrame, leaders: DataFrame, shapes: DataFrame, by: list[str], part: int, *limits: float) -> DataFrame:
@@ -363,8 +363,8 @@ def _short_copies(open_ones: DataFrame, leaders: DataFrame, shapes: DataFrame, b
     parts = leaders.groupBy(*cell).agg(F.ceil(F.count("*") / part).alias("_parts"))
     sizes = lookup(open_ones.groupBy(*cell).agg(F.count("*").alias("_n")), parts, cell)
     blocks = F.greatest(F.ceil(F.col("_n") / part), F.least(F.ceil(F.col("_n") / SHORT), F.ceil(SPREAD / F.col("_parts"))))
-    sizes = cut_lineage(sizes.select(*cell, blocks.alias("_blocks")))
-    dealt = lookup(lookup(open_ones, sizes, cell), shapes, keys).withColumn("_block", F.pmod(F.xxhash64("streamline_id"), F.col("_blocks")))
+    sizes, few = settled(sizes.select(*cell, blocks.alias("_blocks")))
+    dealt = lookup(lookup(open_ones, sizes, cell, spread=True, small=few), shapes, keys).withColumn("_block", F.pmod(F.xxhash64("streamline_id"), F.col("_blocks")))
     own = cut_lineage(dealt.groupBy(*cell, "_block").agg(F.collect_list("_shape").alias("a"), F.max("streamline_id").alias("_top")))
     packed = lookup(leaders, shapes, keys).groupBy(*cell, F.floor(F.col("_rank") / part).alias("_part"))
     others = cut_lineage(packed.agg(F.sort_array(F.collect_list("_shape")).alias("b"), F.min("streamline_id").alias("_least")))
