@@ -46,8 +46,9 @@ def tip_prune(
     for _ in range(max(1, iterations)):
         if left == 0:
             break
-        corner = packed.groupBy(*by).agg(*[F.min(F.array_min(c)).alias(f"_min_{c}") for c in XYZ])
-        placed = lookup(packed, corner, by) if by else packed.crossJoin(F.broadcast(corner))
+        one = F.lit(1).alias("_one")
+        corner = packed.groupBy(*by, one).agg(*[F.min(F.array_min(c)).alias(f"_min_{c}") for c in XYZ])
+        placed = lookup(packed.select("*", one), corner, by + ["_one"], small=True)
         density = _walked(placed, size, by, distinct=False).groupBy(*voxel).agg(F.count("*").alias("_d"))
         thin = cut_lineage(density.filter(F.col("_d") <= min_support).select(*voxel, F.lit(1).alias("_thin")))
         few = thin.count() <= FEW
