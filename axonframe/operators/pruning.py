@@ -365,21 +365,32 @@ def _short_copies(open_ones: DataFrame, leaders: DataFrame, shapes: DataFrame, b
     sizes = lookup(open_ones.groupBy(*cell).agg(F.count("*").alias("_n")), parts, cell)
     blocks = F.greatest(F.ceil(F.col("_n") / part), F.least(F.ceil(F.col("_n") / SHORT), F.ceil(SPREAD / F.col("_parts"))))
     sizes, few = settled(sizes.select(*cell, blocks.alias("_blocks")))
-    dealt = lookup(lookup(open_ones, sizes, cell, spread=True, small=few), shapes, keys).withColumn("_block", F.pmod(F.xxhash64("streamline_id"), F.col("_blocks")))
-    own = cut_lineage(dealt.groupBy(*cell, "_block").agg(F.collect_list("_shape").alias("a"), F.max("streamline_id").alias("_top")))
-    packed = lookup(leaders, shapes, keys).groupBy(*cell, F.floor(F.col("_rank") / part).alias("_part"))
-    others = cut_lineage(packed.agg(F.sort_array(F.collect_list("_shape")).alias("b"), F.min("streamline_id").alias("_least")))
-    met = own.select(*cell, "_block", "_top").join(others.select(*cell, "_part", "_least"), cell).filter("_least < _top")
-    met = cut_lineage(met.select(*cell, "_block", "_part"))
+    open_ones = lookup(open_ones, sizes, cell, spread=True, small=few)
+    open_ones = open_ones.select(*keys, "_cell", F.pmod(F.xxhash64("streamline_id"), F.col("_blocks")).alias("_block"))
+    leaders = leaders.select(*keys, "_cell", F.floor(F.col("_rank") / part).alias("_part"))
+    own = cut_lineage(open_ones.groupBy(*cell, "_block").agg(F.max("streamline_id").alias("_top")))
+    others = cut_lineage(leaders.groupBy(*cell, "_part").agg(F.min("streamline_id").alias("_least")))
+    met = cut_lineage(own.join(others, cell).filter("_least < _top").select(*cell, "_block", "_part"))
+
+    def tasks(rows: DataFrame) -> int:
+        return max(1, min(rows.count(), 2048))
+
+    def packed(rows: DataFrame, name: str, keyed: DataFrame, out: str) -> DataFrame:
+        """A row per block. Few blocks lie in a task, however few bytes they have once written."""
+        rows = lookup(rows, shapes, keys).select(*cell, name, "_shape").repartition(tasks(keyed), *cell, name)
+        return rows.groupBy(*cell, name).agg(F.sort_array(F.collect_list("_shape")).alias(out))
+
     # A row for each two blocks, however few bytes it has: they take long.
-    n, at = max(1, min(met.count(), 2048)), [*cell, "_block", "_part"]
+    n, at = tasks(met), [*cell, "_block", "_part"]
 
     def dealt_out(side: DataFrame, name: str, other: str) -> DataFrame:
         partners = met.groupBy(*cell, name).agg(F.collect_list(other).alias("_with"))
         rows = lookup(side, partners, [*cell, name])
         return rows.withColumn(other, F.explode("_with")).drop("_with").repartition(n, *at)
 
-    rows = dealt_out(own.drop("_top"), "_block", "_part").join(dealt_out(others.drop("_least"), "_part", "_block"), at).select(*by, "a", "b")
+    first = dealt_out(packed(open_ones, "_block", own, "a"), "_block", "_part")
+    second = dealt_out(packed(leaders, "_part", others, "b"), "_part", "_block")
+    rows = first.join(second, at).select(*by, "a", "b")
     found = rows.mapInArrow(_block_copies(by, *limits), StructType([shapes.schema[c] for c in keys]))
     return found.distinct()
 
